@@ -83,12 +83,15 @@ def business_impact(conversion: DataFrame, churn: DataFrame, as_of: datetime) ->
     return conform(row, "ml_business_impact", at(as_of))
 
 
-def conversion_kpis(segments: DataFrame, high_label: str = "High Value - Immediate Outreach") -> DataFrame:
+def conversion_kpis(segments: DataFrame, segment_column: str | None = None,
+                    high_label: str = "High Value") -> DataFrame:
+    """Campaign KPIs; without a tier column, predicted converters are the priority."""
     converts = F.col("conversion_probability") == 1
+    priority = F.col(segment_column) == high_label if segment_column else converts
     return segments.agg(
         F.count_distinct("client_id").alias("total_clients"),
         F.count_if(converts).alias("predicted_conversions"),
-        F.count_if(F.col("action_segment") == high_label).alias("high_priority_clients"),
+        F.count_if(priority).alias("high_priority_clients"),
         F.avg(F.when(converts, 1).otherwise(0)).alias("conversion_rate"),
     )
 
