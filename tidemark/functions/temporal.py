@@ -36,3 +36,14 @@ def resolve_as_of(df: DataFrame, ts: str, as_of: datetime | None) -> datetime:
     if newest is None:
         raise ValueError(f"no {ts} value to take the clock from; pass as_of")
     return newest
+
+
+def floor_day(ts: Column) -> Column:
+    """Midnight of the timestamp's day, zone-less."""
+    return F.to_date(ts).cast("timestamp_ntz")
+
+
+def floor_hour(ts: Column) -> Column:
+    """Start of the timestamp's hour.  ``date_trunc`` would pass through the
+    session zone, where an hour can be missing or doubled."""
+    return floor_day(ts) + F.make_dt_interval(hours=F.hour(ts))

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.functions import floor_day
+
 
 def latest_rows(df: DataFrame, key: str, ts: str, ties: bool = True) -> DataFrame:
     """Rows of each key at its newest timestamp (all of them when tied).
@@ -36,7 +38,7 @@ def first_rows(df: DataFrame, ts: str, n: int, newest: bool, *tie_break: str) ->
 
 
 def as_of_join(spine: DataFrame, features: DataFrame, key: str, spine_ts: str,
-               feature_ts: str, columns: Sequence[str], bucket: str = "day") -> DataFrame:
+               feature_ts: str, columns: Sequence[str], bucket=floor_day) -> DataFrame:
     """Attach to each spine row the newest feature row at or before its time.
 
     One sorted pass over a key would put a hot key into one task.  Instead the
@@ -49,16 +51,16 @@ def as_of_join(spine: DataFrame, features: DataFrame, key: str, spine_ts: str,
        earlier row wins and the inherited one fills the gap.
 
     Groups are therefore one key in one bucket; pick a finer ``bucket``
-    (``hour``) where a single day of one key is still large.  Features tied on
+    (``floor_hour``) where a single day of one key is still large.  Features tied on
     time resolve to the greatest row, so the result is repeatable.
     """
     value = F.struct(F.col(feature_ts).alias("_at"), *[F.col(c) for c in columns])
     feats = features.filter(F.col(key).isNotNull() & F.col(feature_ts).isNotNull()).select(
         F.col(key).alias("_key"), F.col(feature_ts).alias("_ts"), value.alias("_value"),
-    ).withColumn("_bucket", F.date_trunc(bucket, "_ts"))
+    ).withColumn("_bucket", bucket(F.col("_ts")))
 
     points = spine.withColumns({
-        "_key": F.col(key), "_ts": F.col(spine_ts), "_bucket": F.date_trunc(bucket, spine_ts),
+        "_key": F.col(key), "_ts": F.col(spine_ts), "_bucket": bucket(F.col(spine_ts)),
     })
 
     # What every (key, bucket) hands on to later buckets.

@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.functions import at, days_back, exact_avg, first_match, ratio
+from tidemark.functions import at, days_back, exact_avg, first_match, floor_day, floor_hour, ratio
 from tidemark.operators import (
     attach_row, feature_moments, first_rows, hash_sample, latest_row, one_row, top_rows,
 )
@@ -162,7 +162,7 @@ def monitored_predictions(preds: DataFrame, store: DataFrame, as_of: datetime) -
         "client_id", "probability", "actual_conversion", "prediction", moment.alias("monitor_timestamp"))
     return labelled.join(store.select("client_id", *MONITORED_FEATURES), "client_id", "left").select(
         "client_id", "probability", "actual_conversion", *MONITORED_FEATURES, "monitor_timestamp",
-        F.date_trunc("hour", "monitor_timestamp").alias("monitor_hour"), "prediction",
+        floor_hour(F.col("monitor_timestamp")).alias("monitor_hour"), "prediction",
     )
 
 
@@ -283,7 +283,7 @@ def drift_alert_rows(drift: DataFrame, as_of: datetime) -> DataFrame:
 def prediction_drift(segments: DataFrame, days: int = 7) -> DataFrame:
     """Positive rate of the newest days and its change from the day before."""
     rate = ratio(F.count_if(F.col("conversion_probability") == 1), F.count("*"))
-    daily = segments.groupBy(F.date_trunc("day", "batch_timestamp").alias("prediction_date")).agg(
+    daily = segments.groupBy(floor_day(F.col("batch_timestamp")).alias("prediction_date")).agg(
         F.avg("conversion_probability").alias("avg_prediction"),
         rate.alias("positive_rate"),
         F.count("*").alias("daily_volume"),

@@ -132,7 +132,7 @@ def churn_segments(store: DataFrame, segments: DataFrame, as_of: datetime) -> Da
 
     The rules read the unrounded risk; the output shows it at three digits.
     """
-    scored = segments.select("client_id", "conversion_probability")
+    scored = segments.select("client_id", F.col("conversion_probability").alias("_converts"))
     df = store.join(scored, "client_id", "left").withColumns({
         "_risk": churn_risk(), "value_tier": value_tier(F.col("total_assets_under_management")),
     })
@@ -145,7 +145,7 @@ def churn_segments(store: DataFrame, segments: DataFrame, as_of: datetime) -> Da
         ((risk >= 0.8) & (value == "Medium Value"), "Critical - Urgent Advisor Outreach"),
         ((risk >= 0.7) & value.isin("High Value", "Medium Value"),
          "High Risk - Proactive Retention Required"),
-        ((risk >= 0.6) & (F.col("conversion_probability") == 1),
+        ((risk >= 0.6) & (F.col("_converts") == 1),
          "Risk & Opportunity - Convert to Prevent Churn"),
         ((risk >= 0.5) & (tenure < 12), "New Client Risk - Enhanced Onboarding"),
         (risk >= 0.5, "Medium Risk - Re-engagement Campaign"),
@@ -169,7 +169,7 @@ def churn_segments(store: DataFrame, segments: DataFrame, as_of: datetime) -> Da
         "client_id", "lifecycle_stage", "age_segment", "value_tier", "client_tenure_months",
         "days_since_last_activity", F.round("_risk", 3).alias("churn_risk_score"),
         segment.alias("retention_segment"), action.alias("retention_action"),
-        "conversion_probability", "business_priority_score", at(as_of).alias("analysis_timestamp"),
+        F.col("_converts").alias("conversion_probability"), "business_priority_score", at(as_of).alias("analysis_timestamp"),
     )
 
 

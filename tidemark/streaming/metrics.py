@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.functions import floor_hour
 from tidemark.operators import latest_rows
 from tidemark.streaming.ingest import LATENESS
 
@@ -65,7 +66,7 @@ def monitored_stream(predictions: DataFrame, store: DataFrame, features: Sequenc
     """
     labelled = predictions.filter(F.col("actual_conversion").isNotNull())
     return labelled.join(store.select("client_id", *features), "client_id", "left").withColumn(
-        "monitor_hour", F.date_trunc("hour", "monitor_timestamp"))
+        "monitor_hour", floor_hour(F.col("monitor_timestamp")))
 
 
 def refresh_monitored(stream: DataFrame, target: str, checkpoint: str, once: bool = True,
