@@ -239,11 +239,12 @@ def daily_scores(store: DataFrame, as_of: datetime, model: str = MODEL_NAME) ->
     return _prediction_rows(_scored(active), as_of, model, "1.0", "batch")
 
 
-def run_daily_scoring(store: DataFrame, table: str, as_of: datetime, model: str = MODEL_NAME) -> int:
+def run_daily_scoring(store: DataFrame, table: str, as_of: datetime, model: str = MODEL_NAME,
+                      location: str | None = None) -> int:
     """Score and replace the day's partition; safe to repeat.  Returns rows scored."""
     day = as_of.date()
     scored = daily_scores(store, as_of, model).withColumn("prediction_date", F.lit(day))
-    replace_days(scored, table, "prediction_date")
+    replace_days(scored, table, "prediction_date", location)
     return scored.sparkSession.table(table).filter(F.col("prediction_date") == F.lit(day)).count()
 
 

@@ -182,12 +182,15 @@ def load_model(spark: SparkSession, root: str, name: str, version: str = "LAST")
 
 def registry_predictions(spark: SparkSession, root: str, name: str, store: DataFrame,
                          version: str = "LAST", label: str = "conversion_target") -> DataFrame:
-    """Batch inference by registered name and version, keyed by client."""
+    """Batch inference by registered name and version, keyed by client.
+
+    Every client is returned; one with a missing model input has no score.
+    """
     model = load_model(spark, root, name, version)
-    frame = ordinal_encoded(store)
-    context = store.select("client_id", "lifecycle_stage", "age_segment", "business_priority_score")
-    scored = predict(model, frame, label)
-    return context.join(scored, "client_id").select(
+    context = store.select("client_id", "lifecycle_stage", "age_segment", "business_priority_score",
+                           F.col(label).alias("actual_conversion"))
+    scored = predict(model, ordinal_encoded(store), label).drop("actual_conversion")
+    return context.join(scored, "client_id", "left").select(
         "client_id", "lifecycle_stage", "age_segment", "business_priority_score",
         "prediction", "probability", "actual_conversion")
 

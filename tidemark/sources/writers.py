@@ -45,15 +45,16 @@ def write_sorted(df: DataFrame, path: str, keys: Sequence[str], partitions: int
     ranged.sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
-def replace_days(df: DataFrame, table: str, day_column: str) -> None:
+def replace_days(df: DataFrame, table: str, day_column: str, location: str | None = None) -> None:
     """Idempotent per-day replace: the days present in ``df`` are swapped whole.
 
-    Creates the table on first use.  There is no delete step to lose data in:
-    new files are moved in when the job commits.
+    Creates the table on first use, at ``location`` if given.  There is no
+    delete step to lose data in: new files are moved in when the job commits.
     """
     spark = df.sparkSession
     if not spark.catalog.tableExists(table):
-        df.write.partitionBy(day_column).format("parquet").saveAsTable(table)
+        writer = df.write.partitionBy(day_column).format("parquet")
+        (writer.option("path", location) if location else writer).saveAsTable(table)
         return
     ordered = df.select(*spark.table(table).columns)
     ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
