@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from checks.domain import Domain
 from checks.sqltext import AS_OF, CTES, NOW, back, big, days, msum, rnd, sql, uniform, xavg
-from tidemark.operators import hash_split
+from tidemark.operators import hash_split, metric_rows
 from tidemark.plans import (
     catalog, dashboards, features, impact, monitoring, reports, scoring, segments,
 )
@@ -31,6 +31,11 @@ def query(name: str, check: str | None = None):
     return add
 
 
+def settled_query(name: str, check: str):
+    """A query that uses the store more than once: it is written first."""
+    return lambda build: query(name, check)(lambda d: build(d.settled()))
+
+
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     """Deviations and logarithms differ in the last bits between engines."""
     return df.withColumns({c: F.round(c, digits) for c in columns})
@@ -107,6 +112,31 @@ SELECT client_id, feature_timestamp, total_events_7d, web_visits_7d, email_opens
  avg_touchpoint_value, lifecycle_stage, age_segment, tenure_segment FROM store"""
       )(lambda d: catalog.feature_view(d.store))
 
+# Columns hidden from the definitions are the key, the clock and the targets.
+_DEFINED = [c for c in features.STORE_COLUMNS if c not in ("client_id", "feature_timestamp", *catalog.TARGETS)]
+CTES["filled"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature_name, count({c}) AS filled_rows FROM store" for c in _DEFINED)
+CTES["defined"] = """
+SELECT feature_name, filled_rows, CASE WHEN feature_name LIKE '%_7d' THEN 'Engagement metrics over 7 days'
+ WHEN feature_name LIKE '%_30d' THEN 'Engagement metrics over 30 days' WHEN feature_name LIKE '%_90d' THEN 'Engagement metrics over 90 days'
+ WHEN feature_name IN ('age', 'annual_income', 'current_401k_balance') THEN 'Client demographic features'
+ WHEN feature_name LIKE '%ratio%' THEN 'Behavioral ratio metrics' ELSE 'Client feature' END AS feature_description FROM filled"""
+
+
+def _defined(d: Domain) -> DataFrame:
+    """Definitions beside the number of store rows that fill each feature."""
+    filled = metric_rows(d.store, {c: F.count(c) for c in _DEFINED}, "feature_name", "filled_rows")
+    return catalog.feature_definitions(d.store).join(filled, "feature_name")
+
+
+query("q12_definition_listing", """
+SELECT feature_name, feature_description, filled_rows FROM defined ORDER BY feature_name LIMIT 20"""
+      )(lambda d: _defined(d).select("feature_name", "feature_description", "filled_rows").orderBy("feature_name").limit(20))
+query("q12_definitions_by_description", f"""
+SELECT feature_description, count(*) AS num_features, {big('sum(filled_rows)')} AS filled_values FROM defined GROUP BY 1"""
+      )(lambda d: _defined(d).groupBy("feature_description").agg(
+          F.count("*").alias("num_features"), F.sum("filled_rows").alias("filled_values")))
+
 query("q13_engaged_clients", """
 SELECT client_id, engagement_score_30d, retirement_readiness_score, lifecycle_stage, total_assets_under_management, annual_income
 FROM store WHERE engagement_score_30d > 0.1e0 ORDER BY total_assets_under_management DESC, client_id LIMIT 10"""
@@ -220,27 +250,27 @@ SELECT count(*) AS total_clients, count(*) FILTER (WHERE churn_target = 1) AS ch
  count(*) FILTER (WHERE days_since_last_activity > 30) AS inactive_30d,
  count(*) FILTER (WHERE lifecycle_stage IN ('At_Risk', 'At Risk')) AS at_risk_clients FROM store"""
       )(lambda d: segments.churn_indicators(d.store))
-query("q26_churn_segments", "SELECT * FROM churn")(lambda d: d.churn)
-query("q27_retention_summary", f"""
+settled_query("q26_churn_segments", "SELECT * FROM churn")(lambda d: d.churn)
+settled_query("q27_retention_summary", f"""
 SELECT retention_segment, value_tier, count(*) AS client_count, {xavg('churn_risk_score', 3)} AS avg_risk_score,
  avg(days_since_last_activity) AS avg_days_inactive FROM churn GROUP BY 1, 2""")(lambda d: segments.retention_summary(d.churn))
-query("q27_churn_prevention_summary", f"""
+settled_query("q27_churn_prevention_summary", f"""
 SELECT analysis_timestamp, count(*) AS total_clients, count(*) FILTER (WHERE retention_segment LIKE 'Critical%') AS critical_risk_clients,
  count(*) FILTER (WHERE retention_segment LIKE 'High Risk%') AS high_risk_clients,
  count(*) FILTER (WHERE value_tier = 'High Value' AND churn_risk_score >= 0.7e0) AS high_value_at_risk,
  count(*) FILTER (WHERE churn_risk_score >= 0.7e0) AS total_high_risk, {xavg('churn_risk_score', 3)} AS avg_churn_risk,
  avg(days_since_last_activity) AS avg_days_inactive FROM churn GROUP BY 1""")(lambda d: segments.churn_prevention_summary(d.churn))
-query("q27_critical_clients", f"""
+settled_query("q27_critical_clients", f"""
 SELECT c.client_id, c.value_tier, {rnd('s.total_assets_under_management', 0)} AS assets, c.days_since_last_activity,
  c.churn_risk_score, c.retention_action FROM churn c JOIN store s ON s.client_id = c.client_id
 WHERE c.retention_segment LIKE 'Critical%' AND c.value_tier IN ('High Value', 'Medium Value')
 ORDER BY s.total_assets_under_management DESC, c.churn_risk_score DESC, c.client_id LIMIT 15"""
       )(lambda d: segments.critical_clients(d.churn, d.store))
-query("q27_retention_opportunities", """
+settled_query("q27_retention_opportunities", """
 SELECT client_id, lifecycle_stage, churn_risk_score, conversion_probability, retention_action FROM churn
 WHERE churn_risk_score >= 0.5e0 AND conversion_probability = 1 ORDER BY churn_risk_score DESC, client_id LIMIT 10"""
       )(lambda d: segments.retention_opportunities(d.churn))
-query("q27_churn_executive_summary", f"""
+settled_query("q27_churn_executive_summary", f"""
 SELECT count(*) FILTER (WHERE c.retention_segment LIKE 'Critical%') AS critical_count,
  count(*) FILTER (WHERE c.retention_segment LIKE '%Risk%') AS total_at_risk,
  {msum("CASE WHEN c.retention_segment LIKE 'Critical%' AND c.value_tier = 'High Value' THEN s.total_assets_under_management ELSE 0e0 END")} AS assets_at_risk
@@ -264,7 +294,7 @@ SELECT {NOW} AS check_timestamp, 'total_events_30d' AS feature_name, 50e0 AS bas
  abs(m - 50e0) / 50e0 AS drift_score, abs(m - 50e0) / 50e0 > 0.3e0 AS alert_triggered
 FROM (SELECT avg(total_events_30d) AS m FROM store)"""
       )(lambda d: monitoring.baseline_drift_check(d.store, d.now).drop("drift_id"))
-query("q30_deployment_dashboard", f"""
+settled_query("q30_deployment_dashboard", f"""
 SELECT dep.model_name, dep.model_version, dep.deployment_timestamp, lp.total_predictions AS predictions_last_batch,
  lp.avg_prediction_value AS avg_prediction_score, count(CASE WHEN ld.alert_triggered THEN 1 END) AS drift_alerts, {NOW} AS dashboard_updated
 FROM deployments dep CROSS JOIN (SELECT * FROM snapshots ORDER BY prediction_timestamp DESC LIMIT 1) lp
@@ -273,7 +303,7 @@ WHERE dep.status = 'ACTIVE' GROUP BY ALL"""
       )(lambda d: monitoring.deployment_dashboard(
           d.deployments, d.snapshots,
           d.drift_history.withColumn("check_timestamp", F.expr("check_timestamp + INTERVAL '7' DAY")), d.now))
-query("q30_deployment_summary", f"""
+settled_query("q30_deployment_summary", f"""
 SELECT dep.model_name, dep.model_version, dep.status, dep.deployment_timestamp, p.clients_scored, p.avg_score
 FROM deployments dep, (SELECT count(DISTINCT client_id) AS clients_scored, {xavg('probability')} AS avg_score FROM preds) p
 WHERE dep.status = 'ACTIVE'""")(lambda d: monitoring.deployment_summary(d.deployments, d.preds))
@@ -283,17 +313,17 @@ SELECT a AS current_accuracy, (0.5e0 - a) / 0.5e0 AS performance_drop,
   ELSE 'Model performing well. Current accuracy: ' || CAST({rnd('a * 100', 1)} AS VARCHAR) || '%' END AS result
 FROM (SELECT count(*) FILTER (WHERE prediction = actual_conversion) / nullif(count(*), 0) AS a FROM preds)"""
       )(lambda d: monitoring.check_model_performance(d.preds))
-query("q31_system_validation", """
+settled_query("q31_system_validation", """
 SELECT (SELECT count(*) FROM preds) AS total_predictions, (SELECT count(*) FROM segments) AS segmented_clients,
  (SELECT count(*) FROM deployments WHERE status = 'ACTIVE') AS active_models, (SELECT count(*) FROM perf_history) AS performance_records"""
       )(lambda d: monitoring.system_validation(d.preds, d.segments, d.deployments, d.perf_history))
-query("q32_monitored_predictions", "SELECT * FROM monitored")(lambda d: d.monitored)
+settled_query("q32_monitored_predictions", "SELECT * FROM monitored")(lambda d: d.monitored)
 
 _RATES = """avg(CASE WHEN prediction = actual_conversion THEN 1 ELSE 0 END) AS accuracy,
  avg(CASE WHEN prediction = 1 THEN CASE WHEN actual_conversion = 1 THEN 1 ELSE 0 END END) AS precision,
  avg(CASE WHEN actual_conversion = 1 THEN CASE WHEN prediction = 1 THEN 1 ELSE 0 END END) AS recall"""
 CTES["hourly"] = f"SELECT monitor_hour, count(*) AS predictions_count, {_RATES} FROM monitored GROUP BY 1"
-query("q33_performance_by_hour", """
+settled_query("q33_performance_by_hour", """
 SELECT *, 2 * (precision * recall) / nullif(precision + recall, 0e0) AS f1_score FROM hourly"""
       )(lambda d: monitoring.performance_by_hour(d.monitored))
 
@@ -308,7 +338,7 @@ FROM (SELECT avg({c}) AS m, stddev_samp({c}) AS s FROM (SELECT * FROM monitored
     return " UNION ALL ".join(parts)
 
 
-query("q34_window_drift", _ends(1000)
+settled_query("q34_window_drift", _ends(1000)
       )(lambda d: rounded(monitoring.window_drift(d.monitored), 6, "baseline_mean", "current_mean", "drift_score"))
 query("q35_labelled_metrics", """
 SELECT count(*) AS total_predictions, avg(CASE WHEN prediction = actual_conversion THEN 1 ELSE 0 END) AS accuracy,
@@ -354,7 +384,7 @@ SELECT feature_name, {rnd('bm', 6)} AS baseline_mean, {rnd('cm', 6)} AS current_
 FROM ({' UNION ALL '.join(parts)})"""
 
 
-query("q38_sampled_drift", _sampled()
+settled_query("q38_sampled_drift", _sampled()
       )(lambda d: rounded(monitoring.sampled_drift(d.store), 6, "baseline_mean", "current_mean", "drift_score"))
 CTES["daily_rates"] = """
 SELECT date_trunc('day', batch_timestamp) AS prediction_date, avg(conversion_probability) AS avg_prediction,
@@ -369,11 +399,11 @@ SELECT *, lag(positive_rate) OVER (ORDER BY prediction_date) AS prev_positive_ra
 # Impact, dashboards, alerts
 # --------------------------------------------------------------------------
 
-query("q40_conversion_impact", "SELECT * FROM impact_conversion"
+settled_query("q40_conversion_impact", "SELECT * FROM impact_conversion"
       )(lambda d: impact.conversion_impact(d.segments, d.store, d.now))
-query("q41_churn_impact", "SELECT * FROM impact_churn")(lambda d: impact.churn_impact(d.churn, d.store))
-query("q42_business_impact", "SELECT * FROM impact")(lambda d: d.impact.drop("impact_id"))
-query("q43_observability_dashboard", f"""
+settled_query("q41_churn_impact", "SELECT * FROM impact_churn")(lambda d: impact.churn_impact(d.churn, d.store))
+settled_query("q42_business_impact", "SELECT * FROM impact")(lambda d: d.impact.drop("impact_id"))
+settled_query("q43_observability_dashboard", f"""
 SELECT m.model_name, m.model_version, m.avg_accuracy, m.last_evaluated, dr.drifted_features, dr.max_drift_score,
  v.daily_predictions, v.positive_predictions, v.unique_clients, b.total_value, b.avg_roi, b.total_conversions, b.total_churns_prevented,
  CASE WHEN m.avg_accuracy < 0.6e0 THEN 'Critical' WHEN dr.drifted_features > 3 OR dr.max_drift_score > 2 THEN 'Warning' ELSE 'Healthy' END AS model_health_status,
@@ -386,20 +416,20 @@ FROM (SELECT model_name, model_version, max(evaluation_timestamp) AS last_evalua
  (SELECT sum(total_business_value) AS total_value, avg(roi_percentage) AS avg_roi, {big('sum(total_conversions)')} AS total_conversions,
    {big('sum(churns_prevented)')} AS total_churns_prevented FROM impact WHERE evaluation_date >= CAST({back(30)} AS DATE)) b"""
       )(lambda d: monitoring.observability_dashboard(d.perf_history, d.drift_history, d.segments, d.impact, d.now))
-query("q44_alert_rows", f"""
+settled_query("q44_alert_rows", f"""
 SELECT 'Performance' AS type, 'High' AS severity, 'Model accuracy (' || CAST({rnd('a * 100', 2)} AS VARCHAR) || '%) below threshold (65%)' AS message,
  'Consider model retraining' AS action
 FROM (SELECT avg(CASE WHEN prediction = actual_conversion THEN 1 ELSE 0 END) AS a FROM preds WHERE actual_conversion IS NOT NULL) WHERE a < 0.65e0
 UNION ALL SELECT 'Drift', 'Medium', 'High drift detected in ' || feature_name || ' (score: ' || CAST({rnd('drift_score', 2)} AS VARCHAR) || ')',
  'Investigate feature distribution changes' FROM drift_history WHERE drift_score > 0.75e0"""
       )(lambda d: monitoring.alert_rows(monitoring.labelled_metrics(d.preds), d.drift_history, drift_ceiling=0.75))
-query("q44_check_alerts", f"""
+settled_query("q44_check_alerts", f"""
 SELECT CASE WHEN a < 0.65e0 THEN 'ALERT: Model accuracy below threshold - ' || CAST({rnd('a', 4)} AS VARCHAR)
  WHEN w > 2e0 THEN 'ALERT: High feature drift detected - ' || CAST({rnd('w', 4)} AS VARCHAR) ELSE 'All systems normal' END AS alert_status
 FROM (SELECT (SELECT {xavg('metric_value')} FROM perf_history WHERE metric_name = 'ACCURACY' AND evaluation_timestamp >= TIMESTAMP '2024-01-29 00:00:00') AS a,
  (SELECT max(drift_score) FROM drift_history WHERE check_timestamp >= TIMESTAMP '2024-01-29 00:00:00') AS w)"""
       )(lambda d: monitoring.check_alerts(d.perf_history, d.drift_history, AS_OF.replace(month=1, day=30)))
-query("q45_alert_history", """
+settled_query("q45_alert_history", """
 SELECT check_timestamp, feature_name, drift_score, alert_triggered FROM drift_history WHERE alert_triggered
 ORDER BY check_timestamp DESC, feature_name LIMIT 10""")(lambda d: monitoring.alert_history(d.drift_history))
 
@@ -412,7 +442,7 @@ SELECT count(DISTINCT client_id) AS total_clients, count(*) FILTER (WHERE predic
  count(*) FILTER (WHERE business_priority_score > 0.8e0) AS high_priority_clients,
  avg(CASE WHEN prediction = 1 THEN 1 ELSE 0 END) AS conversion_rate FROM preds WHERE actual_conversion IS NOT NULL"""
       )(lambda d: impact.prediction_kpis(d.preds))
-query("q46_churn_kpis", f"""
+settled_query("q46_churn_kpis", f"""
 SELECT count(*) AS at_risk_clients, count(*) FILTER (WHERE value_tier = 'High Value') AS high_value_at_risk,
  {xavg('churn_risk_score', 3)} AS avg_churn_risk FROM churn WHERE churn_risk_score > 0.6e0""")(lambda d: impact.churn_kpis(d.churn))
 query("q46_revenue_by_segment", """
@@ -453,19 +483,25 @@ FROM clients c LEFT JOIN advisors a ON a.advisor_id = c.assigned_advisor_id
 LEFT JOIN (SELECT * FROM store_history QUALIFY feature_timestamp = max(feature_timestamp) OVER (PARTITION BY client_id)) s ON s.client_id = c.client_id
 LEFT JOIN (SELECT * FROM prediction_history QUALIFY prediction_timestamp = max(prediction_timestamp) OVER (PARTITION BY client_id)) p ON p.client_id = c.client_id
 LEFT JOIN marketing_events e ON e.client_id = c.client_id AND e.event_timestamp >= {back(30)} GROUP BY ALL"""
-      )(lambda d: dashboards.client_360(d.clients, d.advisors, d.store_history, d.prediction_history, d.events, d.now))
+      )(lambda d: _client_360(d.settled(with_clients=True)))
+
+
+def _client_360(d: Domain) -> DataFrame:
+    return dashboards.client_360(d.clients, d.advisors, d.store_history, d.prediction_history, d.events, d.now)
+
+
 
-query("q51_table_counts", """
+settled_query("q51_table_counts", """
 SELECT (SELECT count(*) FROM clients) AS clients, (SELECT count(*) FROM deployments) AS deployed_models,
  (SELECT count(*) FROM store) AS feature_records, (SELECT count(*) FROM daily) AS predictions"""
       )(lambda d: dashboards.table_counts(clients=d.clients, deployed_models=d.deployments, feature_records=d.store, predictions=d.daily))
 query("q51_latest_accuracy", """
 SELECT metric_value AS accuracy FROM perf_history ORDER BY evaluation_timestamp DESC LIMIT 1""")(lambda d: dashboards.latest_accuracy(d.perf_history))
-query("q51_open_severe_alerts", """
+settled_query("q51_open_severe_alerts", """
 SELECT count(*) AS count FROM alerts WHERE status = 'open' AND severity IN ('critical', 'high')""")(lambda d: dashboards.open_severe_alerts(d.alerts))
-query("q51_latest_drift", """
+settled_query("q51_latest_drift", """
 SELECT drift_score FROM drift_history ORDER BY check_timestamp DESC, feature_name LIMIT 1""")(lambda d: dashboards.latest_drift(d.drift_history))
-query("q51_performance_series", """
+settled_query("q51_performance_series", """
 SELECT monitor_hour AS evaluation_timestamp, accuracy, 2 * (precision * recall) / nullif(precision + recall, 0e0) AS f1_score FROM hourly"""
       )(lambda d: dashboards.performance_series(
           monitoring.performance_by_hour(d.monitored).withColumnRenamed("monitor_hour", "evaluation_timestamp")))
@@ -477,7 +513,7 @@ SELECT conversion_likelihood, count(*) AS client_count, {rnd(xavg('conversion_pr
       )(lambda d: dashboards.likelihood_distribution(d.daily))
 query("q51_high_likelihood_count", "SELECT count(*) AS count FROM daily WHERE conversion_likelihood = 'High'"
       )(lambda d: dashboards.high_likelihood_count(d.daily))
-query("q52_score_unscored", f"""
+settled_query("q52_score_unscored", f"""
 SELECT d.client_id, d.prediction_timestamp, d.model_name, d.model_version, d.conversion_probability, d.churn_probability, d.recommended_action,
  d.prediction_confidence, d.lifecycle_stage, d.business_priority_score, 'Batch_Process' AS inference_source, d.inference_latency_ms, d.conversion_likelihood
 FROM daily_all d WHERE d.client_id NOT IN (SELECT client_id FROM segments WHERE conversion_probability = 1) ORDER BY client_id LIMIT 100"""
@@ -487,7 +523,7 @@ query("q53_predictions_today", """
 SELECT client_id, conversion_probability, recommended_action FROM daily""")(lambda d: dashboards.predictions_today(d.daily, d.now))
 query("q53_high_value_prospects", "SELECT * FROM prediction_history WHERE conversion_probability > 0.5e0"
       )(lambda d: dashboards.high_value_prospects(d.prediction_history, 0.5))
-query("q53_open_alerts", "SELECT * FROM alerts WHERE status = 'open'")(lambda d: dashboards.open_alerts(d.alerts))
+settled_query("q53_open_alerts", "SELECT * FROM alerts WHERE status = 'open'")(lambda d: dashboards.open_alerts(d.alerts))
 query("q54_target_statistics", f"""
 SELECT {big('sum(conversion_target)')} AS conversion_positives, {big('count(*) - sum(conversion_target)')} AS conversion_negatives,
  {big('sum(churn_target)')} AS churn_positives, {big('count(*) - sum(churn_target)')} AS churn_negatives,
@@ -531,12 +567,12 @@ SELECT p.*, s.days_since_last_activity, s.total_assets_under_management, s.retir
   ELSE 'Standard communication' END AS act,
  CASE WHEN s.days_since_last_activity > 60 THEN 'High' WHEN s.days_since_last_activity > 30 THEN 'Medium' ELSE 'Low' END AS risk
 FROM preds p JOIN store s ON s.client_id = p.client_id WHERE p.client_id IN (SELECT client_id FROM requests)"""
-query("x04_client_intelligence", f"""
+settled_query("x04_client_intelligence", f"""
 SELECT client_id, prediction, text AS prediction_text, {rnd('business_priority_score', 1)} AS priority_score, lifecycle_stage, age_segment,
  days_since_last_activity AS days_inactive, {rnd('total_assets_under_management', 0)} AS total_assets,
  {rnd('retirement_readiness_score * 100', 1)} AS retirement_readiness, years_to_retirement, act AS primary_action, risk AS churn_risk,
  {NOW} AS timestamp FROM lookup""")(lambda d: scoring.client_intelligence(d.requests, d.preds, d.store, d.now).select("intelligence.*"))
-query("x05_client_score_table", f"""
+settled_query("x05_client_score_table", f"""
 SELECT client_id, text AS prediction, business_priority_score AS priority_score,
  CASE WHEN business_priority_score >= 0.8e0 THEN 'High Priority' WHEN business_priority_score >= 0.6e0 THEN 'Medium Priority' ELSE 'Low Priority' END AS priority_tier,
  act AS recommended_action, risk AS churn_risk, {rnd('total_assets_under_management', 0)} AS total_assets FROM lookup"""

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.functions import at, days_back, exact_avg, first_match, floor_day, ratio
 from tidemark.operators import unpivot_doubles
 from tidemark.plans import features, impact, monitoring, scoring, segments
-from tidemark.sources import star
+from tidemark.session import scratch_path
+from tidemark.sources import materialize, star
 
 DRIFTING = ("total_events_30d", "engagement_score_30d", "annual_income")
 
@@ -21,6 +22,18 @@ class Domain:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder, self.now = spark, folder, star.STAR_AS_OF
 
+    def settled(self, with_clients: bool = False) -> Domain:
+        """The same domain with the feature store written once and read back.
+
+        Queries that join the store with tables derived from it would rebuild
+        it for each side; as a table it costs one pass over the events.
+        """
+        other = Domain(self.spark, self.folder)
+        if with_clients:
+            other.__dict__["clients"] = materialize(self.clients, scratch_path(self.spark, "clients"))
+        other.__dict__["store"] = materialize(other.store, scratch_path(self.spark, "feature-store"))
+        return other
+
     def raw(self, table: str) -> DataFrame:
         return star.read_star(self.spark, self.folder, table)
 

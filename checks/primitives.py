@@ -319,9 +319,13 @@ FROM order_spine s ASOF LEFT JOIN touch_features f ON f.client_id = s.client_id
 query("j12_training_dataset", """
 SELECT s.client_id, s.feature_timestamp, s.conversion_target, s.feature_timestamp AS matched_feature_timestamp, s.engagement_score_30d, s.annual_income
 FROM store_history s"""
-      )(lambda d: catalog.training_dataset(
-          d.store_history.select("client_id", "feature_timestamp", "conversion_target"), d.store_history,
-          ["engagement_score_30d", "annual_income"]))
+      )(lambda d: _training_dataset(sources.materialize(d.store_history, scratch_path(d.spark, "store-history"))))
+
+
+def _training_dataset(history: DataFrame) -> DataFrame:
+    spine = history.select("client_id", "feature_timestamp", "conversion_target")
+    return catalog.training_dataset(spine, history, ["engagement_score_30d", "annual_income"])
+
 
 # --------------------------------------------------------------------------
 # Aggregation

@@ -45,6 +45,16 @@ def write_sorted(df: DataFrame, path: str, keys: Sequence[str], partitions: int
     ranged.sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
+def _by_day(df: DataFrame, day_column: str) -> DataFrame:
+    """Group rows of a day for writing.
+
+    A rebalance, not a repartition: adaptive execution splits a day that is
+    too large for one task and merges small ones, so a table written for one
+    day still uses the cluster and a long history does not shatter into files.
+    """
+    return df.hint("rebalance", day_column)
+
+
 def replace_days(df: DataFrame, table: str, day_column: str, location: str | None = None) -> None:
     """Idempotent per-day replace: the days present in ``df`` are swapped whole.
 
@@ -52,6 +62,7 @@ def replace_days(df: DataFrame, table: str, day_column: str, location: str | Non
     delete step to lose data in: new files are moved in when the job commits.
     """
     spark = df.sparkSession
+    df = _by_day(df, day_column)
     if not spark.catalog.tableExists(table):
         writer = df.write.partitionBy(day_column).format("parquet")
         (writer.option("path", location) if location else writer).saveAsTable(table)
@@ -87,9 +98,10 @@ def drop_days_before(spark: SparkSession, table: str, day_column: str, ts: str,
         if kept.isEmpty():
             dropped.append(cutoff.date())
         else:
-            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
-    for day in dropped:
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({day_column} = DATE '{day}')")
+            _by_day(kept, day_column).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
+    if dropped:
+        specs = ", ".join(f"PARTITION ({day_column} = DATE '{day}')" for day in dropped)
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {specs}")
     return dropped
 
 
@@ -108,5 +120,5 @@ def update_days(spark: SparkSession, table: str, day_column: str, condition: Col
     stored = spark.table(table)
     touched = stored.filter(condition).select(day_column).distinct()
     affected = stored.join(touched, stored[day_column].eqNullSafe(touched[day_column]), "left_semi")
-    changed = updated(affected, condition, values)
+    changed = _by_day(updated(affected, condition, values), day_column)
     changed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
