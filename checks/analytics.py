@@ -190,7 +190,7 @@ SELECT count(*) AS total_clients, {xavg('conversion_probability')} AS avg_probab
  count(*) FILTER (WHERE conversion_likelihood = 'Low') AS low_count,
  avg(CASE WHEN actual_conversion = 1 THEN 1e0 ELSE 0e0 END) AS actual_conversion_rate FROM scores"""
       )(lambda d: reports.likelihood_summary(d.scores))
-query("q19_score_spread", f"""
+settled_query("q19_score_spread", f"""
 SELECT count(*) AS total_clients, {xavg('conversion_probability')} AS avg_probability, min(conversion_probability) AS min_probability,
  max(conversion_probability) AS max_probability, {rnd('stddev_samp(conversion_probability)', 8)} AS stddev_probability,
  {rnd('median(conversion_probability)', 8)} AS median_probability FROM scores"""
