@@ -325,7 +325,8 @@ def client_intelligence(requests: DataFrame, preds: DataFrame, store: DataFrame,
         F.col("age_segment"),
         F.col("days_since_last_activity").alias("days_inactive"),
         F.round("total_assets_under_management", 0).alias("total_assets"),
-        F.round(F.col("retirement_readiness_score") * 100, 1).alias("retirement_readiness"),
+        # The score has four digits, so its percentage has two.
+        F.round(F.round(F.col("retirement_readiness_score") * 100, 2), 1).alias("retirement_readiness"),
         F.col("years_to_retirement"),
         _primary_action(high).alias("primary_action"),
         _inactivity_risk().alias("churn_risk"),
