@@ -30,6 +30,17 @@ def test_events_after_the_clock_do_not_exist(spark):
     assert row.total_events_7d == 1 and row.days_since_last_activity == 0
 
 
+def test_events_without_a_time_count_for_life_only(spark):
+    rows = [(f"e{n}", "a", None, "web_visit", "Website", "Mobile", None, None, None) for n in range(2)]
+    frame = events_frame(spark, rows)
+    life = features.client_behaviors(frame, NOW).first()
+    assert (life.total_lifetime_events, life.mobile_usage, life.engagement_span_days) == (2, 2, None)
+    row = features.engagement_features(frame, NOW).first()
+    assert (row.total_events_90d, row.active_days_30d, row.days_since_last_activity) == (0, 0, None)
+    people = clients_frame(spark, [client("a")])
+    assert features.feature_store(frame, people, NOW).first().lifecycle_stage == "Dormant"
+
+
 def test_active_days_count_calendar_dates(spark):
     rows = [event(1), event(2, back=days(0.2)), event(3, back=days(1)), event(4, back=days(30)), event(5, back=days(31))]
     row = features.engagement_features(events_frame(spark, rows), NOW).first()
@@ -169,5 +180,5 @@ def test_one_scan_and_one_exchange_of_the_events(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "events"))
     plan = features.engagement_features(stored, NOW)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
-    assert "PushedFilters: [IsNotNull(event_timestamp), LessThanOrEqual(event_timestamp" in plan
+    assert "PushedFilters: [Or(IsNull(event_timestamp),LessThanOrEqual(event_timestamp" in plan
     assert "device_type" not in plan.split("ReadSchema")[1]

@@ -16,9 +16,13 @@ from tidemark.operators.reshape import attach_row
 
 
 def exact_quantile(df: DataFrame, value: str, q: float, by: Sequence[str] = (),
-                   name: str = "quantile", accuracy: int = 10000) -> DataFrame:
+                   name: str = "quantile", accuracy: int = 10000, few_groups: bool = False) -> DataFrame:
     """``percentile_cont(q)`` of ``value`` per group: (by…, name).
 
+    Pass ``few_groups`` only where the number of groups has a known bound (the
+    days of a time window, say): the brackets, one row per group, are then
+    broadcast and the rows are not shuffled to meet them.
+
     Groups of at most ``10 * accuracy`` rows are ordered whole.  For larger
     ones the bracket spans ``4 / accuracy`` of the ranks, twice the sketch
     error plus the step between rank conventions, so the answer lies inside.
@@ -33,7 +37,10 @@ def exact_quantile(df: DataFrame, value: str, q: float, by: Sequence[str] = (),
         F.when(small, F.lit(float("-inf"))).otherwise(sketch[0]).alias("_low"),
         F.when(small, F.lit(float("inf"))).otherwise(sketch[1]).alias("_high"),
     )
-    placed = known.join(bounds, by) if by else attach_row(known, bounds)
+    if by:
+        placed = known.join(F.broadcast(bounds) if few_groups else bounds, by)
+    else:
+        placed = attach_row(known, bounds)
 
     below = F.col("_v") < F.col("_low")
     inside = F.when(~below, F.col("_v"))

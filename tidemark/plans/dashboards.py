@@ -49,7 +49,9 @@ def latency_by_day(log: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
         F.count_if(F.col("source") == "fallback").alias("fallback_requests"),
         percent(served, F.count("*")).alias("service_success_rate_pct"),
     )
-    p95 = exact_quantile(recent, "response_time_ms", 0.95, ["date"], "p95_response_time_ms")
+    # At most days + 1 dates when the log ends at the clock.
+    bounded = recent.filter(F.col("date") <= F.lit(as_of.date()))
+    p95 = exact_quantile(bounded, "response_time_ms", 0.95, ["date"], "p95_response_time_ms", few_groups=True)
     return totals.join(p95, "date", "left").select(
         "date", "total_requests", "avg_response_time_ms",
         F.round("p95_response_time_ms", 2).alias("p95_response_time_ms"),

@@ -92,7 +92,9 @@ def client_activity(events: DataFrame, as_of: datetime) -> DataFrame:
     day_index = F.datediff(F.to_date(ts), F.lit((as_of - timedelta(days=30)).date()))
     day_bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), day_index)
 
-    return events.filter(ts <= at(as_of)).groupBy("client_id").agg(
+    # An event without a time is in no window but counts towards the lifetime.
+    known = events.filter(ts.isNull() | (ts <= at(as_of)))
+    return known.groupBy("client_id").agg(
         F.count_if(recent[7]).alias("total_events_7d"),
         typed(7, "web_visit").alias("web_visits_7d"),
         typed(7, "email_open").alias("email_opens_7d"),
@@ -361,9 +363,7 @@ def feature_store(events: DataFrame, clients: DataFrame, as_of: datetime | None
     })
     # An event client missing from the client table has no client-side columns.
     guarded = set(BEHAVIORAL_COLUMNS + TARGET_COLUMNS)
-    return full.select(*[
-        F.when(F.col("_known"), F.col(c)).alias(c) if c in guarded else F.col(c) for c in STORE_COLUMNS
-    ])
+    return full.selectExpr(*[f"if(_known, {c}, NULL) AS {c}" if c in guarded else c for c in STORE_COLUMNS])
 
 
 def unify_features(engagement: DataFrame, financial_behavioral: DataFrame, targets: DataFrame) -> DataFrame:
