@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from frames import NOW
 from tidemark import schemas, sources, streaming
-from tidemark.functions import at
+from tidemark.functions import at, wall_clock, wall_instant
 
 
 def lines(path, name, rows):
@@ -138,3 +138,20 @@ def test_daily_rollup_equals_event_counters(spark):
     merged = streaming.engagement_from_days(streaming.daily_rollup(d.events), d.now)
     direct = engagement_features(d.events, d.now).select(*merged.columns)
     assert merged.exceptAll(direct).isEmpty() and direct.exceptAll(merged).isEmpty()
+
+
+def test_windows_keep_the_wall_clock_over_a_clock_change(spark, tmp_path):
+    skipped = datetime(2024, 3, 10, 2, 31, 0, 1)
+    row = {"event_id": "e1", "client_id": "c", "event_timestamp": skipped.isoformat(), "event_type": "login"}
+    lines(tmp_path / "stage", "1.json", [row])
+    target = str(tmp_path / "windows")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        stream = streaming.event_stream(spark, str(tmp_path / "stage"))
+        streaming.live_windows(stream, target, str(tmp_path / "progress")).awaitTermination()
+        got = streaming.latest_versions(spark, target, ["window_start"]).collect()
+        back = spark.createDataFrame([(skipped,)], "t timestamp_ntz").select(wall_clock(wall_instant(F.col("t"))).alias("t")).first().t
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert [(r.window_start, r.events) for r in got] == [(datetime(2024, 3, 10, 2, 30), 1)]
+    assert back == skipped

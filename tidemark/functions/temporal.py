@@ -47,3 +47,20 @@ def floor_hour(ts: Column) -> Column:
     """Start of the timestamp's hour.  ``date_trunc`` would pass through the
     session zone, where an hour can be missing or doubled."""
     return floor_day(ts) + F.make_dt_interval(hours=F.hour(ts))
+
+
+def wall_instant(ts: Column) -> Column:
+    """Instant whose UTC reading is the zone-less ``ts``.
+
+    Watermarks need an instant.  A plain cast would read the session zone and
+    move the hour a clock change skips.
+    """
+    minutes = (F.unix_date(F.to_date(ts)).cast("bigint") * 24 + F.hour(ts)) * 60 + F.minute(ts)
+    seconds = F.extract(F.lit("SECOND"), ts) * 1000000
+    return F.timestamp_micros(minutes * 60000000 + seconds.cast("bigint"))
+
+
+def wall_clock(instant: Column) -> Column:
+    """Zone-less UTC reading of an instant; undoes :func:`wall_instant`."""
+    seconds = (F.unix_micros(instant).cast("decimal(20,0)") / 1000000).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)

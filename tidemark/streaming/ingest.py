@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.functions import wall_instant
 from tidemark.schemas import STREAM_EVENT
 
 LATENESS = "1 day"
@@ -29,7 +30,7 @@ def deduplicated(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
     lateness, so its size follows the lateness, not the stream's age.
     """
     return (
-        events.withColumn("_event_time", F.col("event_timestamp").cast("timestamp"))
+        events.withColumn("_event_time", wall_instant(F.col("event_timestamp")))
         .withWatermark("_event_time", lateness)
         .dropDuplicatesWithinWatermark(["event_id"])
         .drop("_event_time")

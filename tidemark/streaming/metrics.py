@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.functions import floor_hour
+from tidemark.functions import floor_hour, wall_clock, wall_instant
 from tidemark.operators import latest_rows
 from tidemark.streaming.ingest import LATENESS
 
@@ -45,10 +45,10 @@ def live_counts(events: DataFrame, target: str, checkpoint: str, once: bool = Tr
 def live_windows(events: DataFrame, target: str, checkpoint: str, width: str = "10 minutes",
                  lateness: str = LATENESS, once: bool = True, interval: str = "1 minute") -> StreamingQuery:
     """Event count per tumbling window; state ends with the watermark."""
-    timed = events.withColumn("_event_time", F.col("event_timestamp").cast("timestamp"))
+    timed = events.withColumn("_event_time", wall_instant(F.col("event_timestamp")))
     counts = timed.withWatermark("_event_time", lateness).groupBy(F.window("_event_time", width)).agg(
         F.count("*").alias("events")
-    ).select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "events")
+    ).select(wall_clock(F.col("window.start")).alias("window_start"), "events")
     return _log_updates(counts, target, checkpoint, once, interval)
 
 
@@ -86,12 +86,12 @@ def live_hourly_performance(monitored: DataFrame, target: str, checkpoint: str,
     """
     hit = F.col("prediction") == F.col("actual_conversion")
     predicted, actual = F.col("prediction") == 1, F.col("actual_conversion") == 1
-    timed = monitored.withColumn("_event_time", F.col("monitor_timestamp").cast("timestamp"))
+    timed = monitored.withColumn("_event_time", wall_instant(F.col("monitor_timestamp")))
     counts = timed.withWatermark("_event_time", lateness).groupBy(F.window("_event_time", "1 hour")).agg(
         F.count("*").alias("predictions_count"),
         F.count_if(hit).alias("hits"),
         F.count_if(predicted).alias("predicted"),
         F.count_if(actual).alias("actual"),
         F.count_if(predicted & actual).alias("true_positives"),
-    ).withColumn("monitor_hour", F.col("window.start").cast("timestamp_ntz")).drop("window")
+    ).withColumn("monitor_hour", wall_clock(F.col("window.start"))).drop("window")
     return _log_updates(counts, target, checkpoint, once, interval)
