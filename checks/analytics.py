@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from checks.domain import Domain
-from checks.sqltext import AS_OF, CTES, NOW, back, big, days, msum, rnd, sql, uniform, xavg
+from checks.sqltext import AS_OF, CTES, NOW, back, big, msum, rnd, sql, uniform, xavg
 from tidemark.operators import hash_split, metric_rows
 from tidemark.plans import (
     catalog, dashboards, features, impact, monitoring, reports, scoring, segments,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timedelta
+from datetime import datetime
 from functools import reduce
 from operator import and_
 import uuid
@@ -11,10 +11,10 @@ import uuid
 from pyspark.sql import DataFrame, Window, functions as F
 
 from checks.domain import Domain
-from checks.sqltext import AS_OF, CTES, NOW, back, big, days, msum, rnd, sql, uniform, xavg, xsum
+from checks.sqltext import CTES, NOW, back, days, msum, rnd, sql, uniform, xavg, xsum
 from tidemark import sources
 from tidemark.functions import (
-    at, bernoulli, clamp, code_map, days_back, days_between, exact_avg, exact_sum, first_match, flag,
+    at, bernoulli, code_map, days_back, days_between, exact_avg, exact_sum, first_match, flag,
     floor_day, floor_hour, greatest_strict, hash_uniform, least_strict, money_sum, percent, ratio,
     same_day, squash,
 )
