@@ -14,7 +14,6 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # Call-site capture costs several gateway round trips per column expression.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

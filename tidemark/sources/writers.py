@@ -45,6 +45,21 @@ def write_sorted(df: DataFrame, path: str, keys: Sequence[str], partitions: int
     ranged.sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
+def _swap_days(df: DataFrame, table: str) -> None:
+    """Replace exactly the partitions ``df`` has rows for.
+
+    ``insertInto`` takes the overwrite mode from the session, not from write
+    options; under the default (static) mode it would replace the whole table.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
+    before = conf.get(key)
+    conf.set(key, "dynamic")
+    try:
+        df.write.mode("overwrite").insertInto(table)
+    finally:
+        conf.set(key, before)
+
+
 def _by_day(df: DataFrame, day_column: str) -> DataFrame:
     """Group rows of a day for writing.
 
@@ -68,7 +83,7 @@ def replace_days(df: DataFrame, table: str, day_column: str, location: str | Non
         (writer.option("path", location) if location else writer).saveAsTable(table)
         return
     ordered = df.select(*spark.table(table).columns)
-    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
+    _swap_days(ordered, table)
 
 
 def retained(df: DataFrame, ts: str, as_of: datetime, days: int = 30) -> DataFrame:
@@ -98,7 +113,7 @@ def drop_days_before(spark: SparkSession, table: str, day_column: str, ts: str,
         if kept.isEmpty():
             dropped.append(cutoff.date())
         else:
-            _by_day(kept, day_column).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
+            _swap_days(_by_day(kept, day_column), table)
     if dropped:
         specs = ", ".join(f"PARTITION ({day_column} = DATE '{day}')" for day in dropped)
         spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {specs}")
@@ -121,4 +136,4 @@ def update_days(spark: SparkSession, table: str, day_column: str, condition: Col
     touched = stored.filter(condition).select(day_column).distinct()
     affected = stored.join(touched, stored[day_column].eqNullSafe(touched[day_column]), "left_semi")
     changed = _by_day(updated(affected, condition, values), day_column)
-    changed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
+    _swap_days(changed, table)
