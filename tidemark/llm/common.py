@@ -57,3 +57,10 @@ def slots(spark: SparkSession) -> int:
 
 def join_path(*parts: str) -> str:
     return os.path.join(*parts)
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, salt_from: str, salts: int = 16) -> DataFrame:
+    """Left join where one key may hold a third of ``big``: the key's rows spread over ``salts`` tasks."""
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [key, "_salt"], "left").drop("_salt")

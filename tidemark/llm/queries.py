@@ -4,17 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, quality_rules
+from tidemark.llm import htmltext, mixing, quality_rules, topk, warc
 from tidemark.llm.common import table
 
 
+def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return htmltext.extract(table(spark, folder, "pages"))
+
+
+def op2_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"))
+
+
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive(table(spark, folder, "pages"))
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op9_quality_rules)}
-ORACLE = {"op3_mixing": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_exact_top_k, op3_mixing, op6_warc, op9_quality_rules)}
+ORACLE = {"op2_exact_top_k": topk.ORACLE, "op3_mixing": mixing.ORACLE, "op6_warc": warc.ORACLE}
