@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import htmltext, mixing, quality_rules, topk, warc
+from tidemark.llm import htmltext, mixing, quality_classifier, quality_rules, secrets, topk, warc
 from tidemark.llm.common import table
 
 
@@ -24,9 +24,18 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive(table(spark, folder, "pages"))
 
 
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_exact_top_k, op3_mixing, op6_warc, op9_quality_rules)}
+def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_html_extraction, op2_exact_top_k, op3_mixing, op6_warc, op7_quality_classifier, op9_quality_rules, op10_secret_scans)}
 ORACLE = {"op2_exact_top_k": topk.ORACLE, "op3_mixing": mixing.ORACLE, "op6_warc": warc.ORACLE}
