@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import htmltext, mixing, packing, quality_classifier, quality_rules, secrets, topk, warc
+from tidemark.llm import htmltext, mixing, ngram_join, packing, quality_classifier, quality_rules, secrets, topk, warc
 from tidemark.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, folder, "documents"))
+
+
 def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive(table(spark, folder, "pages"))
 
@@ -41,5 +45,6 @@ def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_html_extraction, op2_exact_top_k, op3_mixing, op4_best_fit_packing, op6_warc, op7_quality_classifier, op9_quality_rules, op10_secret_scans)}
-ORACLE = {"op2_exact_top_k": topk.ORACLE, "op3_mixing": mixing.ORACLE, "op6_warc": warc.ORACLE}
+    op1_html_extraction, op2_exact_top_k, op3_mixing, op4_best_fit_packing, op5_ngram_jaccard_join, op6_warc, op7_quality_classifier, op9_quality_rules, op10_secret_scans)}
+ORACLE = {"op2_exact_top_k": topk.ORACLE, "op3_mixing": mixing.ORACLE, "op5_ngram_jaccard_join": ngram_join.ORACLE,
+          "op6_warc": warc.ORACLE}
