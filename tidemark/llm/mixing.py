@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import word_count, written
+from tidemark.llm.common import word_count, words, written
 
 #: Source weights by rank, the share of all sizes to draw, and the cap on repeats.
 WEIGHTS = (3, 1, 2)
@@ -58,7 +58,7 @@ def _ranked(totals: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, digits: int = 3) -> DataFrame:
-    """How many words of each document the mix takes: ``doc_id, size, source_size, target, taken``.
+    """How many words of each document the mix takes: ``doc_id, size, source_size, target, taken, source``.
 
     Every document gets the random key md5(doc_id).  Within a source, documents stand in key order; the first
     ``digits`` hexadecimal digits of the key cut that order into equal ranges, totals of the ranges are summed up
@@ -69,23 +69,51 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     NULL text has size 0; NULL source is a source of its own, last in order; a NULL id gets the key of "null"; rows
     of equal id and size are interchangeable; an empty table gives an empty result.
     """
-    sized = docs.select(
-        "doc_id", "source", word_count(F.col("text")).alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("key")).withColumn("range", F.substring("key", 1, digits))
-    sized = written(sized, "mix-sizes")
-    targets = source_targets(sized, weights, share, cap)
-    ranges = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranges.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("range_start"))
-    starts = starts.join(targets.withColumnRenamed("source", "t"), F.col("s").eqNullSafe(F.col("t")))
-    order = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size")
-    placed = sized.withColumn("inside", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
-    budget = F.floor("target")
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0)
-    left = budget - epochs * F.col("source_size") - F.col("range_start") - F.col("inside")
-    taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(left, F.col("size")))
-    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
+    sized = written(_sized(docs, digits).select("doc_id", "source", "_size", "_key", "_range"), "mix-sizes")
+    return _taken(sized, sized, weights, share, cap).select(
+        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"), "source")
+
+
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, digits: int = 3) -> DataFrame:
+    """The documents of the mix with all their columns: a row for each time a document is taken, none if it is not.
+
+    A document taken in part keeps its first words, joined by single spaces, and ``n_chars``, where there is one, is
+    counted anew.  Documents without words are never taken.
+    """
+    sized = _sized(docs, digits)
+    narrow = written(sized.select("source", "_size", "_range"), "mix-sizes")
+    taken = _taken(sized, narrow, weights, share, cap).filter(F.col("_taken") > 0)
+    whole, part = F.floor(F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
+    copies = F.concat(F.array_repeat(F.lit(0), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
+    rows = taken.withColumn("_part", F.explode(copies))
+    cut = F.when(F.col("_part") > 0, F.array_join(F.slice(words(F.col("text")), F.lit(1), F.greatest(F.col("_part"), F.lit(1))), " "))
+    rows = rows.withColumn("text", F.coalesce(cut, F.col("text")))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        rows = rows.withColumn("n_chars", F.when(F.col("_part") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return rows.select(*docs.columns)
+
+
+def _sized(docs: DataFrame, digits: int) -> DataFrame:
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    return docs.withColumns({"_size": word_count(F.col("text")), "_key": key, "_range": F.substring(key, 1, digits)})
+
+
+def _taken(rows: DataFrame, narrow: DataFrame, weights, share: float, cap: int) -> DataFrame:
+    """``rows`` with ``_source_size, _target, _taken``; ``narrow`` has their sources, sizes and ranges, written."""
+    targets = source_targets(narrow.select("source", F.col("_size").alias("size")), weights, share, cap)
+    ranges = narrow.groupBy("source", "_range").agg(F.sum("_size").alias("size"))
+    before = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("_start"))
+    starts = starts.join(targets.select(F.col("source").alias("_t"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target")),
+                         F.col("_s").eqNullSafe(F.col("_t")))
+    order = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_inside", F.coalesce(F.sum("_size").over(order), F.lit(0)))
+    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
+    budget = F.floor("_target")
+    epochs = F.when(F.col("_source_size") > 0, F.floor(budget / F.greatest(F.col("_source_size"), F.lit(1)))).otherwise(0)
+    left = budget - epochs * F.col("_source_size") - F.col("_start") - F.col("_inside")
+    return placed.withColumn("_taken", (epochs * F.col("_size") + F.greatest(F.lit(0), F.least(left, F.col("_size")))).cast("long"))
 
 
 ORACLE = """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import htmltext, mixing, ngram_join, packing, quality_classifier, quality_rules, secrets, topk, warc
+from tidemark.llm import htmltext, lm_scoring, mixing, ngram_join, packing, quality_classifier, quality_rules, secrets, topk, warc
 from tidemark.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scoring.score(table(spark, folder, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, folder, "documents"))
 
@@ -45,6 +49,7 @@ def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_html_extraction, op2_exact_top_k, op3_mixing, op4_best_fit_packing, op5_ngram_jaccard_join, op6_warc, op7_quality_classifier, op9_quality_rules, op10_secret_scans)}
+    op1_html_extraction, op2_exact_top_k, op3_mixing, op4_best_fit_packing, op5_ngram_jaccard_join, op6_warc,
+    op7_quality_classifier, op8_lm_scoring, op9_quality_rules, op10_secret_scans)}
 ORACLE = {"op2_exact_top_k": topk.ORACLE, "op3_mixing": mixing.ORACLE, "op5_ngram_jaccard_join": ngram_join.ORACLE,
           "op6_warc": warc.ORACLE}
