@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -269,8 +270,7 @@ def score(docs: DataFrame) -> DataFrame:
         scores = Scores(table, weights, shares, rest)
         logs = {w: math.log10(c + 1) for w, c in head.items()}
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):  # a few documents at a time
-                part = batch.slice(at, 200)
+            for part in _parts(batch):
                 found = [tokens(x.as_py()) for x in part.column(1)]
                 numbered = []
                 for ws in found:
@@ -305,6 +305,16 @@ def score(docs: DataFrame) -> DataFrame:
         F.when(F.col("bytes") > 0, -F.col("score") * math.log2(10) / F.col("bytes")).alias("bits_per_byte"))
 
 
+def _parts(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most about ``most`` bytes of text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 _NAMES = ["doc_id", "fold", "row", "n_tokens", "known", "base", "score", "bytes", "word", "times"]
 
 

@@ -69,7 +69,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     NULL text has size 0; NULL source is a source of its own, last in order; a NULL id gets the key of "null"; rows
     of equal id and size are interchangeable; an empty table gives an empty result.
     """
-    sized = written(_sized(docs, digits).select("doc_id", "source", "_size", "_key", "_range"), "mix-sizes")
+    sized = written(_sized(docs.select("doc_id", "source", "text"), digits).select("doc_id", "source", "_size", "_key", "_range"), "mix-sizes")
     return _taken(sized, sized, weights, share, cap).select(
         "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"), "source")
 
@@ -80,7 +80,7 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     A document taken in part keeps its first words, joined by single spaces, and ``n_chars``, where there is one, is
     counted anew.  Documents without words are never taken.
     """
-    sized = _sized(docs, digits)
+    sized = _sized(docs.select(F.struct("*").alias("_row"), "doc_id", "source", "text"), digits)
     narrow = written(sized.select("source", "_size", "_range"), "mix-sizes")
     taken = _taken(sized, narrow, weights, share, cap).filter(F.col("_taken") > 0)
     whole, part = F.floor(F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
@@ -88,10 +88,10 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     rows = taken.withColumn("_part", F.explode(copies))
     cut = F.when(F.col("_part") > 0, F.array_join(F.slice(words(F.col("text")), F.lit(1), F.greatest(F.col("_part"), F.lit(1))), " "))
     rows = rows.withColumn("text", F.coalesce(cut, F.col("text")))
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        rows = rows.withColumn("n_chars", F.when(F.col("_part") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    kept = {c: F.col("_row").getField(c) for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in kept:
+        kept["n_chars"] = F.when(F.col("_part") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(kept["n_chars"])
+    return rows.select(*(value.alias(c) for c, value in kept.items()))
 
 
 def _sized(docs: DataFrame, digits: int) -> DataFrame:

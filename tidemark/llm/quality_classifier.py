@@ -153,5 +153,6 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE, cut: float = CUT) -> DataFrame:
     """The documents that ``classify`` keeps, with all their columns."""
     _, weights, sites, mean = _judged(docs, labels, host, path, sample)
-    rows = with_features(docs).withColumn("_evidence", evidence("_quality", weights))
-    return _decided(rows, sites, mean, host, path, cut).filter("_keep").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), F.col(host).alias("_host"), F.col(path).alias("_path"), "text")
+    rows = with_features(rows).withColumn("_evidence", evidence("_quality", weights))
+    return _decided(rows, sites, mean, "_host", "_path", cut).filter("_keep").select("_row.*")
