@@ -28,8 +28,10 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+
 #: What a text must hold before the patterns above are tried on it.
 HINTS = (r"(?i)(password|passwd|secret|token|api_?key)", r"AKIA", r"[0-9a-f]{16}")
 
-SAMPLE, ALPHA, QUANTILE, UNSEEN = 1000, 0.05, 0.01, 1e-3
+SAMPLE, ALPHA, QUANTILE, SPREAD, UNSEEN = 1000, 0.05, 0.01, 0.75, 1e-3
 CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/_.=-")
+#: How ordinary tokens spend their characters on the classes, and the bits a character by which a format must do better.
+ORDINARY, MARGIN = (0.08, 0.20, 0.64, 0.015, 0.035, 0.03), 1.0
 CLASS_OF = {c: i for i, group in enumerate(CLASSES) for c in group}
 
 
@@ -57,13 +59,23 @@ class Automaton:
             at = nxt
         return (total + math.log2(max(self.ends[at] / self.counts[at], UNSEEN))) / (len(value) + 1)
 
+    def accepts(self, value: str) -> bool:
+        score = self.score(value)
+        return score >= self.floor and score - ordinary(value) >= MARGIN
+
+
+def ordinary(value: str) -> float:
+    """Mean log2 likelihood of a character of an ordinary token."""
+    return sum(math.log2(ORDINARY[CLASS_OF[c]] / len(CLASSES[CLASS_OF[c]])) for c in value) / len(value)
+
 
 def infer(values: list[str], alpha: float = ALPHA, quantile: float = QUANTILE) -> Automaton:
     """Merge compatible states of the prefix tree of ``values``, in order of length.
 
     Two states are compatible if the shares of their ends and of each step differ by less than the Hoeffding bound at
     ``alpha``, and so do the states they step to.  Merging folds the later state's subtree into the earlier one.  The
-    automaton's floor is the ``quantile`` of the scores of its own values.
+    automaton's floor is the ``quantile`` of the scores of its own values, but not more than SPREAD below their median,
+    as some of what the patterns find is no credential.
     """
     counts, ends = [0], [0]
     kids: list[dict[int, list[int]]] = [{}]  # class -> [count, state]
@@ -136,7 +148,7 @@ def infer(values: list[str], alpha: float = ALPHA, quantile: float = QUANTILE) -
     made = Automaton([counts[s] for s in kept], [ends[s] for s in kept],
                      [{c: (n, place[y]) for c, (n, y) in kids[s].items() if y in place} for s in kept])
     scores = sorted(made.score(v) for v in values)
-    made.floor = scores[int(quantile * (len(scores) - 1))]
+    made.floor = max(scores[int(quantile * (len(scores) - 1))], scores[len(scores) // 2] - SPREAD)
     return made
 
 
@@ -164,11 +176,12 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> list[Automaton]:
 
 
 def learned_spans(text: str, base: list, automata: list[Automaton]) -> list[tuple[int, int, str, str]]:
-    """Candidates that touch no base span and reach the floor of an automaton."""
+    """Candidates that touch no base span and that an automaton accepts: as likely there as its own values are, and clearly
+    likelier than as an ordinary token."""
     out = []
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if not any(x[0] < b and a < x[1] for x in base) and any(g.score(m[0]) >= g.floor for g in automata):
+        if not any(x[0] < b and a < x[1] for x in base) and any(g.accepts(m[0]) for g in automata):
             out.append((a, b, LEARNED, m[0]))
     return out
 
