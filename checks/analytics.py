@@ -578,11 +578,10 @@ SELECT client_id, text AS prediction, business_priority_score AS priority_score,
  act AS recommended_action, risk AS churn_risk, {rnd('total_assets_under_management', 0)} AS total_assets FROM lookup"""
       )(lambda d: scoring.client_score_table(d.requests, d.preds, d.store))
 query("x06_fallback_simple", """
-SELECT client_id, CASE WHEN engagement_score_30d IS NULL THEN 0.5e0 WHEN engagement_score_30d > 0.5e0 AND annual_income IS NULL THEN 0.5e0
-  WHEN engagement_score_30d > 0.5e0 AND annual_income > 75000 THEN 0.7e0 ELSE 0.3e0 END AS conversion_probability,
- CASE WHEN engagement_score_30d IS NULL THEN 0.6e0 ELSE 0.8e0 END AS confidence,
- CASE WHEN engagement_score_30d IS NULL THEN 'Contact_Advisor' WHEN engagement_score_30d > 0.5e0 AND annual_income > 75000 THEN 'Schedule_Consultation' ELSE 'Educational_Content' END AS next_action,
- CASE WHEN engagement_score_30d IS NULL THEN 10e0 ELSE 50e0 END AS response_time_ms
+SELECT client_id, CASE WHEN coalesce(engagement_score_30d, 0) > 0.5e0 AND coalesce(annual_income, 0) > 75000 THEN 0.7e0 ELSE 0.3e0 END AS conversion_probability,
+ 0.8e0 AS confidence,
+ CASE WHEN coalesce(engagement_score_30d, 0) > 0.5e0 AND coalesce(annual_income, 0) > 75000 THEN 'Schedule_Consultation' ELSE 'Educational_Content' END AS next_action,
+ 50e0 AS response_time_ms
 FROM (SELECT c.client_id, c.annual_income, e.engagement_score_30d FROM clients c LEFT JOIN engagement e ON e.client_id = c.client_id)"""
       )(lambda d: features.lifecycle_segments(d.clients, d.engagement).select(
           "client_id", scoring.fallback_simple(F.col("engagement_score_30d"), F.col("annual_income")).alias("s")

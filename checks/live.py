@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from checks.domain import Domain
-from checks.primitives import _STAGED, stage_events, write_staged
-from checks.sqltext import back, sql
+from checks.primitives import _STAGED, spoilt_lines, stage_events, write_staged
+from checks.sqltext import back, sql, uniform
 from tidemark import streaming
 from tidemark.functions import days_back, ratio
 from tidemark.plans import monitoring, scoring, training
 from tidemark.session import cut_lineage, scratch_path
+from tidemark.sources import materialize
 
 QUERIES: dict[str, Callable[[Domain], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,7 +32,7 @@ def query(name: str, check: str | None = None):
 
 
 def _stream(d: Domain) -> DataFrame:
-    return streaming.event_stream(d.spark, stage_events(d), files_per_trigger=2)
+    return streaming.event_stream(d.spark, stage_events(d))
 
 
 def _paths(d: Domain, label: str) -> tuple[str, str]:
@@ -45,13 +46,26 @@ def _ingest(d: Domain) -> DataFrame:
     return d.spark.read.parquet(target).select(*_STAGED)
 
 
+@query("t01_stream_quarantine", """
+SELECT CAST('accepted' AS VARCHAR) AS kind, event_id AS text, client_id FROM staged
+UNION ALL SELECT 'accepted', NULL, client_id FROM staged WHERE event_id LIKE '%11'
+UNION ALL SELECT 'rejected', '{"event_id": "' || event_id, NULL FROM staged WHERE event_id LIKE '%0'""")
+def _stream_quarantine(d: Domain) -> DataFrame:
+    path, (target, progress), (other, marks) = spoilt_lines(d), _paths(d, "ingest"), _paths(d, "rejected")
+    streaming.ingest_events(streaming.event_stream(d.spark, path), target, progress).awaitTermination()
+    streaming.ingest_events(streaming.rejected_stream(d.spark, path), other, marks).awaitTermination()
+    good = d.spark.read.parquet(target).select(F.lit("accepted").alias("kind"), F.col("event_id").alias("text"), "client_id")
+    bad = d.spark.read.parquet(other).select(F.lit("rejected").alias("kind"), F.col("line").alias("text"), F.lit(None).cast("string").alias("client_id"))
+    return good.unionByName(bad)
+
+
 @query("t02_stream_dedup", "SELECT * FROM staged")
 def _dedup(d: Domain) -> DataFrame:
     """Every event staged twice; each id is kept once."""
     target, progress = _paths(d, "dedup")
     path = stage_events(d)
-    write_staged(d.events, path, 2)
-    stream = streaming.event_stream(d.spark, path, files_per_trigger=2)
+    write_staged(d.events, path)
+    stream = streaming.event_stream(d.spark, path)
     streaming.ingest_events(streaming.deduplicated(stream, ANY_AGE), target, progress).awaitTermination()
     return d.spark.read.parquet(target).select(*_STAGED)
 
@@ -78,15 +92,16 @@ query("t04_recent_events", f"SELECT event_id, event_type, event_timestamp FROM m
 def _prediction_stream(d: Domain) -> DataFrame:
     path = scratch_path(d.spark, "prediction-log")
     d.pred_log.select("client_id", "prediction", "probability", "actual_conversion",
-                      F.col("prediction_timestamp").alias("monitor_timestamp")).repartition(4).write.parquet(path)
+                      F.col("prediction_timestamp").alias("monitor_timestamp")).write.parquet(path)
     schema = d.spark.read.parquet(path).schema
-    return d.spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(path)
+    return d.spark.readStream.schema(schema).parquet(path)
 
 
 @query("t05_self_refreshing_monitor", "SELECT * FROM monitored")
 def _refresh(d: Domain) -> DataFrame:
     target, progress = _paths(d, "monitored")
-    enriched = streaming.monitored_stream(_prediction_stream(d), d.store, monitoring.MONITORED_FEATURES)
+    store = materialize(d.store, scratch_path(d.spark, "feature-store"))  # one pass over the events, not one a micro-batch
+    enriched = streaming.monitored_stream(_prediction_stream(d), store, monitoring.MONITORED_FEATURES)
     streaming.refresh_monitored(enriched, target, progress).awaitTermination()
     return d.spark.read.parquet(target).select(*d.monitored.columns)
 
@@ -114,7 +129,7 @@ def _rollup(d: Domain) -> DataFrame:
 
 
 # --------------------------------------------------------------------------
-# Training (rows-only checks: tree ensembles have no SQL form)
+# Training (tree ensembles have no SQL form: what SQL can state is the rows, the labels and the scores' range and rule)
 # --------------------------------------------------------------------------
 
 query("m01_labelled_frame", """
@@ -138,29 +153,41 @@ SELECT client_id, CASE tenure_segment WHEN 'New' THEN 1 WHEN 'Growing' THEN 2 WH
 
 
 def _train(d: Domain, classifier) -> DataFrame:
-    frame = training.ordinal_encoded(training.complete_rows(training.labelled_frame(d.store)))
-    train, test = training.split(cut_lineage(frame))
-    return training.predict(training.fit(train, classifier), test)
+    train, test = training.split(cut_lineage(training.ordinal_encoded(training.labelled_frame(d.store))))
+    return _stated(training.predict(training.fit(train, classifier), test))
+
+
+def _stated(scored: DataFrame) -> DataFrame:
+    p = F.col("probability")
+    return scored.select("client_id", "actual_conversion", F.coalesce(p.between(0, 1), F.lit(False)).alias("in_range"),
+                         F.coalesce(F.col("prediction") == (p > 0.5).cast("double"), F.lit(False)).alias("follows_score"))
 
 
-query("m06_boosted_trees")(lambda d: _train(d, training.boosted_trees("conversion_target", trees=5, depth=3)))
-query("m07_random_forest")(lambda d: _train(d, training.random_forest("conversion_target", trees=10, depth=5)))
+_TEST_ROWS = f"""
+SELECT client_id, conversion_target AS actual_conversion, TRUE AS in_range, TRUE AS follows_score FROM store
+WHERE conversion_target IS NOT NULL AND churn_target IS NOT NULL AND next_best_action IS NOT NULL AND {uniform('client_id', '42')} < 0.2e0"""
+query("m06_boosted_trees", _TEST_ROWS)(lambda d: _train(d, training.boosted_trees("conversion_target")))
+query("m07_random_forest", _TEST_ROWS)(lambda d: _train(d, training.random_forest("conversion_target")))
 query("m09_classification_metrics", """
 SELECT count(*) FILTER (WHERE prediction = actual_conversion) / nullif(count(*), 0) AS accuracy,
  coalesce(count(*) FILTER (WHERE prediction = 1 AND actual_conversion = 1) / nullif(count(*) FILTER (WHERE prediction = 1), 0), 0e0) AS precision,
  coalesce(count(*) FILTER (WHERE prediction = 1 AND actual_conversion = 1) / nullif(count(*) FILTER (WHERE actual_conversion = 1), 0), 0e0) AS recall,
- count(*) AS rows FROM preds""")(lambda d: training.classification_metrics(d.preds).drop("f1"))
+ count(*) AS rows,
+ coalesce(2 * (count(*) FILTER (WHERE prediction = 1 AND actual_conversion = 1) / nullif(count(*) FILTER (WHERE prediction = 1), 0))
+  * (count(*) FILTER (WHERE prediction = 1 AND actual_conversion = 1) / nullif(count(*) FILTER (WHERE actual_conversion = 1), 0))
+  / nullif(count(*) FILTER (WHERE prediction = 1 AND actual_conversion = 1) / nullif(count(*) FILTER (WHERE prediction = 1), 0)
+   + count(*) FILTER (WHERE prediction = 1 AND actual_conversion = 1) / nullif(count(*) FILTER (WHERE actual_conversion = 1), 0), 0e0), 0e0) AS f1
+FROM preds""")(lambda d: training.classification_metrics(d.preds))
 
 
-@query("m11_registry_inference")
+@query("m11_registry_inference", """
+SELECT client_id, conversion_target AS actual_conversion, TRUE AS in_range, TRUE AS follows_score FROM store""")
 def _registry(d: Domain) -> DataFrame:
     root = scratch_path(d.spark, "registry")
-    small = {"BoostedTrees": training.boosted_trees("conversion_target", trees=3, depth=2),
-             "RandomForest": training.random_forest("conversion_target", trees=5, depth=3)}
-    best = training.train_champion(d.store, candidates=small)
+    best = training.train_champion(d.store)
     training.register_model(best.model, root, "CONVERSION_PREDICTOR", "V1", best.name, best.metrics,
                             {"target": "conversion"}, d.now)
-    return training.registry_predictions(d.spark, root, "CONVERSION_PREDICTOR", d.store)
+    return _stated(training.registry_predictions(d.spark, root, "CONVERSION_PREDICTOR", d.store))
 
 
 @query("m13_model_comparison", """

@@ -53,15 +53,15 @@ _STAGED = ("event_id", "client_id", "event_timestamp", "event_type", "event_cate
            "touchpoint_value", "conversion_flag", "time_on_page", "device_type")
 
 
-def stage_events(d: Domain, files: int = 4) -> str:
+def stage_events(d: Domain) -> str:
     """Marketing events as JSON-lines files in the shared folder."""
     path = scratch_path(d.spark, "staged-events")
-    write_staged(d.events, path, files)
+    write_staged(d.events, path)
     return path
 
 
-def write_staged(events: DataFrame, path: str, files: int) -> None:
-    writer = events.select(*_STAGED).repartition(files).write.mode("append")
+def write_staged(events: DataFrame, path: str) -> None:
+    writer = events.select(*_STAGED).write.mode("append")
     writer.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
 
 
@@ -83,6 +83,26 @@ def _ingest(d: Domain) -> DataFrame:
     return d.spark.read.parquet(target).select(*_STAGED)
 
 
+def spoilt_lines(d: Domain) -> str:
+    """Staged events, an event without an id, and for each tenth event a line that does not parse."""
+    path = stage_events(d)
+    d.events.filter(F.substring("event_id", -1, 1) == "0").select(F.concat(F.lit('{"event_id": "'), "event_id").alias("value")).write.mode("append").text(path)
+    write_staged(d.events.filter(F.substring("event_id", -2, 2) == "11").withColumn("event_id", F.lit(None).cast("string")), path)
+    return path
+
+
+@query("s02_json_quarantine", """
+SELECT CAST('accepted' AS VARCHAR) AS kind, event_id AS text, client_id FROM staged
+UNION ALL SELECT 'accepted', NULL, client_id FROM staged WHERE event_id LIKE '%11'
+UNION ALL SELECT 'rejected', '{"event_id": "' || event_id, NULL FROM staged WHERE event_id LIKE '%0'""")
+def _quarantine(d: Domain) -> DataFrame:
+    target = scratch_path(d.spark, "event-table")
+    sources.ingest_event_files(d.spark, spoilt_lines(d), target)
+    good = d.spark.read.parquet(target).select(F.lit("accepted").alias("kind"), F.col("event_id").alias("text"), "client_id")
+    bad = d.spark.read.parquet(f"{target}_rejected").select(F.lit("rejected").alias("kind"), F.col("line").alias("text"), F.lit(None).cast("string").alias("client_id"))
+    return good.unionByName(bad)
+
+
 @query("s05_literal_rows_join", """
 SELECT c.client_id, v.service_tier, v.weight FROM clients c
 JOIN (VALUES ('Basic', 1), ('Premium', 2), ('Elite', 3)) v(service_tier, weight) ON v.service_tier = c.service_tier""")
@@ -295,7 +315,7 @@ SELECT s.client_id, s.engagement_score_30d, t.conversion_target FROM store s JOI
       )(lambda d: d.store.select("client_id", "engagement_score_30d").join(d.targets.select("client_id", "conversion_target"), "client_id"))
 
 CTES["order_spine"] = """
-SELECT o_orderkey AS spine_id, 'client_' || lpad(CAST(o_custkey % 150 AS VARCHAR), 8, '0') AS client_id,
+SELECT o_orderkey AS spine_id, 'client_' || lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS client_id,
  TIMESTAMP '2023-06-01 00:00:00' + INTERVAL '10' MINUTE * (o_orderkey % 36000) AS moment FROM orders"""
 CTES["touch_features"] = """
 SELECT client_id, event_timestamp AS moment, max(event_id) AS last_event_id FROM marketing_events GROUP BY 1, 2"""
@@ -306,7 +326,7 @@ def _order_spine(d: Domain) -> DataFrame:
     step = F.make_dt_interval(mins=(key % 36000 * 10).cast("int"))
     return d.raw("orders").select(
         key.alias("spine_id"),
-        F.concat(F.lit("client_"), F.lpad((F.col("o_custkey") % 150).cast("string"), 8, "0")).alias("client_id"),
+        F.concat(F.lit("client_"), F.lpad(F.col("o_custkey").cast("string"), 8, "0")).alias("client_id"),
         (at(datetime(2023, 6, 1)) + step).alias("moment"))
 
 
@@ -317,13 +337,15 @@ FROM order_spine s ASOF LEFT JOIN touch_features f ON f.client_id = s.client_id
           "client_id", F.col("event_timestamp").alias("moment"), F.col("event_id").alias("last_event_id")),
           "client_id", "moment", "moment", ["last_event_id"]))
 query("j12_training_dataset", """
-SELECT s.client_id, s.feature_timestamp, s.conversion_target, s.feature_timestamp AS matched_feature_timestamp, s.engagement_score_30d, s.annual_income
-FROM store_history s"""
+SELECT s.client_id, s.feature_timestamp, s.conversion_target, f.feature_timestamp AS matched_feature_timestamp, f.engagement_score_30d, f.annual_income
+FROM (SELECT client_id, feature_timestamp - INTERVAL '10' DAY AS feature_timestamp, conversion_target FROM store_history) s
+ASOF LEFT JOIN store_history f ON f.client_id = s.client_id AND f.feature_timestamp <= s.feature_timestamp"""
       )(lambda d: _training_dataset(sources.materialize(d.store_history, scratch_path(d.spark, "store-history"))))
 
 
 def _training_dataset(history: DataFrame) -> DataFrame:
-    spine = history.select("client_id", "feature_timestamp", "conversion_target")
+    moment = F.col("feature_timestamp") - F.expr("INTERVAL '10' DAY")
+    spine = history.select("client_id", moment.alias("feature_timestamp"), "conversion_target")
     return catalog.training_dataset(spine, history, ["engagement_score_30d", "annual_income"])
 
 

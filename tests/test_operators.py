@@ -136,6 +136,22 @@ def test_exact_quantile_against_numpy(spark, q):
     assert whole == pytest.approx(float(np.quantile(np.concatenate(list(groups.values())), q)), abs=1e-12)
 
 
+def test_exact_quantile_of_null_groups_and_a_wrong_bracket(spark, monkeypatch):
+    values = [float(v) for v in range(1, 2001)]
+    frame = spark.createDataFrame([(None if v % 2 else "even", v) for v in values] + [("none", None)], "g string, v double")
+    got = dict(exact_quantile(frame, "v", 0.3, ["g"], "x").collect())
+    assert got == {None: pytest.approx(float(np.quantile(values[0::2], 0.3))), "even": pytest.approx(float(np.quantile(values[1::2], 0.3)))}
+    # The rank is found even where the sketch names a bracket without it.
+    monkeypatch.setattr(F, "percentile_approx", lambda *_: F.array(F.min("_v") + 700.0, F.min("_v") + 710.0))
+    assert exact_quantile(frame, "v", 0.3, name="x").first().x == pytest.approx(float(np.quantile(values, 0.3)))
+    assert exact_quantile(frame, "v", 0.9, name="x").first().x == pytest.approx(float(np.quantile(values, 0.9)))
+
+
+def test_sums_beyond_64_bits(spark):
+    frame = spark.range(2000).select(F.lit(9e14).alias("x"))
+    assert frame.agg(exact_sum(F.col("x"), 4), exact_avg(F.col("x"), 4)).first()[:] == (1.8e18, 9e14)
+
+
 def test_small_shapes(spark):
     frame = spark.createDataFrame([(1, 2.0), (3, 4.0), (5, None)], "a int, b double")
     assert dict(metric_rows(frame, {"rows": F.count("*"), "known": F.count("b")}).collect()) == {"rows": 3, "known": 2}

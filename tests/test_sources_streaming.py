@@ -1,6 +1,7 @@
 import json
 from datetime import date, datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from frames import NOW
@@ -25,8 +26,13 @@ def test_json_files_ignore_unknown_keys_and_malformed_lines(spark, tmp_path):
     assert {r.event_timestamp.microsecond for r in good.collect()} == {0, 999999}
     kept = sources.event_files(spark, str(tmp_path / "in"), quarantine=True)
     assert [r[sources.readers.CORRUPT] for r in kept.filter("event_id IS NULL").collect()] == ["{not json"]
-    sources.ingest_event_files(spark, str(tmp_path / "in"), str(tmp_path / "table"))
-    assert spark.read.parquet(str(tmp_path / "table")).count() == 2
+    lines(tmp_path / "in", "b.json", ["", {"client_id": "no id"}, "[1]", "{}"])
+    assert sources.ingest_event_files(spark, str(tmp_path / "in"), str(tmp_path / "table")) >= 1
+    table, bad = (spark.read.parquet(str(tmp_path / x)) for x in ("table", "table_rejected"))
+    assert {r.event_id for r in table.collect()} == {"e1", "e2", None} and not table.filter("client_id = 'no id'").isEmpty()
+    assert "{not json" in {r.line for r in bad.collect()}
+    streaming.ingest_events(streaming.event_stream(spark, str(tmp_path / "in")), str(tmp_path / "live"), str(tmp_path / "p")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "live")).exceptAll(table).isEmpty() and spark.read.parquet(str(tmp_path / "live")).count() == table.count()
 
 
 def test_conform_fills_defaults_but_keeps_nulls(spark):
@@ -53,6 +59,23 @@ def test_replace_days_swaps_only_given_days(spark, tmp_path):
     assert sorted((r.id, r.status) for r in spark.table("t_replace").collect()) == [(0, "new"), (2, "open"), (3, "open")]
 
 
+def test_replace_days_empties_a_named_day(spark, tmp_path):
+    frame = day_table(spark, tmp_path, "t_empty")
+    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    sources.replace_days(frame.filter("id = 3"), "t_empty", "day", days=[date(2024, 5, 1), date(2024, 5, 3)])
+    assert sorted(r.id for r in spark.table("t_empty").collect()) == [2, 3]
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == mode
+
+
+def test_daily_rows_end_at_the_clock(spark):
+    rows = [("a", datetime(2024, 6, 1, 23), "login"), ("a", datetime(2024, 6, 3, 1), "login"), ("b", datetime(2024, 6, 4), "login")]
+    daily = streaming.daily_rollup(spark.createDataFrame(rows, "client_id string, event_timestamp timestamp_ntz, event_type string"))
+    got = streaming.engagement_from_days(daily, datetime(2024, 6, 3)).collect()
+    assert [(r.client_id, r.total_events_7d, r.last_activity_timestamp) for r in got] == [("a", 1, datetime(2024, 6, 1, 23))]
+    with pytest.raises(ValueError):
+        streaming.engagement_from_days(daily, datetime(2024, 6, 3, 12))
+
+
 def test_retention_drops_days_and_trims_the_boundary(spark, tmp_path):
     day_table(spark, tmp_path, "t_keep")
     dropped = sources.drop_days_before(spark, "t_keep", "day", "ts", datetime(2024, 6, 1, 9), days=30)

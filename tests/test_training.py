@@ -43,7 +43,11 @@ def test_champion_registry_and_inference(spark, store, tmp_path):
     training.set_tags(root, "M", "V1", {"latest_accuracy": "0.7"}, NOW.replace(hour=13))
     row = training.registered(spark, root, "M").first()
     assert row.tags == {"target": "conversion", "latest_accuracy": "0.7"} and row.metrics["f1"] == pytest.approx(best.metrics["f1"])
-    scored = training.registry_predictions(spark, root, "M", store)
+    training.register_model(best.model, root, "M", "V2", best.name, best.metrics, {}, NOW.replace(hour=14))
+    training.set_tags(root, "M", "V1", {"late": "yes"}, NOW.replace(hour=15))
+    assert training.registered(spark, root, "M").first().model_version == "V2"
+    assert training.registered(spark, root, "M", "V1").first().tags["late"] == "yes"
+    scored = training.registry_predictions(spark, root, "M", store.withColumn("annual_income", F.when(F.col("annual_income") % 2 == 0, F.col("annual_income"))))
     assert scored.count() == store.count()
     assert scored.filter(~F.col("probability").between(0, 1)).isEmpty()
     assert 0 <= training.area_under_roc(scored) <= 1

@@ -1,60 +1,65 @@
 """Exact interpolated quantiles without holding a group in memory.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one
-aggregation buffer.  Here a quantile sketch first brackets the answer (its
-rank error is bounded), the rows inside the bracket are counted per value by
-an ordinary distributed aggregate, and only those few counts are ordered.
+aggregation buffer.  Here a quantile sketch guesses a bracket, a histogram of
+fixed size finds the cell that really holds the wanted rank, and only the
+distinct values of that cell are ordered.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.operators.reshape import attach_row
 
+CELLS = 4096
+
+
+def _meet(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """Adds the columns of the one row per group; NULL is a group."""
+    if not by:
+        return attach_row(rows, groups)
+    named = groups.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])
+    return rows.join(named, same).drop(*[f"_by_{c}" for c in by])
+
 
 def exact_quantile(df: DataFrame, value: str, q: float, by: Sequence[str] = (),
-                   name: str = "quantile", accuracy: int = 10000, few_groups: bool = False) -> DataFrame:
+                   name: str = "quantile", accuracy: int = 10000) -> DataFrame:
     """``percentile_cont(q)`` of ``value`` per group: (by…, name).
 
-    Pass ``few_groups`` only where the number of groups has a known bound (the
-    days of a time window, say): the brackets, one row per group, are then
-    broadcast and the rows are not shuffled to meet them.
-
-    Groups of at most ``10 * accuracy`` rows are ordered whole.  For larger
-    ones the bracket spans ``4 / accuracy`` of the ranks, twice the sketch
-    error plus the step between rank conventions, so the answer lies inside.
+    One path for every size.  The sketch's bracket spans ``4 / accuracy`` of the
+    ranks and is cut into ``CELLS`` equal cells, with one more on either side, so
+    all rows are counted: if the sketch were wrong, the rank would be found in
+    an outer cell and the answer would still be exact.  The window over the
+    cells has at most ``CELLS + 2`` rows per group, and what is ordered at last
+    is about one cell in the bracket, 1e-7 of the rows at the default accuracy.
     """
     by = list(by)
     known = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     low, high = max(0.0, q - 2.0 / accuracy), min(1.0, q + 2.0 / accuracy)
     sketch = F.percentile_approx("_v", [low, high], accuracy)
-    small = F.count("*") <= 10 * accuracy
-    bounds = known.groupBy(*by).agg(
-        F.count("*").alias("_n"),
-        F.when(small, F.lit(float("-inf"))).otherwise(sketch[0]).alias("_low"),
-        F.when(small, F.lit(float("inf"))).otherwise(sketch[1]).alias("_high"),
-    )
-    if by:
-        placed = known.join(F.broadcast(bounds) if few_groups else bounds, by)
-    else:
-        placed = attach_row(known, bounds)
+    bounds = known.groupBy(*by).agg(F.count("*").alias("_n"), sketch[0].alias("_low"), sketch[1].alias("_high"))
+    placed = _meet(known, bounds, by).withColumn("_cell", _cell(F.col("_v"), F.col("_low"), F.col("_high")))
 
-    below = F.col("_v") < F.col("_low")
-    inside = F.when(~below, F.col("_v"))
-    counted = (
-        placed.filter(F.col("_v") <= F.col("_high"))
-        .groupBy(*by, "_n", inside.alias("_v")).agg(F.count("*").alias("_rows"))
-    )
-    # NULL marks the rows below the bracket; it sorts first.
     order = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    running = order.orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_upto", F.sum("_rows").over(running))
-
     position = F.lit(q) * (F.col("_n") - 1)
     holds = lambda index: (F.col("_upto") > index) & (F.col("_upto") - F.col("_rows") <= index)
+    running = lambda c: F.sum("_rows").over(order.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
+
+    cells = placed.groupBy(*by, "_n", "_cell").agg(F.count("*").alias("_rows")).withColumn("_upto", running("_cell"))
+    first, last = holds(F.floor(position)), holds(F.ceil(position))
+    wanted = cells.groupBy(*by).agg(
+        F.max(F.when(first, F.col("_cell"))).alias("_a"), F.max(F.when(last, F.col("_cell"))).alias("_b"),
+        F.max(F.when(first, F.col("_upto") - F.col("_rows"))).alias("_before"))
+    # No row lies between the two cells, so the counts go on from the first to the second.
+    inside = _meet(placed.select(*by, "_v", "_n", "_cell"), wanted, by).filter((F.col("_cell") == F.col("_a")) | (F.col("_cell") == F.col("_b")))
+    counted = inside.groupBy(*by, "_n", "_before", "_v").agg(F.count("*").alias("_rows"))
+    ranked = counted.withColumn("_upto", F.col("_before") + running("_v"))
     picked = ranked.groupBy(*by).agg(
         F.max(F.when(holds(F.floor(position)), F.col("_v"))).alias("_lower"),
         F.max(F.when(holds(F.ceil(position)), F.col("_v"))).alias("_upper"),
@@ -63,3 +68,10 @@ def exact_quantile(df: DataFrame, value: str, q: float, by: Sequence[str] = (),
     return picked.select(
         *by, (F.col("_lower") + (F.col("_upper") - F.col("_lower")) * F.col("_part")).alias(name)
     )
+
+
+def _cell(v: Column, low: Column, high: Column) -> Column:
+    """1 to CELLS inside the bracket, 0 below, CELLS + 1 above; grows with ``v``."""
+    share = (v - low) / F.nullif(high - low, F.lit(0.0))
+    return F.when(v < low, 0).when(v > high, CELLS + 1).otherwise(
+        F.least(F.floor(F.coalesce(share, F.lit(0.0)) * CELLS), F.lit(CELLS - 1)) + 1).cast("int")

@@ -137,19 +137,12 @@ def batch_rule(engagement: Column, income: Column, balance: Column, age: Column,
 
 
 def fallback_simple(engagement: Column, income: Column) -> Column:
-    """Two-level stand-in for the online scorer, with an error row.
-
-    The error row stands for inputs the comparison cannot read: no engagement,
-    or a passing engagement without income.
-    """
-    failed = engagement.isNull() | ((engagement > 0.5) & income.isNull())
-    likely = (engagement > 0.5) & (income > 75000)
+    """Two-level stand-in for the online scorer; a missing input counts as 0."""
+    likely = (F.coalesce(engagement, F.lit(0)) > 0.5) & (F.coalesce(income, F.lit(0)) > 75000)
     return F.struct(
-        first_match([(failed, 0.5), (likely, 0.7)], 0.3).alias("conversion_probability"),
-        F.when(failed, 0.6).otherwise(0.8).alias("confidence"),
-        first_match([(failed, "Contact_Advisor"), (likely, "Schedule_Consultation")],
-                    "Educational_Content").alias("next_action"),
-        F.when(failed, 10.0).otherwise(50.0).alias("response_time_ms"),
+        F.when(likely, 0.7).otherwise(0.3).alias("conversion_probability"), F.lit(0.8).alias("confidence"),
+        F.when(likely, "Schedule_Consultation").otherwise("Educational_Content").alias("next_action"),
+        F.lit(50.0).alias("response_time_ms"),
     )
 
 
@@ -244,7 +237,7 @@ def run_daily_scoring(store: DataFrame, table: str, as_of: datetime, model: str
     """Score and replace the day's partition; safe to repeat.  Returns rows scored."""
     day = as_of.date()
     scored = daily_scores(store, as_of, model).withColumn("prediction_date", F.lit(day))
-    replace_days(scored, table, "prediction_date", location)
+    replace_days(scored, table, "prediction_date", location, [day])
     return scored.sparkSession.table(table).filter(F.col("prediction_date") == F.lit(day)).count()
 
 

@@ -20,6 +20,7 @@ from tidemark.plans.scoring import CATEGORICAL_FEATURES, EMITTED_LABELS, NUMERIC
 from tidemark.session import cut_lineage
 
 TARGETS = ("conversion_target", "churn_target", "next_best_action")
+MISSING = "missing_inputs"
 ENCODED = tuple(f"{c}_encoded" for c in CATEGORICAL_FEATURES)
 
 
@@ -67,20 +68,27 @@ def random_forest(label: str, trees: int = 100, depth: int = 10, seed: int = 42)
                                   maxDepth=depth, seed=seed)
 
 
+def _filled(frame: DataFrame, inputs: Sequence[str]) -> DataFrame:
+    known = [F.col(c).cast("double") for c in inputs]
+    missing = sum((F.when(v.isNull() | F.isnan(v), 1).otherwise(0) for v in known), F.lit(0))
+    return frame.withColumns({MISSING: missing, **{c: F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0)) for c, v in zip(inputs, known)}})
+
+
 def fit(train: DataFrame, classifier, inputs: Sequence[str] = NUMERIC_FEATURES + ENCODED) -> PipelineModel:
     """Assemble and fit.  Trees read the data once per level, so the frame is
     checkpointed: the feature plan runs once and survives lost executors.
-    Rows with a missing input are left out."""
+    A missing input counts as 0, and how many a row misses is an input too, so
+    only rows without a label are left out."""
     label = classifier.getLabelCol()
-    ready = train.select("client_id", label, *inputs).dropna()
-    assembler = VectorAssembler(inputCols=list(inputs), outputCol="features")
+    ready = _filled(train.select("client_id", label, *inputs).dropna(subset=[label]), inputs)
+    assembler = VectorAssembler(inputCols=[*inputs, MISSING], outputCol="features")
     return Pipeline(stages=[assembler, classifier]).fit(cut_lineage(ready))
 
 
 def predict(model: PipelineModel, frame: DataFrame, label: str = "conversion_target") -> DataFrame:
-    """(client_id, label, prediction, probability of class 1)."""
-    inputs = model.stages[0].getInputCols()
-    scored = model.transform(frame.dropna(subset=list(inputs)))
+    """(client_id, label, prediction, probability of class 1) of every row."""
+    inputs = [c for c in model.stages[0].getInputCols() if c != MISSING]
+    scored = model.transform(_filled(frame, inputs))
     return scored.select(
         "client_id", F.col(label).alias("actual_conversion"), "prediction",
         vector_to_array("probability")[1].alias("probability"))
@@ -116,7 +124,7 @@ def train_champion(store: DataFrame, label: str = "conversion_target", trees: in
                    candidates: Mapping[str, object] | None = None) -> Champion:
     """Train boosted trees and a random forest; the better F1 wins, boosted
     trees on a tie."""
-    frame = cut_lineage(ordinal_encoded(complete_rows(labelled_frame(store))))
+    frame = cut_lineage(ordinal_encoded(labelled_frame(store)))
     train, test = split(frame)
     candidates = candidates or {
         "BoostedTrees": boosted_trees(label, trees), "RandomForest": random_forest(label, trees),
@@ -136,7 +144,8 @@ def train_champion(store: DataFrame, label: str = "conversion_target", trees: in
 
 REGISTRY_SCHEMA = (
     "model_name string, model_version string, model_type string, path string, "
-    "metrics map<string,double>, tags map<string,string>, registered_timestamp timestamp_ntz"
+    "metrics map<string,double>, tags map<string,string>, registered_timestamp timestamp_ntz, "
+    "row_timestamp timestamp_ntz"
 )
 
 
@@ -151,15 +160,15 @@ def register_model(model: PipelineModel, root: str, name: str, version: str, mod
     path = os.path.join(root, "models", name, version)
     model.save(path)
     row = (name, version, model_type, path, {k: float(v) for k, v in metrics.items() if v is not None},
-           dict(tags), as_of)
+           dict(tags), as_of, as_of)
     spark.createDataFrame([row], REGISTRY_SCHEMA).write.mode("append").parquet(os.path.join(root, "registry"))
     return path
 
 
 def set_tags(root: str, name: str, version: str, tags: Mapping[str, str], as_of: datetime) -> None:
-    """Add tags by appending a newer registry row that carries them."""
+    """Add tags by appending a newer row of the same registration that carries them."""
     current = registered(SparkSession.active(), root, name, version).first()
-    row = current.asDict() | {"tags": {**(current["tags"] or {}), **tags}, "registered_timestamp": as_of}
+    row = current.asDict() | {"tags": {**(current["tags"] or {}), **tags}, "row_timestamp": as_of}
     spark = SparkSession.active()
     spark.createDataFrame([tuple(row[c] for c in current.__fields__)], REGISTRY_SCHEMA).write.mode(
         "append").parquet(os.path.join(root, "registry"))
@@ -170,7 +179,8 @@ def registered(spark: SparkSession, root: str, name: str, version: str = "LAST")
     rows = _registry(spark, root).filter(F.col("model_name") == name)
     if version != "LAST":
         rows = rows.filter(F.col("model_version") == version)
-    return top_rows(rows, [F.col("registered_timestamp").desc(), F.col("model_version").desc()], 1)
+    order = ("registered_timestamp", "model_version", "row_timestamp")
+    return top_rows(rows, [F.col(c).desc() for c in order], 1)
 
 
 def load_model(spark: SparkSession, root: str, name: str, version: str = "LAST") -> PipelineModel:
@@ -184,7 +194,7 @@ def registry_predictions(spark: SparkSession, root: str, name: str, store: DataF
                          version: str = "LAST", label: str = "conversion_target") -> DataFrame:
     """Batch inference by registered name and version, keyed by client.
 
-    Every client is returned; one with a missing model input has no score.
+    Every client is returned and scored.
     """
     model = load_model(spark, root, name, version)
     context = store.select("client_id", "lifecycle_stage", "age_segment", "business_priority_score",

@@ -38,13 +38,17 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    ``spark.checkpoint.dir`` decides.  Only where it is unset (tests on one
-    machine) a temporary folder is made and remembered in the session.
+    ``spark.checkpoint.dir`` decides.  Only on one machine, where it is unset, a
+    temporary folder is made and remembered in the session; on a cluster
+    executors would each write to a disk of their own, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("tidemark.scratch", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("tidemark.scratch", root)
     return root

@@ -1,5 +1,5 @@
 from tidemark.sources.readers import (
-    as_view, csv_client_ids, event_files, ingest_event_files, literal_rows, scan,
+    as_view, csv_client_ids, event_files, ingest_event_files, literal_rows, rejected_event_lines, scan,
     table_columns, table_exists,
 )
 from tidemark.sources.writers import (
@@ -10,6 +10,6 @@ from tidemark.sources.writers import (
 __all__ = [
     "append_absent", "append_rows", "as_view", "copy_table", "csv_client_ids",
     "drop_days_before", "event_files", "ingest_event_files", "literal_rows", "materialize",
-    "replace_days", "retained", "scan", "table_columns", "table_exists", "updated",
+    "rejected_event_lines", "replace_days", "retained", "scan", "table_columns", "table_exists", "updated",
     "update_days", "write_sorted",
 ]

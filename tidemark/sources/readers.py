@@ -21,24 +21,49 @@ def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: T.StructTyp
     return spark.createDataFrame(rows, schema)
 
 
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """JSON lines (column ``value``) as events, with the line itself in ``_corrupt_record`` where it does not parse.
+
+    No inference pass; unknown keys are ignored and blank lines skipped.  Works
+    on batch and streaming frames, so both keep and reject the same lines.
+    """
+    schema = T.StructType(STREAM_EVENT.fields + [T.StructField(CORRUPT, T.StringType(), True)])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    return lines.filter(F.trim("value") != "").select(F.from_json("value", schema, options).alias("e")).select("e.*")
+
+
+def accepted(parsed: DataFrame) -> DataFrame:
+    return parsed.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
+def rejected(parsed: DataFrame) -> DataFrame:
+    return parsed.filter(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"))
+
+
 def event_files(spark: SparkSession, path: str, quarantine: bool = False) -> DataFrame:
-    """Staged JSON-lines events under the declared schema, no inference pass.
+    """Staged JSON-lines events under the declared schema.
 
-    With ``quarantine`` the unparsable line is kept in ``_corrupt_record``;
-    otherwise malformed lines are dropped.
+    With ``quarantine`` lines that do not parse are rows too, the line in
+    ``_corrupt_record``; otherwise see :func:`rejected_event_lines` for them.
     """
-    if quarantine:
-        schema = T.StructType(STREAM_EVENT.fields + [T.StructField(CORRUPT, T.StringType(), True)])
-        return (
-            spark.read.schema(schema).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", CORRUPT).json(path)
-        )
-    return spark.read.schema(STREAM_EVENT).option("mode", "DROPMALFORMED").json(path)
+    parsed = parsed_lines(spark.read.text(path))
+    return parsed if quarantine else accepted(parsed)
+
 
+def rejected_event_lines(spark: SparkSession, path: str) -> DataFrame:
+    return rejected(parsed_lines(spark.read.text(path)))
 
-def ingest_event_files(spark: SparkSession, source: str, target: str) -> None:
-    """Batch copy of staged JSON files into a Parquet event table (append)."""
+
+def ingest_event_files(spark: SparkSession, source: str, target: str, quarantine: str | None = None) -> int:
+    """Batch copy of staged JSON files into a Parquet event table (append).
+
+    Lines that do not parse go to a table beside it, ``<target>_rejected`` by
+    default; returns how many there were in this call.
+    """
     event_files(spark, source).write.mode("append").parquet(target)
+    bad = rejected_event_lines(spark, source)
+    bad.write.mode("append").parquet(quarantine or f"{target.rstrip('/')}_rejected")
+    return bad.count()
 
 
 def csv_client_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -45,19 +45,24 @@ def write_sorted(df: DataFrame, path: str, keys: Sequence[str], partitions: int
     ranged.sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
-def _swap_days(df: DataFrame, table: str) -> None:
+def _swap_days(df: DataFrame, table: str, day_column: str) -> None:
     """Replace exactly the partitions ``df`` has rows for.
 
-    ``insertInto`` takes the overwrite mode from the session, not from write
-    options; under the default (static) mode it would replace the whole table.
+    The mode is an option of this one write, so writers in other threads of
+    the session are not touched.  New files are moved in when the job commits;
+    then the catalog learns of new days.
     """
-    conf, key = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
-    before = conf.get(key)
-    conf.set(key, "dynamic")
-    try:
-        df.write.mode("overwrite").insertInto(table)
-    finally:
-        conf.set(key, before)
+    spark = df.sparkSession
+    place = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").filter("col_name = 'Location'").first()["data_type"]
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day_column).parquet(place)
+    spark.sql(f"MSCK REPAIR TABLE {table}")
+    spark.catalog.refreshTable(table)
+
+
+def _drop_days(spark: SparkSession, table: str, day_column: str, days: Sequence[date]) -> None:
+    if days:
+        specs = ", ".join(f"PARTITION ({day_column} = DATE '{day}')" for day in days)
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {specs}")
 
 
 def _by_day(df: DataFrame, day_column: str) -> DataFrame:
@@ -70,20 +75,27 @@ def _by_day(df: DataFrame, day_column: str) -> DataFrame:
     return df.hint("rebalance", day_column)
 
 
-def replace_days(df: DataFrame, table: str, day_column: str, location: str | None = None) -> None:
+def replace_days(df: DataFrame, table: str, day_column: str, location: str | None = None,
+                 days: Sequence[date] = ()) -> None:
     """Idempotent per-day replace: the days present in ``df`` are swapped whole.
 
-    Creates the table on first use, at ``location`` if given.  There is no
-    delete step to lose data in: new files are moved in when the job commits.
+    Days named in ``days`` are replaced even where ``df`` has no row for them:
+    they end up empty.  Creates the table on first use, at ``location`` if
+    given.  Nothing is deleted before the new files are in place.
     """
     spark = df.sparkSession
+    emptied = []
+    if days:
+        present = {r[0] for r in df.select(day_column).filter(F.col(day_column).isin(list(days))).distinct().collect()}
+        emptied = sorted(set(days) - present)
     df = _by_day(df, day_column)
     if not spark.catalog.tableExists(table):
         writer = df.write.partitionBy(day_column).format("parquet")
         (writer.option("path", location) if location else writer).saveAsTable(table)
         return
     ordered = df.select(*spark.table(table).columns)
-    _swap_days(ordered, table)
+    _swap_days(ordered, table, day_column)
+    _drop_days(spark, table, day_column, emptied)
 
 
 def retained(df: DataFrame, ts: str, as_of: datetime, days: int = 30) -> DataFrame:
@@ -113,10 +125,8 @@ def drop_days_before(spark: SparkSession, table: str, day_column: str, ts: str,
         if kept.isEmpty():
             dropped.append(cutoff.date())
         else:
-            _swap_days(_by_day(kept, day_column), table)
-    if dropped:
-        specs = ", ".join(f"PARTITION ({day_column} = DATE '{day}')" for day in dropped)
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {specs}")
+            _swap_days(_by_day(kept, day_column), table, day_column)
+    _drop_days(spark, table, day_column, dropped)
     return dropped
 
 
@@ -136,4 +146,4 @@ def update_days(spark: SparkSession, table: str, day_column: str, condition: Col
     touched = stored.filter(condition).select(day_column).distinct()
     affected = stored.join(touched, stored[day_column].eqNullSafe(touched[day_column]), "left_semi")
     changed = _by_day(updated(affected, condition, values), day_column)
-    _swap_days(changed, table)
+    _swap_days(changed, table, day_column)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions import wall_instant
-from tidemark.schemas import STREAM_EVENT
+from tidemark.sources.readers import accepted, parsed_lines, rejected
 
 LATENESS = "1 day"
 
@@ -14,27 +14,39 @@ LATENESS = "1 day"
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """Stream of staged JSON-lines events under the declared schema.
 
-    Unknown keys are ignored.  A line that does not parse becomes an all-NULL
-    row, which the ``event_id`` filter removes.
+    Keeps what the batch form keeps, rows without an id included.  Lines that
+    do not parse are the rows of :func:`rejected_stream`.
     """
-    reader = spark.readStream.schema(STREAM_EVENT).option("mode", "PERMISSIVE")
+    return accepted(parsed_lines(_lines(spark, path, files_per_trigger)))
+
+
+def rejected_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """Stream of the lines that do not parse, to be written to a table beside the events."""
+    return rejected(parsed_lines(_lines(spark, path, files_per_trigger)))
+
+
+def _lines(spark: SparkSession, path: str, files_per_trigger: int | None) -> DataFrame:
+    reader = spark.readStream
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.json(path).filter(F.col("event_id").isNotNull())
+    return reader.text(path)
 
 
 def deduplicated(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """First arrival of each event id.
 
     State is dropped once the watermark passes an event's time plus the
-    lateness, so its size follows the lateness, not the stream's age.
+    lateness, so its size follows the lateness, not the stream's age.  Events
+    without an id are all kept.
     """
-    return (
-        events.withColumn("_event_time", wall_instant(F.col("event_timestamp")))
+    first = (
+        events.filter(F.col("event_id").isNotNull())
+        .withColumn("_event_time", wall_instant(F.col("event_timestamp")))
         .withWatermark("_event_time", lateness)
         .dropDuplicatesWithinWatermark(["event_id"])
         .drop("_event_time")
     )
+    return first.unionByName(events.filter(F.col("event_id").isNull()))
 
 
 def ingest_events(events: DataFrame, target: str, checkpoint: str, once: bool = True,

@@ -47,12 +47,16 @@ def merge_days(spark: SparkSession, target: str) -> DataFrame:
 
 
 def engagement_from_days(days: DataFrame, as_of: datetime) -> DataFrame:
-    """Trailing counters per client from daily rows (day-aligned windows).
+    """Trailing counters per client from daily rows.
 
-    Equal to the event-level counters when ``as_of`` is midnight, since then
-    every window starts on a day boundary.
+    The clock must be a midnight, else a ValueError: only then every window
+    starts on a day boundary and the counters equal those of the events.  The
+    day that begins at the clock does not count, nor do later ones.
     """
+    if (as_of.hour, as_of.minute, as_of.second, as_of.microsecond) != (0, 0, 0, 0):
+        raise ValueError("daily rows cannot tell which events of the edge day lie inside a clock off midnight")
     day = F.col("activity_date")
+    days = days.filter(day < F.lit(as_of.date()))
 
     def trailing(name: str, n: int) -> Column:
         return F.sum(F.when(day >= days_back(as_of, days=n).cast("date"), F.col(name)).otherwise(0))
