@@ -89,7 +89,7 @@ def test_ordinal_labels_are_a_parameter(spark):
     frame = spark.createDataFrame([("At Risk",), ("At_Risk",), ("New",), (None,)], "lifecycle_stage string")
     emitted = [r.c for r in frame.select(scoring.ordinal("lifecycle_stage", scoring.EMITTED_LABELS["lifecycle_stage"]).alias("c")).collect()]
     declared = [r.c for r in frame.select(scoring.ordinal("lifecycle_stage", scoring.DECLARED_LABELS["lifecycle_stage"]).alias("c")).collect()]
-    assert emitted == [0, 4, 1, 0] and declared == [5, 0, 1, 0]
+    assert emitted == [4, 4, 1, 0] and declared == [5, 5, 1, 0]
 
 
 def test_thirty_inputs():

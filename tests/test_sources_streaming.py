@@ -41,7 +41,8 @@ def test_conform_fills_defaults_but_keeps_nulls(spark):
     assert row.event_timestamp == NOW and row.conversion_flag is None
     row = schemas.conform(frame.drop("conversion_flag"), "marketing_events", at(NOW)).first()
     assert row.conversion_flag is False
-    log = schemas.conform(spark.range(3).select(F.lit("f").alias("feature_name")), "data_drift_monitoring", at(NOW))
+    log = schemas.conform(spark.range(3).select(F.concat(F.lit("f"), "id").alias("feature_name")), "data_drift_monitoring", at(NOW))
+    assert sorted(r.drift_id for r in log.collect()) == sorted(r.drift_id for r in log.repartition(3).collect())
     assert log.select("drift_id").distinct().count() == 3 and log.first().check_timestamp is None
     assert log.schema == schemas.DATA_DRIFT_MONITORING or [f.name for f in log.schema] == [f.name for f in schemas.DATA_DRIFT_MONITORING]
 

@@ -48,7 +48,9 @@ MODEL_NAME = "CONVERSION_PREDICTOR"
 # --------------------------------------------------------------------------
 
 def ordinal(column: str, labels: Sequence[str]) -> Column:
-    return first_match([(F.col(column) == label, i) for i, label in enumerate(labels, 1)], 0)
+    """Place of the label, 0 for others; ``At_Risk`` and ``At Risk`` are one."""
+    spaced = F.replace(F.col(column), F.lit("_"), F.lit(" "))
+    return first_match([(spaced == label.replace("_", " "), i) for i, label in enumerate(labels, 1)], 0)
 
 
 def feature_array(labels: Mapping[str, Sequence[str]] = EMITTED_LABELS) -> Column:

@@ -74,8 +74,8 @@ def _filled(frame: DataFrame, inputs: Sequence[str]) -> DataFrame:
     return frame.withColumns({MISSING: missing, **{c: F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0)) for c, v in zip(inputs, known)}})
 
 
-def fit(train: DataFrame, classifier, inputs: Sequence[str] = NUMERIC_FEATURES + ENCODED) -> PipelineModel:
-    """Assemble and fit.  Trees read the data once per level, so the frame is
+def fit(train: DataFrame, classifier, inputs: Sequence[str] = NUMERIC_FEATURES) -> PipelineModel:
+    """Assemble and fit, on the 27 numeric inputs by default.  Trees read the data once per level, so the frame is
     checkpointed: the feature plan runs once and survives lost executors.
     A missing input counts as 0, and how many a row misses is an input too, so
     only rows without a label are left out."""

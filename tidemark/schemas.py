@@ -1,6 +1,7 @@
 """Table schemas and default-filling projections.
 
 Column order follows the declared tables.  Times are zone-less timestamps.
+The column names, their order and their types below are fixed values.
 """
 
 from __future__ import annotations
@@ -173,7 +174,8 @@ TABLES: dict[str, T.StructType] = {
 }
 
 # Columns that get a value when the writer leaves them out.  Ids default to a
-# UUID, since a distributed writer has no shared counter.
+# hash of the table, the row and the clock: a retried task and a second action
+# on one frame give a row the same id, and rows that are equal share it.
 _NOW_COLUMNS = {
     "created_date", "event_timestamp", "prediction_timestamp", "timestamp",
     "created_on", "comparison_timestamp",
@@ -185,9 +187,9 @@ _ID_COLUMNS = {
 _CONSTANTS = {"conversion_flag": False, "status": "ACTIVE", "schema_version": "1.0"}
 
 
-def _default(table: str, field: T.StructField, now: Column) -> Column:
+def _default(table: str, field: T.StructField, now: Column, row: Column) -> Column:
     if field.name in _ID_COLUMNS:
-        return F.uuid()
+        return F.md5(F.concat_ws("|", F.lit(f"{table}.{field.name}"), now.cast("string"), F.to_json(row)))
     if field.name in _NOW_COLUMNS:
         return now
     if field.name in ("deployed_by", "owner"):
@@ -210,7 +212,8 @@ def conform(df: DataFrame, table: str, as_of: Column | None = None) -> DataFrame
     schema = TABLES[table]
     now = as_of if as_of is not None else F.localtimestamp()
     present = {name.lower() for name in df.columns}
+    row = F.struct("*")
     return df.select(*[
-        (F.col(f.name) if f.name in present else _default(table, f, now)).cast(f.dataType).alias(f.name)
+        (F.col(f.name) if f.name in present else _default(table, f, now, row)).cast(f.dataType).alias(f.name)
         for f in schema.fields
     ])
