@@ -139,3 +139,46 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", _base_failed().alias("base_failed"),
         (~_base_failed() & ~foreign).alias("kept"), "class_divergence", "common_divergence")
+
+
+def oracle() -> str:
+    """DuckDB SQL for the contract columns of :func:`quality_rules`."""
+    listed = " ".join(f"WHEN '{code}' THEN [{', '.join(repr(x) for x in names)}]" for code, names in COMMON.items())
+
+    def without(text: str, pattern: str) -> str:
+        return f"length(regexp_replace({text}, '{pattern}', '', 'g'))"
+
+    def shares(name: str) -> str:
+        """Divergence per row of the histogram ``name`` from that of its language."""
+        half = lambda p: f"CASE WHEN {p} > 0 THEN {p} * log2({p} / ((p + q) / 2)) ELSE 0 END"
+        return f"""
+{name}_cells AS (SELECT r, lang, failed, generate_subscripts({name}, 1) AS k, unnest({name}) AS v FROM h),
+{name}_ref AS (SELECT lang, k, CAST(sum(v) AS DOUBLE) AS v FROM {name}_cells WHERE NOT failed GROUP BY lang, k),
+{name}_share AS (SELECT lang, k, v / nullif(sum(v) OVER (PARTITION BY lang), 0) AS q FROM {name}_ref),
+{name}_own AS (SELECT r, lang, k, v / nullif(CAST(sum(v) OVER (PARTITION BY r) AS DOUBLE), 0) AS p, sum(v) OVER (PARTITION BY r) AS mass FROM {name}_cells),
+{name}_js AS (SELECT r, max(mass) AS mass, sum(({half('p')} + {half('q')}) / 2) AS js FROM {name}_own JOIN {name}_share USING (lang, k) GROUP BY r)"""
+
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w, regexp_replace(text, '[a-z\\x20\\x09-\\x0D]+', '', 'g') AS rest,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l,
+  CASE lang {listed} ELSE [] END AS names FROM d),
+i AS (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) > 8),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(list_slice(w, i, i + 7), ' ')) AS times FROM i),
+c AS (SELECT r, count(DISTINCT i + k) AS n FROM g, (SELECT unnest(range(8)) AS k) WHERE times > 1 GROUP BY r),
+m AS (SELECT w.r, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST({without('text', '[\\x20\\x09-\\x0D]+')} AS BIGINT) AS word_chars,
+  CAST(length(text) - {without('text', '[#*$%&|<>]')} AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, length(text) AS size, length(rest) AS more,
+  length(rest) - {without('rest', chr(92) + 'p{Lu}+')} AS u, length(rest) - {without('rest', '[0-9]+')} AS g,
+  length(rest) - {without('rest', '[.,;:!?' + chr(39) * 2 + '"()-]+')} AS p,
+  length(rest) - {without('rest', '[#*$%&|<>@^~=+_/' + chr(92) * 2 + '{}' + chr(92) + '[' + chr(92) + ']`]+')} AS s,
+  list_transform(names, lambda x: len(list_filter(w, lambda y: lower(y) = x))) AS hits FROM w LEFT JOIN c ON c.r = w.r),
+h AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS failed,
+  [word_chars - more, u, g, size - word_chars, p, s, more - u - g - p - s] AS classes,
+  list_append(hits, n_words - coalesce(CAST(list_sum(hits) AS BIGINT), 0)) AS common FROM m),
+{shares('classes')},
+{shares('common')}
+SELECT h.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed,
+  NOT failed AND NOT coalesce(a.js > {CLASS_LIMIT} AND a.mass >= {CLASS_CHARS}, FALSE) AND NOT coalesce(b.js > {COMMON_LIMIT} AND n_words >= {COMMON_WORDS}, FALSE) AS kept
+FROM h LEFT JOIN classes_js a ON a.r = h.r LEFT JOIN common_js b ON b.r = h.r
+"""

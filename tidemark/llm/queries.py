@@ -41,7 +41,7 @@ def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return quality_rules.quality_rules(table(spark, folder, "documents"))
+    return quality_rules.quality_rules(table(spark, folder, "documents")).drop("class_divergence", "common_divergence")
 
 
 def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,4 +52,4 @@ QUERIES = {f.__name__: f for f in (
     op1_html_extraction, op2_exact_top_k, op3_mixing, op4_best_fit_packing, op5_ngram_jaccard_join, op6_warc,
     op7_quality_classifier, op8_lm_scoring, op9_quality_rules, op10_secret_scans)}
 ORACLE = {"op2_exact_top_k": topk.ORACLE, "op3_mixing": mixing.ORACLE, "op5_ngram_jaccard_join": ngram_join.ORACLE,
-          "op6_warc": warc.ORACLE}
+          "op6_warc": warc.ORACLE, "op9_quality_rules": quality_rules.oracle()}
