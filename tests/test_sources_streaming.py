@@ -68,6 +68,22 @@ def test_replace_days_empties_a_named_day(spark, tmp_path):
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == mode
 
 
+def test_compacted_log_is_one_folder_with_the_same_rows(spark, tmp_path):
+    stage, target, progress = tmp_path / "stage", str(tmp_path / "counts"), str(tmp_path / "progress")
+    run = lambda: streaming.live_counts(streaming.event_stream(spark, str(stage)), target, progress).awaitTermination()
+    read = lambda: {r.event_type: r.events for r in streaming.latest_versions(spark, target, ["event_type"]).collect()}
+    for n in range(3):
+        lines(stage, f"{n}.json", [staged(10 * n + k, kind=("login", "search")[k % 2]) for k in range(n + 2)])
+        run()
+    before = read()
+    assert streaming.compact_updates(spark, target, ["event_type"]) >= 3 and read() == before
+    assert len([p for p in (tmp_path / "counts").iterdir() if p.name.startswith("batch_id=")]) == 1
+    lines(stage, "9.json", [staged(99, kind="login")])
+    run()
+    assert read() == before | {"login": before["login"] + 1}
+    assert streaming.compact_updates(spark, target, ["event_type"]) == 2 and read() == before | {"login": before["login"] + 1}
+
+
 def test_daily_rows_end_at_the_clock(spark):
     rows = [("a", datetime(2024, 6, 1, 23), "login"), ("a", datetime(2024, 6, 3, 1), "login"), ("b", datetime(2024, 6, 4), "login")]
     daily = streaming.daily_rollup(spark.createDataFrame(rows, "client_id string, event_timestamp timestamp_ntz, event_type string"))

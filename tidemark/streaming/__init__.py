@@ -1,6 +1,6 @@
 from tidemark.streaming.ingest import deduplicated, event_stream, ingest_events, rejected_stream
 from tidemark.streaming.metrics import (
-    latest_versions, live_counts, live_hourly_performance, live_windows, monitored_stream,
+    compact_updates, latest_versions, live_counts, live_hourly_performance, live_windows, monitored_stream,
     recent_events, refresh_monitored,
 )
 from tidemark.streaming.rollup import (
@@ -8,7 +8,7 @@ from tidemark.streaming.rollup import (
 )
 
 __all__ = [
-    "daily_rollup", "deduplicated", "engagement_from_days", "event_stream", "ingest_events",
+    "compact_updates", "daily_rollup", "deduplicated", "engagement_from_days", "event_stream", "ingest_events",
     "latest_versions", "live_counts", "live_hourly_performance", "live_windows", "merge_days",
     "monitored_stream", "recent_events", "refresh_monitored", "rejected_stream", "stream_daily_rollup",
 ]

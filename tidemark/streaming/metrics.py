@@ -35,6 +35,27 @@ def latest_versions(spark: SparkSession, target: str, keys: Sequence[str]) -> Da
     return latest_rows(packed, "_key", "batch_id", ties=False).drop("_key", "batch_id")
 
 
+def compact_updates(spark: SparkSession, target: str, keys: Sequence[str]) -> int:
+    """Make one folder of an update log: the newest row of each key, under the newest batch id.
+
+    The new folder's name pads the id with zeros, which reads as the same
+    number, so nothing is replaced in place: until the folders it stands for
+    are deleted, a reader finds equal rows in both.  Run it between batches;
+    returns the number of folders deleted.
+    """
+    files = spark._jvm.org.apache.hadoop.fs.Path(target)
+    system = files.getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = [f.getPath() for f in system.listStatus(files) if f.getPath().getName().startswith("batch_id=")]
+    if len(folders) < 2:
+        return 0
+    newest = max(int(f.getName().partition("=")[2]) for f in folders)
+    width = max(len(f.getName().partition("=")[2]) for f in folders) + 1
+    latest_versions(spark, target, keys).write.parquet(f"{target}/batch_id={newest:0{width}d}")
+    for folder in folders:
+        system.delete(folder, True)
+    return len(folders)
+
+
 def live_counts(events: DataFrame, target: str, checkpoint: str, once: bool = True,
                 interval: str = "1 minute") -> StreamingQuery:
     """Running event count per type."""
