@@ -339,7 +339,7 @@ FROM (SELECT avg({c}) AS m, stddev_samp({c}) AS s FROM (SELECT * FROM monitored
 
 
 settled_query("q34_window_drift", _ends(1000)
-      )(lambda d: rounded(monitoring.window_drift(d.monitored), 6, "baseline_mean", "current_mean", "drift_score"))
+      )(lambda d: rounded(monitoring.log_window_drift(d.pred_log, d.store, d.now), 6, "baseline_mean", "current_mean", "drift_score"))
 query("q35_labelled_metrics", """
 SELECT count(*) AS total_predictions, avg(CASE WHEN prediction = actual_conversion THEN 1 ELSE 0 END) AS accuracy,
  count(*) FILTER (WHERE prediction = 1) AS positive_predictions, count(*) FILTER (WHERE actual_conversion = 1) AS actual_positives

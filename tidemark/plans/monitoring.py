@@ -252,8 +252,22 @@ def window_drift(monitored: DataFrame, n: int = 1000,
     """First ``n`` against last ``n`` predictions, in baseline deviations."""
     ends = [first_rows(monitored.select("monitor_timestamp", "client_id", *features),
                        "monitor_timestamp", n, newest, "client_id") for newest in (False, True)]
-    baseline = feature_moments(ends[0], features, "baseline")
-    current = feature_moments(ends[1], features, "current")
+    return _ends_drift(*ends, features)
+
+
+def log_window_drift(preds: DataFrame, store: DataFrame, as_of: datetime, n: int = 1000,
+                     features: Sequence[str] = WINDOW_DRIFT_FEATURES) -> DataFrame:
+    """:func:`window_drift` of a stamped prediction log: the log's ends are taken
+    first, so 2 n rows meet the store, not the whole log."""
+    labelled = preds.filter(F.col("actual_conversion").isNotNull())
+    ends = [monitored_predictions(first_rows(labelled, "prediction_timestamp", n, newest, "client_id"), store, as_of)
+            for newest in (False, True)]
+    return _ends_drift(*ends, features)
+
+
+def _ends_drift(first: DataFrame, last: DataFrame, features: Sequence[str]) -> DataFrame:
+    baseline = feature_moments(first, features, "baseline")
+    current = feature_moments(last, features, "current")
     return baseline.join(current, "feature_name").select(
         "feature_name", "baseline_mean", "current_mean", _drift_score().alias("drift_score"))
 
