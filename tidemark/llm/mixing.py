@@ -69,7 +69,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     NULL text has size 0; NULL source is a source of its own, last in order; a NULL id gets the key of "null"; rows
     of equal id and size are interchangeable; an empty table gives an empty result.
     """
-    sized = written(_sized(docs.select("doc_id", "source", "text"), digits).select("doc_id", "source", "_size", "_key", "_range"), "mix-sizes")
+    sized = written(_sized(docs.select("doc_id", "source", "text"), digits).select("doc_id", "source", "_source", "_size", "_key", "_range"), "mix-sizes")
     return _taken(sized, sized, weights, share, cap).select(
         "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"), "source")
 
@@ -81,7 +81,7 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     counted anew.  Documents without words are never taken.
     """
     sized = _sized(docs.select(F.struct("*").alias("_row"), "doc_id", "source", "text"), digits)
-    narrow = written(sized.select("source", "_size", "_range"), "mix-sizes")
+    narrow = written(sized.select("source", "_source", "_size", "_range"), "mix-sizes")
     taken = _taken(sized, narrow, weights, share, cap).filter(F.col("_taken") > 0)
     whole, part = F.floor(F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
     copies = F.concat(F.array_repeat(F.lit(0), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
@@ -96,20 +96,24 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
 
 def _sized(docs: DataFrame, digits: int) -> DataFrame:
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    return docs.withColumns({"_size": word_count(F.col("text")), "_key": key, "_range": F.substring(key, 1, digits)})
+    named = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # NULL is a source too
+    return docs.withColumns({"_size": word_count(F.col("text")), "_key": key, "_range": F.substring(key, 1, digits), "_source": named})
 
 
 def _taken(rows: DataFrame, narrow: DataFrame, weights, share: float, cap: int) -> DataFrame:
-    """``rows`` with ``_source_size, _target, _taken``; ``narrow`` has their sources, sizes and ranges, written."""
+    """``rows`` with ``_source_size, _target, _taken``; ``narrow`` has their sources, sizes and ranges, written.
+
+    The window and the join share their keys, so the rows are shuffled once.
+    """
     targets = source_targets(narrow.select("source", F.col("_size").alias("size")), weights, share, cap)
-    ranges = narrow.groupBy("source", "_range").agg(F.sum("_size").alias("size"))
-    before = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranges.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("_start"))
-    starts = starts.join(targets.select(F.col("source").alias("_t"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target")),
-                         F.col("_s").eqNullSafe(F.col("_t")))
-    order = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    named = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+    targets = targets.select(named.alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+    ranges = narrow.groupBy("_source", "_range").agg(F.sum("_size").alias("size"))
+    before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select("_source", "_range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("_start")).join(targets, "_source")
+    order = Window.partitionBy("_source", "_range").orderBy("_key", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("_inside", F.coalesce(F.sum("_size").over(order), F.lit(0)))
-    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
+    placed = placed.join(starts, ["_source", "_range"])
     budget = F.floor("_target")
     epochs = F.when(F.col("_source_size") > 0, F.floor(budget / F.greatest(F.col("_source_size"), F.lit(1)))).otherwise(0)
     left = budget - epochs * F.col("_source_size") - F.col("_start") - F.col("_inside")
