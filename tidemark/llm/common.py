@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -51,12 +50,22 @@ def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
-def slots(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def hashed_sample(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """The ``limit`` rows with the least hashes of ``key``.
 
+    A cut of the hash range that holds a few more than ``limit`` rows goes first, so the tasks together send little
+    more than that to where the sample is ordered; were they fewer, all rows are ordered.
+    """
+    place, count = F.xxhash64(key), rows.count()
+    if count > 2 * limit:
+        share = (limit + 6 * limit ** 0.5 + 20) / count
+        near = rows.filter(place <= int(-(2 ** 63) + min(1.0, share) * (2 ** 64 - 1024)))
+        rows = near if near.count() >= limit else rows
+    return rows.orderBy(place, key).limit(limit)
 
-def join_path(*parts: str) -> str:
-    return os.path.join(*parts)
+
+def slots(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, salt_from: str, salts: int = 16) -> DataFrame:
@@ -64,3 +73,11 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, salt_from: str, salt
     left = big.withColumn("_salt", F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [key, "_salt"], "left").drop("_salt")
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``written`` wrote for ``df``, once nothing reads it any more."""
+    spark = df.sparkSession
+    for name in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from tidemark.llm.common import salted_join, written
+from tidemark.llm.common import hashed_sample, salted_join, written
 
 FEATURES = ("upper", "digit", "blank", "point", "exclaim", "bar", "symbol", "foreign", "word_length", "distinct", "repeat_lines", "adjacent")
 SAMPLE, RIDGE, STEPS = 20_000, 1e-2, 25
@@ -113,8 +113,8 @@ def _judged(docs: DataFrame, labels: DataFrame, host: str, path: str, sample: in
     narrow = with_features(docs.select("doc_id", F.col(host).alias("host"), F.col(path).alias("path"), "text")).drop("text")
     narrow = written(narrow, "quality-features")
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = narrow.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("_quality", "quality").collect()
-    weights = fit(np.array([r[0] for r in rows]).reshape(-1, len(FEATURES)), np.array([float(r[1] > 0) for r in rows]))
+    rows = hashed_sample(narrow.join(known, "doc_id").select("doc_id", "_quality", "quality"), "doc_id", sample).collect()
+    weights = fit(np.array([r[1] for r in rows]).reshape(-1, len(FEATURES)), np.array([float(r[2] > 0) for r in rows]))
     judged = narrow.withColumn("evidence", evidence("_quality", weights)).withColumn("p", 1 / (1 + F.exp(-F.col("evidence"))))
     sites, mean = priors(judged)
     return judged, weights, sites, mean

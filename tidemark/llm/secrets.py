@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, written
+from tidemark.llm.common import hashed_sample, map_batches, written
 
 #: The patterns by kind and the least length of what must match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -168,7 +168,7 @@ def labelled(docs: DataFrame, sample: int = SAMPLE) -> dict[str, list[str]]:
         return pa.RecordBatch.from_pydict({"kind": pa.array([k for k, _ in found], pa.string()), "value": pa.array([v for _, v in found], pa.string())})
 
     values = written(map_batches(docs.select("text"), run, "kind string, value string").distinct(), "secret-labels")
-    return {k: [r[0] for r in values.filter(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(sample).select("value").collect()] for k in KINDS}
+    return {k: [r[0] for r in hashed_sample(values.filter(F.col("kind") == k).select("value"), "value", sample).collect()] for k in KINDS}
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> list[Automaton]:
