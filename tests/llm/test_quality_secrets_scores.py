@@ -158,7 +158,7 @@ def test_scores(make_docs, prose, monkeypatch, head):
 def test_spellings_are_a_distribution():
     rng = np.random.default_rng(0)
     table = rng.normal(size=lm_scoring.STARTS[-1]).astype(np.float16)
-    weights = rng.normal(0.2, 0.1, size=(24, 6))
+    weights = rng.normal(0.2, 0.1, size=((len(lm_scoring.ORDERS) + 1) * lm_scoring.PLACES, len(lm_scoring.ORDERS) + 1))
     every = [bytes([i]) for i in range(256) if i not in (0x20, 0x0A)]
     starts = 10 ** lm_scoring.word_scores([b"", *every], table, weights)
     assert 0 < starts.sum() < 1

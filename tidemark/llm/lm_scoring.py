@@ -12,15 +12,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import hashed_sample, written
 
 #: Documents whose CRC-32 of the id, modulo FOLDS, is HELD are never learned from; those of TUNE fit the mixing weights only.
 FOLDS, HELD, TUNE = 7, 2, 3
 #: Fixed sizes: predictors (bytes of context; -1 is the whole word so far) and the bits of their slots, words with a
 #: probability of their own, words whose scores a task keeps, types in a training task, words that fit the weights,
 #: bytes in a step.
-ORDERS, BITS = (1, 2, 3, 5, -1), (18, 20, 21, 22, 22)
-HEAD, KEPT, TYPES, TUNED, STEP = 1 << 18, 400_000, 2_000_000, 20_000, 1 << 16
+ORDERS, BITS = (1, 2, 4, -1), (18, 20, 22, 22)
+HEAD, KEPT, TYPES, TUNED, STEP = 1 << 16, 400_000, 2_000_000, 20_000, 1 << 16
 STARTS = tuple(sum(1 << b for b in BITS[:i]) for i in range(len(BITS) + 1))
 #: Shares that the words so far in a document may have in the prediction; their odds adapt to the document.
 CACHE = (0.0, 0.02, 0.1, 0.3, 0.6, 0.9)
@@ -155,10 +155,11 @@ def _inputs(coded: Coded, at: slice, table: np.ndarray):
     bits, nodes = coded.bits(at)
     x = np.empty((len(bits), 8, len(ORDERS) + 1), np.float32)
     x[..., -1] = 0.3
+    seen = np.zeros(bits.shape, np.int64)
     with np.errstate(over="ignore"):
         for i in range(len(ORDERS)):
             x[..., i] = table[coded.cells(i, at, nodes)]
-    seen = (x[..., :-1] != 0).sum(-1)
+            seen += x[..., i] != 0
     return bits, x, np.minimum(coded.place[at], PLACES - 1)[:, None] * (len(ORDERS) + 1) + seen
 
 
@@ -184,7 +185,7 @@ def tuned(words: list[bytes], counts: np.ndarray, table: np.ndarray, seed: int =
 def word_scores(words: list[bytes], table: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Log10 probability of each word's spelling, its end included; over all spellings they sum to 1 at most."""
     out = np.zeros(len(words))
-    coded = Coded(words)
+    coded, weights = Coded(words), weights.astype(np.float32)
     for at in coded.steps():
         bits, x, gates = _inputs(coded, at, table)
         odds = np.clip(np.einsum("ijk,ijk->ij", x, weights[gates]), -20, 20)
@@ -239,8 +240,8 @@ class Scores(dict):
 def score(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` of every document.
 
-    The base is add-one smoothed word counts over the training documents, all of them.  The ``HEAD`` most frequent
-    words are counted inside the tasks; the other words of each document go as (word, document) rows to their counts,
+    The base is add-one smoothed word counts over the training documents, all of them.  The most frequent words, at most ``HEAD``,
+    are counted inside the tasks; the other words of each document go as (word, document) rows to their counts,
     so no word there is hot.  The model gives the frequent words their shares and spells all other words with bit
     predictors in hashed contexts, mixed by weights of gates; it adapts to each document.  The predictors' tables are
     learned from all rarer training words but those of the tuning fold, which fit the weights (at most TUNED words of
@@ -252,17 +253,26 @@ def score(docs: DataFrame) -> DataFrame:
     words = written(vocabulary(docs), "lm-words")
     total, distinct = words.agg(F.sum("c"), F.count(F.lit(1))).first()
     total = total or 0
-    head = {bytes(r[0]): r[1] for r in words.orderBy(F.desc("c"), "word").limit(HEAD).select("word", "c").collect()}
-    # The spelling model learns from the words below the last of the head, or from all if the head holds them all.
-    least = min(head.values()) if distinct > HEAD else (total + 1)
-    rare = words.filter(F.col("c") <= least)
+    # The frequent words: those of a count from which on there are at most HEAD, on a grid of eight counts an octave.
+    octave = F.floor(8 * F.log2("c")).cast("int")
+    least, found = None, 0
+    for at, n in sorted(words.groupBy(octave.alias("at")).count().collect(), reverse=True):
+        found += n
+        if found > HEAD:
+            break
+        least = at
+    frequent = F.lit(False) if least is None else octave >= least
+    head = {bytes(r[0]): r[1] for r in words.filter(frequent).select("word", "c").collect()}
+    # The spelling model learns from the other words, or from all if the head holds them all.
+    rare = words.filter(~frequent) if distinct > len(head) else words
     table = trained(rare.select("word", (F.col("c") - F.col("tune")).alias("n")).filter("n > 0"), distinct)
-    sample = rare.filter("tune > 0").orderBy(F.xxhash64("word"), "word").limit(TUNED).select("word", "tune").collect()
+    sample = hashed_sample(rare.filter("tune > 0").select("word", "tune"), "word", TUNED).collect()
     weights = tuned([bytes(r[0]) for r in sample], np.array([float(r[1]) for r in sample]), table)
     # What the head leaves goes to spelled words, and never less than the share of words seen once.
     once = words.filter("c = 1").count()
-    rest = min(1.0, max(1 - sum(head.values()) / max(1, total), (once + 1) / (total + 2)))
-    shares = {w: c / total * (1 - rest) / max(1e-9, sum(head.values()) / total) for w, c in head.items()}
+    held = sum(head.values())
+    rest = min(1.0, max(1 - held / max(1, total), (once + 1) / (total + 2)))
+    shares = {w: c * (1 - rest) / max(1, held) for w, c in head.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
