@@ -168,3 +168,27 @@ def test_spellings_are_a_distribution():
     assert (coded.contexts(-1, slice(0, 8))[[0, 1, 2]] == coded.contexts(-1, slice(0, 8))[[4, 5, 6]]).all()
     for order in (1, 2, 3):
         assert coded.contexts(order, slice(0, 8))[2] == coded.contexts(order, slice(0, 8))[6]
+
+
+def test_every_token_is_coded_in_its_context(make_docs):
+    # The same frequent words in both orders: only contexts over the word border and moving weights tell them apart.
+    rng = random.Random(4)
+    pairs = ["uma vek", "oli tas", "eno rup", "ida mol"]
+    rows = [(i, " ".join(rng.choice(pairs) for _ in range(30))) for i in range(200)]
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    words = rows[0][1].split()
+    rows += [(held[0], " ".join(words)), (held[1], " ".join(words[1::2] + words[::2]))]
+    got = {r.doc_id: r for r in lm_scoring.score(make_docs(rows)).collect()}
+    assert got[held[0]].held_out and math.isclose(got[held[0]].base_score, got[held[1]].base_score)
+    assert got[held[0]].score > 0.7 * got[held[0]].base_score and got[held[0]].score > 0.8 * got[held[1]].score
+
+
+def test_weights_move_while_a_document_is_coded(monkeypatch):
+    rng = np.random.default_rng(1)
+    table = rng.normal(size=lm_scoring.STARTS[-1]).astype(np.float16)
+    weights = np.full((lm_scoring.GATES, len(lm_scoring.ORDERS) + 1), 0.2)
+    words = [b"abc", b"de"] * 100 + [b""]
+    moved = lm_scoring.token_scores(words, table, weights)
+    assert moved[-101:].sum() > moved[:101].sum() + 5
+    both = lm_scoring.token_scores(words + [b"x", b""], table, weights)
+    assert np.allclose(both[:201], moved) and np.allclose(both[201:], lm_scoring.token_scores([b"x", b""], table, weights))

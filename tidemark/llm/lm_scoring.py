@@ -1,8 +1,9 @@
-"""Language-model scores: word counts over the corpus, and logistic mixing of hashed-context bit predictors."""
+"""Language-model scores: word counts over the corpus, and online logistic mixing of hashed-context bit predictors."""
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -12,19 +13,22 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import hashed_sample, written
+from tidemark.llm.common import written
 
-#: Documents whose CRC-32 of the id, modulo FOLDS, is HELD are never learned from; those of TUNE fit the mixing weights only.
+#: Documents whose CRC-32 of the id, modulo FOLDS, is HELD are never learned from; those of TUNE fit the mixing weights
+#: only.
 FOLDS, HELD, TUNE = 7, 2, 3
-#: Fixed sizes: predictors (bytes of context; -1 is the whole word so far) and the bits of their slots, words with a
-#: probability of their own, words whose scores a task keeps, types in a training task, words that fit the weights,
-#: bytes in a step.
+#: Predictors (bytes of context, over word borders; -1 is the whole word so far) and the bits of their slots.
 ORDERS, BITS = (1, 2, 4, -1), (18, 20, 22, 22)
-HEAD, KEPT, TYPES, TUNED, STEP = 1 << 16, 400_000, 2_000_000, 20_000, 1 << 16
+#: Words whose base counts a task keeps, words counted at a time, tokens in a training task, bytes in a training step.
+HEAD, KEPT, TOKENS, STEP = 1 << 16, 400_000, 8_000_000, 1 << 16
 STARTS = tuple(sum(1 << b for b in BITS[:i]) for i in range(len(BITS) + 1))
 #: Shares that the words so far in a document may have in the prediction; their odds adapt to the document.
 CACHE = (0.0, 0.02, 0.1, 0.3, 0.6, 0.9)
 PLACES = 4  # gates: place in the word (to PLACES - 1) by how many predictors have seen their context
+GATES = PLACES * (len(ORDERS) + 1)
+#: Bytes after which a document's weights move, documents coded side by side, the rate of the moves, and those of the tuning passes.
+CHUNK, ABREAST, RATE, PASSES = 64, 512, 0.002, (0.01, 0.002)
 PIECE = 1 << 16
 
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -64,15 +68,29 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "word binary, c long, tune long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("tune").alias("tune"))
 
 
+_NODES = (1 << np.arange(8)) | (np.arange(256)[:, None] >> (8 - np.arange(8)))
+_OFFSETS = ((_NODES.astype(np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(32)).astype(np.uint32)
+_ONES = np.arange(256)[:, None] >> (7 - np.arange(8)) & 1
+
+
 class Coded:
-    """Words as bytes with their contexts; a word ends with a space, the end of a document is one line end."""
+    """Documents as bytes with their contexts; a word ends with a space, the end of a document is one line end.
+
+    ``first`` numbers the words that start a document; without it each word after an end does.  Before a document
+    stands one line end.
+    """
 
-    def __init__(self, words: list[bytes]):
+    def __init__(self, words: list[bytes], first: list[int] | None = None):
         coded = [w + b" " if w else b"\n" for w in words]
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
         self.data = np.frombuffer(b"".join(coded), np.uint8)
         ends = np.cumsum(sizes)
         starts = ends - sizes
+        if first is None:
+            first = [i for i in range(len(words)) if not i or not words[i - 1]]
+        self.starts = starts[np.array(first, np.int64)]
+        self.sizes = np.diff(np.r_[self.starts, len(self.data)])
+        self.inside = np.arange(len(self.data)) - np.repeat(self.starts, self.sizes)
         self.word = np.repeat(np.arange(len(coded)), sizes)
         self.place = np.arange(len(self.data)) - starts[self.word]
         with np.errstate(over="ignore"):
@@ -80,125 +98,181 @@ class Coded:
             before = np.r_[_U(0), np.cumsum((self.data.astype(np.uint64) + _U(1)) * power[self.place])]
             self.prefix = before[:-1] - before[starts][self.word]
 
+    def hashes(self, index: np.ndarray, orders: tuple[int, ...]) -> Iterator[np.ndarray]:
+        """For each of ``orders``, ascending but for -1, a hash of the last bytes of the document before each byte."""
+        inside, found, done = self.inside[index], np.zeros(len(index), np.uint64), 0
+        for order in orders:
+            if order < 0:
+                mixed = self.prefix[index] + self.place[index].astype(np.uint64)
+            else:
+                for k in range(done + 1, order + 1):
+                    byte = np.where(inside >= k, self.data[np.maximum(index - k, 0)], np.where(inside == k - 1, np.uint8(10), np.uint8(0)))
+                    found = found * _U(257) + byte + _U(1)
+                mixed, done = found, order
+            mixed = (mixed ^ (mixed >> _U(29))) * _U(0xBF58476D1CE4E5B9)
+            mixed = (mixed ^ (mixed >> _U(32))) * _U(0x94D049BB133111EB)
+            yield mixed ^ (mixed >> _U(31))
+
     def contexts(self, order: int, at: slice) -> np.ndarray:
-        """A hash of the last ``order`` bytes of the word before each byte."""
-        place = self.place[at]
-        if order < 0:
-            found = self.prefix[at] + place.astype(np.uint64)
-        else:
-            found = np.zeros(len(place), np.uint64)
-            index = np.arange(at.start, at.start + len(place))
-            for k in range(1, order + 1):
-                byte = np.where(place >= k, self.data[index - k], 0).astype(np.uint64)
-                found = found * _U(257) + byte + _U(1)
-        found = (found ^ (found >> _U(29))) * _U(0xBF58476D1CE4E5B9)
-        return found ^ (found >> _U(32))
-
-    def steps(self) -> Iterator[slice]:
-        for at in range(0, len(self.data), STEP):
-            yield slice(at, min(at + STEP, len(self.data)))
-
-    def bits(self, at: slice) -> tuple[np.ndarray, np.ndarray]:
-        """Of each byte, the eight bits and the nodes before them."""
-        byte = self.data[at].astype(np.int64)[:, None]
-        k = np.arange(8)
-        return byte >> (7 - k) & 1, (1 << k) | (byte >> (8 - k))
-
-    def cells(self, i: int, at: slice, nodes: np.ndarray) -> np.ndarray:
-        """The slots of predictor ``i``."""
-        mixed = (self.contexts(ORDERS[i], at)[:, None] + nodes.astype(np.uint64) * _U(0x9E3779B97F4A7C15)) * _U(0x94D049BB133111EB)
-        return (mixed >> _U(64 - BITS[i])).astype(np.int64) + STARTS[i]
-
-
-def trained(words: DataFrame, count: int) -> np.ndarray:
-    """Stretched predictions of all predictors from the words outside the tuning fold, an array of fixed size.
-
-    Each task counts bits in tables of fixed size over about TYPES types; the pieces of the tables are added up by
-    their number, turned into log-odds there, and only those come to the driver.
+        return next(self.hashes(np.arange(at.start, at.stop), (order,)))
+
+    def cells(self, index: np.ndarray, grown: int) -> Iterator[np.ndarray]:
+        """For each predictor the slots of the eight bits of each byte, in tables doubled ``grown`` times."""
+        offsets = _OFFSETS[self.data[index]]
+        for i, mixed in enumerate(self.hashes(index, ORDERS)):
+            base = (mixed >> _U(32)).astype(np.uint32)
+            yield ((base[:, None] + offsets) >> np.uint32(32 - BITS[i] - grown)).astype(np.int64) + (STARTS[i] << grown)
+
+
+def doublings(types: int) -> int:
+    """How often the tables double: never yet."""
+    return 0
+
+
+def trained(docs: DataFrame, tokens_all: int, types: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stretched predictions of all predictors from the running text of the training documents, without the tuning fold, twice.
+
+    ``docs`` is ``text, fold``.  Each task counts bits as whole numbers over about TOKENS tokens; the pieces of the
+    tables are added up by their number, turned into log-odds there, and only those come to the driver.
     """
+    grown = doublings(types)
+    slots_all = STARTS[-1] << grown
+
     def count_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * STARTS[-1], np.float32)
+        totals: dict[bool, np.ndarray] = {}
+        counted = 0
+
+        def flush():
+            for tune, total in totals.items():
+                for i in range(len(total) // PIECE):
+                    part = total[i * PIECE:(i + 1) * PIECE]
+                    if part.any():
+                        yield pa.RecordBatch.from_pydict({"piece": pa.array([i], pa.int32()), "tune": pa.array([tune]), "cells": pa.array([zlib.compress(part, 1)], pa.binary())})
+            totals.clear()
+
         for batch in batches:
-            coded, c = Coded(batch.column(0).to_pylist()), batch.column(1).to_numpy().astype(np.float32)
-            with np.errstate(over="ignore"):
-                for at in coded.steps():
-                    bits, nodes = coded.bits(at)
-                    weight = np.repeat(c[coded.word[at]], 8)
-                    for i in range(len(ORDERS)):
-                        np.add.at(total, (2 * coded.cells(i, at, nodes) + bits).ravel(), weight)
-        for i in range(len(total) // PIECE):
-            part = total[i * PIECE:(i + 1) * PIECE]
-            if part.any():
-                yield pa.RecordBatch.from_pydict({"piece": pa.array([i], pa.int32()), "cells": pa.array([part.tobytes()], pa.binary())})
+            for part in _parts(batch, 0):
+                for tune in (False, True):
+                    chosen = [t.as_py() for t, at in zip(part.column(0), part.column(1).to_pylist()) if (at == TUNE) == tune]
+                    if not chosen:
+                        continue
+                    coded = Coded([w for t in chosen for w in tokens(t)])
+                    if counted + len(coded.data) > 1 << 31:  # a cell of 32 bits holds the bytes of one round
+                        yield from flush()
+                        counted = 0
+                    counted += len(coded.data)
+                    if tune not in totals:
+                        totals[tune] = np.zeros(2 * slots_all, np.uint32)
+                    with np.errstate(over="ignore"):
+                        for at in range(0, len(coded.data), STEP):
+                            index = np.arange(at, min(at + STEP, len(coded.data)))
+                            ones = _ONES[coded.data[index]]
+                            for cells in coded.cells(index, grown):
+                                np.add.at(totals[tune], (2 * cells + ones).ravel(), np.uint32(1))
+        yield from flush()
 
     def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for i, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = np.frombuffer(data.as_buffer(), np.float32)
-                sums[i] = sums[i] + part if i in sums else part.astype(float)
-        for i, x in sums.items():
-            zero, one = x[0::2], x[1::2]
-            odds = np.log((one + 0.4) / (zero + 0.4))
-            yield pa.RecordBatch.from_pydict({"piece": pa.array([i], pa.int32()), "cells": pa.array([np.clip(odds, -12, 12).astype(np.float16).tobytes()], pa.binary())})
-
-    parts = words.repartition(max(1, -(-count // TYPES))).mapInArrow(count_bits, "piece int, cells binary")
-    rows = parts.repartition(16, "piece").mapInArrow(stretch, "piece int, cells binary").collect()
-    out = np.zeros(STARTS[-1], np.float16)
-    for i, data in rows:
-        out[i * PIECE // 2:(i + 1) * PIECE // 2] = np.frombuffer(data, np.float16)
+            for i, tune, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                sums.setdefault(i, [np.zeros(PIECE, np.int64), np.zeros(PIECE, np.int64)])[tune] += np.frombuffer(zlib.decompress(data), np.uint32)
+        for i, (x, more) in sums.items():
+            made = [np.clip(np.log((n[1::2] + 0.4) / (n[0::2] + 0.4)), -12, 12).astype(np.float16).tobytes() for n in (x, x)]
+            yield pa.RecordBatch.from_pydict({"piece": pa.array([i], pa.int32()), "cells": pa.array(made[:1], pa.binary()), "whole": pa.array(made[1:], pa.binary())})
+
+    parts = docs.coalesce(max(1, -(-tokens_all // TOKENS))).mapInArrow(count_bits, "piece int, tune boolean, cells binary")
+    rows = parts.repartition(16 << grown, "piece").mapInArrow(stretch, "piece int, cells binary, whole binary").toLocalIterator()
+    out = np.zeros(slots_all, np.float16), np.zeros(slots_all, np.float16)
+    for i, *data in rows:
+        for made, part in zip(out, data):
+            made[i * PIECE // 2:(i + 1) * PIECE // 2] = np.frombuffer(part, np.float16)
     return out
 
 
-def _inputs(coded: Coded, at: slice, table: np.ndarray):
-    """Bits, the predictors' log-odds and the gate of each bit; the last input is a constant."""
-    bits, nodes = coded.bits(at)
-    x = np.empty((len(bits), 8, len(ORDERS) + 1), np.float32)
-    x[..., -1] = 0.3
-    seen = np.zeros(bits.shape, np.int64)
-    with np.errstate(over="ignore"):
-        for i in range(len(ORDERS)):
-            x[..., i] = table[coded.cells(i, at, nodes)]
-            seen += x[..., i] != 0
-    return bits, x, np.minimum(coded.place[at], PLACES - 1)[:, None] * (len(ORDERS) + 1) + seen
-
-
-def tuned(words: list[bytes], counts: np.ndarray, table: np.ndarray, seed: int = 7) -> np.ndarray:
-    """Weights by gate, learned online: each step predicts a few words drawn by their count and moves the weights of
-    the gates they passed against the coding error."""
-    weights = np.full(((len(ORDERS) + 1) * PLACES, len(ORDERS) + 1), 1.0 / len(ORDERS))
-    if not words:
-        return weights
-    rng = np.random.default_rng(seed)
-    drawn = rng.choice(len(words), 2 * TUNED, p=counts / counts.sum())
-    for step, at in enumerate(range(0, len(drawn), 64)):
-        coded = Coded([words[i] for i in drawn[at:at + 64]])
-        bits, x, gates = _inputs(coded, slice(0, len(coded.data)), table)
-        p = 1 / (1 + np.exp(-np.clip((x * weights[gates]).sum(-1), -20, 20)))
-        slope = ((bits - p)[..., None] * x).reshape(-1, x.shape[-1])
-        moved = np.zeros_like(weights)
-        np.add.at(moved, gates.ravel(), slope)
-        weights += 0.02 / (1 + step / 100) * moved / 8
+def code(coded: Coded, table: np.ndarray, weights: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cost of each byte in nats; the weights that the documents end with, summed by gate with their visits, and the visits.
+
+    Each document starts from ``weights``; every CHUNK bytes they move against the coding error of those bytes by
+    ``rate``, so no byte is predicted by weights that have seen it.  Documents do not see each other.
+    """
+    grown = (len(table) // STARTS[-1]).bit_length() - 1
+    inputs = len(ORDERS) + 1
+    cost = np.zeros(len(coded.data))
+    ended, visits = np.zeros((GATES, inputs)), np.zeros(GATES)
+    order = np.argsort(-coded.sizes, kind="stable")
+    for group in range(0, len(order), ABREAST):
+        own = order[group:group + ABREAST]
+        starts, sizes = coded.starts[own], coded.sizes[own]
+        now = np.tile(weights.T.astype(np.float32), (1, len(own)))
+        visited = np.zeros(len(own) * GATES)
+        for at in range(0, int(sizes.max(initial=0)), CHUNK):
+            live = int(np.searchsorted(-sizes, -at, "left"))
+            used = np.arange(at, at + CHUNK) < sizes[:live, None]
+            doc, shift = np.nonzero(used)
+            index = starts[doc] + at + shift
+            x = np.empty((inputs, len(index), 8), np.float32)
+            x[-1] = 0.3
+            seen = np.zeros((len(index), 8), np.int32)
+            with np.errstate(over="ignore"):
+                for i, cells in enumerate(coded.cells(index, grown)):
+                    x[i] = table[cells]
+                    seen += x[i] != 0
+            key = seen + (doc * GATES + np.minimum(coded.place[index], PLACES - 1) * inputs)[:, None]
+            odds = np.zeros(key.shape, np.float32)
+            for i in range(inputs):
+                odds += x[i] * now[i].take(key)
+            sign = (2 * _ONES[coded.data[index]] - 1).astype(np.float32)
+            wrong = np.exp(-sign * np.clip(odds, -20, 20))
+            cost[index] = np.log1p(wrong).sum(1)
+            slope = sign * wrong / (1 + wrong)
+            key = key.ravel()
+            for i in range(inputs):
+                now[i, :live * GATES] += rate * np.bincount(key, (slope * x[i]).ravel(), live * GATES)
+            visited[:live * GATES] += np.bincount(key, minlength=live * GATES)
+        visited = visited.reshape(-1, GATES)
+        ended += np.einsum("idg,dg->gi", now.reshape(inputs, -1, GATES), visited)
+        visits += visited.sum(0)
+    return cost, ended, visits
+
+
+def tuned(docs: DataFrame, table: np.ndarray) -> np.ndarray:
+    """Weights by gate from all documents of the tuning fold (``text``): after each pass, the mean of what the documents ended
+    with, by their visits of the gate."""
+    weights = np.full((GATES, len(ORDERS) + 1), 1.0 / len(ORDERS))
+    for rate in PASSES:
+        def run(batches: Iterator[pa.RecordBatch], weights=weights, rate=rate) -> Iterator[pa.RecordBatch]:
+            ended, visits = np.zeros(weights.shape), np.zeros(GATES)
+            for batch in batches:
+                for part in _parts(batch, 0):
+                    _, a, b = code(Coded([w for t in part.column(0) for w in tokens(t.as_py())]), table, weights, rate)
+                    ended += a
+                    visits += b
+            yield pa.RecordBatch.from_pydict({"sums": pa.array([np.c_[ended, visits].tobytes()], pa.binary())})
+
+        rows = sorted(bytes(r[0]) for r in docs.mapInArrow(run, "sums binary").collect())  # 1.3 kB a task
+        sums = sum((np.frombuffer(r).reshape(GATES, -1) for r in rows), np.zeros((GATES, len(ORDERS) + 2)))
+        found = sums[:, -1] > 0
+        weights[found] = sums[found, :-1] / sums[found, -1:]
+        weights = weights.round(6)
     return weights
 
 
+def token_scores(words: list[bytes], table: np.ndarray, weights: np.ndarray, first: list[int] | None = None) -> np.ndarray:
+    """Log10 probability of each token's bytes, given those before it in its document."""
+    coded = Coded(words, first)
+    return -np.bincount(coded.word, code(coded, table, weights, RATE)[0], len(words)) / math.log(10)
+
+
 def word_scores(words: list[bytes], table: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Log10 probability of each word's spelling, its end included; over all spellings they sum to 1 at most."""
-    out = np.zeros(len(words))
-    coded, weights = Coded(words), weights.astype(np.float32)
-    for at in coded.steps():
-        bits, x, gates = _inputs(coded, at, table)
-        odds = np.clip(np.einsum("ijk,ijk->ij", x, weights[gates]), -20, 20)
-        cost = np.log1p(np.exp(np.where(bits == 1, -odds, odds))).sum(1)
-        out -= np.bincount(coded.word[at], cost, len(words))
-    return out / math.log(10)
+    """Log10 probability of each word at a document's start, its end included; over all words they sum to 1 at most."""
+    return token_scores(words, table, weights, list(range(len(words))))
 
 
-def document_score(ids: np.ndarray, static: np.ndarray) -> float:
-    """Log10 probability of a document whose tokens are the numbers ``ids``; ``static`` is each number's log10 probability.
+def document_score(ids: np.ndarray, coded: np.ndarray) -> float:
+    """Log10 probability of a document whose tokens are the numbers ``ids``; ``coded`` is each token's log10 probability.
 
     For each share in CACHE a predictor gives that share to the words of the document so far, each by its count, and
-    the rest to the static model.  Their odds, even at first, follow how well each has coded the document: the sum of
+    the rest to the bit predictors.  Their odds, even at first, follow how well each has coded the document: the sum of
     what they give to the whole document, over all of them.
     """
     n = len(ids)
@@ -208,44 +282,25 @@ def document_score(ids: np.ndarray, static: np.ndarray) -> float:
     times = np.empty(n)
     times[order] = t - np.searchsorted(ordered, ordered)
     seen = times / np.maximum(t, 1)
-    here = 10.0 ** static[ids]
-    sums = [static[ids].sum()]
+    sums = [coded.sum()]
     for share in CACHE[1:]:
         part = np.where(t > 0, share, 0.0)
-        sums.append(np.log10((1 - part) * here + part * seen).sum())
+        with np.errstate(divide="ignore"):
+            sums.append(np.logaddexp(np.log(1 - part) + coded * math.log(10), np.log(part * seen)).sum() / math.log(10))
     top = max(sums)
     return float(top + math.log10(sum(10.0 ** (x - top) for x in sums) / len(sums)))
 
 
-class Scores(dict):
-    """Static log10 probabilities by word, filled for many words at once.
-
-    Frequent words have their share of the training tokens, and the share of all others is spelled out."""
-
-    def __init__(self, table, weights, shares: dict[bytes, float], rest: float):
-        super().__init__()
-        self.table, self.weights, self.shares, self.rest = table, weights, shares, rest
-
-    def fill(self, words):
-        missing = list({w for w in words if w not in self})
-        if len(self) + len(missing) > KEPT:
-            self.clear()
-            missing = list(set(words))
-        for at in range(0, len(missing), 20_000):
-            part = missing[at:at + 20_000]
-            spelled = (word_scores(part, self.table, self.weights) + math.log10(self.rest)).tolist()
-            self.update((w, math.log10(self.shares[w] + 10.0 ** x) if w in self.shares else x) for w, x in zip(part, spelled))
-
-
 def score(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` of every document.
 
     The base is add-one smoothed word counts over the training documents, all of them.  The most frequent words, at most ``HEAD``,
     are counted inside the tasks; the other words of each document go as (word, document) rows to their counts,
-    so no word there is hot.  The model gives the frequent words their shares and spells all other words with bit
-    predictors in hashed contexts, mixed by weights of gates; it adapts to each document.  The predictors' tables are
-    learned from all rarer training words but those of the tuning fold, which fit the weights (at most TUNED words of
-    it, least hashes).
+    so no word there is hot.  The model codes every byte of every token by bit predictors in hashed contexts that reach
+    over word borders, mixed by weights of gates that move while a document is coded.  The counts of all words, frequent or
+    not, are in the mix as the predictor of the word so far; a cache of its words adapts it further to the document.  The
+    predictors learn from the running text of all training documents; the starting weights are fitted by all documents
+    of the tuning fold, with predictors that have not seen them.
 
     NULL and empty texts are one end; NULL ids are learned from and not held out; repeated rows count and are scored
     each; an empty table gives an empty result; where no document is learned from, every word is unknown.
@@ -263,21 +318,14 @@ def score(docs: DataFrame) -> DataFrame:
         least = at
     frequent = F.lit(False) if least is None else octave >= least
     head = {bytes(r[0]): r[1] for r in words.filter(frequent).select("word", "c").collect()}
-    # The spelling model learns from the other words, or from all if the head holds them all.
-    rare = words.filter(~frequent) if distinct > len(head) else words
-    table = trained(rare.select("word", (F.col("c") - F.col("tune")).alias("n")).filter("n > 0"), distinct)
-    sample = hashed_sample(rare.filter("tune > 0").select("word", "tune"), "word", TUNED).collect()
-    weights = tuned([bytes(r[0]) for r in sample], np.array([float(r[1]) for r in sample]), table)
-    # What the head leaves goes to spelled words, and never less than the share of words seen once.
-    once = words.filter("c = 1").count()
-    held = sum(head.values())
-    rest = min(1.0, max(1 - held / max(1, total), (once + 1) / (total + 2)))
-    shares = {w: c * (1 - rest) / max(1, held) for w, c in head.items()}
+    learned = docs.select("text", fold(F.col("doc_id")).alias("fold")).filter(F.col("fold") != HELD)
+    apart, table = trained(learned, total, distinct)
+    weights = tuned(learned.filter(F.col("fold") == TUNE).select("text"), apart)
+    del apart
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         number = TaskContext.get().partitionId() << 40
-        scores = Scores(table, weights, shares, rest)
         logs = {w: math.log10(c + 1) for w, c in head.items()}
         for batch in batches:
             for part in _parts(batch):
@@ -287,15 +335,15 @@ def score(docs: DataFrame) -> DataFrame:
                     first: dict[bytes, int] = {}
                     ids = np.fromiter((first.setdefault(w, len(first)) for w in ws), np.int64, len(ws))
                     numbered.append((ids, list(first)))
-                scores.fill([w for _, own in numbered for w in own])
+                scores = token_scores([w for ws in found for w in ws], table, weights)
+                stops = np.cumsum([len(ws) for ws in found])
                 rows, links = [], []
-                for (ids, own), text in zip(numbered, part.column(1)):
+                for (ids, own), stop, text in zip(numbered, stops, part.column(1)):
                     times = np.bincount(ids, minlength=len(own)).tolist()
-                    spelled = np.array([scores[w] for w in own])
                     known = sum(n for w, n in zip(own, times) if w in logs)
                     base = sum(n * logs[w] for w, n in zip(own, times) if w in logs)
                     links += [(number, w, n) for w, n in zip(own, times) if w not in logs]
-                    rows.append((number, len(ids), known, base, document_score(ids, spelled), len((text.as_py() or "").encode("utf-8", "replace"))))
+                    rows.append((number, len(ids), known, base, document_score(ids, scores[stop - len(ids):stop]), len((text.as_py() or "").encode("utf-8", "replace"))))
                     number += 1
                 yield _batch(part, rows)
                 yield _links(links, part)
@@ -315,9 +363,9 @@ def score(docs: DataFrame) -> DataFrame:
         F.when(F.col("bytes") > 0, -F.col("score") * math.log2(10) / F.col("bytes")).alias("bits_per_byte"))
 
 
-def _parts(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of at most about ``most`` bytes of text."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())
+def _parts(batch: pa.RecordBatch, column: int = 1, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most about ``most`` bytes of the text in ``column``."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy())
     at = 0
     while at < batch.num_rows:
         stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
