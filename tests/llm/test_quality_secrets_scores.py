@@ -192,3 +192,16 @@ def test_weights_move_while_a_document_is_coded(monkeypatch):
     assert moved[-101:].sum() > moved[:101].sum() + 5
     both = lm_scoring.token_scores(words + [b"x", b""], table, weights)
     assert np.allclose(both[:201], moved) and np.allclose(both[201:], lm_scoring.token_scores([b"x", b""], table, weights))
+
+
+def test_slots_grow_with_the_types():
+    least = lm_scoring.BITS[-1]
+    assert [lm_scoring.doublings(n) for n in (0, 1 << least, (1 << least) + 1, 1 << (least + 3))] == [0, 0, 1, 3]
+    assert lm_scoring.ORDERS == (1, 2, 3, 5, -1)
+    table = np.random.default_rng(2).normal(size=lm_scoring.STARTS[-1] << 1).astype(np.float16)
+    coded = lm_scoring.Coded([b"some", b"words", b""])
+    stops = [(at + (1 << bits)) << 1 for at, bits in zip(lm_scoring.STARTS, lm_scoring.BITS)]
+    for i, cells in enumerate(coded.cells(np.arange(len(coded.data)), 1)):
+        assert (cells >= lm_scoring.STARTS[i] << 1).all() and (cells < stops[i]).all() and cells.max() - cells.min() > 1 << (lm_scoring.BITS[i] - 1)
+    weights = np.full((lm_scoring.GATES, len(lm_scoring.ORDERS) + 1), 0.2)
+    assert np.isfinite(lm_scoring.token_scores([b"some", b"words", b""], table, weights)).all()

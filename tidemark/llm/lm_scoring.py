@@ -18,8 +18,9 @@ from tidemark.llm.common import written
 #: Documents whose CRC-32 of the id, modulo FOLDS, is HELD are never learned from; those of TUNE fit the mixing weights
 #: only.
 FOLDS, HELD, TUNE = 7, 2, 3
-#: Predictors (bytes of context, over word borders; -1 is the whole word so far) and the bits of their slots.
-ORDERS, BITS = (1, 2, 4, -1), (18, 20, 22, 22)
+#: Predictors (bytes of context, over word borders; -1 is the whole word so far) and the least bits of their slots; all
+#: double until the words so far have a slot for each type.
+ORDERS, BITS = (1, 2, 3, 5, -1), (18, 20, 22, 22, 22)
 #: Words whose base counts a task keeps, words counted at a time, tokens in a training task, bytes in a training step.
 HEAD, KEPT, TOKENS, STEP = 1 << 16, 400_000, 8_000_000, 1 << 16
 STARTS = tuple(sum(1 << b for b in BITS[:i]) for i in range(len(BITS) + 1))
@@ -125,8 +126,8 @@ class Coded:
 
 
 def doublings(types: int) -> int:
-    """How often the tables double: never yet."""
-    return 0
+    """How often the tables double until the words so far have a slot for each type."""
+    return max(0, min(32, max(1, types - 1).bit_length()) - BITS[-1])
 
 
 def trained(docs: DataFrame, tokens_all: int, types: int) -> tuple[np.ndarray, np.ndarray]:
