@@ -205,3 +205,11 @@ def test_slots_grow_with_the_types():
         assert (cells >= lm_scoring.STARTS[i] << 1).all() and (cells < stops[i]).all() and cells.max() - cells.min() > 1 << (lm_scoring.BITS[i] - 1)
     weights = np.full((lm_scoring.GATES, len(lm_scoring.ORDERS) + 1), 0.2)
     assert np.isfinite(lm_scoring.token_scores([b"some", b"words", b""], table, weights)).all()
+
+
+def test_predictors_learn_the_tuning_fold_too(make_docs):
+    own = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == lm_scoring.TUNE][:3]
+    docs = make_docs([(i, "some words") for i in own]).select("text", lm_scoring.fold(lm_scoring.F.col("doc_id")).alias("fold"))
+    apart, whole = lm_scoring.trained(docs, 9, 3)
+    assert not apart.any() and whole.any()
+    assert abs(whole[whole != 0]).max() > math.log(3) and len(whole) == lm_scoring.STARTS[-1]

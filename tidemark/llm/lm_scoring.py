@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import written
 
 #: Documents whose CRC-32 of the id, modulo FOLDS, is HELD are never learned from; those of TUNE fit the mixing weights
-#: only.
+#: before the predictors learn from them too.
 FOLDS, HELD, TUNE = 7, 2, 3
 #: Predictors (bytes of context, over word borders; -1 is the whole word so far) and the least bits of their slots; all
 #: double until the words so far have a slot for each type.
@@ -131,7 +131,7 @@ def doublings(types: int) -> int:
 
 
 def trained(docs: DataFrame, tokens_all: int, types: int) -> tuple[np.ndarray, np.ndarray]:
-    """Stretched predictions of all predictors from the running text of the training documents, without the tuning fold, twice.
+    """Stretched predictions of all predictors from the running text of the training documents, without and with the tuning fold.
 
     ``docs`` is ``text, fold``.  Each task counts bits as whole numbers over about TOKENS tokens; the pieces of the
     tables are added up by their number, turned into log-odds there, and only those come to the driver.
@@ -178,7 +178,7 @@ def trained(docs: DataFrame, tokens_all: int, types: int) -> tuple[np.ndarray, n
             for i, tune, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 sums.setdefault(i, [np.zeros(PIECE, np.int64), np.zeros(PIECE, np.int64)])[tune] += np.frombuffer(zlib.decompress(data), np.uint32)
         for i, (x, more) in sums.items():
-            made = [np.clip(np.log((n[1::2] + 0.4) / (n[0::2] + 0.4)), -12, 12).astype(np.float16).tobytes() for n in (x, x)]
+            made = [np.clip(np.log((n[1::2] + 0.4) / (n[0::2] + 0.4)), -12, 12).astype(np.float16).tobytes() for n in (x, x + more)]
             yield pa.RecordBatch.from_pydict({"piece": pa.array([i], pa.int32()), "cells": pa.array(made[:1], pa.binary()), "whole": pa.array(made[1:], pa.binary())})
 
     parts = docs.coalesce(max(1, -(-tokens_all // TOKENS))).mapInArrow(count_bits, "piece int, tune boolean, cells binary")
