@@ -177,3 +177,19 @@ def test_many_equal_and_tiny_pieces():
     assert sum(t * len(f) for t, f in planned) == 10**12 + 10**11 + 15
     used = sum(t for t, _ in planned)
     assert used >= -(-(10**12 + 700 * 10**11 + 2048 * 5 + 13480) // 2048)
+
+
+def test_plan_branches_over_alternative_fillings():
+    lengths = (503, 623, 655, 737, 763, 770, 803, 828)
+    for copies, want in ((1, 3), (3000, 9000)):
+        planned = packing.plan({x: copies for x in lengths})
+        assert sum(t for t, _ in planned) == want and all(sum(f) <= 2048 for _, f in planned)
+        assert all(sum(t * f.count(x) for t, f in planned) == copies for x in lengths)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
+def test_plan_is_the_optimum(lengths):
+    histogram = {x: lengths.count(x) for x in lengths}
+    want = least_bins(tuple(sorted(lengths, reverse=True)), 20)
+    assert packing.least(histogram, 20) <= want == sum(t for t, _ in packing.plan(histogram, 20))

@@ -1,4 +1,4 @@
-"""Packing documents into sequences of a fixed length by bin completion over the histogram of lengths."""
+"""Packing documents into sequences of a fixed length by bin completion branch-and-bound over the histogram of lengths."""
 
 from __future__ import annotations
 
@@ -18,6 +18,8 @@ from tidemark.llm.common import map_batches, written
 
 CAPACITY, END_ID, SPECIAL = 2048, 0, "<|endoftext|>"
 CACHED, NODES, BUCKETS = 250_000, 20_000, 1024
+#: Steps of each of the two branch-and-bound searches, and of the fillings listed at one node of them.
+SEARCH, LISTED = 300_000, 20_000
 
 #: White space around a space: there words cannot be encoded one by one.
 _LOOSE = re.compile(r"\s (?:\s|\Z)")
@@ -147,8 +149,8 @@ def completion(space: int, lengths: list[int], counts: dict[int, int], nodes: in
     return best
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[int, list[int]]]:
-    """Fillings with how often each is used.
+def greedy(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[int, list[int]]]:
+    """Fillings with how often each is used, without branching: the first incumbent of ``plan``.
 
     The longest length left starts a bin, its completion is searched, and the filling is used as often as all its
     lengths allow.  Each use leaves one of its lengths with fewer pieces than a bin of it takes, so the number of
@@ -175,6 +177,137 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES
     return out
 
 
+def least(counts: dict[int, int], capacity: int) -> int:
+    """A lower bound on the sequences: for each length k up to half the capacity, pieces longer than the half take one
+    each, and those from k on fill at most what the ones up to the capacity less k leave."""
+    lengths = np.array(sorted(counts), np.int64)
+    total = [0]
+    for x in lengths.tolist():
+        total.append(total[-1] + x * counts[x])
+    number = [0]
+    for x in lengths.tolist():
+        number.append(number[-1] + counts[x])
+    half = int(np.searchsorted(lengths, capacity // 2, "right"))
+    bound = max(-(-total[-1] // capacity), number[-1] - number[half])
+    for i in range(half):
+        big = int(np.searchsorted(lengths, capacity - int(lengths[i]), "right"))  # from here on no piece of k fits beside
+        room = (number[big] - number[half]) * capacity - (total[big] - total[half])
+        bound = max(bound, number[-1] - number[half] + max(0, -(-(total[half] - total[i] - room) // capacity)))
+    return bound
+
+
+def fillings(counts: dict[int, int], capacity: int, slack: int, steps: int) -> tuple[list[list[int]], int]:
+    """The undominated fillings that hold the longest length and waste ``slack`` at most, by waste, and the steps left.
+
+    A filling is dominated if a piece left over fits into its waste, or fits when it takes the place of a shorter one:
+    the piece can change places with what is there in any solution.  A branch ends where all shorter pieces together
+    leave more waste than ``slack``.
+    """
+    lengths = sorted(counts)
+    below = [0]
+    for x in lengths:
+        below.append(min(below[-1] + x * counts[x], capacity))
+    top = lengths[-1]
+    found: list[tuple[int, list[int]]] = []
+    used = {top: 1}
+
+    def undominated(waste: int) -> bool:
+        for x in (0, *used):
+            at = bisect_right(lengths, x + waste) - 1
+            while at >= 0 and lengths[at] > x:
+                if counts[lengths[at]] > used.get(lengths[at], 0):
+                    return False
+                at -= 1
+        return True
+
+    def search(left: int, at: int) -> None:
+        nonlocal steps
+        steps -= 1
+        if left <= slack and undominated(left):
+            found.append((left, [x for x, n in used.items() for _ in range(n)]))
+        at = min(at, bisect_right(lengths, left) - 1)
+        while at >= 0 and steps > 0 and left - below[at + 1] <= slack:
+            x = lengths[at]
+            had = used.get(x, 0)
+            for n in range(min(left // x, counts[x] - had), 0, -1):
+                if steps <= 0:
+                    break
+                used[x] = had + n
+                search(left - n * x, at - 1)
+            if had:
+                used[x] = had
+            else:
+                used.pop(x, None)
+            at -= 1
+
+    search(capacity - top, len(lengths) - 1)
+    return [f for _, f in sorted(found, key=lambda x: (x[0], [-y for y in x[1]]))], steps
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, steps: int = SEARCH) -> list[tuple[int, list[int]]]:
+    """Fillings with how often each is used: bin completion branch-and-bound over the histogram.
+
+    The greedy plan is the incumbent; where it meets the lower bound it is the optimum.  Else the undominated
+    fillings of the longest length are branched over, each used as often as its lengths allow and then, in a second
+    search, any fewer times too, so that fillings are searched again before one is reused.  A branch ends where its
+    sequences and the lower bound of what is left reach the incumbent, or its waste what a better plan may waste.
+    The second search ends with the optimum unless it takes more than ``steps`` steps or a node more than LISTED;
+    then the incumbent stands, and its gap is at most its distance to ``least``.
+    """
+    best = greedy(histogram, capacity, nodes)
+    counts = {k: v for k, v in histogram.items() if v > 0}
+    size = sum(times for times, _ in best)
+    bound = least(counts, capacity)
+    path: list[tuple[int, list[int]]] = []
+    left, seen, fewer = steps, {}, False
+
+    def search(taken: int) -> bool:
+        """Whether the search is over."""
+        nonlocal best, size, left
+        if not counts:
+            if taken < size:
+                best, size = path.copy(), taken
+            return size == bound
+        if taken + least(counts, capacity) >= size:
+            return False
+        state = hash(tuple(sorted(counts.items())))
+        if seen.get(state, size) <= taken:
+            return False
+        seen[state] = taken
+        slack = (size - 1 - taken) * capacity - sum(k * v for k, v in counts.items())
+        given = min(left, LISTED)
+        listed, rest = fillings(counts, capacity, slack, given)
+        left -= given - rest + len(counts)  # the bound takes a step a length
+        for filling in listed:
+            need: dict[int, int] = {}
+            for x in filling:
+                need[x] = need.get(x, 0) + 1
+            most = min(counts[x] // n for x, n in need.items())
+            for times in range(most, 0 if fewer else most - 1, -1):
+                if left <= 0:
+                    return True
+                left -= 1
+                for x, n in need.items():
+                    counts[x] -= times * n
+                    if not counts[x]:
+                        del counts[x]
+                path.append((times, filling))
+                over = search(taken + times)
+                path.pop()
+                for x, n in need.items():
+                    counts[x] = counts.get(x, 0) + times * n
+                if over:
+                    return True
+        return False
+
+    for fewer in (False, True):
+        if size > bound:
+            left, seen = steps, {}
+            sys.setrecursionlimit(max(sys.getrecursionlimit(), steps + capacity + 2000))  # a level a filling
+            search(0)
+    return best
+
+
 def runs(planned: list[tuple[int, list[int]]]) -> np.ndarray:
     """Rows ``length, first rank, first sequence, offset`` by length and rank: pieces of a length are dealt to the
     fillings in order of their rank."""
