@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
+from checks.analytics import _TIERED
 from checks.domain import Domain
 from checks.primitives import _STAGED, spoilt_lines, stage_events, write_staged
-from checks.sqltext import back, sql, uniform
+from checks.sqltext import NOW, back, sql, uniform
 from tidemark import streaming
 from tidemark.functions import days_back, ratio
+from tidemark.operators import append_numbered
 from tidemark.plans import monitoring, scoring, training
 from tidemark.session import cut_lineage, scratch_path
-from tidemark.sources import materialize
+from tidemark.sources import BatchLog, materialize
 
 QUERIES: dict[str, Callable[[Domain], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -70,6 +72,23 @@ def _dedup(d: Domain) -> DataFrame:
     return d.spark.read.parquet(target).select(*_STAGED)
 
 
+@query("t02_unique_whole_table", """
+SELECT event_id, client_id, event_timestamp, event_type FROM marketing_events
+UNION ALL SELECT NULL, client_id, event_timestamp, event_type FROM marketing_events WHERE event_id LIKE '%5'
+UNION ALL SELECT NULL, client_id, event_timestamp, event_type FROM marketing_events WHERE event_id LIKE '%5'""")
+def _unique(d: Domain) -> DataFrame:
+    """Every event comes again when its day is long past, and some come twice at once; rows without an id all stay."""
+    target, progress = _paths(d, "unique")
+    path = stage_events(d)
+    write_staged(d.events.withColumn("event_id", F.when(~F.col("event_id").like("%5"), F.col("event_id"))).filter("event_id IS NULL"), path)
+    ingest = lambda: streaming.ingest_unique(streaming.event_stream(d.spark, path), target, progress, blocks=8).awaitTermination()
+    ingest()
+    for part in (d.events, d.events.filter("event_id LIKE '%3'"), d.events.withColumn("event_id", F.when(~F.col("event_id").like("%5"), F.col("event_id"))).filter("event_id IS NULL")):
+        write_staged(part, path)
+    ingest()
+    return streaming.unique_events(d.spark, target).select("event_id", "client_id", "event_timestamp", "event_type")
+
+
 @query("t03_live_counts", "SELECT event_type, count(*) AS events FROM marketing_events GROUP BY 1")
 def _counts(d: Domain) -> DataFrame:
     target, progress = _paths(d, "counts")
@@ -106,6 +125,21 @@ def _refresh(d: Domain) -> DataFrame:
     return d.spark.read.parquet(target).select(*d.monitored.columns)
 
 
+@query("t05_incremental_refresh", "SELECT * FROM monitored")
+def _refresh_hours(d: Domain) -> DataFrame:
+    """Labels of some clients come late, others' store rows change: only those hours are written again."""
+    target, features = scratch_path(d.spark, "monitored"), list(monitoring.MONITORED_FEATURES)
+    store = materialize(d.store.select("client_id", *features), scratch_path(d.spark, "feature-store"))
+    full = materialize(d.pred_log.select("client_id", "prediction", "probability", "actual_conversion",
+                                         F.col("prediction_timestamp").alias("monitor_timestamp")), scratch_path(d.spark, "prediction-log"))
+    late = F.col("client_id").like("%7") & (F.minute("monitor_timestamp") < 20)
+    early = full.withColumn("actual_conversion", F.when(~late, F.col("actual_conversion")))
+    older = store.withColumn(features[0], F.when(F.col("client_id").like("%11"), F.col(features[0]) + 1).otherwise(F.col(features[0])))
+    for predictions, known in ((early, older), (early, older), (full, store)):
+        streaming.refresh_hours(predictions, known, features, target)
+    return streaming.monitored_table(d.spark, target).select(*d.monitored.columns)
+
+
 @query("t06_live_hourly_performance", """
 SELECT monitor_hour, predictions_count, accuracy, precision, recall FROM hourly""")
 def _hourly(d: Domain) -> DataFrame:
@@ -128,6 +162,57 @@ def _rollup(d: Domain) -> DataFrame:
     return streaming.engagement_from_days(streaming.merge_days(d.spark, target), d.now)
 
 
+@query("t08_folded_rollup", """
+SELECT client_id, total_events_7d, total_events_30d, total_events_90d, web_visits_7d, web_visits_30d, web_visits_90d,
+ email_opens_7d, email_opens_30d, email_clicks_7d, email_clicks_30d, personal_interactions_30d, active_days_30d, last_activity_timestamp
+FROM engagement""")
+def _folded(d: Domain) -> DataFrame:
+    """Many micro-batches, some of them folded into one, more after that, and all folded again."""
+    target, progress = _paths(d, "rollup")
+    path = stage_events(d)
+    for part in (None, "event_id LIKE '%4'"):
+        if part:
+            write_staged(d.events.filter(part), path)  # as new batches; taken out again below
+        streaming.stream_daily_rollup(streaming.event_stream(d.spark, path, 2), target, progress).awaitTermination()
+        streaming.fold_days(d.spark, target)
+    twice = streaming.daily_rollup(d.events.filter("event_id LIKE '%4'"))
+    BatchLog(d.spark, target).append(twice.withColumns({n: -F.col(n) for n in twice.columns if n not in ("client_id", "activity_date", "last_event")}), 999)
+    streaming.fold_days(d.spark, target)
+    BatchLog(d.spark, target).vacuum()
+    return streaming.engagement_from_days(streaming.merge_days(d.spark, target), d.now)
+
+
+@query("a10_distinct_from_partials", f"""
+SELECT event_type, CAST(n AS INTEGER) AS window_days, count(DISTINCT client_id) AS clients FROM marketing_events, (VALUES (7), (30), (90)) w(n)
+WHERE event_timestamp >= {NOW} - n * INTERVAL '1' DAY AND event_timestamp < {NOW} GROUP BY 1, 2""")
+def _distinct(d: Domain) -> DataFrame:
+    target, progress = _paths(d, "bitmaps")
+    path = scratch_path(d.spark, "client-numbers")
+    append_numbered(d.clients.select("client_id"), path, ["client_id"], "client_number")
+    numbers = d.spark.read.parquet(path)
+    streaming.stream_client_bitmaps(streaming.event_stream(d.spark, stage_events(d), 2), numbers, target, progress).awaitTermination()
+    streaming.fold_client_bitmaps(d.spark, target)
+    return streaming.distinct_clients(streaming.merge_client_bitmaps(d.spark, target), d.now)
+
+
+@query("x08_logged_scores", f"""
+SELECT client_id, 'CONVERSION_PREDICTOR' AS model_name, 'fallback' AS source, {NOW} AS timestamp, {_TIERED} FROM store""")
+def _logged(d: Domain) -> DataFrame:
+    """Requests of some advisors as a batch, sent twice under one id; the others' as a stream, replayed from the start."""
+    path, staged = scratch_path(d.spark, "inference-log"), scratch_path(d.spark, "requests")
+    store = materialize(d.store, scratch_path(d.spark, "feature-store"))
+    first = store.join(d.requests, "client_id", "left_semi")
+    for _ in range(2):
+        scoring.score_and_log(first, path, d.now, batch_id="backfill")
+    d.clients.select("client_id").join(d.requests, "client_id", "left_anti").write.parquet(staged)
+    for progress in ("a", "b"):
+        requests = d.spark.readStream.schema("client_id string").parquet(staged)
+        scoring.score_stream(requests, store, path, scratch_path(d.spark, f"requests-{progress}"), d.now).awaitTermination()
+    return scoring.inference_log(d.spark, path).select(
+        "client_id", "model_name", "source", "timestamp", "prediction_result.conversion_probability",
+        "prediction_result.confidence", "prediction_result.next_action")
+
+
 # --------------------------------------------------------------------------
 # Training (tree ensembles have no SQL form: what SQL can state is the rows, the labels and the scores' range and rule)
 # --------------------------------------------------------------------------
@@ -158,6 +243,7 @@ def _train(d: Domain, classifier) -> DataFrame:
 
 
 def _stated(scored: DataFrame) -> DataFrame:
+    """Scores with what SQL can state of them: they are probabilities, and the prediction follows them."""
     p = F.col("probability")
     return scored.select("client_id", "actual_conversion", F.coalesce(p.between(0, 1), F.lit(False)).alias("in_range"),
                          F.coalesce(F.col("prediction") == (p > 0.5).cast("double"), F.lit(False)).alias("follows_score"))

@@ -19,8 +19,9 @@ from tidemark.functions import (
     same_day, squash,
 )
 from tidemark.operators import (
-    as_of_join, attach_row, exact_quantile, first_rows, hash_sample, latest_row, latest_rows,
-    metric_rows, not_exists, not_in, one_row, top_rows, unpivot_doubles,
+    append_numbered, as_of_join, attach_row, exact_quantile, first_rows, hash_sample, latest_row, latest_rows,
+    metric_rows, not_exists, not_in, numbered, one_row, top_rows,
+    unpivot_doubles,
 )
 from tidemark.plans import catalog, scoring
 from tidemark.session import scratch_path
@@ -147,6 +148,17 @@ def _absent(d: Domain) -> DataFrame:
     return d.spark.read.parquet(path)
 
 
+@query("f22_autoincrement", """
+SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate >= DATE '1995-06-17', l_orderkey, l_linenumber) AS log_id FROM lineitem""")
+def _autoincrement(d: Domain) -> DataFrame:
+    """Two appends; the second one's ids go on from the first one's last."""
+    path, lines = scratch_path(d.spark, "autoincrement"), d.raw("lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    late = F.col("l_shipdate") >= F.lit("1995-06-17").cast("date")
+    for part in (~late, late):
+        append_numbered(lines.filter(part), path, ["l_orderkey", "l_linenumber"], "log_id")
+    return d.spark.read.parquet(path).drop("l_shipdate")
+
+
 def _scratch_table(d: Domain) -> tuple[str, str]:
     name = f"tidemark_{uuid.uuid4().hex}"
     return name, scratch_path(d.spark, name)
@@ -349,6 +361,56 @@ def _training_dataset(history: DataFrame) -> DataFrame:
     return catalog.training_dataset(spine, history, ["engagement_score_30d", "annual_income"])
 
 
+CTES["daily_activity"] = """
+SELECT client_id, CAST(CAST(event_timestamp AS DATE) AS TIMESTAMP) + INTERVAL '1' DAY AS known_at, count(*) AS day_events, max(event_timestamp) AS last_seen
+FROM marketing_events GROUP BY 1, 2"""
+CTES["store_versions"] = "SELECT client_id, feature_timestamp - INTERVAL '20' DAY AS valid_from, engagement_score_30d, annual_income, total_events_30d AS day_events FROM store_history"
+
+
+def _registry(d: Domain) -> catalog.FeatureRegistry:
+    """Two views of one client entity: activity known the day after, and the store's monthly versions."""
+    history = sources.materialize(d.store_history, scratch_path(d.spark, "store-history"))
+    activity, versions = f"activity_{uuid.uuid4().hex}", f"versions_{uuid.uuid4().hex}"
+    sources.as_view(d.events.select("client_id", "event_timestamp"), activity)
+    sources.as_view(history, versions)
+    found = catalog.FeatureRegistry(d.spark, scratch_path(d.spark, "feature-registry"))
+    for _ in range(2):  # what is there already is not registered again
+        found.register_entity("CLIENT", ["client_id"], "A client", d.now)
+        found.register_view("DAILY_ACTIVITY", "1.0", "CLIENT", "known_at", f"""
+            SELECT client_id, CAST(date_add(to_date(event_timestamp), 1) AS TIMESTAMP_NTZ) AS known_at, count(*) AS day_events, max(event_timestamp) AS last_seen
+            FROM {activity} GROUP BY ALL""", "Events of a day", d.now)
+        found.register_view("STORE_VERSIONS", "1.0", "CLIENT", "valid_from", f"""
+            SELECT client_id, feature_timestamp - INTERVAL '20' DAY AS valid_from, engagement_score_30d, annual_income, total_events_30d AS day_events
+            FROM {versions}""", "The store, month by month", d.now)
+    return found
+
+
+query("j12_registered_views", """
+SELECT s.spine_id, s.client_id, s.moment, a.known_at AS "DAILY_ACTIVITY_timestamp", a.day_events AS "DAILY_ACTIVITY_day_events", a.last_seen,
+ v.valid_from AS "STORE_VERSIONS_timestamp", v.engagement_score_30d, v.annual_income, v.day_events AS "STORE_VERSIONS_day_events"
+FROM order_spine s ASOF LEFT JOIN daily_activity a ON a.client_id = s.client_id AND a.known_at <= s.moment
+ASOF LEFT JOIN store_versions v ON v.client_id = s.client_id AND v.valid_from <= s.moment"""
+      )(lambda d: _registry(d).dataset(_order_spine(d), [("DAILY_ACTIVITY", "1.0"), ("STORE_VERSIONS", "1.0")], "moment"))
+
+
+@query("m12_feature_registry", f"""
+SELECT 'DAILY_ACTIVITY' AS name, '1.0' AS version, 'CLIENT' AS entity, 'client_id' AS join_key, 'known_at' AS timestamp_col, 'ACTIVE' AS status, {NOW} AS created_on,
+ count(*) AS rows, count(DISTINCT client_id) AS clients, min(known_at) AS earliest, max(known_at) AS latest FROM daily_activity
+UNION ALL SELECT 'STORE_VERSIONS', '1.0', 'CLIENT', 'client_id', 'valid_from', 'ACTIVE', {NOW}, count(*), count(DISTINCT client_id), min(valid_from), max(valid_from) FROM store_versions""")
+def _registered(d: Domain) -> DataFrame:
+    """The registry's rows beside what each view's query gives."""
+    registry, found = _registry(d), None
+    for name in ("DAILY_ACTIVITY", "STORE_VERSIONS"):
+        view, keys = registry.view(name, "1.0")
+        at_ = F.col(view.timestamp)
+        measured = view.frame.agg(F.count("*").alias("rows"), F.count_distinct(*keys).alias("clients"), F.min(at_).alias("earliest"), F.max(at_).alias("latest"))
+        measured = measured.withColumn("name", F.lit(name))
+        found = measured if found is None else found.unionByName(measured)
+    views = registry.views().withColumn("entity", F.explode("entities"))
+    keys = registry.entities().select(F.col("name").alias("entity"), F.explode("join_keys").alias("join_key"))
+    return views.select("name", "version", "entity", "timestamp_col", "status", "created_on").join(keys, "entity").join(found, "name")
+
+
 # --------------------------------------------------------------------------
 # Aggregation
 # --------------------------------------------------------------------------
@@ -428,7 +490,7 @@ def _per_day(d: Domain) -> DataFrame:
 
 
 query("w01_row_number", "SELECT day, n, CAST(row_number() OVER (ORDER BY n DESC, day) AS INTEGER) AS place FROM per_day"
-      )(lambda d: _per_day(d).withColumn("place", F.row_number().over(Window.orderBy(F.col("n").desc(), "day"))))
+      )(lambda d: numbered(_per_day(d), [F.col("n").desc(), "day"], "place").withColumn("place", F.col("place").cast("int")))
 query("w02_lag_change", """
 SELECT day, n, lag(n) OVER (ORDER BY day) AS previous, abs(n - lag(n) OVER (ORDER BY day)) AS change FROM per_day"""
       )(lambda d: _per_day(d).withColumn("previous", F.lag("n").over(Window.orderBy("day"))).withColumn("change", F.abs(F.col("n") - F.col("previous"))))

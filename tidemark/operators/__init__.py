@@ -1,5 +1,8 @@
 from tidemark.operators.absence import not_exists, not_in
-from tidemark.operators.latest import as_of_join, first_rows, latest_row, latest_rows, top_rows
+from tidemark.operators.latest import (
+    TimedView, as_of_join, as_of_views, first_rows, latest_row, latest_rows, top_rows,
+)
+from tidemark.operators.numbering import append_numbered, numbered
 from tidemark.operators.quantile import exact_quantile
 from tidemark.operators.reshape import (
     attach_row, feature_moments, metric_rows, one_row, unpivot_doubles,
@@ -7,7 +10,7 @@ from tidemark.operators.reshape import (
 from tidemark.operators.sampling import hash_sample, hash_split
 
 __all__ = [
-    "as_of_join", "attach_row", "exact_quantile", "feature_moments", "first_rows", "hash_sample", "hash_split",
-    "latest_row", "latest_rows", "metric_rows", "not_exists", "not_in", "one_row", "top_rows",
-    "unpivot_doubles",
+    "TimedView", "append_numbered", "as_of_join", "as_of_views", "attach_row", "exact_quantile", "feature_moments",
+    "first_rows", "hash_sample", "hash_split", "latest_row", "latest_rows", "metric_rows", "not_exists", "not_in",
+    "numbered", "one_row", "top_rows", "unpivot_doubles",
 ]

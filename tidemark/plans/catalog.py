@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.functions import at, first_match
-from tidemark.operators import as_of_join
+from tidemark.functions import at, first_match, floor_day
+from tidemark.operators import TimedView, as_of_join, as_of_views
 from tidemark.operators.absence import not_exists
 from tidemark.plans.features import STORE_COLUMNS
-from tidemark.schemas import conform
+from tidemark.schemas import TABLES, conform
 from tidemark.sources.readers import table_columns
+from tidemark.sources.writers import append_rows
 
 VIEW_NAME = "CLIENT_FINANCIAL_FEATURES_V1"
 TARGETS = ("conversion_target", "churn_target", "next_best_action")
@@ -103,6 +105,68 @@ def new_deployment(existing: DataFrame, model: str, version: str, kind: str, not
 
 
 def training_dataset(spine: DataFrame, feature_rows: DataFrame, feature_names: list[str],
-                     timestamp: str = "feature_timestamp") -> DataFrame:
+                     timestamp: str = "feature_timestamp", bucket=floor_day) -> DataFrame:
     """Spine rows with the feature values known at each row's time."""
-    return as_of_join(spine, feature_rows, "client_id", timestamp, timestamp, feature_names)
+    return as_of_join(spine, feature_rows, "client_id", timestamp, timestamp, feature_names, bucket)
+
+
+class FeatureRegistry:
+    """Entities and versioned feature views as two tables under ``root``; a view is a query over tables of the session.
+
+    What is registered stays as it is: a name (and version) can be taken once.  Registry rows are the only ones that
+    come to the driver; views stay plans.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        for table in ("entities", "feature_views"):
+            place = spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
+            if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+                append_rows(spark.createDataFrame([], TABLES[table]), f"{self.root}/{table}")
+
+    def entities(self) -> DataFrame:
+        return self.spark.read.schema(TABLES["entities"]).parquet(f"{self.root}/entities")
+
+    def views(self) -> DataFrame:
+        return self.spark.read.schema(TABLES["feature_views"]).parquet(f"{self.root}/feature_views")
+
+    def register_entity(self, name: str, join_keys: Sequence[str], desc: str, as_of: datetime) -> None:
+        append_rows(new_entity(self.entities(), name, list(join_keys), desc, as_of), f"{self.root}/entities")
+
+    def register_view(self, name: str, version: str, entity: str, timestamp_col: str, query: str, desc: str,
+                      as_of: datetime) -> None:
+        """ValueError for an unknown entity, and for a query without the entity's keys or the timestamp."""
+        needed = {*self._keys(entity), timestamp_col}
+        missing = needed - set(self.spark.sql(query).columns)
+        if missing:
+            raise ValueError(f"view {name} {version} lacks {sorted(missing)}")
+        row = new_feature_view(self.views(), name, version, [entity], timestamp_col, desc, query, as_of)
+        append_rows(row, f"{self.root}/feature_views")
+
+    def _keys(self, entity: str) -> list[str]:
+        row = self.entities().filter(F.col("name") == entity).first()
+        if row is None:
+            raise ValueError(f"no entity {entity} under {self.root}")
+        return list(row["join_keys"])
+
+    def view(self, name: str, version: str) -> tuple[TimedView, list[str]]:
+        """A registered view, ready to meet a spine, and the keys of its entity."""
+        row = self.views().filter((F.col("name") == name) & (F.col("version") == version)).first()
+        if row is None:
+            raise LookupError(f"no feature view {name} {version} under {self.root}")
+        keys, frame = self._keys(row["entities"][0]), self.spark.sql(row["query"])
+        features = [c for c in frame.columns if c not in (*keys, row["timestamp_col"])]
+        return TimedView(name, frame, row["timestamp_col"], features), keys
+
+    def dataset(self, spine: DataFrame, views: Sequence[tuple[str, str]], timestamp: str, bucket=floor_day) -> DataFrame:
+        """Spine rows with what every listed (name, version) knew of their keys at their time.
+
+        Views of one entity meet the spine in one shuffle; views of a further entity in one more.
+        """
+        by_keys: dict[tuple[str, ...], list[TimedView]] = {}
+        for name, version in views:
+            found, keys = self.view(name, version)
+            by_keys.setdefault(tuple(keys), []).append(found)
+        for keys, group in by_keys.items():
+            spine = as_of_views(spine, group, keys, timestamp, bucket)
+        return spine

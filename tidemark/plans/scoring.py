@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions import at, at_most, clamp, first_match, squash
 from tidemark.operators import not_in
 from tidemark.schemas import conform
+from tidemark.sources.batch_log import BatchLog
 from tidemark.sources.writers import replace_days
 
 # Model inputs, in the order the scorers index them.
@@ -250,7 +253,7 @@ def score_unscored(store: DataFrame, scored_already: DataFrame, as_of: datetime,
     return _prediction_rows(_scored(fresh), as_of, model, "1.0", "Batch_Process")
 
 
-def online_scores(store: DataFrame, as_of: datetime, model: str = MODEL_NAME) -> DataFrame:
+def online_scores(store: DataFrame, as_of: datetime | None, model: str = MODEL_NAME) -> DataFrame:
     """Rows of the inference log for a batch answered by the tiered fallback."""
     answer = fallback_tiered(*[F.col(c) for c in (
         "engagement_score_30d", "annual_income", "current_401k_balance")])
@@ -258,23 +261,49 @@ def online_scores(store: DataFrame, as_of: datetime, model: str = MODEL_NAME) ->
         F.col("_a.conversion_probability"), F.col("_a.confidence"), F.col("_a.next_action"),
         F.lit(0.0).alias("response_time_ms"), F.col("_a.source"), F.lit(None).cast("string").alias("error"),
     )
+    own_id = ["inference_id"] if "inference_id" in store.columns else []
     rows = store.withColumn("_a", answer).select(
-        "client_id", F.lit(model).alias("model_name"), packed.alias("prediction_result"),
+        *own_id, "client_id", F.lit(model).alias("model_name"), packed.alias("prediction_result"),
     ).withColumns({
         "response_time_ms": F.col("prediction_result.response_time_ms"),
         "source": F.col("prediction_result.source"),
     })
-    return conform(rows, "realtime_inference_log", at(as_of))
+    return conform(rows, "realtime_inference_log", None if as_of is None else at(as_of))
 
 
-def score_and_log(store: DataFrame, log_path: str, as_of: datetime, model: str = MODEL_NAME) -> DataFrame:
-    """Predict, append one log row per request, and return the results.
+def score_and_log(store: DataFrame, log_path: str, as_of: datetime | None = None, model: str = MODEL_NAME,
+                  batch_id: int | str | None = None) -> DataFrame:
+    """Predict, log one row per request, and return the logged answers.
 
-    The scorer is deterministic, so the returned plan yields what was logged.
+    ``batch_id`` names the requests: sent again under the same name, they are neither scored nor logged anew, and the
+    answer is what the log has.  Without one each call is a batch of its own.  Requests that carry an
+    ``inference_id`` keep it.
     """
-    rows = online_scores(store, as_of, model)
-    rows.write.mode("append").parquet(log_path)
-    return rows.select("client_id", "prediction_result")
+    log = BatchLog(store.sparkSession, log_path)
+    name = uuid.uuid4().hex if batch_id is None else batch_id
+    log.append(online_scores(store, as_of, model), name)
+    return log.read(name).select("client_id", "prediction_result")
+
+
+def score_stream(requests: DataFrame, store: DataFrame, log_path: str, checkpoint: str, as_of: datetime | None = None,
+                 model: str = MODEL_NAME, once: bool = True, interval: str = "1 second") -> StreamingQuery:
+    """Answer a stream of requests (client_id, and an inference_id where they have one) into the log.
+
+    A replayed micro-batch has the id it had before, so its requests are logged once.
+    """
+    columns = ["client_id", *[c for c in requests.columns if c == "inference_id"]]
+
+    def answer(batch: DataFrame, batch_id: int) -> None:
+        score_and_log(batch.select(*columns).join(store, "client_id"), log_path, as_of, model, batch_id)
+
+    writer = requests.writeStream.option("checkpointLocation", checkpoint).foreachBatch(answer)
+    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)
+    return writer.start()
+
+
+def inference_log(spark: SparkSession, log_path: str) -> DataFrame:
+    """All logged answers, each request once."""
+    return BatchLog(spark, log_path).read().drop("batch_id")
 
 
 # --------------------------------------------------------------------------

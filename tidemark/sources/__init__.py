@@ -1,3 +1,4 @@
+from tidemark.sources.batch_log import BatchLog, newest
 from tidemark.sources.readers import (
     as_view, csv_client_ids, event_files, ingest_event_files, literal_rows, rejected_event_lines, scan,
     table_columns, table_exists,
@@ -8,8 +9,8 @@ from tidemark.sources.writers import (
 )
 
 __all__ = [
-    "append_absent", "append_rows", "as_view", "copy_table", "csv_client_ids",
-    "drop_days_before", "event_files", "ingest_event_files", "literal_rows", "materialize",
+    "BatchLog", "append_absent", "append_rows", "as_view", "copy_table", "csv_client_ids",
+    "drop_days_before", "event_files", "ingest_event_files", "literal_rows", "materialize", "newest",
     "rejected_event_lines", "replace_days", "retained", "scan", "table_columns", "table_exists", "updated",
     "update_days", "write_sorted",
 ]
