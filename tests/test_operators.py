@@ -12,7 +12,7 @@ from tidemark.functions import (
 )
 from tidemark.operators import (
     as_of_join, attach_row, exact_quantile, feature_moments, first_rows, hash_sample, hash_split,
-    latest_rows, metric_rows, not_exists, not_in,
+    latest_rows, metric_rows, not_exists, not_in, quantile,
 )
 
 START = datetime(2024, 1, 1)
@@ -136,6 +136,18 @@ def test_exact_quantile_against_numpy(spark, q):
     assert whole == pytest.approx(float(np.quantile(np.concatenate(list(groups.values())), q)), abs=1e-12)
 
 
+def test_exact_quantile_of_a_heavy_tail_orders_few_values_at_last(spark):
+    """Pareto values, a third of them equal, and a group of three: rounds narrow all to the limit."""
+    rng = np.random.default_rng(5)
+    values = {"tail": (rng.pareto(0.4, 20_000) + 1).tolist(), "ties": [7.0] * 700 + rng.pareto(1, 1300).tolist(), "few": [1.0, 2.0, 1e300]}
+    frame = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs], "g string, v double")
+    for q, limit in ((0.9999, 20), (0.5, 20), (0.999, 5), (0.0, 20), (1.0, 20)):
+        left = quantile.candidates(frame, "v", q, ["g"], 100, limit)
+        assert left.groupBy("g").count().agg(F.max("count")).first()[0] <= limit
+        got = dict(exact_quantile(frame, "v", q, ["g"], "x", accuracy=100, limit=limit).collect())
+        assert got == {g: pytest.approx(float(np.quantile(vs, q)), rel=1e-12) for g, vs in values.items()}
+
+
 def test_exact_quantile_of_null_groups_and_a_wrong_bracket(spark, monkeypatch):
     values = [float(v) for v in range(1, 2001)]
     frame = spark.createDataFrame([(None if v % 2 else "even", v) for v in values] + [("none", None)], "g string, v double")
