@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -10,8 +12,10 @@ from checks.domain import Domain
 from checks.sqltext import AS_OF, CTES, NOW, back, big, msum, rnd, sql, uniform, xavg
 from tidemark.operators import hash_split, metric_rows
 from tidemark.plans import (
-    catalog, dashboards, features, impact, monitoring, reports, scoring, segments,
+    catalog, dashboards, features, impact, monitoring, reports, scoring, segments, sql_functions,
 )
+from tidemark.session import scratch_path
+from tidemark.sources import as_view, write_bucketed
 
 QUERIES: dict[str, Callable[[Domain], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -59,6 +63,7 @@ query("q05_lifecycle_segments", "SELECT * FROM lifecycle"
       )(lambda d: features.lifecycle_segments(d.clients, d.engagement))
 query("q06_propensity_targets", "SELECT * FROM targets")(lambda d: d.targets)
 query("q07_feature_store", "SELECT * FROM store")(lambda d: d.store)
+query("q07_store_from_buckets", "SELECT * FROM store")(lambda d: _store_from_buckets(d))
 query("q07_feature_store_three_tables", "SELECT * FROM store"
       )(lambda d: features.unify_features(d.engagement, d.financial, d.targets))
 query("q07_feature_store_with_inactive", """
@@ -67,6 +72,16 @@ SELECT f.client_id, f.feature_timestamp, e.* EXCLUDE (client_id, feature_timesta
 FROM financial f LEFT JOIN engagement e ON e.client_id = f.client_id JOIN targets t ON t.client_id = f.client_id"""
       )(lambda d: features.feature_store(d.events, d.clients, d.now, include_inactive=True))
 
+
+def _store_from_buckets(d: Domain) -> DataFrame:
+    """The three feature tables bucketed by client, then joined where they lie."""
+    tables = []
+    for label, frame in {"engagement": d.engagement, "financial": d.financial, "targets": d.targets}.items():
+        name = f"{label}_{uuid.uuid4().hex}"
+        tables.append(write_bucketed(frame, name, "client_id", 8, scratch_path(d.spark, name)))
+    return features.unify_features(*tables)
+
+
 query("q08_feature_completeness", f"""
 SELECT count(*) AS total_records, count(engagement_score_30d) AS with_engagement_score,
  count(retirement_readiness_score) AS with_retirement_score, count(conversion_target) AS with_conversion_target,
@@ -75,7 +90,7 @@ FROM store""")(lambda d: reports.feature_completeness(d.store))
 
 
 def _avg4(column: str) -> str:
-    return rnd(xavg(column, 4), 4)
+    return rnd(xavg(column), 4)
 
 
 query("q09_key_feature_stats", f"""
@@ -115,28 +130,39 @@ SELECT client_id, feature_timestamp, total_events_7d, web_visits_7d, email_opens
 # Columns hidden from the definitions are the key, the clock and the targets.
 _DEFINED = [c for c in features.STORE_COLUMNS if c not in ("client_id", "feature_timestamp", *catalog.TARGETS)]
 CTES["filled"] = " UNION ALL ".join(
-    f"SELECT '{c}' AS feature_name, count({c}) AS filled_rows FROM store" for c in _DEFINED)
+    f"""SELECT '{c}' AS feature_name, count({c}) AS filled_rows,
+ CASE any_value(typeof({c})) WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(any_value(typeof({c}))) END AS feature_type FROM store"""
+    for c in _DEFINED)
 CTES["defined"] = """
-SELECT feature_name, filled_rows, CASE WHEN feature_name LIKE '%_7d' THEN 'Engagement metrics over 7 days'
+SELECT feature_name, feature_type, filled_rows, CASE WHEN feature_name LIKE '%_7d' THEN 'Engagement metrics over 7 days'
  WHEN feature_name LIKE '%_30d' THEN 'Engagement metrics over 30 days' WHEN feature_name LIKE '%_90d' THEN 'Engagement metrics over 90 days'
  WHEN feature_name IN ('age', 'annual_income', 'current_401k_balance') THEN 'Client demographic features'
  WHEN feature_name LIKE '%ratio%' THEN 'Behavioral ratio metrics' ELSE 'Client feature' END AS feature_description FROM filled"""
 
 
-def _defined(d: Domain) -> DataFrame:
-    """Definitions beside the number of store rows that fill each feature."""
-    filled = metric_rows(d.store, {c: F.count(c) for c in _DEFINED}, "feature_name", "filled_rows")
-    return catalog.feature_definitions(d.store).join(filled, "feature_name")
+def _filled(d: Domain) -> DataFrame:
+    """The number of store rows that fill each feature."""
+    return metric_rows(d.store, {c: F.count(c) for c in _DEFINED}, "feature_name", "filled_rows")
 
 
 query("q12_definition_listing", """
-SELECT feature_name, feature_description, filled_rows FROM defined ORDER BY feature_name LIMIT 20"""
-      )(lambda d: _defined(d).select("feature_name", "feature_description", "filled_rows").orderBy("feature_name").limit(20))
+SELECT feature_name, feature_type, feature_description, filled_rows FROM defined ORDER BY feature_name LIMIT 20"""
+      )(lambda d: catalog.definition_listing(catalog.feature_definitions(d.store)).join(_filled(d), "feature_name"))
 query("q12_definitions_by_description", f"""
 SELECT feature_description, count(*) AS num_features, {big('sum(filled_rows)')} AS filled_values FROM defined GROUP BY 1"""
-      )(lambda d: _defined(d).groupBy("feature_description").agg(
-          F.count("*").alias("num_features"), F.sum("filled_rows").alias("filled_values")))
+      )(lambda d: _by_description(d))
+
+
+def _by_description(d: Domain) -> DataFrame:
+    definitions = catalog.feature_definitions(d.store)
+    filled = definitions.join(_filled(d), "feature_name").groupBy("feature_description").agg(F.sum("filled_rows").alias("filled_values"))
+    return catalog.definitions_by_description(definitions).join(filled, "feature_description")
 
+
+query("q13_engaged_clients_default", """
+SELECT client_id, engagement_score_30d, retirement_readiness_score, lifecycle_stage, total_assets_under_management, annual_income
+FROM store WHERE engagement_score_30d > 0.8e0 ORDER BY total_assets_under_management DESC, client_id LIMIT 10"""
+      )(lambda d: reports.engaged_clients(catalog.feature_view(d.store)))
 query("q13_engaged_clients", """
 SELECT client_id, engagement_score_30d, retirement_readiness_score, lifecycle_stage, total_assets_under_management, annual_income
 FROM store WHERE engagement_score_30d > 0.1e0 ORDER BY total_assets_under_management DESC, client_id LIMIT 10"""
@@ -146,16 +172,16 @@ SELECT client_id, age, annual_income, current_401k_balance, total_assets_under_m
 FROM store WHERE wealth_growth_potential > 0.7e0 AND service_tier_numeric >= 3 ORDER BY total_assets_under_management DESC, client_id LIMIT 20"""
       )(lambda d: reports.high_value_clients(catalog.feature_view(d.store)))
 query("q14_age_segment_distribution", f"""
-SELECT age_segment, count(*) AS client_count, {xavg('engagement_score_30d', 4)} AS avg_engagement,
- {xavg('retirement_readiness_score', 4)} AS avg_readiness FROM store GROUP BY 1"""
+SELECT age_segment, count(*) AS client_count, {xavg('engagement_score_30d')} AS avg_engagement,
+ {xavg('retirement_readiness_score')} AS avg_readiness FROM store GROUP BY 1"""
       )(lambda d: reports.age_segment_distribution(catalog.feature_view(d.store)))
 query("q14_engagement_patterns", f"""
-SELECT lifecycle_stage, avg(total_events_30d) AS avg_monthly_events, {xavg('email_click_rate_30d', 4)} AS avg_email_engagement,
- {xavg('web_preference_ratio', 4)} AS avg_web_preference, count(*) AS client_count FROM store GROUP BY 1"""
+SELECT lifecycle_stage, avg(total_events_30d) AS avg_monthly_events, {xavg('email_click_rate_30d')} AS avg_email_engagement,
+ {xavg('web_preference_ratio')} AS avg_web_preference, count(*) AS client_count FROM store GROUP BY 1"""
       )(lambda d: reports.engagement_patterns(catalog.feature_view(d.store)))
 query("q15_store_summary", """
 SELECT 'Total Clients' AS metric, count(DISTINCT client_id) AS value FROM store
-UNION ALL SELECT 'Total Features', CAST(52 AS BIGINT) UNION ALL SELECT 'Feature Categories', CAST(6 AS BIGINT)"""
+UNION ALL SELECT 'Total Features', count(*) FROM defined UNION ALL SELECT 'Feature Categories', count(DISTINCT feature_description) FROM defined"""
       )(lambda d: reports.store_summary(catalog.feature_view(d.store), catalog.feature_definitions(d.store)))
 query("q16_time_on_page_stats", f"""
 SELECT event_type, count(*) AS events_with_time, {rnd('avg(time_on_page)', 1)} AS avg_time_seconds,
@@ -202,7 +228,7 @@ SELECT age_segment, count(*) AS client_count, {xavg('conversion_probability')} A
       )(lambda d: reports.scores_by_age_segment(d.scores))
 query("q20_scores_by_stage", f"""
 SELECT lifecycle_stage, count(*) AS client_count, {xavg('conversion_probability')} AS avg_probability,
- {xavg('business_priority_score', 4)} AS avg_priority FROM scores GROUP BY 1""")(lambda d: reports.scores_by_stage(d.scores))
+ {xavg('business_priority_score')} AS avg_priority FROM scores GROUP BY 1""")(lambda d: reports.scores_by_stage(d.scores))
 query("q21_calibration_three_bands", f"""
 SELECT CASE WHEN conversion_probability > 0.7e0 THEN 'High (>0.7)' WHEN conversion_probability > 0.4e0 THEN 'Medium (0.4-0.7)'
  ELSE 'Low (<0.4)' END AS probability_band, count(*) AS client_count, {big('sum(actual_conversion)')} AS actual_conversions,
@@ -252,13 +278,13 @@ SELECT count(*) AS total_clients, count(*) FILTER (WHERE churn_target = 1) AS ch
       )(lambda d: segments.churn_indicators(d.store))
 settled_query("q26_churn_segments", "SELECT * FROM churn")(lambda d: d.churn)
 settled_query("q27_retention_summary", f"""
-SELECT retention_segment, value_tier, count(*) AS client_count, {xavg('churn_risk_score', 3)} AS avg_risk_score,
+SELECT retention_segment, value_tier, count(*) AS client_count, {xavg('churn_risk_score')} AS avg_risk_score,
  avg(days_since_last_activity) AS avg_days_inactive FROM churn GROUP BY 1, 2""")(lambda d: segments.retention_summary(d.churn))
 settled_query("q27_churn_prevention_summary", f"""
 SELECT analysis_timestamp, count(*) AS total_clients, count(*) FILTER (WHERE retention_segment LIKE 'Critical%') AS critical_risk_clients,
  count(*) FILTER (WHERE retention_segment LIKE 'High Risk%') AS high_risk_clients,
  count(*) FILTER (WHERE value_tier = 'High Value' AND churn_risk_score >= 0.7e0) AS high_value_at_risk,
- count(*) FILTER (WHERE churn_risk_score >= 0.7e0) AS total_high_risk, {xavg('churn_risk_score', 3)} AS avg_churn_risk,
+ count(*) FILTER (WHERE churn_risk_score >= 0.7e0) AS total_high_risk, {xavg('churn_risk_score')} AS avg_churn_risk,
  avg(days_since_last_activity) AS avg_days_inactive FROM churn GROUP BY 1""")(lambda d: segments.churn_prevention_summary(d.churn))
 settled_query("q27_critical_clients", f"""
 SELECT c.client_id, c.value_tier, {rnd('s.total_assets_under_management', 0)} AS assets, c.days_since_last_activity,
@@ -444,13 +470,13 @@ SELECT count(DISTINCT client_id) AS total_clients, count(*) FILTER (WHERE predic
       )(lambda d: impact.prediction_kpis(d.preds))
 settled_query("q46_churn_kpis", f"""
 SELECT count(*) AS at_risk_clients, count(*) FILTER (WHERE value_tier = 'High Value') AS high_value_at_risk,
- {xavg('churn_risk_score', 3)} AS avg_churn_risk FROM churn WHERE churn_risk_score > 0.6e0""")(lambda d: impact.churn_kpis(d.churn))
+ {xavg('churn_risk_score')} AS avg_churn_risk FROM churn WHERE churn_risk_score > 0.6e0""")(lambda d: impact.churn_kpis(d.churn))
 query("q46_revenue_by_segment", """
 SELECT action_segment, count(*) AS client_count, avg(CASE WHEN conversion_probability = 1 THEN 50000 ELSE 0 END) AS avg_revenue_per_group
 FROM segments GROUP BY 1""")(lambda d: impact.revenue_by_segment(d.segments))
 query("q46_conversion_groups", f"""
 SELECT CASE WHEN prediction = 1 THEN 'High Conversion' ELSE 'Low Conversion' END AS conversion_group, count(*) AS client_count,
- {xavg('business_priority_score', 4)} AS avg_priority_score FROM preds WHERE actual_conversion IS NOT NULL GROUP BY 1"""
+ {xavg('business_priority_score')} AS avg_priority_score FROM preds WHERE actual_conversion IS NOT NULL GROUP BY 1"""
       )(lambda d: impact.conversion_groups(d.preds))
 query("q46_conversion_groups_by_rate", """
 SELECT CASE WHEN conversion_probability = 1 THEN 'High Conversion' ELSE 'Low Conversion' END AS conversion_group, count(*) AS client_count,
@@ -469,7 +495,7 @@ CTES["request_log"] = """
 SELECT 'client_' || lpad(CAST(user_id AS VARCHAR), 8, '0') AS client_id, value AS response_time_ms,
  CASE WHEN event_type = 'error' THEN 'fallback' ELSE 'container_service' END AS source, ts FROM events"""
 query("q49_latency_by_day", f"""
-SELECT CAST(ts AS DATE) AS date, count(*) AS total_requests, {rnd(xavg('response_time_ms', 4), 2)} AS avg_response_time_ms,
+SELECT CAST(ts AS DATE) AS date, count(*) AS total_requests, {rnd(xavg('response_time_ms'), 2)} AS avg_response_time_ms,
  {rnd('quantile_cont(response_time_ms, 0.95)', 2)} AS p95_response_time_ms,
  count(*) FILTER (WHERE source = 'container_service') AS service_requests, count(*) FILTER (WHERE source = 'fallback') AS fallback_requests,
  {rnd("count(*) FILTER (WHERE source = 'container_service') * 100e0 / count(*)", 2)} AS service_success_rate_pct
@@ -483,7 +509,7 @@ FROM clients c LEFT JOIN advisors a ON a.advisor_id = c.assigned_advisor_id
 LEFT JOIN (SELECT * FROM store_history QUALIFY feature_timestamp = max(feature_timestamp) OVER (PARTITION BY client_id)) s ON s.client_id = c.client_id
 LEFT JOIN (SELECT * FROM prediction_history QUALIFY prediction_timestamp = max(prediction_timestamp) OVER (PARTITION BY client_id)) p ON p.client_id = c.client_id
 LEFT JOIN marketing_events e ON e.client_id = c.client_id AND e.event_timestamp >= {back(30)} GROUP BY ALL"""
-      )(lambda d: _client_360(d.settled(with_clients=True)))
+      )(lambda d: _client_360(d.bucketed()))
 
 
 def _client_360(d: Domain) -> DataFrame:
@@ -559,6 +585,77 @@ FROM (SELECT *, conversion_target AS actual_conversion, least(1e0, greatest(0e0,
   + CASE WHEN annual_income > 150000 THEN 25 WHEN annual_income > 100000 THEN 20 WHEN annual_income > 75000 THEN 15 WHEN annual_income > 50000 THEN 10 ELSE 0 END
   + business_priority_score * 0.2e0) / 100e0)) AS p FROM store)"""
       )(lambda d: rounded(scoring.array_scores(d.store), 9, "conversion_probability"))
+
+
+def _sql_jobs(d: Domain) -> str:
+    """The domain's tables as views, and the functions over them; returns the suffix of their names."""
+    mark = uuid.uuid4().hex
+    for name, frame in {"store": d.store, "preds": d.preds, "performance": d.perf_history, "drift": d.drift_history}.items():
+        as_view(frame, f"{name}_{mark}")
+    sql_functions.register_jobs(d.spark, *[f"{name}_{mark}" for name in ("store", "preds", "performance", "drift")])
+    return mark
+
+
+query("x10_sql_scorers", f"""
+SELECT client_id, rule_p AS conversion_probability, prediction_confidence AS confidence, recommended_action AS next_action,
+ CASE WHEN rule_p > 0.7e0 THEN 'High' WHEN rule_p > 0.4e0 THEN 'Medium' ELSE 'Low' END AS likelihood
+FROM ({CTES['daily'][CTES['daily'].index('(SELECT *') + 1:CTES['daily'].rindex(')')]})"""
+      )(lambda d: d.spark.sql(f"""
+SELECT client_id, s.*, conversion_likelihood(s.conversion_probability) AS likelihood FROM (
+ SELECT client_id, predict_conversion(engagement_score_30d, annual_income, current_401k_balance, age, service_tier_numeric, days_since_last_activity) AS s
+ FROM store_{_sql_jobs(d)})"""))
+query("x10_sql_array_scores", f"""
+SELECT client_id, {rnd('1 / (1 + exp(-0.1e0 * ((' + ' + '.join(_SEVEN) + ') / 7 - 10)))', 9)} AS logistic, {rnd("""least(1e0, greatest(0e0, (
+  CASE WHEN total_events_30d > 20 THEN 30 WHEN total_events_30d > 10 THEN 20 WHEN total_events_30d > 5 THEN 10 ELSE 0 END
+  + least(coalesce(engagement_score_30d, 0e0) / 4, 25e0)
+  + CASE WHEN annual_income > 150000 THEN 25 WHEN annual_income > 100000 THEN 20 WHEN annual_income > 75000 THEN 15 WHEN annual_income > 50000 THEN 10 ELSE 0 END
+  + business_priority_score * 0.2e0) / 100e0))""", 9)} AS points FROM store WHERE total_events_30d IS NOT NULL AND engagement_score_30d IS NOT NULL AND days_since_last_activity IS NOT NULL"""
+      )(lambda d: _array_scores(d))
+
+
+def _array_scores(d: Domain) -> DataFrame:
+    sql_functions.register_scorers(d.spark)
+    name = f"inputs_{uuid.uuid4().hex}"
+    known = d.store.dropna(subset=["total_events_30d", "engagement_score_30d", "days_since_last_activity"])
+    as_view(known.select("client_id", scoring.feature_array().alias("features")), name)
+    return d.spark.sql(f"SELECT client_id, round(logistic_score(features), 9) AS logistic, round(points_score(features), 9) AS points FROM {name}")
+
+
+query("x11_sql_daily_scoring", f"""
+SELECT client_id, {NOW} AS prediction_timestamp, conversion_probability, recommended_action, prediction_confidence, conversion_likelihood,
+ CAST({NOW} AS DATE) AS prediction_date FROM daily
+UNION ALL SELECT client_id, {NOW} - INTERVAL '1' DAY, conversion_probability, recommended_action, prediction_confidence, conversion_likelihood,
+ CAST({NOW} - INTERVAL '1' DAY AS DATE) FROM daily"""
+      )(lambda d: _scored_days(d.settled()))
+
+
+def _scored_days(d: Domain) -> DataFrame:
+    """The script for two days, and for one of them again."""
+    table = f"daily_{_sql_jobs(d)}"
+    for back_days in (1, 0, 0):
+        sql_functions.run_daily_scoring_sql(d.spark, table, (d.now - timedelta(days=back_days)).date())
+    return d.spark.table(table).drop("model_name", "lifecycle_stage")
+
+
+query("x12_sql_performance_check", f"""
+SELECT a AS current_accuracy, (0.5e0 - a) / 0.5e0 AS performance_drop,
+ CASE WHEN (0.5e0 - a) / 0.5e0 > 0.1e0 THEN 'RETRAINING RECOMMENDED: Performance dropped by ' || CAST({rnd('(0.5e0 - a) / 0.5e0 * 100', 1)} AS VARCHAR) || '%'
+  ELSE 'Model performing well. Current accuracy: ' || CAST({rnd('a * 100', 1)} AS VARCHAR) || '%' END AS result
+FROM (SELECT count(*) FILTER (WHERE prediction = actual_conversion) / nullif(count(*), 0) AS a FROM preds)"""
+      )(lambda d: _called(d, "SELECT * FROM performance_check(0.5D, 0.1D)"))
+settled_query("x13_sql_alert_check", f"""
+SELECT CASE WHEN a < 0.65e0 THEN 'ALERT: Model accuracy below threshold - ' || CAST({rnd('a', 4)} AS VARCHAR)
+ WHEN w > 2e0 THEN 'ALERT: High feature drift detected - ' || CAST({rnd('w', 4)} AS VARCHAR) ELSE 'All systems normal' END AS alert_status
+FROM (SELECT (SELECT {xavg('metric_value')} FROM perf_history WHERE metric_name = 'ACCURACY' AND evaluation_timestamp >= TIMESTAMP '2024-01-29 00:00:00') AS a,
+ (SELECT max(drift_score) FROM drift_history WHERE check_timestamp >= TIMESTAMP '2024-01-29 00:00:00') AS w)"""
+              )(lambda d: _called(d, "SELECT * FROM alert_check(TIMESTAMP_NTZ '2024-01-30 00:00:00', 0.65D, 2D)"))
+
+
+def _called(d: Domain, text: str) -> DataFrame:
+    _sql_jobs(d)
+    return d.spark.sql(text)
+
+
 CTES["lookup"] = """
 SELECT p.*, s.days_since_last_activity, s.total_assets_under_management, s.retirement_readiness_score, s.years_to_retirement,
  CASE WHEN p.prediction = 1 THEN 'Will Convert' ELSE 'Will Not Convert' END AS text,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import timedelta
 from functools import cached_property
 
@@ -11,7 +12,7 @@ from tidemark.functions import at, days_back, exact_avg, first_match, floor_day,
 from tidemark.operators import unpivot_doubles
 from tidemark.plans import features, impact, monitoring, scoring, segments
 from tidemark.session import scratch_path
-from tidemark.sources import materialize, star
+from tidemark.sources import materialize, star, write_bucketed
 
 DRIFTING = ("total_events_30d", "engagement_score_30d", "annual_income")
 
@@ -34,6 +35,23 @@ class Domain:
         other.__dict__["store"] = materialize(other.store, scratch_path(self.spark, "feature-store"))
         return other
 
+    def bucketed(self, buckets: int | None = None) -> Domain:
+        """The same domain with clients, events and the store's history in tables bucketed by client.
+
+        As many buckets as shuffle partitions: what joins them by client is read where it lies.
+        """
+        other, count = Domain(self.spark, self.folder), buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+        def kept(label: str, frame: DataFrame) -> DataFrame:
+            name = f"{label}_{uuid.uuid4().hex}"
+            return write_bucketed(frame, name, "client_id", count, scratch_path(self.spark, name))
+
+        other.__dict__["clients"] = kept("clients", self.clients)
+        other.__dict__["events"] = kept("events", self.events)
+        other.__dict__["store_history"] = kept("store", other.store_history)
+        other.__dict__["store"] = other.store_history.filter(F.col("feature_timestamp") == at(self.now))
+        return other
+
     def raw(self, table: str) -> DataFrame:
         return star.read_star(self.spark, self.folder, table)
 
@@ -136,7 +154,7 @@ class Domain:
     def drift_history(self) -> DataFrame:
         """Daily feature means against the overall mean, in deviations."""
         long = unpivot_doubles(self.monitored, DRIFTING, ["monitor_timestamp"])
-        mean = exact_avg(F.col("value"), 4)
+        mean = exact_avg(F.col("value"))
         daily = long.groupBy(floor_day(F.col("monitor_timestamp")).alias("check_timestamp"), "feature_name").agg(
             mean.alias("current_mean"))
         base = long.groupBy("feature_name").agg(

@@ -239,11 +239,11 @@ SELECT client_id, CASE tenure_segment WHEN 'New' THEN 1 WHEN 'Growing' THEN 2 WH
 
 def _train(d: Domain, classifier) -> DataFrame:
     train, test = training.split(cut_lineage(training.ordinal_encoded(training.labelled_frame(d.store))))
-    return _stated(training.predict(training.fit(train, classifier), test))
+    return training.predict(training.fit(train, classifier), test)
 
 
 def _stated(scored: DataFrame) -> DataFrame:
-    """Scores with what SQL can state of them: they are probabilities, and the prediction follows them."""
+    """What SQL can state of scores: they are probabilities, and the prediction follows them."""
     p = F.col("probability")
     return scored.select("client_id", "actual_conversion", F.coalesce(p.between(0, 1), F.lit(False)).alias("in_range"),
                          F.coalesce(F.col("prediction") == (p > 0.5).cast("double"), F.lit(False)).alias("follows_score"))
@@ -252,8 +252,11 @@ def _stated(scored: DataFrame) -> DataFrame:
 _TEST_ROWS = f"""
 SELECT client_id, conversion_target AS actual_conversion, TRUE AS in_range, TRUE AS follows_score FROM store
 WHERE conversion_target IS NOT NULL AND churn_target IS NOT NULL AND next_best_action IS NOT NULL AND {uniform('client_id', '42')} < 0.2e0"""
-query("m06_boosted_trees", _TEST_ROWS)(lambda d: _train(d, training.boosted_trees("conversion_target")))
-query("m07_random_forest", _TEST_ROWS)(lambda d: _train(d, training.random_forest("conversion_target")))
+# The scores themselves; a tree ensemble has no SQL, a test holds them against the base rate on rows not seen.
+query("m06_boosted_trees")(lambda d: _train(d, training.boosted_trees("conversion_target")))
+query("m07_random_forest")(lambda d: _train(d, training.random_forest("conversion_target")))
+query("m06_score_rules", _TEST_ROWS)(lambda d: _stated(_train(d, training.boosted_trees("conversion_target"))))
+query("m07_score_rules", _TEST_ROWS)(lambda d: _stated(_train(d, training.random_forest("conversion_target"))))
 query("m09_classification_metrics", """
 SELECT count(*) FILTER (WHERE prediction = actual_conversion) / nullif(count(*), 0) AS accuracy,
  coalesce(count(*) FILTER (WHERE prediction = 1 AND actual_conversion = 1) / nullif(count(*) FILTER (WHERE prediction = 1), 0), 0e0) AS precision,
@@ -266,14 +269,17 @@ SELECT count(*) FILTER (WHERE prediction = actual_conversion) / nullif(count(*),
 FROM preds""")(lambda d: training.classification_metrics(d.preds))
 
 
-@query("m11_registry_inference", """
-SELECT client_id, conversion_target AS actual_conversion, TRUE AS in_range, TRUE AS follows_score FROM store""")
+@query("m11_registry_inference")
 def _registry(d: Domain) -> DataFrame:
     root = scratch_path(d.spark, "registry")
     best = training.train_champion(d.store)
     training.register_model(best.model, root, "CONVERSION_PREDICTOR", "V1", best.name, best.metrics,
                             {"target": "conversion"}, d.now)
-    return _stated(training.registry_predictions(d.spark, root, "CONVERSION_PREDICTOR", d.store))
+    return training.registry_predictions(d.spark, root, "CONVERSION_PREDICTOR", d.store)
+
+
+query("m11_score_rules", """
+SELECT client_id, conversion_target AS actual_conversion, TRUE AS in_range, TRUE AS follows_score FROM store""")(lambda d: _stated(_registry(d)))
 
 
 @query("m13_model_comparison", """

@@ -24,6 +24,7 @@ from tidemark.operators import (
     unpivot_doubles,
 )
 from tidemark.plans import catalog, scoring
+from tidemark.schemas import create_table
 from tidemark.session import scratch_path
 
 QUERIES: dict[str, Callable[[Domain], DataFrame]] = {}
@@ -204,8 +205,24 @@ def _sorted(d: Domain) -> DataFrame:
     return d.spark.read.parquet(path)
 
 
+@query("s18_default_columns", """
+SELECT event_type, conversion_flag, count(*) AS events, count(event_category) AS categories, max(event_timestamp) AS newest
+FROM (SELECT event_type, CASE WHEN channel = 'Email' THEN conversion_flag ELSE false END AS conversion_flag, CAST(NULL AS VARCHAR) AS event_category, event_timestamp FROM marketing_events)
+GROUP BY 1, 2""")
+def _defaults(d: Domain) -> DataFrame:
+    """INSERTs that name all or some of the columns, read through a stored view."""
+    table, location = _scratch_table(d)
+    create_table(d.spark, "marketing_events", table, location)
+    sources.as_view(d.events.select("event_id", "client_id", "event_type", "event_timestamp", "channel", "conversion_flag"), f"{table}_new")
+    d.spark.sql(f"""INSERT INTO {table} (event_id, client_id, event_type, event_timestamp, conversion_flag)
+        SELECT event_id, client_id, event_type, event_timestamp, conversion_flag FROM {table}_new WHERE channel = 'Email'""")
+    d.spark.sql(f"INSERT INTO {table} (event_id, event_timestamp, event_type) SELECT event_id, event_timestamp, event_type FROM {table}_new WHERE channel <> 'Email' OR channel IS NULL")
+    return sources.stored_view(d.spark, f"{table}_view", f"""SELECT event_type, conversion_flag, count(*) AS events, count(event_category) AS categories,
+        max(event_timestamp) AS newest FROM {table} GROUP BY ALL""")
+
+
 @query("s19_catalog_columns", """
-SELECT 'clients' AS table_name, count(*) AS rows, CAST(11 AS BIGINT) AS columns FROM clients""")
+SELECT 'clients' AS table_name, count(*) AS rows, (SELECT CAST(len(json_keys(to_json(c))) AS BIGINT) FROM clients c LIMIT 1) AS columns FROM clients""")
 def _catalog(d: Domain) -> DataFrame:
     listing = sources.table_columns(d.clients, "clients")
     width = listing.groupBy("table_name").agg(F.count("*").alias("columns"))
@@ -434,12 +451,12 @@ def _group_all(d: Domain) -> DataFrame:
 
 query("a07_conditional_aggregates", f"""
 SELECT client_id, count(*) AS n, count(touchpoint_value) AS known, count(CASE WHEN event_type = 'web_visit' THEN 1 END) AS visits,
- {xsum("CASE WHEN channel = 'Email' THEN touchpoint_value END", 4)} AS email_value,
+ {xsum("CASE WHEN channel = 'Email' THEN touchpoint_value END")} AS email_value,
  avg(CASE WHEN time_on_page > 100 THEN time_on_page END) AS long_mean, count(DISTINCT CASE WHEN event_timestamp >= {back(90)} THEN CAST(event_timestamp AS DATE) END) AS active_days
 FROM marketing_events GROUP BY 1"""
       )(lambda d: d.events.groupBy("client_id").agg(
           F.count("*").alias("n"), F.count("touchpoint_value").alias("known"), F.count_if(F.col("event_type") == "web_visit").alias("visits"),
-          exact_sum(F.when(F.col("channel") == "Email", F.col("touchpoint_value")), 4).alias("email_value"), F.avg(F.when(F.col("time_on_page") > 100, F.col("time_on_page"))).alias("long_mean"),
+          exact_sum(F.when(F.col("channel") == "Email", F.col("touchpoint_value"))).alias("email_value"), F.avg(F.when(F.col("time_on_page") > 100, F.col("time_on_page"))).alias("long_mean"),
           F.count_distinct(F.when(F.col("event_timestamp") >= days_back(d.now, days=90), F.to_date("event_timestamp"))).alias("active_days")))
 
 
@@ -468,10 +485,10 @@ SELECT event_type, '{"high":' || count(*) FILTER (WHERE value > 100) || ',"low":
       )(lambda d: d.raw("events").groupBy("event_type").agg(F.to_json(F.struct(
           F.count_if(F.col("value") > 100).alias("high"), F.count_if(F.col("value") <= 100).alias("low"))).alias("distribution")))
 query("a18_first_last_rows", f"""
-SELECT 'first' AS side, {xavg('value', 4)} AS mean FROM (SELECT * FROM events ORDER BY ts, event_id LIMIT 500)
-UNION ALL SELECT 'last', {xavg('value', 4)} FROM (SELECT * FROM events ORDER BY ts DESC, event_id LIMIT 500)"""
+SELECT 'first' AS side, {xavg('value')} AS mean FROM (SELECT * FROM events ORDER BY ts, event_id LIMIT 500)
+UNION ALL SELECT 'last', {xavg('value')} FROM (SELECT * FROM events ORDER BY ts DESC, event_id LIMIT 500)"""
       )(lambda d: reduce(DataFrame.unionByName, [
-          first_rows(d.raw("events"), "ts", 500, newest, "event_id").agg(exact_avg(F.col("value"), 4).alias("mean")).select(
+          first_rows(d.raw("events"), "ts", 500, newest, "event_id").agg(exact_avg(F.col("value")).alias("mean")).select(
               F.lit("last" if newest else "first").alias("side"), "mean") for newest in (False, True)]))
 query("a19_distinct", "SELECT DISTINCT channel, device_type FROM marketing_events"
       )(lambda d: d.events.select("channel", "device_type").distinct())

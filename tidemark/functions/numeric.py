@@ -60,24 +60,19 @@ def squash(x: Column, slope: float, centre: float) -> Column:
     return 1.0 / (1.0 + F.exp(-slope * (x - centre)))
 
 
-def _total(x: Column, digits: int) -> Column:
-    """Sum of the values in units of ``10 ** -digits``: whole numbers of up to 30 places, which no table overflows."""
-    return F.sum(F.floor(x * float(10 ** digits) + 0.5).cast("decimal(20,0)")).cast("double")
+def exact_sum(x: Column, digits: int = 18) -> Column:
+    """Sum of a double through a decimal accumulator.
 
-
-def exact_sum(x: Column, digits: int = 8) -> Column:
-    """Sum of a fixed-precision double through an integer accumulator.
-
-    Adding doubles depends on the order partial sums arrive in; integers do
-    not, so a report does not change with the shuffle layout.  ``digits`` is
-    the precision of the input's definition: what lies below is rounded away
-    value by value.  Use :func:`money_sum` for amounts.
+    Adding doubles depends on the order partial sums arrive in; decimals do
+    not, so a report does not change with the shuffle layout.  Each value
+    counts as it prints, to ``digits`` places; the total may have ``38 -
+    digits`` before the point.  Use :func:`money_sum` for amounts.
     """
-    return _total(x, digits) / float(10 ** digits)
+    return F.sum(x.cast(f"decimal(38,{digits})")).cast("double")
 
 
-def exact_avg(x: Column, digits: int = 8) -> Column:
-    return _total(x, digits) / F.nullif(F.count(x), F.lit(0)) / float(10 ** digits)
+def exact_avg(x: Column, digits: int = 18) -> Column:
+    return exact_sum(x, digits) / F.nullif(F.count(x), F.lit(0))
 
 
 def money_sum(x: Column, digits: int = 6) -> Column:

@@ -44,7 +44,7 @@ def latency_by_day(log: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
     served = F.count_if(F.col("source") == "container_service")
     totals = recent.groupBy("date").agg(
         F.count("*").alias("total_requests"),
-        F.round(exact_avg(F.col("response_time_ms"), 4), 2).alias("avg_response_time_ms"),
+        F.round(exact_avg(F.col("response_time_ms")), 2).alias("avg_response_time_ms"),
         served.alias("service_requests"),
         F.count_if(F.col("source") == "fallback").alias("fallback_requests"),
         percent(served, F.count("*")).alias("service_success_rate_pct"),

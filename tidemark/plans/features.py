@@ -110,8 +110,8 @@ def client_activity(events: DataFrame, as_of: datetime) -> DataFrame:
         F.max(page_time).alias("max_session_duration_30d"),
         F.coalesce(F.bit_count(F.bit_or(F.when(in_month, day_bit))), F.lit(0)).cast("bigint")
         .alias("active_days_30d"),
-        F.round(exact_sum(touch, 4), 4).alias("total_touchpoint_value_30d"),
-        F.round(exact_avg(touch, 4), 4).alias("avg_touchpoint_value_30d"),
+        F.round(exact_sum(touch), 4).alias("total_touchpoint_value_30d"),
+        F.round(exact_avg(touch), 4).alias("avg_touchpoint_value_30d"),
         F.count_if(in_month & F.col("conversion_flag")).alias("conversions_30d"),
         F.max(ts).alias("last_activity_timestamp"),
         equals("channel", "Website").alias("web_preference_count"),
@@ -124,7 +124,7 @@ def client_activity(events: DataFrame, as_of: datetime) -> DataFrame:
         F.count("*").alias("total_lifetime_events"),
         equals("event_type", "document_download").alias("education_engagement"),
         equals("event_type", "advisor_meeting").alias("advisor_meetings_total"),
-        exact_avg(F.col("touchpoint_value").cast("double"), 4).alias("avg_touchpoint_value"),
+        exact_avg(F.col("touchpoint_value").cast("double")).alias("avg_touchpoint_value"),
         days_between(F.min(ts), F.max(ts)).alias("engagement_span_days"),
     )
 

@@ -111,7 +111,7 @@ def churn_kpis(churn: DataFrame) -> DataFrame:
     return churn.filter(F.col("churn_risk_score") > 0.6).agg(
         F.count("*").alias("at_risk_clients"),
         F.count_if(F.col("value_tier") == "High Value").alias("high_value_at_risk"),
-        exact_avg(F.col("churn_risk_score"), 3).alias("avg_churn_risk"),
+        exact_avg(F.col("churn_risk_score")).alias("avg_churn_risk"),
     )
 
 
@@ -126,7 +126,7 @@ def conversion_groups(preds: DataFrame) -> DataFrame:
     group = F.when(F.col("prediction") == 1, "High Conversion").otherwise("Low Conversion")
     return preds.filter(F.col("actual_conversion").isNotNull()).groupBy(group.alias("conversion_group")).agg(
         F.count("*").alias("client_count"),
-        exact_avg(F.col("business_priority_score"), 4).alias("avg_priority_score"),
+        exact_avg(F.col("business_priority_score")).alias("avg_priority_score"),
     ).orderBy(F.col("avg_priority_score").desc())
 
 

@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.functions import exact_avg, first_match, percent
 from tidemark.operators import exact_quantile, metric_rows, attach_row, top_rows
 from tidemark.plans.scoring import NUMERIC_FEATURES
+from tidemark.session import scratch_path
+from tidemark.sources.writers import materialize
 
 
 def _avg4(column: str) -> Column:
     """Mean of a four-digit score, shown at four digits."""
-    return F.round(exact_avg(F.col(column), 4), 4)
+    return F.round(exact_avg(F.col(column)), 4)
 
 
 def _filled(column: str) -> Column:
@@ -125,16 +127,16 @@ def high_value_clients(view: DataFrame, k: int = 20, growth: float = 0.7, tier:
 def age_segment_distribution(view: DataFrame) -> DataFrame:
     return view.groupBy("age_segment").agg(
         F.count("*").alias("client_count"),
-        exact_avg(F.col("engagement_score_30d"), 4).alias("avg_engagement"),
-        exact_avg(F.col("retirement_readiness_score"), 4).alias("avg_readiness"),
+        exact_avg(F.col("engagement_score_30d")).alias("avg_engagement"),
+        exact_avg(F.col("retirement_readiness_score")).alias("avg_readiness"),
     ).orderBy("age_segment")
 
 
 def engagement_patterns(view: DataFrame) -> DataFrame:
     return view.groupBy("lifecycle_stage").agg(
         F.avg("total_events_30d").alias("avg_monthly_events"),
-        exact_avg(F.col("email_click_rate_30d"), 4).alias("avg_email_engagement"),
-        exact_avg(F.col("web_preference_ratio"), 4).alias("avg_web_preference"),
+        exact_avg(F.col("email_click_rate_30d")).alias("avg_email_engagement"),
+        exact_avg(F.col("web_preference_ratio")).alias("avg_web_preference"),
         F.count("*").alias("client_count"),
     ).orderBy(F.col("avg_monthly_events").desc(), "lifecycle_stage")
 
@@ -198,8 +200,12 @@ def likelihood_summary(scores: DataFrame) -> DataFrame:
 
 
 def score_spread(scores: DataFrame) -> DataFrame:
-    """Range, deviation and exact median of the probability."""
+    """Range, deviation and exact median of the probability.
+
+    The scores are written once, as the one column that both sides read.
+    """
     p = F.col("conversion_probability")
+    scores = materialize(scores.select(p), scratch_path(scores.sparkSession, "scores"))
     moments = scores.agg(
         F.count("*").alias("total_clients"), exact_avg(p).alias("avg_probability"),
         F.min(p).alias("min_probability"), F.max(p).alias("max_probability"),
@@ -222,7 +228,7 @@ def scores_by_stage(scores: DataFrame) -> DataFrame:
     return scores.groupBy("lifecycle_stage").agg(
         F.count("*").alias("client_count"),
         exact_avg(F.col("conversion_probability")).alias("avg_probability"),
-        exact_avg(F.col("business_priority_score"), 4).alias("avg_priority"),
+        exact_avg(F.col("business_priority_score")).alias("avg_priority"),
     ).orderBy(F.col("avg_probability").desc(), "lifecycle_stage")
 
 

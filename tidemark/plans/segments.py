@@ -176,7 +176,7 @@ def churn_segments(store: DataFrame, segments: DataFrame, as_of: datetime) -> Da
 def retention_summary(churn: DataFrame) -> DataFrame:
     return churn.groupBy("retention_segment", "value_tier").agg(
         F.count("*").alias("client_count"),
-        exact_avg(F.col("churn_risk_score"), 3).alias("avg_risk_score"),
+        exact_avg(F.col("churn_risk_score")).alias("avg_risk_score"),
         F.avg("days_since_last_activity").alias("avg_days_inactive"),
     ).orderBy(F.col("avg_risk_score").desc(), "retention_segment", "value_tier")
 
@@ -189,7 +189,7 @@ def churn_prevention_summary(churn: DataFrame) -> DataFrame:
         F.count_if(_starts("retention_segment", "High Risk")).alias("high_risk_clients"),
         F.count_if((F.col("value_tier") == "High Value") & (risk >= 0.7)).alias("high_value_at_risk"),
         F.count_if(risk >= 0.7).alias("total_high_risk"),
-        exact_avg(risk, 3).alias("avg_churn_risk"),
+        exact_avg(risk).alias("avg_churn_risk"),
         F.avg("days_since_last_activity").alias("avg_days_inactive"),
     )
 

@@ -6,7 +6,7 @@ The column names, their order and their types below are fixed values.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 NTZ = T.TimestampNTZType()
 STR = T.StringType()
@@ -217,3 +217,29 @@ def conform(df: DataFrame, table: str, as_of: Column | None = None) -> DataFrame
         (F.col(f.name) if f.name in present else _default(table, f, now, row)).cast(f.dataType).alias(f.name)
         for f in schema.fields
     ])
+
+
+def _default_text(table: str, name: str) -> str:
+    """The declared default as DDL text; ids have none that a catalog can hold (see :func:`conform`)."""
+    if name in _NOW_COLUMNS:
+        return " DEFAULT localtimestamp()"
+    if name in ("deployed_by", "owner"):
+        return " DEFAULT current_user()"
+    if name == "version" and table == "feature_stores":
+        return " DEFAULT '1.0'"
+    if name in _CONSTANTS and (name != "status" or table == "feature_views"):
+        value = _CONSTANTS[name]
+        return f" DEFAULT {str(value).lower()}" if isinstance(value, bool) else f" DEFAULT '{value}'"
+    return ""
+
+
+def create_table(spark: SparkSession, table: str, name: str | None = None, location: str | None = None) -> str:
+    """Create a declared table in the catalog, with its column defaults, unless it is there; returns its name.
+
+    An INSERT that leaves a column out gets its default from the catalog.
+    """
+    name = name or table
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}{_default_text(table, f.name)}" for f in TABLES[table].fields)
+    place = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet{place}")
+    return name

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.schemas import STREAM_EVENT
+from tidemark.session import scratch_path
 
 CORRUPT = "_corrupt_record"
 
@@ -58,10 +59,16 @@ def ingest_event_files(spark: SparkSession, source: str, target: str, quarantine
     """Batch copy of staged JSON files into a Parquet event table (append).
 
     Lines that do not parse go to a table beside it, ``<target>_rejected`` by
-    default; returns how many there were in this call.
+    default; returns how many there were in this call.  The folder is listed
+    and its lines are parsed once, into a table both sides are copied from: a
+    file that arrives meanwhile is in neither.
     """
-    event_files(spark, source).write.mode("append").parquet(target)
-    bad = rejected_event_lines(spark, source)
+    path = scratch_path(spark, "parsed-lines")
+    found = event_files(spark, source, quarantine=True).withColumn("_bad", F.col(CORRUPT).isNotNull())
+    found.write.partitionBy("_bad").parquet(path)
+    parsed = spark.read.schema(found.schema).parquet(path)
+    accepted(parsed.filter("NOT _bad").drop("_bad")).write.mode("append").parquet(target)
+    bad = rejected(parsed.filter("_bad").drop("_bad"))
     bad.write.mode("append").parquet(quarantine or f"{target.rstrip('/')}_rejected")
     return bad.count()
 
@@ -78,6 +85,12 @@ def as_view(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
+def stored_view(spark: SparkSession, name: str, query: str) -> DataFrame:
+    """A view kept in the catalog, over catalog tables; replaces an earlier one of the name."""
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS {query}")
+    return spark.table(name)
+
+
 def table_exists(spark: SparkSession, name: str) -> bool:
     return spark.catalog.tableExists(name)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from tidemark.functions import at
 from tidemark.operators.absence import not_exists
@@ -45,18 +45,39 @@ def write_sorted(df: DataFrame, path: str, keys: Sequence[str], partitions: int
     ranged.sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
-def _swap_days(df: DataFrame, table: str, day_column: str) -> None:
-    """Replace exactly the partitions ``df`` has rows for.
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, location: str | None = None) -> DataFrame:
+    """A catalog table whose rows lie in ``buckets`` files by ``key``, sorted: joins, windows and aggregates on the key
+    with tables of as many buckets need no shuffle, now or in any later query.
+
+    Choose ``buckets`` like shuffle partitions for the table's size, the same for all tables that meet.
+    """
+    writer = df.repartition(buckets, key).write.format("parquet").mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", location) if location else writer).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def _swap_days(df: DataFrame, table: str, day_column: str) -> set[date | None]:
+    """Replace exactly the partitions ``df`` has rows for; returns their days, observed while they are written.
 
     The mode is an option of this one write, so writers in other threads of
     the session are not touched.  New files are moved in when the job commits;
-    then the catalog learns of new days.
+    then the catalog learns of these days, and lists no others.
     """
-    spark = df.sparkSession
+    spark, seen = df.sparkSession, Observation()
     place = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").filter("col_name = 'Location'").first()["data_type"]
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day_column).parquet(place)
-    spark.sql(f"MSCK REPAIR TABLE {table}")
+    day = F.col(day_column)
+    watched = df.observe(seen, F.collect_set(day).alias("days"), F.count_if(day.isNull()).alias("without"))
+    _by_day(watched, day_column).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day_column).parquet(place)
+    days = {*(seen.get["days"] or ()), *([None] if seen.get["without"] else [])}
+    specs = " ".join(f"PARTITION ({day_column} = {_day(d)})" for d in days)
+    if specs:
+        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {specs}")
     spark.catalog.refreshTable(table)
+    return days
+
+
+def _day(day: date | None) -> str:
+    return "NULL" if day is None else f"DATE '{day}'"
 
 
 def _drop_days(spark: SparkSession, table: str, day_column: str, days: Sequence[date]) -> None:
@@ -84,18 +105,12 @@ def replace_days(df: DataFrame, table: str, day_column: str, location: str | Non
     given.  Nothing is deleted before the new files are in place.
     """
     spark = df.sparkSession
-    emptied = []
-    if days:
-        present = {r[0] for r in df.select(day_column).filter(F.col(day_column).isin(list(days))).distinct().collect()}
-        emptied = sorted(set(days) - present)
-    df = _by_day(df, day_column)
     if not spark.catalog.tableExists(table):
-        writer = df.write.partitionBy(day_column).format("parquet")
+        writer = _by_day(df, day_column).write.partitionBy(day_column).format("parquet")
         (writer.option("path", location) if location else writer).saveAsTable(table)
         return
-    ordered = df.select(*spark.table(table).columns)
-    _swap_days(ordered, table, day_column)
-    _drop_days(spark, table, day_column, emptied)
+    present = _swap_days(df.select(*spark.table(table).columns), table, day_column)
+    _drop_days(spark, table, day_column, sorted(set(days) - present))
 
 
 def retained(df: DataFrame, ts: str, as_of: datetime, days: int = 30) -> DataFrame:
@@ -125,7 +140,7 @@ def drop_days_before(spark: SparkSession, table: str, day_column: str, ts: str,
         if kept.isEmpty():
             dropped.append(cutoff.date())
         else:
-            _swap_days(_by_day(kept, day_column), table, day_column)
+            _swap_days(kept, table, day_column)
     _drop_days(spark, table, day_column, dropped)
     return dropped
 
@@ -143,7 +158,9 @@ def update_days(spark: SparkSession, table: str, day_column: str, condition: Col
                 values: Mapping[str, Column]) -> None:
     """Conditional update of a day table, rewriting only the days with a hit."""
     stored = spark.table(table)
-    touched = stored.filter(condition).select(day_column).distinct()
-    affected = stored.join(touched, stored[day_column].eqNullSafe(touched[day_column]), "left_semi")
-    changed = _by_day(updated(affected, condition, values), day_column)
-    _swap_days(changed, table, day_column)
+    touched = [r[0] for r in stored.filter(condition).select(day_column).distinct().collect()]
+    if not touched:
+        return
+    known, day = [d for d in touched if d is not None], F.col(day_column)
+    affected = stored.filter(day.isin(known) | day.isNull() if None in touched else day.isin(known))
+    _swap_days(updated(affected, condition, values), table, day_column)

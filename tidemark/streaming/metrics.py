@@ -8,6 +8,7 @@ to close.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -38,19 +39,25 @@ def latest_versions(spark: SparkSession, target: str, keys: Sequence[str]) -> Da
 def compact_updates(spark: SparkSession, target: str, keys: Sequence[str]) -> int:
     """Make one folder of an update log: the newest row of each key, under the newest batch id.
 
+    The rows are written under a name that readers do not list, which is then
+    renamed; a run that dies before leaves nothing a later one stumbles over.
     The new folder's name pads the id with zeros, which reads as the same
-    number, so nothing is replaced in place: until the folders it stands for
-    are deleted, a reader finds equal rows in both.  Run it between batches;
-    returns the number of folders deleted.
+    number: until the folders it stands for are deleted, a reader finds equal
+    rows in both.  Run it between batches, when no reader is at work; returns
+    the number of folders deleted.
     """
-    files = spark._jvm.org.apache.hadoop.fs.Path(target)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(target)
     system = files.getFileSystem(spark._jsc.hadoopConfiguration())
     folders = [f.getPath() for f in system.listStatus(files) if f.getPath().getName().startswith("batch_id=")]
     if len(folders) < 2:
         return 0
     newest = max(int(f.getName().partition("=")[2]) for f in folders)
     width = max(len(f.getName().partition("=")[2]) for f in folders) + 1
-    latest_versions(spark, target, keys).write.parquet(f"{target}/batch_id={newest:0{width}d}")
+    hidden = f"{target}/_compacting-{uuid.uuid4().hex}"
+    latest_versions(spark, target, keys).write.parquet(hidden)
+    if not system.rename(hadoop(hidden), hadoop(f"{target}/batch_id={newest:0{width}d}")):
+        raise OSError(f"cannot rename {hidden}")
     for folder in folders:
         system.delete(folder, True)
     return len(folders)
