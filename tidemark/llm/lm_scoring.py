@@ -364,7 +364,7 @@ def score(docs: DataFrame) -> DataFrame:
         F.when(F.col("bytes") > 0, -F.col("score") * math.log2(10) / F.col("bytes")).alias("bits_per_byte"))
 
 
-def _parts(batch: pa.RecordBatch, column: int = 1, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, column: int = 1, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most about ``most`` bytes of the text in ``column``."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy())
     at = 0
