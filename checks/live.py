@@ -127,7 +127,7 @@ def _refresh(d: Domain) -> DataFrame:
 
 @query("t05_incremental_refresh", "SELECT * FROM monitored")
 def _refresh_hours(d: Domain) -> DataFrame:
-    """Labels of some clients come late, others' store rows change: only those hours are written again."""
+    """Labels of some clients come late, others' store rows change: only those days are written again."""
     target, features = scratch_path(d.spark, "monitored"), list(monitoring.MONITORED_FEATURES)
     store = materialize(d.store.select("client_id", *features), scratch_path(d.spark, "feature-store"))
     full = materialize(d.pred_log.select("client_id", "prediction", "probability", "actual_conversion",
@@ -136,7 +136,7 @@ def _refresh_hours(d: Domain) -> DataFrame:
     early = full.withColumn("actual_conversion", F.when(~late, F.col("actual_conversion")))
     older = store.withColumn(features[0], F.when(F.col("client_id").like("%11"), F.col(features[0]) + 1).otherwise(F.col(features[0])))
     for predictions, known in ((early, older), (early, older), (full, store)):
-        streaming.refresh_hours(predictions, known, features, target)
+        streaming.refresh_hours(predictions, known, features, target, unit="day")  # a few events an hour here
     return streaming.monitored_table(d.spark, target).select(*d.monitored.columns)
 
 

@@ -16,6 +16,8 @@ from tidemark.functions import floor_hour
 from tidemark.sources.batch_log import BatchLog
 
 HOUR = "hour_key"
+#: What is rewritten together: an hour, or a day where hours hold too few rows for a folder each.
+UNITS = {"hour": "yyyy-MM-dd-HH", "day": "yyyy-MM-dd"}
 
 
 def _versions(predictions: DataFrame, store: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -34,16 +36,18 @@ def _changed(old: DataFrame | None, new: DataFrame) -> DataFrame:
     return both.filter(~F.col("was").eqNullSafe(F.col("version"))).select("kind", "key", F.col("version").isNull().alias("gone"))
 
 
-def refresh_hours(predictions: DataFrame, store: DataFrame, features: Sequence[str], target: str) -> list[str]:
+def refresh_hours(predictions: DataFrame, store: DataFrame, features: Sequence[str], target: str,
+                  unit: str = "hour") -> list[str]:
     """Bring the table at ``target`` up to date; returns the hours it rewrote or removed, as text.
 
     ``predictions`` has ``client_id``, ``monitor_timestamp`` and ``actual_conversion``; rows without a label wait.  The
     versions are saved after the hours are swapped: a run that dies in between is repeated whole by the next one.
+    With ``unit="day"`` whole days stand for the hours; a table keeps the unit it began with.
     """
     spark = predictions.sparkSession
     log = BatchLog(spark, f"{target.rstrip('/')}_versions")
     last = None if log.empty() else log.numbers().agg(F.max("number")).first()[0]
-    labelled = predictions.filter(F.col("actual_conversion").isNotNull()).withColumn(HOUR, F.date_format("monitor_timestamp", "yyyy-MM-dd-HH"))
+    labelled = predictions.filter(F.col("actual_conversion").isNotNull()).withColumn(HOUR, F.date_format("monitor_timestamp", UNITS[unit]))
     number = 0 if last is None else last + 1
     new = _versions(labelled, store, features)
     changed = _changed(None if last is None else log.read(last).drop("batch_id"), new)
@@ -55,7 +59,7 @@ def refresh_hours(predictions: DataFrame, store: DataFrame, features: Sequence[s
     if listed:
         touched = labelled.filter(F.col(HOUR).isin(listed))
         rows = touched.join(store.select("client_id", *features), "client_id", "left").withColumn("monitor_hour", floor_hour(F.col("monitor_timestamp")))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(HOUR).parquet(target)
+        rows.hint("rebalance", HOUR).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(HOUR).parquet(target)
     for hour in gone:
         place = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{HOUR}={hour}")
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -62,7 +62,7 @@ def append_unique(batch: DataFrame, target: str, batch_id: int, blocks: int = BL
                 known = stored.join(maybe.select("event_id"), "event_id", "left_semi")
                 named = named.join(known, "event_id", "left_anti")
         rows = named.select(*batch.columns).unionByName(batch.filter(F.col("event_id").isNull()))
-        table.append(rows.withColumn("day", F.to_date("event_timestamp")), batch_id, ["day"])
+        table.append(rows.withColumn("day", F.to_date("event_timestamp")).hint("rebalance", "day"), batch_id, ["day"])  # few files a day
     filters.append(day_filters(table.read(batch_id), blocks), batch_id)
     return asked
 
