@@ -206,11 +206,14 @@ def code(coded: Coded, table: np.ndarray, weights: np.ndarray, rate: float) -> t
         starts, sizes = coded.starts[own], coded.sizes[own]
         now = np.tile(weights.T.astype(np.float32), (1, len(own)))
         visited = np.zeros(len(own) * GATES)
-        for at in range(0, int(sizes.max(initial=0)), CHUNK):
+        at, longest = 0, int(sizes.max(initial=0))
+        while at < longest:
             live = int(np.searchsorted(-sizes, -at, "left"))
-            used = np.arange(at, at + CHUNK) < sizes[:live, None]
-            doc, shift = np.nonzero(used)
-            index = starts[doc] + at + shift
+            # Contexts of as many chunks at once as STEP bytes hold, so few long documents cost no more calls than many.
+            chunks = max(1, min(STEP // (live * CHUNK), -(-(longest - at) // CHUNK)))
+            used = (np.arange(at, at + chunks * CHUNK) < sizes[:live, None]).reshape(live, chunks, CHUNK)
+            chunk, doc, shift = np.nonzero(used.transpose(1, 0, 2))
+            index = starts[doc] + at + chunk * CHUNK + shift
             x = np.empty((inputs, len(index), 8), np.float32)
             x[-1] = 0.3
             seen = np.zeros((len(index), 8), np.int32)
@@ -218,18 +221,21 @@ def code(coded: Coded, table: np.ndarray, weights: np.ndarray, rate: float) -> t
                 for i, cells in enumerate(coded.cells(index, grown)):
                     x[i] = table[cells]
                     seen += x[i] != 0
-            key = seen + (doc * GATES + np.minimum(coded.place[index], PLACES - 1) * inputs)[:, None]
-            odds = np.zeros(key.shape, np.float32)
-            for i in range(inputs):
-                odds += x[i] * now[i].take(key)
-            sign = (2 * _ONES[coded.data[index]] - 1).astype(np.float32)
-            wrong = np.exp(-sign * np.clip(odds, -20, 20))
-            cost[index] = np.log1p(wrong).sum(1)
-            slope = sign * wrong / (1 + wrong)
-            key = key.ravel()
-            for i in range(inputs):
-                now[i, :live * GATES] += rate * np.bincount(key, (slope * x[i]).ravel(), live * GATES)
-            visited[:live * GATES] += np.bincount(key, minlength=live * GATES)
+            keys = seen + (doc * GATES + np.minimum(coded.place[index], PLACES - 1) * inputs)[:, None]
+            signs = (2 * _ONES[coded.data[index]] - 1).astype(np.float32)
+            stops = np.searchsorted(chunk, np.arange(chunks + 1))
+            offsets = (np.arange(inputs) * (live * GATES))[:, None]
+            for here in map(slice, stops[:-1], stops[1:]):
+                key, sign, part = keys[here], signs[here], x[:, here]
+                odds = (part * now.take(key, axis=1)).sum(0)
+                wrong = np.exp(-sign * np.clip(odds, -20, 20))
+                cost[index[here]] = np.log1p(wrong).sum(1)
+                slope = sign * wrong / (1 + wrong)
+                key = key.ravel()
+                moved = np.bincount((key + offsets).ravel(), (slope * part).ravel(), inputs * live * GATES)
+                now[:, :live * GATES] += rate * moved.reshape(inputs, -1)
+                visited[:live * GATES] += np.bincount(key, minlength=live * GATES)
+            at += chunks * CHUNK
         visited = visited.reshape(-1, GATES)
         ended += np.einsum("idg,dg->gi", now.reshape(inputs, -1, GATES), visited)
         visits += visited.sum(0)
