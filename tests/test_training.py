@@ -56,6 +56,18 @@ def test_champion_registry_and_inference(spark, store, tmp_path):
     assert training.deployment_metadata(best, "M", "V1", NOW).first().deployment_ready
 
 
+def test_scores_of_unseen_rows_beat_the_base_rate(spark, store):
+    """A label that two of the inputs decide: models must find it in clients they have not seen."""
+    decided = store.withColumn("conversion_target", F.when((F.col("annual_income") > 250_000) | (F.col("age") > 60), 1).otherwise(0))
+    train, test = training.split(decided)
+    for classifier in (training.boosted_trees("conversion_target", trees=5, depth=3), training.random_forest("conversion_target", trees=10, depth=6)):
+        scored = training.predict(training.fit(train, classifier), test).persist()
+        base = scored.agg(F.avg("actual_conversion")).first()[0]
+        assert training.classification_metrics(scored).first().accuracy > max(base, 1 - base) + 0.1
+        assert training.area_under_roc(scored) > 0.85
+        assert scored.select("probability").distinct().count() > 1
+
+
 def test_metrics_by_hand(spark):
     rows = [(1, 1.0), (1, 0.0), (0, 1.0), (0, 0.0), (1, 1.0)]
     row = training.classification_metrics(spark.createDataFrame(rows, "actual_conversion int, prediction double")).first()
