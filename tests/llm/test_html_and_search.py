@@ -70,3 +70,31 @@ def test_few_and_large_vectors(spark):
     rows = [(0, [1e30, 1.0]), (1, [1e30, -1.0]), (20, [3e6, 2e6])]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert len(got) == 4 and max(r.score for r in got) == 2**63 - 1
+
+
+PROSE = "<p>The paragraph has a good number of words in it, as articles do.</p>"
+SAID = "The paragraph has a good number of words in it, as articles do."
+SMALL = "A few words of the site that stand beside the article, in sentences."
+
+
+@pytest.mark.parametrize("page, text", [
+    (f'<body class="has-sidebar page">{PROSE}</body>', [SAID]),
+    (f'<body class="home"><form id=aspnetForm>{PROSE}{PROSE}</form></body>', [SAID, SAID]),
+    (f'<div class="post tags-open">{PROSE}{PROSE}</div><div class="tags">{SMALL}</div>', [SAID, SAID]),
+    (f'<main>{PROSE}{PROSE}{PROSE}</main><div class="sidebar"><p>{SMALL}</p></div>', [SAID] * 3),
+    (f"<div title=don't data-x=y>{PROSE}</div><p>It's done, and it's a sentence with a few more words.</p>", [SAID, "It's done, and it's a sentence with a few more words."]),
+    (f"<header><div><p>{SMALL}</p></div></header><main>{PROSE}</main>", [SAID]),
+    (f"<article><header><h1>The title of it all</h1></header>{PROSE}</article>", ["The title of it all", SAID]),
+    (f"<main>{PROSE}</main><div><a href=x><h3>Another headline to click on now</h3></a><a href=y><h3>Yet one more headline for you</h3></a></div>", [SAID]),
+    (f"<main>{PROSE}<div hidden>{PROSE}</div><div style='color:red; DISPLAY: none'>{PROSE}</div><p style='display:block'>{SMALL}</p></main>", [SAID, SMALL]),
+    (f"<main><svg viewBox='0 0 1 1'/>{PROSE}<svg><text>no</text></svg>{PROSE}</main>", [SAID, SAID]),
+    (f"<main><p>A link that is <a href=x>never closed in its paragraph, which goes on.<p>{SMALL}{PROSE}</main>", None),
+])
+def test_page_templates(page, text):
+    got = htmltext.main_text(page).split("\n\n")
+    assert got == text if text else SAID in got and SMALL in got
+
+
+def test_deep_pages_take_linear_time():
+    blocks = htmltext.blocks_of("<div>word " * 8000 + "</b></p></i>" * 8000)
+    assert len(blocks) == 8000 and blocks[-1].element.depth == 8001

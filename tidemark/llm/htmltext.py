@@ -5,16 +5,18 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm.common import map_batches
 
-#: Comments, declarations and tags; a tag that the page cuts off is dropped with what follows.
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
-TOKEN = re.compile(r"""(?:^|[\s"'/])(class|id|role|itemprop|href|hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+#: Comments, declarations and tags; a tag that the page cuts off is dropped with what follows.  A quote opens a value only
+#: after the equals sign.
+MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>"'][^\s>]*)?)*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
+TOKEN = re.compile(r"""(?:^|[\s"'/])(class|id|role|itemprop|style|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))|(?=[\s/]|\Z))""", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPACE = re.compile(r"\s+")
 
 #: Element kinds.
@@ -30,30 +32,50 @@ BAD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cook
 GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|content|story|post|entry|main|body|text)(?:$|[\s_-])", re.I)
 
 
+class Element:
+    """An element of the page: its parent and depth, the evidence of its own tag and attributes for content, the part of
+    that which fades where most of the page is below it, and the characters below it."""
+
+    __slots__ = ("parent", "depth", "name", "firm", "fading", "unseen", "size", "evidence")
+
+    def __init__(self, parent, name, attributes):
+        self.parent, self.depth, self.name, self.size = parent, parent.depth + 1 if parent else 1, name, 0
+        self.firm, self.fading, self.unseen = _evidence(name, attributes) if parent else (0.0, 0.0, False)
+        self.unseen = self.unseen or bool(parent) and parent.unseen
+        above = parent
+        if name == "header":  # of an article: its title; of a page: the site's
+            while above and above.name not in ("article", "main"):
+                above = above.parent
+            self.firm -= 0.5 if above else 6.0
+
+
 class Block:
-    __slots__ = ("text", "tag", "path", "linked", "cost")
+    __slots__ = ("text", "element", "linked", "cost")
 
-    def __init__(self, text, tag, path, linked, cost):
-        self.text, self.tag, self.path, self.linked, self.cost = text, tag, path, linked, cost
+    def __init__(self, text, element, linked):
+        self.text, self.element, self.linked, self.cost = text, element, linked, 0.0
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Text blocks in page order with the element, the places of the ancestors, the share of linked characters and the
-    classifier's cost.  Raw-text elements hide their content; an unclosed p or li ends where the next block begins."""
+    """Text blocks in page order with their element, the share of linked characters and the classifier's cost.
+
+    Raw-text elements and hidden ones hide their content; an unclosed p or li ends where the next block begins.  What an
+    attribute says of an element counts the less, the more of the page's text is below it: a page is no sidebar.
+    """
     out: list[Block] = []
-    # An open element: name, number, evidence for content (positive) or boilerplate (negative) with its ancestors'.
-    stack: list[tuple[str, int, float]] = [("", 0, 0.0)]
+    elements = [Element(None, "", "")]
+    stack, open_ = elements[:], Counter()
     text: list[str] = []
-    linked, total, in_link, count, at, size = 0, 0, 0, 0, 0, len(page)
+    # A link holds until it is closed, or the element that it stands in is.
+    linked, total, link, at, size = 0, 0, 0, 0, len(page)
 
     def flush():
         nonlocal text, linked, total
         if text:
             words = SPACE.sub(" ", entities.unescape("".join(text))).strip()
-            if words:
-                name, _, evidence = stack[-1]
-                share = linked / max(1, total)
-                out.append(Block(words, name, tuple(x[1] for x in stack), share, _cost(words, name, evidence, share)))
+            if words and not stack[-1].unseen:
+                stack[-1].size += len(words)
+                out.append(Block(words, stack[-1], linked / max(1, total)))
             text, linked, total = [], 0, 0
 
     def add(piece: str):
@@ -61,7 +83,14 @@ def blocks_of(page: str) -> list[Block]:
         text.append(piece)
         n = len(piece.strip())
         total += n
-        linked += n if in_link else 0
+        linked += n if link else 0
+
+    def close(depth: int):
+        nonlocal link
+        for x in stack[depth:]:
+            open_[x.name] -= 1
+        del stack[depth:]
+        link = link if link <= depth else 0
 
     while at < size:
         m = MARKUP.search(page, at)
@@ -76,6 +105,8 @@ def blocks_of(page: str) -> list[Block]:
             continue
         name = name.lower()
         if name in RAW and not m[1]:
+            if name in ("svg", "math") and m[3].endswith("/"):
+                continue
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             if name != "object" or end:
                 at = end.end() if end else size
@@ -85,45 +116,58 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in INLINE:
             if name == "a":
-                in_link = 0 if m[1] else 1
+                link = 0 if m[1] else len(stack)
             continue
         flush()
         if name in VOID or name in RAW:
             continue
-        in_link = 0
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            if open_[name]:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name))
             continue
         if name in PROSE:  # p inside p, li inside li: the open one ends
-            if stack[-1][0] == "p" or stack[-1][0] == name:
-                stack.pop()
-        elif stack[-1][0] == "p":
-            stack.pop()
-        count += 1
-        stack.append((name, count, stack[-1][2] + _evidence(name, m[3])))
+            if stack[-1].name == "p" or stack[-1].name == name:
+                close(len(stack) - 1)
+        elif stack[-1].name == "p":
+            close(len(stack) - 1)
+        elements.append(Element(stack[-1], name, m[3]))
+        stack.append(elements[-1])
+        open_[name] += 1
     flush()
+    for x in reversed(elements[1:]):
+        x.parent.size += x.size
+    whole = max(1, elements[0].size)
+    for x in elements:
+        part = min(1.0, max(0.0, (0.95 - x.size / whole) / 0.45))
+        x.evidence = x.firm + part * x.fading + (x.parent.evidence if x.parent else 0.0)
+    for b in out:
+        b.cost = _cost(b.text, b.element.name, b.element.evidence, b.linked)
     return out
 
 
-def _evidence(name: str, attributes: str) -> float:
-    if name in AWAY:
-        found = -6.0
+def _evidence(name: str, attributes: str) -> tuple[float, float, bool]:
+    """For content, firm and fading, and whether the element is hidden.  The page's own two elements say nothing."""
+    firm, fading, unseen = 0.0, 0.0, False
+    if name in ("html", "body"):
+        return firm, fading, unseen
+    if name == "form":  # some pages are one form
+        fading -= 6.0
+    elif name in AWAY:
+        firm -= 6.0
     elif name in ("article", "main"):
-        found = 3.0
-    else:
-        found = 0.0
-    if attributes and "=" in attributes:
-        for key, *values in TOKEN.findall(attributes):
-            value = values[0] or values[1] or values[2]
-            if key.lower() in ("class", "id", "role", "itemprop"):
-                if BAD.search(value) or value.lower() in ("navigation", "complementary", "contentinfo", "banner", "search", "alert"):
-                    found -= 6.0
-                elif GOOD.search(value):
-                    found += 1.5
-    return found
+        firm += 3.0
+    for key, *values in TOKEN.findall(attributes) if attributes else ():
+        key, value = key.lower(), values[0] or values[1] or values[2]
+        if key == "hidden":
+            unseen = value.lower() != "until-found"
+        elif key == "style":
+            unseen = unseen or bool(UNSEEN.search(value))
+        else:
+            bad = BAD.search(value) or value.lower() in ("navigation", "complementary", "contentinfo", "banner", "search", "alert")
+            good = any(GOOD.search(word) and not BAD.search(word) for word in value.split())
+            fading -= (3.0 if good else 6.0) if bad else 0.0
+            firm += 1.5 if good else 0.0
+    return firm, fading, unseen
 
 
 def _cost(text: str, name: str, evidence: float, linked: float) -> float:
@@ -134,8 +178,6 @@ def _cost(text: str, name: str, evidence: float, linked: float) -> float:
         score += 1.5
     elif name in ("h1", "h2", "h3"):
         score += 1.0
-    elif name == "header":
-        score -= 2.0
     if text[-1] in ".!?…:\"”":
         score += 0.5
     if text.startswith("©"):
@@ -223,14 +265,12 @@ def main_text(page: str | None) -> str:
     edges, last = [], {}
     for i, b in enumerate(found):
         if i:
-            a = found[i - 1]
-            shared = 0
-            for x, y in zip(a.path, b.path):
-                if x != y:
-                    break
-                shared += 1
-            edges.append((i - 1, i, NEXT * shared / max(len(a.path), len(b.path))))
-        parent = b.path[-2] if len(b.path) > 1 else 0
+            x, y = found[i - 1].element, b.element
+            deepest = max(x.depth, y.depth)
+            while x is not y:
+                x, y = (x.parent, y) if x.depth > y.depth else (x, y.parent) if y.depth > x.depth else (x.parent, y.parent)
+            edges.append((i - 1, i, NEXT * x.depth / deepest))
+        parent = id(b.element.parent)
         if parent in last and last[parent] != i - 1:
             edges.append((last[parent], i, NEAR))
         elif parent in last:
