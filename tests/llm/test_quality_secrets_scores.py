@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -213,3 +214,35 @@ def test_predictors_learn_the_tuning_fold_too(make_docs):
     apart, whole = lm_scoring.trained(docs, 9, 3)
     assert not apart.any() and whole.any()
     assert abs(whole[whole != 0]).max() > math.log(3) and len(whole) == lm_scoring.STARTS[-1]
+
+
+def test_all_candidates_are_scored_and_none_leaves_a_rest(make_docs):
+    """Formats as the labels have them: letters and digits of 14 characters, some letters only, one with hex inside."""
+    rng = random.Random(11)
+    alphabet = string.ascii_letters + string.digits
+    keys = ["".join(rng.choice(alphabet) for _ in range(14)) for _ in range(200)]
+    letters = ["".join(rng.choice("BCDFGHJKLMNPQRSTVWXZbcdfghjkmnpqrstvwxz") for _ in range(14)) for _ in range(20)]
+    rows = [(i, f"token = {k} and some more words follow here") for i, k in enumerate(keys + letters)]
+    bare = ["".join(rng.choice(alphabet) for _ in range(14)) for _ in range(60)]
+    words = "An internationalization of www.example.com/path/index.html is extraordinarily straightforward, unquestionably."
+    rows += [(1000 + i, f"The value {k}. {words}") for i, k in enumerate(bare)]
+    inside = "QWxhZGRpbjpvcGVuIHNlc2FtZQ" + "abc0123456789abcdef" + "XYZ9kQ"
+    rows += [(2000, f"see {inside} here"), (2001, words)]
+    got = {r.doc_id: r for r in secrets.scan(make_docs(rows)).collect()}
+    caught = sum(f"format:10:{10 + 14}" in got[1000 + i].spans for i in range(60))
+    assert caught >= 48, caught  # 52 when written
+    assert got[2001].spans == "" and all(got[1000 + i].n_format <= 1 for i in range(60)), "ordinary long words are no secrets"
+    assert got[2000].n_hex == 1 and f"format:4:{4 + len(inside)}" in got[2000].spans
+    cleaned = {r.doc_id: r.text for r in secrets.redact(make_docs(rows)).collect()}
+    assert cleaned[2000] == "see [SECRET] here" and cleaned[2001] == words
+
+
+def test_dots_and_covered_runs():
+    class Yes(dict):
+        automata = [1]
+
+        def __missing__(self, value):
+            return True
+    text = "...abcdefghijkl... password=abcdefghijklm; x 0123456789abcdef0 abcdefghijk"
+    base = secrets.base_spans(text)
+    assert [(a, b) for a, b, *_ in secrets.learned_spans(text, base, Yes())] == [(3, 15)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import defaultdict, deque
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,15 +23,18 @@ KINDS = ("assign", "access", "hex")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 LEARNED = "format"
 
-#: Candidates for the learned formats: whole runs of these characters with a digit.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}")
+#: Candidates for the learned formats: whole runs of the characters that credentials have, as long as the shortest of
+#: them, without dots at their ends.  A task keeps the verdict on so many.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{12,}")
+KEPT = 200_000
 #: What a text must hold before the patterns above are tried on it.
 HINTS = (r"(?i)(password|passwd|secret|token|api_?key)", r"AKIA", r"[0-9a-f]{16}")
 
 SAMPLE, ALPHA, QUANTILE, SPREAD, UNSEEN = 1000, 0.05, 0.01, 0.75, 1e-3
 CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/_.=-")
-#: How ordinary tokens spend their characters on the classes, and the bits a character by which a format must do better.
-ORDINARY, MARGIN = (0.08, 0.20, 0.64, 0.015, 0.035, 0.03), 1.0
+#: How ordinary tokens spend their characters on the classes: words, words in capitals, numbers; and the bits a character by
+#: which a format must do better than all three.
+ORDINARY, MARGIN = ((0.08, 0.20, 0.64, 0.015, 0.035, 0.03), (0.08, 0.015, 0.035, 0.20, 0.64, 0.03), (0.90, 0.01, 0.02, 0.01, 0.02, 0.04)), 0.3
 CLASS_OF = {c: i for i, group in enumerate(CLASSES) for c in group}
 
 
@@ -65,8 +68,9 @@ class Automaton:
 
 
 def ordinary(value: str) -> float:
-    """Mean log2 likelihood of a character of an ordinary token."""
-    return sum(math.log2(ORDINARY[CLASS_OF[c]] / len(CLASSES[CLASS_OF[c]])) for c in value) / len(value)
+    """Mean log2 likelihood of a character of the ordinary token that fits best."""
+    counts = Counter(map(CLASS_OF.__getitem__, value))
+    return max(sum(n * math.log2(shares[c] / len(CLASSES[c])) for c, n in counts.items()) for shares in ORDINARY) / len(value)
 
 
 def infer(values: list[str], alpha: float = ALPHA, quantile: float = QUANTILE) -> Automaton:
@@ -175,25 +179,44 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> list[Automaton]:
     return [infer(values) for values in labelled(docs, sample).values() if values]
 
 
-def learned_spans(text: str, base: list, automata: list[Automaton]) -> list[tuple[int, int, str, str]]:
-    """Candidates that touch no base span and that an automaton accepts: as likely there as its own values are, and clearly
-    likelier than as an ordinary token."""
-    out = []
+class Verdicts(dict):
+    """Whether some automaton accepts a candidate: as likely there as its own values are, and clearly likelier than as an
+    ordinary token."""
+
+    def __init__(self, automata: list[Automaton]):
+        super().__init__()
+        self.automata = automata
+
+    def __missing__(self, value: str) -> bool:
+        if len(self) >= KEPT:
+            self.clear()
+        found = self[value] = any(g.accepts(value) for g in self.automata)
+        return found
+
+
+def learned_spans(text: str, base: list, verdicts: Verdicts) -> list[tuple[int, int, str, str]]:
+    """Accepted candidates, but for those inside a base span; one that reaches beyond a base span stands beside it."""
+    out, i, covered = [], 0, 0
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if not any(x[0] < b and a < x[1] for x in base) and any(g.accepts(m[0]) for g in automata):
-            out.append((a, b, LEARNED, m[0]))
+        value = m[0].lstrip(".")
+        a = b - len(value)
+        value = value.rstrip(".")
+        b = a + len(value)
+        while i < len(base) and base[i][0] <= a:
+            covered = max(covered, base[i][1])
+            i += 1
+        if len(value) >= LEAST["assign"] and b > covered and verdicts[value]:
+            out.append((a, b, LEARNED, value))
     return out
 
 
-def spans_of(texts: pa.Array, automata: list[Automaton]) -> Iterator[tuple[list, list]]:
+def spans_of(texts: pa.Array, verdicts: Verdicts) -> Iterator[tuple[list, list]]:
     """Base spans and learned spans of each text; NULL has none."""
-    fixed, digits = _hinted(texts, HINTS), _hinted(texts, ("[0-9]",))
-    for text, a, b in zip(texts, fixed, digits):
-        a, b = a.as_py(), b.as_py()
-        text = text.as_py() if a or b else ""
-        base = base_spans(text) if a else []
-        yield base, learned_spans(text, base, automata) if b else []
+    for text, hinted in zip(texts, _hinted(texts, HINTS)):
+        text = text.as_py() or ""
+        base = base_spans(text) if hinted.as_py() else []
+        yield base, learned_spans(text, base, verdicts) if verdicts.automata else []
 
 
 def joined(spans) -> str:
@@ -214,11 +237,11 @@ def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     NULL or empty texts have no spans and the digest of the empty string; repeated rows are scanned each; without
     any credential in the table there is no automaton and nothing is added; an empty table gives an empty result.
     """
-    automata = learn(docs, sample)
+    verdicts = Verdicts(learn(docs, sample))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for base, more in spans_of(batch.column(1), automata):
+        for base, more in spans_of(batch.column(1), verdicts):
             kinds = [k for _, _, k, _ in base]
             rows.append((*(kinds.count(k) for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(_ordered(base, more)), len(more)))
         types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
@@ -231,14 +254,14 @@ def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", sample: int = SAMPLE) -> DataFrame:
     """The documents with every span replaced by ``mark`` and ``n_chars``, where there is one, counted anew; all columns and rows stay."""
-    automata = learn(docs, sample)
+    verdicts = Verdicts(learn(docs, sample))
     at = docs.columns.index("text")
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(at)
         made = texts.to_pylist()
-        for i, (base, more) in enumerate(spans_of(texts, automata)):
+        for i, (base, more) in enumerate(spans_of(texts, verdicts)):
             if base or more:
                 made[i] = _replaced(made[i], base + more, mark)
         columns = list(batch.columns)
