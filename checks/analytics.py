@@ -632,8 +632,9 @@ UNION ALL SELECT client_id, {NOW} - INTERVAL '1' DAY, conversion_probability, re
 def _scored_days(d: Domain) -> DataFrame:
     """The script for two days, and for one of them again."""
     table = f"daily_{_sql_jobs(d)}"
+    location = scratch_path(d.spark, table)
     for back_days in (1, 0, 0):
-        sql_functions.run_daily_scoring_sql(d.spark, table, (d.now - timedelta(days=back_days)).date())
+        sql_functions.run_daily_scoring_sql(d.spark, table, (d.now - timedelta(days=back_days)).date(), location)
     return d.spark.table(table).drop("model_name", "lifecycle_stage")
 
 

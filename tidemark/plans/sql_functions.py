@@ -101,12 +101,13 @@ def daily_scoring_script(table: str, day: date) -> str:
     END"""
 
 
-def run_daily_scoring_sql(spark: SparkSession, table: str, day: date) -> int:
-    """Run the script, creating the table on first use; returns the rows of the day."""
+def run_daily_scoring_sql(spark: SparkSession, table: str, day: date, location: str | None = None) -> int:
+    """Run the script, creating the table on first use, at ``location`` if given; returns the rows of the day."""
     if not spark.catalog.tableExists(table):
+        place = f" LOCATION '{location}'" if location else ""
         spark.sql(f"""CREATE TABLE {table} (client_id STRING, prediction_timestamp TIMESTAMP_NTZ, model_name STRING, conversion_probability DOUBLE,
             recommended_action STRING, prediction_confidence DOUBLE, lifecycle_stage STRING, conversion_likelihood STRING, prediction_date DATE)
-            USING parquet PARTITIONED BY (prediction_date)""")
+            USING parquet PARTITIONED BY (prediction_date){place}""")
     return _script(spark, daily_scoring_script(table, day)).first()[0]
 
 

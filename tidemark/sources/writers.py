@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions import at
 from tidemark.operators.absence import not_exists
@@ -56,28 +56,40 @@ def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, location:
     return df.sparkSession.table(table)
 
 
-def _swap_days(df: DataFrame, table: str, day_column: str) -> set[date | None]:
-    """Replace exactly the partitions ``df`` has rows for; returns their days, observed while they are written.
+def _place(spark: SparkSession, table: str) -> str:
+    return spark.sql(f"DESCRIBE TABLE EXTENDED {table}").filter("col_name = 'Location'").first()["data_type"]
+
+
+def _names(spark: SparkSession, folder: str) -> set[str]:
+    """Names in one folder; none where it does not exist."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {f.getPath().getName() for f in system.listStatus(path)} if system.exists(path) else set()
+
+
+def _swap_days(df: DataFrame, table: str, day_column: str) -> None:
+    """Replace exactly the partitions ``df`` has rows for.
 
     The mode is an option of this one write, so writers in other threads of
-    the session are not touched.  New files are moved in when the job commits;
-    then the catalog learns of these days, and lists no others.
+    the session are not touched.  New files are moved in when the job commits.
     """
-    spark, seen = df.sparkSession, Observation()
-    place = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").filter("col_name = 'Location'").first()["data_type"]
-    day = F.col(day_column)
-    watched = df.observe(seen, F.collect_set(day).alias("days"), F.count_if(day.isNull()).alias("without"))
-    _by_day(watched, day_column).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day_column).parquet(place)
-    days = {*(seen.get["days"] or ()), *([None] if seen.get["without"] else [])}
-    specs = " ".join(f"PARTITION ({day_column} = {_day(d)})" for d in days)
+    spark = df.sparkSession
+    _by_day(df, day_column).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day_column).parquet(_place(spark, table))
+    spark.catalog.refreshTable(table)
+
+
+def _add_days(spark: SparkSession, table: str, day_column: str) -> None:
+    """Tell the catalog of day folders that it does not know: one listing of the folders' names, none of their files."""
+    known = {row[0] for row in spark.sql(f"SHOW PARTITIONS {table}").collect()}
+    new = sorted(n for n in _names(spark, _place(spark, table)) if n.startswith(f"{day_column}=") and n not in known)
+    specs = " ".join(f"PARTITION ({day_column} = {_day(n.partition('=')[2])})" for n in new)
     if specs:
         spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {specs}")
-    spark.catalog.refreshTable(table)
-    return days
+        spark.catalog.refreshTable(table)
 
 
-def _day(day: date | None) -> str:
-    return "NULL" if day is None else f"DATE '{day}'"
+def _day(text: str) -> str:
+    return "NULL" if text == "__HIVE_DEFAULT_PARTITION__" else f"DATE '{text}'"
 
 
 def _drop_days(spark: SparkSession, table: str, day_column: str, days: Sequence[date]) -> None:
@@ -109,8 +121,13 @@ def replace_days(df: DataFrame, table: str, day_column: str, location: str | Non
         writer = _by_day(df, day_column).write.partitionBy(day_column).format("parquet")
         (writer.option("path", location) if location else writer).saveAsTable(table)
         return
-    present = _swap_days(df.select(*spark.table(table).columns), table, day_column)
-    _drop_days(spark, table, day_column, sorted(set(days) - present))
+    # A named day whose files the write left as they were got no row.
+    files = lambda: {day: _names(spark, f"{_place(spark, table)}/{day_column}={day}") for day in days}
+    before = files()
+    _swap_days(df.select(*spark.table(table).columns), table, day_column)
+    _add_days(spark, table, day_column)
+    after = files()
+    _drop_days(spark, table, day_column, sorted(day for day in set(days) if before[day] == after[day]))
 
 
 def retained(df: DataFrame, ts: str, as_of: datetime, days: int = 30) -> DataFrame:
