@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -46,24 +48,37 @@ def test_extract_keeps_every_row(spark):
 def brute(rows, k, every):
     whole = [(i, [np.floor(64 * float(np.float32(x))) for x in v]) for i, v in rows
              if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    out = set()
-    for i, q in dict(whole).items():
+    out = Counter()
+    for at, (i, q) in enumerate(whole):
         if i % every == 0:
-            scored = sorted((-sum(int(a) * int(b) for a, b in zip(q, c)), j) for j, c in whole if j != i)
-            out |= {(i, n, j, -s) for n, (s, j) in enumerate(scored[:k], 1)}
+            scored = sorted((-sum(int(a) * int(b) for a, b in zip(q, c)), j) for n, (j, c) in enumerate(whole) if n != at)
+            out.update((i, n, j, -s) for n, (s, j) in enumerate(scored[:k], 1))
     return out
 
 
-@pytest.mark.parametrize("rows_in_block", [16, 4096])
-def test_top_k_equals_brute_force(spark, rows_in_block):
+@pytest.mark.parametrize("rows_in_block, in_group", [(16, 2), (4, 1), (4096, 1024)])
+def test_top_k_equals_brute_force(spark, rows_in_block, in_group):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in np.round(rng.normal(size=24) * rng.choice([0.1, 1, 5]), 1)]) for i in range(90)]
     rows += [(100 + i, rows[7][1]) for i in range(30)]  # ties
-    rows += [(200, None), (201, [1.0, None] + [0.0] * 22), (202, [float("nan")] * 24), (220, [float("inf")] * 24), (None, rows[0][1]), (240, [0.0] * 24), (241, [1.0, 2.0])]
-    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS label", "2 AS norm", "3 AS block", "4 AS part")
-    got = {tuple(r) for r in topk.top_k(vectors, 20, 20, 64, rows_in_block).select("query_id", "rank", "vec_id", "score").collect()}
+    rows += [(200, None), (201, [1.0, None] + [0.0] * 22), (202, [float("nan")] * 24), (220, [float("inf")] * 24), (None, rows[0][1]), (240, [0.0] * 24), (241, [1.0, 2.0]), (260, [])]
+    rows += [rows[20], rows[20], (40, rows[3][1])]  # repeated rows, and one id with two vectors
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS label", "2 AS norm", "3 AS block", "4 AS part", "5 AS row", "6 AS floor")
+    got = Counter(tuple(r) for r in topk.top_k(vectors, 20, 20, 64, rows_in_block, in_group).select("query_id", "rank", "vec_id", "score").collect())
     assert got == brute(rows, 20, 20)
-    assert topk.top_k(vectors.limit(0)).count() == 0
+    assert topk.top_k(vectors.limit(0)).count() == 0 and topk.top_k(vectors.filter("vec_id = 260")).count() == 0
+
+
+def test_only_live_pairs_of_groups_and_blocks_meet(spark):
+    rng = np.random.default_rng(4)
+    for tied in (False, True):
+        draw = (lambda n: rng.integers(0, 4, n).astype(float)) if tied else (lambda n: rng.normal(size=n))
+        tops, least = -np.sort(-draw(9)), np.sort(np.append(draw(5), -np.inf))
+        asked = spark.createDataFrame([(p, float(v)) for p, v in enumerate(least)] + [(5, 99.0)], "part int, ratio double")
+        placed = spark.createDataFrame([(b, float(v)) for b, v in enumerate(tops)] + [(8, -99.0)], "block int, norm double")
+        reach, fans = topk.live_pairs(asked, placed, 6)
+        assert dict(map(tuple, reach.collect())) == {p: int((tops >= v).sum()) for p, v in enumerate(least)}
+        assert dict(map(tuple, fans.collect())) == {b: int((least <= v).sum()) for b, v in enumerate(tops)}
 
 
 def test_few_and_large_vectors(spark):

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
+from tidemark.operators.numbering import numbered
 
 ROWS, QUERIES, HEAD, STEP = 4096, 1024, 16, 512
 
@@ -55,7 +56,7 @@ def _matrices(column: pa.Array, d: int | None) -> Iterator[np.ndarray]:
         return
     d = max(sizes.max(), d or 0)
     if (sizes == d).all():
-        yield values.reshape(-1, d)
+        yield values.reshape(len(sizes), d)
     else:
         m = np.zeros((len(sizes), d))
         m[np.arange(d) < sizes[:, None]] = values
@@ -71,8 +72,8 @@ def _best(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[n
     return q[keep], ids[keep], scores[keep]
 
 
-def search_block(query_ids, queries, floors, ids, vectors, rotation, k: int):
-    """The k best rows of a block for each query, as (query place, id, score); exact.
+def search_block(query_rows, queries, floors, rows, ids, vectors, rotation, k: int):
+    """The k best rows of a block for each query, as (query place, id, score); exact.  A row never meets itself.
 
     Rows stand by descending length.  For each step of rows a query goes on only while |q||c| can reach its floor;
     then the first HEAD rotated components are multiplied out and the rest is bounded by the product of the residual
@@ -80,7 +81,7 @@ def search_block(query_ids, queries, floors, ids, vectors, rotation, k: int):
     reach already, so equal scores stay in.
     """
     order = np.argsort(-np.linalg.norm(vectors, axis=1), kind="stable")
-    ids, vectors = ids[order], vectors[order]
+    rows, ids, vectors = rows[order], ids[order], vectors[order]
     floors = floors.copy()
     norm_q, norm_c = np.linalg.norm(queries, axis=1), np.linalg.norm(vectors, axis=1)
     turned_q, turned_c = queries @ rotation, vectors @ rotation
@@ -95,7 +96,7 @@ def search_block(query_ids, queries, floors, ids, vectors, rotation, k: int):
             break
         bound = turned_q[live, :HEAD] @ turned_c[part, :HEAD].T + rest_q[live, None] * rest_c[None, part]
         maybe = bound + slack[live, None] >= floors[live, None]
-        maybe &= query_ids[live, None] != ids[None, part]
+        maybe &= query_rows[live, None] != rows[None, part]
         if maybe.mean() > 0.1:
             i, j = np.nonzero(maybe)
             s = (queries[live] @ vectors[part].T)[i, j]
@@ -115,65 +116,87 @@ def search_block(query_ids, queries, floors, ids, vectors, rotation, k: int):
     return found
 
 
-_OUT = "query_id long, vec_id long, score long"
+_OUT = "row long, query_id long, vec_id long, score long"
 
 
 def _searcher(rotation: np.ndarray, k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.int64()}
+        names = ("row", "query_id", "vec_id", "score")
         if not left.num_rows or not right.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in names.items()})
+            return pa.table({n: pa.array([], pa.int64()) for n in names})
         d = len(rotation)
         q = next(_matrices(left["vec"].combine_chunks(), d))
         c = next(_matrices(right["vec"].combine_chunks(), d))
-        q_ids, floors = left["vec_id"].to_numpy(), left["floor"].to_numpy()
-        at, ids, scores = search_block(q_ids, q, floors, right["vec_id"].to_numpy(), c, rotation, k)
-        return pa.table({"query_id": q_ids[at], "vec_id": ids, "score": pa.array([int(x) for x in scores], pa.int64())})
+        q_rows, floors = left["row"].to_numpy(), left["floor"].to_numpy()
+        at, ids, scores = search_block(q_rows, q, floors, right["row"].to_numpy(), right["vec_id"].to_numpy(), c, rotation, k)
+        found = (q_rows[at], left["vec_id"].to_numpy()[at], ids, [int(x) for x in scores])
+        return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(names, found)})
     return run
 
 
-def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, rows: int = ROWS) -> DataFrame:
+def live_pairs(asked: DataFrame, placed: DataFrame, groups: int) -> tuple[DataFrame, DataFrame]:
+    """For each query group the number of blocks that it can still gain from, and for each block of its query groups.
+
+    ``asked`` has ``part`` and ``ratio``, the length a row needs to reach a query's floor; groups ascend by it.
+    ``placed`` has ``block`` and ``norm``; blocks descend by it.  So a group's live blocks are the first ones, a block's
+    live groups too, and one common order of both, with a row a group or block, gives the numbers: no pair is formed.
+    """
+    parts = asked.groupBy("part").agg(F.min("ratio").alias("value")).select("value", F.lit(1).alias("kind"), F.col("part").alias("number"))
+    tops = placed.groupBy("block").agg(F.max("norm").alias("value")).select("value", F.lit(0).alias("kind"), F.col("block").alias("number"))
+    order = [F.desc("value"), F.col("kind"), F.when(F.col("kind") == 0, F.col("number")).otherwise(-F.col("number"))]
+    merged = numbered(tops.unionByName(parts), order, "place", 0)
+    before = F.col("place") - F.when(F.col("kind") == 0, F.col("number")).otherwise(groups - 1 - F.col("number"))
+    merged = written(merged.select("kind", "number", before.cast("int").alias("before")), "topk-live")
+    reach = merged.filter("kind = 1").select(F.col("number").alias("part"), F.col("before").alias("blocks"))
+    fans = merged.filter("kind = 0").select(F.col("number").alias("block"), (groups - F.col("before")).alias("parts"))
+    return reach, fans
+
+
+def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k highest integer inner products of each query with all other rows.
 
-    Queries are the rows whose id is divisible by ``every``; a query's candidates are all rows with another id.  Rows
-    are range-partitioned by length into blocks; the longest block gives every query a floor, then each pair of a
-    query block and a row block is searched in its own task with that floor, and the winners of the blocks meet in a
-    limit per query, which Spark applies before the shuffle.  The rotation is the eigenbasis of the Gram matrix.
+    Queries are the rows whose id is divisible by ``every``; a query's candidates are all other rows.  Rows are
+    numbered by descending length and cut into blocks of ``rows``; the first block gives every query a floor.  Queries
+    are numbered by the length that a row needs to reach their floor and cut into groups of ``queries``, so only the
+    blocks whose longest row has that length meet a group, each such pair in its own task; what is copied is what these
+    tasks read.  The winners of the blocks meet in a limit per query, which Spark applies before the shuffle.  The
+    rotation is the eigenbasis of the Gram matrix.
 
     Vectors that are NULL or hold NULL or non-finite components take no part, nor do rows without an id; shorter
-    vectors count as filled up with zeros; ties go to the smaller id; of repeated ids, a query is asked once for each
-    different vector's first row by value, and every repeated row is a candidate; an empty table gives an empty
-    result; scores beyond 64 bits are cut to the range of long.
+    vectors count as filled up with zeros; ties go to the smaller id; of repeated ids, every row is a query of its own
+    and a candidate of the others, so their ranks come once for each row; an empty table gives an empty result; scores
+    beyond 64 bits are cut to the range of long.  Columns beside ``vec_id`` and ``embedding`` are not read.
     """
     spark = vectors.sparkSession
-    whole = written(quantized(vectors, scale), "topk-whole")
-    count = whole.count()
-    blocks = max(1, -(-count // rows))
-    placed = whole.repartitionByRange(blocks, F.desc("norm"), "vec_id").withColumn("block", F.spark_partition_id())
-    placed = written(placed.select("vec_id", "vec", "block"), "topk-blocks")
-    rotation = np.linalg.eigh(gram(whole))[1][:, ::-1] if count else np.zeros((0, 0))
-    asked = whole.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    groups = max(1, -(-count // every // QUERIES))
-    asked = written(asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")), "topk-queries")
-    search = _searcher(rotation, k)
-
-    def pairs(queries: DataFrame, candidates: DataFrame, numbers: list) -> DataFrame:
-        left = queries.withColumn("block", F.explode(F.lit(numbers).cast("array<int>")))
-        right = candidates.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    placed = numbered(quantized(vectors, scale), [F.desc("norm"), "vec_id"], "row", 0)
+    placed = placed.withColumn("block", F.floor(F.col("row") / rows).cast("int"))
+    asked = written(placed.filter(F.col("vec_id") % every == 0).drop("block"), "topk-queries")
+    groups = -(-asked.count() // queries)
+    if not groups:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    search = _searcher(np.linalg.eigh(gram(placed))[1][:, ::-1], k)
+
+    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+        right = right.select("part", "block", "row", "vec_id", "vec")
         return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(search, _OUT)
 
-    numbers = [r[0] for r in placed.select("block").distinct().orderBy("block").collect()]  # one number a block
-    low = F.lit(float("-inf"))
-    if not numbers:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    first = written(pairs(asked.withColumn("floor", low), placed.filter(F.col("block") == numbers[0]), numbers[:1]), "topk-first")
-    best = first.groupBy("query_id").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n"))
-    floors = best.filter(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), F.col("floor").cast("double"))
-    found = first
-    if numbers[1:]:
-        known = asked.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", low))
-        found = first.unionByName(pairs(known, placed.filter(F.col("block") != numbers[0]), numbers[1:]))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    low, longest = F.lit(float("-inf")), placed.filter("block = 0")
+    dealt = asked.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int")).withColumn("block", F.lit(0)).withColumn("floor", low)
+    first = pairs(dealt, longest.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))))
+    found = first = written(first, "topk-first")
+    if not placed.filter("block > 0").isEmpty():
+        best = first.groupBy("row").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n"))
+        known = asked.join(best.filter(F.col("n") >= k).select("row", F.col("floor").cast("double")), "row", "left")
+        known = known.withColumn("floor", F.coalesce("floor", low))
+        slack = F.lit(2e-9) * (1 + F.abs("floor"))  # more than the bound's own in search_block
+        ratio = F.when(F.col("norm") > 0, (F.col("floor") - slack) / F.col("norm")).when(F.col("floor") > 0, F.lit(float("inf"))).otherwise(low)
+        known = known.withColumn("ratio", F.when(F.col("floor") == low, low).otherwise(F.nanvl(ratio, low)))
+        known = numbered(known, ["ratio", "row"], "at", 0).withColumn("part", F.floor(F.col("at") / queries).cast("int"))
+        reach, fans = live_pairs(known, placed, groups)
+        left = known.join(reach.filter("blocks > 1"), "part").withColumn("block", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)))
+        right = placed.filter("block > 0").join(fans.filter("parts > 0"), "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        found = first.unionByName(pairs(left, right))
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
