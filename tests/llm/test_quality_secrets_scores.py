@@ -118,6 +118,75 @@ def test_classifier_separates_held_out_documents(spark, make_docs, prose):
     assert quality_classifier.classify(docs, labels.limit(0)).filter("keep").count() == docs.count()
 
 
+def plain_quality(docs, labels, cut):
+    """The whole method over lists: (doc_id, text, path, host) and (doc_id, quality)."""
+    def logistic(x):
+        return 1 / (1 + math.exp(-x))
+
+    def moments(groups):
+        many = [(v, at) for v, at in groups if len(v) >= 2]
+        if len(many) < 2:
+            return 10.0
+        size = sum(len(v) for v, _ in many)
+        within = sum((x - sum(v) / len(v)) ** 2 for v, _ in many for x in v) / (size - len(many))
+        between = (sum(len(v) * (sum(v) / len(v) - at) ** 2 for v, at in many) - len(many) * within) / size
+        return min(1e6, max(1.0, within / max(1e-6, between)))
+
+    found = [quality_classifier.features(r[1]) for r in docs]
+    known = {}
+    for i, q in labels:
+        if i is not None and q is not None:
+            known[i] = min(q, known.get(i, q))
+    fitted = [(x, known[r[0]]) for r, x in zip(docs, found) if r[0] in known]
+    w = quality_classifier.fit(np.array([x for x, _ in fitted]), np.array([float(q) for _, q in fitted]))
+    e = [min(30.0, max(-30.0, float(np.dot(x, w[:-1]) + w[-1]))) for x in found]
+    p = [logistic(x) for x in e]
+    mean = (sum(p) + 1) / (len(p) + 2)
+    hosts, paths = {}, {}
+    for r, x in zip(docs, p):
+        hosts.setdefault(r[3], []).append(x)
+        paths.setdefault((r[3], r[2]), []).append(x)
+    k = moments([(v, mean) for v in hosts.values()])
+    of = {h: (sum(v) + k * mean) / (len(v) + k) for h, v in hosts.items()}
+    k2 = moments([(v, of[h]) for (h, _), v in paths.items()])
+    out = []
+    for r, x, own in zip(docs, e, p):
+        h, v = hosts[r[3]], paths[r[3], r[2]]
+        host_mean = (sum(h) - own + k * mean) / (len(h) - 1 + k)
+        path_mean = (sum(v) - own + k2 * host_mean) / (len(v) - 1 + k2)
+        posterior = logistic(x + math.log(path_mean / (1 - path_mean)) - math.log(mean / (1 - mean)))
+        out.append((r[0], x, host_mean, path_mean, posterior, posterior >= cut))
+    return out
+
+
+def test_classifier_equals_brute_force(spark, make_docs, prose):
+    good, bad, docs, labels = quality_frames(spark, make_docs, prose)
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()]
+    rows += rows[3:6]  # repeated rows
+    docs = docs.unionByName(make_docs(rows[3:6]))
+    marks = [(r.doc_id, r.quality) for r in labels.collect()]
+    expected = sorted(plain_quality(rows, marks, 0.35), key=str)
+    got = sorted(map(tuple, quality_classifier.classify(docs, labels).collect()), key=str)
+    assert len(got) == len(expected)
+    order = lambda r: (str(r[0]), round(r[1], 6), round(r[4], 6))
+    for a, b in zip(sorted(got, key=order), sorted(expected, key=order)):
+        assert a[0] == b[0] and a[5] == b[5] and np.allclose(a[1:5], b[1:5], rtol=1e-6, atol=1e-9)
+
+
+def test_fit_is_the_least_ridge_loss():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, len(quality_classifier.FEATURES)))
+    y = (x[:, 0] - x[:, 1] + rng.normal(size=200) > 0).astype(float)
+    w = quality_classifier.fit(x, y)
+
+    def loss(raw):
+        z = x @ raw[:-1] + raw[-1]
+        scaled, at = raw[:-1] * x.std(0), raw[-1] + raw[:-1] @ x.mean(0)
+        return (np.log1p(np.exp(z)) - y * z).mean() + quality_classifier.RIDGE / 2 * ((scaled ** 2).sum() + at ** 2)
+    least = loss(w)
+    assert all(loss(w + step * rng.normal(size=len(w))) > least for step in (1e-3, 1e-2, 0.1) for _ in range(50))
+
+
 def test_priors_shrink_sparse_sites(spark):
     rows = [("big", f"p{i % 2}", 0.9 if i % 2 else 0.1) for i in range(400)] + [("big", "few", 0.0)] + [("low", "p", 0.05)] * 200 + [("one", "p", 0.0)]
     sites, mean = quality_classifier.priors(spark.createDataFrame(rows, "host string, path string, p double"))

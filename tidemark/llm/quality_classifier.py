@@ -79,33 +79,35 @@ def _logit(p: Column) -> Column:
 
 
 def priors(judged: DataFrame) -> tuple[DataFrame, float]:
-    """Posterior mean of quality per (host, path), and the global one.
+    """Counts, sums, strengths and posterior means of quality per (host, path), and the global mean.
 
     ``judged`` has ``host``, ``path`` and ``p``, the classifier's probability.  Counts and sums are grouped by path,
     then by host, so a host with a third of all rows costs one row per task.  Each level's strength is its expected
-    count of rows by the method of moments: the variance between the sites against the variance within.
+    count of rows by the method of moments: the variance of probabilities within the sites against the variance
+    between the sites' true means.
     """
-    paths = judged.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"))
+    paths = judged.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q"))
     paths = written(paths, "quality-paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"), F.sum("q").alias("host_q"))
     total, good = hosts.agg(F.sum("host_n"), F.sum("host_s")).first()
     mean = ((good or 0.0) + 1) / ((total or 0) + 2)
 
-    def strength(rows: DataFrame, n: str, s: str, at: Column) -> float:
-        spread, groups, size = rows.filter(F.col(n) >= 2).agg(
-            F.sum(F.col(n) * F.pow(F.col(s) / F.col(n) - at, 2)), F.count(F.lit(1)), F.sum(n)).first()
+    def strength(rows: DataFrame, n: str, s: str, q: str, at: Column) -> float:
+        spread, inner, groups, size = rows.filter(F.col(n) >= 2).agg(
+            F.sum(F.col(n) * F.pow(F.col(s) / F.col(n) - at, 2)), F.sum(F.col(q) - F.col(s) * F.col(s) / F.col(n)), F.count(F.lit(1)), F.sum(n)).first()
         if not groups or groups < 2:
             return 10.0
-        within = mean * (1 - mean)
+        within = max(0.0, inner) / (size - groups)
         between = max(1e-6, (spread - groups * within) / size)
         return float(min(1e6, max(1.0, within / between)))
 
-    k = strength(hosts, "host_n", "host_s", F.lit(mean))
+    k = strength(hosts, "host_n", "host_s", "host_q", F.lit(mean))
     hosts = hosts.withColumn("host_mean", (F.col("host_s") + k * mean) / (F.col("host_n") + k))
-    both = paths.join(hosts.select(F.col("host").alias("of"), "host_mean"), F.col("host").eqNullSafe(F.col("of")))
-    both = written(both.drop("of"), "quality-sites")
-    k2 = strength(both, "n", "s", F.col("host_mean"))
-    return both.select("host", "path", "n", "host_mean", ((F.col("s") + k2 * F.col("host_mean")) / (F.col("n") + k2)).alias("path_mean")), mean
+    both = paths.join(hosts.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of")))
+    both = written(both.drop("of", "host_q"), "quality-sites")
+    k2 = strength(both, "n", "s", "q", F.col("host_mean"))
+    both = both.withColumn("path_mean", (F.col("s") + k2 * F.col("host_mean")) / (F.col("n") + k2))
+    return both.withColumn("host_strength", F.lit(k)).withColumn("path_strength", F.lit(k2)), mean
 
 
 def _judged(docs: DataFrame, labels: DataFrame, host: str, path: str, sample: int):
@@ -121,12 +123,19 @@ def _judged(docs: DataFrame, labels: DataFrame, host: str, path: str, sample: in
 
 
 def _decided(rows: DataFrame, sites: DataFrame, mean: float, host: str, path: str, cut: float) -> DataFrame:
-    """Adds the site and the posterior: the document's odds times the site's odds over the global odds."""
+    """Adds the site's means and the posterior: the document's odds times the site's odds over the global odds.
+
+    The document's own probability is taken out of its host's and its path's sums first, so it counts once.
+    """
     keyed = rows.withColumn("_site", F.struct(F.coalesce(host, F.lit("")), F.col(host).isNull(), F.coalesce(path, F.lit("")), F.col(path).isNull()).cast("string"))
     named = sites.select(
         F.struct(F.coalesce("host", F.lit("")), F.col("host").isNull(), F.coalesce("path", F.lit("")), F.col("path").isNull()).cast("string").alias("_site"),
-        F.col("host_mean").alias("_host_mean"), F.col("path_mean").alias("_path_mean"))
+        F.struct("n", "s", "host_n", "host_s", "host_strength", "path_strength").alias("_of"))
     joined = salted_join(keyed.withColumn("_spread", F.xxhash64("text" if "text" in rows.columns else "doc_id")), named, "_site", "_spread").drop("_site", "_spread")
+    p, k, k2 = 1 / (1 + F.exp(-F.col("_evidence"))), F.col("_of.host_strength"), F.col("_of.path_strength")
+    others = lambda s: F.greatest(F.lit(0.0), F.col(s) - p)
+    joined = joined.withColumn("_host_mean", (others("_of.host_s") + k * mean) / (F.col("_of.host_n") - 1 + k))
+    joined = joined.withColumn("_path_mean", (others("_of.s") + k2 * F.col("_host_mean")) / (F.col("_of.n") - 1 + k2)).drop("_of")
     odds = F.col("_evidence") + _logit(F.col("_path_mean")) - F.lit(float(np.log(mean / (1 - mean))))
     return joined.withColumn("_posterior", 1 / (1 + F.exp(-odds))).withColumn("_keep", F.col("_posterior") >= cut)
 
@@ -136,12 +145,12 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
     The classifier is fitted on at most ``sample`` labelled documents (least hashes of the id); everything else covers
     all rows.  Documents have no URL, so the host is the ``source`` and the path below it the ``lang``.  A site with few rows
-    stays near its host's mean, a small host near the global mean.  A document is kept from a posterior of ``cut``
-    up, below one half, as a clean document lost costs more than a poor one kept.
+    stays near its host's mean, a small host near the global mean; both are of the site's other documents.  A document
+    is kept from a posterior of ``cut`` up, below one half, as a clean document lost costs more than a poor one kept.
 
     NULL or empty text has zero features; NULL host or path is a site of its own; repeated ids take the lowest label
     and are judged row by row; without labels every document has even odds and is kept; an empty table gives an empty
-    result.
+    result.  Long texts are measured whole, one at a time; columns beside those named are not read.
     """
     judged, _, sites, mean = _judged(docs, labels, host, path, sample)
     rows = judged.select("doc_id", F.col("host").alias("_host"), F.col("path").alias("_path"), F.col("evidence").alias("_evidence"))
@@ -151,7 +160,9 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE, cut: float = CUT) -> DataFrame:
-    """The documents that ``classify`` keeps, with all their columns."""
+    """The documents that ``classify`` keeps, with all their columns.
+
+    Features are computed a second time beside the rows, instead of shuffling the texts to join them by id."""
     _, weights, sites, mean = _judged(docs, labels, host, path, sample)
     rows = docs.select(F.struct("*").alias("_row"), F.col(host).alias("_host"), F.col(path).alias("_path"), "text")
     rows = with_features(rows).withColumn("_evidence", evidence("_quality", weights))
