@@ -98,6 +98,13 @@ def test_mix_meets_targets(make_docs, prose):
     assert {r[0]: r[1] for r in words} == {s: int(want[s] + 1e-9) for s in sizes if int(want[s] + 1e-9)}
 
 
+def test_rows_without_ids_spread_over_the_ranges(make_docs, prose):
+    docs = make_docs([(None, prose(3, i)) for i in range(300)] + [(5, prose(4, i)) for i in range(20)])
+    assert mixing._sized(docs, 3).select("_range").distinct().count() > 200
+    first, again = ([tuple(r) for r in mixing.mixed_documents(d).select("doc_id", "text").collect()] for d in (docs, docs.repartition(5)))
+    assert sorted(first, key=str) == sorted(again, key=str)
+
+
 def test_empty_mix(make_docs):
     assert mixing.mix(make_docs([(1, "a")]).limit(0)).count() == 0
     assert [r.taken for r in mixing.mix(make_docs([(1, None), (2, "")])).collect()] == [0, 0]

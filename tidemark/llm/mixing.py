@@ -66,10 +66,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     each document once; the last epoch cuts at the source's budget to the word, so one document per source may be
     taken in part.  Nothing depends on partitions or on task order: reruns agree.
 
-    NULL text has size 0; NULL source is a source of its own, last in order; a NULL id gets the key of "null"; rows
-    of equal id and size are interchangeable; an empty table gives an empty result.
+    NULL text has size 0; NULL source is a source of its own, last in order; a row without an id gets the key of its
+    text, so such rows spread over the ranges too; rows of equal id and size go by a hash of the text; an empty table
+    gives an empty result.  Long texts are counted whole; columns beside those named are not read.
     """
-    sized = written(_sized(docs.select("doc_id", "source", "text"), digits).select("doc_id", "source", "_source", "_size", "_key", "_range"), "mix-sizes")
+    sized = written(_sized(docs.select("doc_id", "source", "text"), digits).select("doc_id", "source", "_source", "_size", "_key", "_range", "_print"), "mix-sizes")
     return _taken(sized, sized, weights, share, cap).select(
         "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"), "source")
 
@@ -95,9 +96,9 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
 
 
 def _sized(docs: DataFrame, digits: int) -> DataFrame:
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.coalesce(F.md5("text"), F.lit("")))))
     named = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # NULL is a source too
-    return docs.withColumns({"_size": word_count(F.col("text")), "_key": key, "_range": F.substring(key, 1, digits), "_source": named})
+    return docs.withColumns({"_size": word_count(F.col("text")), "_key": key, "_range": F.substring(key, 1, digits), "_source": named, "_print": F.xxhash64("text")})
 
 
 def _taken(rows: DataFrame, narrow: DataFrame, weights, share: float, cap: int) -> DataFrame:
@@ -111,7 +112,7 @@ def _taken(rows: DataFrame, narrow: DataFrame, weights, share: float, cap: int)
     ranges = narrow.groupBy("_source", "_range").agg(F.sum("_size").alias("size"))
     before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranges.select("_source", "_range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("_start")).join(targets, "_source")
-    order = Window.partitionBy("_source", "_range").orderBy("_key", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("_source", "_range").orderBy("_key", "doc_id", "_size", "_print").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("_inside", F.coalesce(F.sum("_size").over(order), F.lit(0)))
     placed = placed.join(starts, ["_source", "_range"])
     budget = F.floor("_target")
