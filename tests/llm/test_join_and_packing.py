@@ -6,6 +6,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import ngram_join, packing
 
 
@@ -71,6 +73,16 @@ def test_one_of_each_group_stays(make_docs, prose):
     assert ngram_join.one_of_each(docs.limit(0)).count() == 0 and ngram_join.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_one_of_repeated_rows_stays(make_docs, prose):
+    text = prose(40, 3)
+    rows = [(4, text), (4, text), (4, text), (9, text), (None, prose(30, 5)), (None, prose(30, 5)), (6, ""), (6, ""), (7, None), (7, prose(20, 8)), (4, prose(25, 9))]
+    docs = make_docs(rows)
+    marked = docs.withColumn("label", F.spark_partition_id())  # other columns of repeated rows may differ
+    for d in (docs, marked):
+        kept = [(r.doc_id, r.text) for r in ngram_join.one_of_each(d, 5, 80).collect()]
+        assert sorted(kept, key=str) == sorted([(4, text), (None, rows[4][1]), (6, ""), (6, ""), (7, None), (7, rows[9][1]), (4, rows[10][1])], key=str)
+
+
 def test_prefix_tree_finds_all_links():
     rng = random.Random(8)
     sets = [sorted(rng.sample(range(40), rng.randint(5, 30))) for _ in range(120)]
