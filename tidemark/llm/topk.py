@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import written
 from tidemark.operators.numbering import numbered
 
-ROWS, QUERIES, HEAD, STEP = 4096, 1024, 16, 512
+ROWS, QUERIES, HEAD, STEP = 4096, 4096, 16, 512
 
 
 def quantized(vectors: DataFrame, scale: int = 64) -> DataFrame:
