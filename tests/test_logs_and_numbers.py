@@ -171,6 +171,21 @@ def test_filters_never_miss(spark):
     assert unique.may_be_stored(others, filters, 1).count() < 300
 
 
+def test_an_id_is_not_paired_with_every_day(spark):
+    """Filters so full that no day can be ruled out: the lookup has a row an id, and no join of ids with days before it."""
+    from tidemark.streaming import unique
+    full = spark.range(60).select(F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("day"), F.explode(F.array(F.lit(0), F.lit(1))).alias("block"),
+                                  F.expr("unhex(repeat('FF', 4096))").alias("bits"))
+    ids = spark.range(500).select(F.concat(F.lit("e"), "id").alias("event_id"))
+    assert "Join" not in unique.may_be_stored(ids, full, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert unique.may_be_stored(ids, full, 2).distinct().count() == 500 * 60
+    found = unique._matches(ids, full.unionByName(full), 2, pairs=False)
+    assert found.filter("day IS NULL").count() == found.select("event_id").dropna().distinct().count() == 500
+    assert found.select("day").dropna().distinct().count() == 60 and found.count() <= 500 + 60 * 2 * 4
+    none = full.withColumn("bits", F.expr("unhex(repeat('00', 4096))"))
+    assert unique.may_be_stored(ids, none, 2).isEmpty() and unique.may_be_stored(ids, full.limit(0), 2).isEmpty()
+
+
 def test_only_changed_hours_are_written(spark, tmp_path):
     target, features = str(tmp_path / "m"), ["f"]
     rows = [("a", START, 1, None), ("b", START + timedelta(hours=1), 1, 0), ("a", START + timedelta(hours=2), 0, 1), ("z", START + timedelta(hours=3), 0, 1)]
