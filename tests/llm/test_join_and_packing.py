@@ -73,6 +73,26 @@ def test_one_of_each_group_stays(make_docs, prose):
     assert ngram_join.one_of_each(docs.limit(0)).count() == 0 and ngram_join.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_frequent_ngrams_lose_no_link(make_docs):
+    """Sets of frequent words only: in every task a word is shared by more sets than are paired, and few of those link.
+
+    What holds such sets together must not be ruled out by the signatures of two of them."""
+    rng = random.Random(5)
+    sets = [rng.sample(range(10), 3) + rng.sample(range(10, 55), 17) for _ in range(2000)]  # the rarer 10 are the prefixes
+    for i in range(20):  # near copies far apart: other tasks, other batches
+        sets[1999 - i] = sets[i][:19] + [next(w for w in range(10, 55) if w not in sets[i])]
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(make_docs([(i, " ".join(f"w{w}" for w in s)) for i, s in enumerate(sets)]), 1, 90).collect()}
+    has = np.zeros((2000, 55), np.int64)
+    for i, s in enumerate(sets):
+        has[i, s] = 1
+    shared = has @ has.T
+    linked = {(i, j) for i, j in zip(*np.nonzero(100 * shared >= 90 * (40 - shared))) if i < j}
+    assert linked == {(i, 1999 - i) for i in range(20)}
+    caught = sum(got[1999 - i] == i for i in range(20))
+    assert caught == 20, caught
+    assert sum(k != v for k, v in got.items()) == 20
+
+
 def test_one_of_repeated_rows_stays(make_docs, prose):
     text = prose(40, 3)
     rows = [(4, text), (4, text), (4, text), (9, text), (None, prose(30, 5)), (None, prose(30, 5)), (6, ""), (6, ""), (7, None), (7, prose(20, 8)), (4, prose(25, 9))]
