@@ -103,6 +103,29 @@ def test_one_of_repeated_rows_stays(make_docs, prose):
         assert sorted(kept, key=str) == sorted([(4, text), (None, rows[4][1]), (6, ""), (6, ""), (7, None), (7, rows[9][1]), (4, rows[10][1])], key=str)
 
 
+def test_only_rows_that_may_go_are_compared_by_id(spark, make_docs):
+    """Rows that the bitmap rules out need no shuffle; no key, NULL ids and texts included, is ruled out."""
+    docs = make_docs([(i, f"text {i}") for i in range(500)] + [(None, "a"), (7, None)])
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text"))
+    keys = rows.filter("_doc IS NULL OR _doc % 10 = 7").select(F.col("_doc").alias("_id"), F.col("_text").alias("_print"))
+    others, asked = ngram_join._parted(rows, keys)
+    assert (others.count(), asked.count()) == (450, 52) and asked.filter("_doc IS NULL OR _doc % 10 = 7").count() == 52
+    assert ngram_join._parted(rows, keys.limit(0))[0].count() == 502
+
+
+def test_prefixes_share_as_many_ngrams_as_links_need():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 10, 19, 64, 130, 400):
+        for percent in (50, 80, 90):
+            for cut in range(0, n // 4 + 1):
+                a = np.sort(rng.choice(2000, n, replace=False))
+                b = np.sort(np.r_[a[rng.permutation(n)[cut:]], rng.choice(np.arange(2000, 4000), rng.integers(0, cut + 1), replace=False), rng.choice(np.arange(-500, 0), rng.integers(0, cut + 1), replace=False)])
+                both = len(np.intersect1d(a, b))
+                if len(b) and 100 * both >= percent * (n + len(b) - both):
+                    shared = np.intersect1d(*(x[:ngram_join.prefix_length(len(x), percent)] for x in (a, b)))
+                    assert len(shared) >= ngram_join.least_shared(np.array([n]), np.array([len(b)]), percent)[0]
+
+
 def test_prefix_tree_finds_all_links():
     rng = random.Random(8)
     sets = [sorted(rng.sample(range(40), rng.randint(5, 30))) for _ in range(120)]
