@@ -277,6 +277,29 @@ def test_slots_grow_with_the_types():
     assert np.isfinite(lm_scoring.token_scores([b"some", b"words", b""], table, weights)).all()
 
 
+def test_frequent_bytes_take_few_bits_and_are_counted_as_one_by_one(make_docs, prose):
+    texts = [prose(300, i) for i in range(5)]
+    coded = lm_scoring.Coded([w for t in texts for w in lm_scoring.tokens(t)])
+    tree = lm_scoring.Tree(np.bincount(coded.data, minlength=256))
+    paths = {tuple(tree.ones[a:a + n]) for a, n in zip(tree.first, tree.sizes)}
+    assert sum(0.5 ** len(p) for p in paths) == 1 and not any(p[:n] in paths for p in paths for n in range(len(p)))
+    assert tree.sizes[coded.data].mean() < 5 and tree.sizes.max() <= 24
+    rng = np.random.default_rng(3)
+    weights = rng.normal(0.2, 0.1, size=(lm_scoring.GATES, len(lm_scoring.ORDERS) + 1))
+    table = rng.normal(size=lm_scoring.STARTS[-1]).astype(np.float16)
+    every = [lm_scoring.Coded([bytes([i, 33])], [0]) for i in range(256) if i not in (0x20, 0x0A)]
+    first = sum(math.exp(-lm_scoring.code(c, table, weights, 0, tree)[0][0]) for c in every)
+    assert 0.5 < first < 1  # two of the 256 bytes are missing
+    counts = np.zeros((lm_scoring.STARTS[-1], 2), np.int64)
+    at = [(i, bit) for b in coded.data for i, bit in enumerate(tree.ones[tree.first[b]:tree.first[b] + tree.sizes[b]])]
+    for cells in coded.cells(np.arange(len(coded.data)), 0, tree):
+        for cell, (_, bit) in zip(cells, at, strict=True):
+            counts[cell, bit] += 1
+    docs = make_docs([(i, t) for i, t in enumerate(texts)]).selectExpr("text", "0 AS fold")
+    want = np.clip(np.log((counts[:, 1] + 0.4) / (counts[:, 0] + 0.4)), -12, 12).astype(np.float16)
+    assert (lm_scoring.trained(docs, 1500, 1500, tree)[1] == want).all()
+
+
 def test_predictors_learn_the_tuning_fold_too(make_docs):
     own = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == lm_scoring.TUNE][:3]
     docs = make_docs([(i, "some words") for i in own]).select("text", lm_scoring.fold(lm_scoring.F.col("doc_id")).alias("fold"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from collections import Counter
@@ -21,15 +22,16 @@ FOLDS, HELD, TUNE = 7, 2, 3
 #: Predictors (bytes of context, over word borders; -1 is the whole word so far) and the least bits of their slots; all
 #: double until the words so far have a slot for each type.
 ORDERS, BITS = (1, 2, 3, 5, -1), (18, 20, 22, 22, 22)
-#: Words whose base counts a task keeps, words counted at a time, tokens in a training task, bytes in a training step.
-HEAD, KEPT, TOKENS, STEP = 1 << 16, 400_000, 8_000_000, 1 << 16
+#: Words whose base counts a task keeps, words counted at a time, tokens in a training task, bytes in a training step and
+#: in a block that is coded.
+HEAD, KEPT, TOKENS, STEP, BLOCK = 1 << 16, 400_000, 8_000_000, 1 << 18, 1 << 16
 STARTS = tuple(sum(1 << b for b in BITS[:i]) for i in range(len(BITS) + 1))
 #: Shares that the words so far in a document may have in the prediction; their odds adapt to the document.
 CACHE = (0.0, 0.02, 0.1, 0.3, 0.6, 0.9)
 PLACES = 4  # gates: place in the word (to PLACES - 1) by how many predictors have seen their context
 GATES = PLACES * (len(ORDERS) + 1)
 #: Bytes after which a document's weights move, documents coded side by side, the rate of the moves, and those of the tuning passes.
-CHUNK, ABREAST, RATE, PASSES = 64, 512, 0.002, (0.01, 0.002)
+CHUNK, ABREAST, RATE, PASSES = 64, 128, 0.002, (0.01, 0.002)
 PIECE = 1 << 16
 
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -69,9 +71,75 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "word binary, c long, tune long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("tune").alias("tune"))
 
 
-_NODES = (1 << np.arange(8)) | (np.arange(256)[:, None] >> (8 - np.arange(8)))
-_OFFSETS = ((_NODES.astype(np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(32)).astype(np.uint32)
-_ONES = np.arange(256)[:, None] >> (7 - np.arange(8)) & 1
+class Tree:
+    """A binary code of the 256 bytes by their frequencies: each byte is the path of its bits from the root.
+
+    The bits of four levels are a block of 16 neighbouring slots, in an order that the context decides.
+    """
+
+    def __init__(self, counts: np.ndarray):
+        # No byte is rarer than 2^-14 of all, so paths stay below 24 bits.
+        least = max(1, int(counts.sum()) >> 14)
+        heap = [(max(int(c), least), i, (i,)) for i, c in enumerate(counts)]
+        heapq.heapify(heap)
+        paths: list[list[int]] = [[] for _ in range(256)]
+        for made in range(256, 511):
+            low, high = heapq.heappop(heap), heapq.heappop(heap)
+            for bit, (_, _, inside) in enumerate((low, high)):
+                for byte in inside:
+                    paths[byte].append(bit)
+            heapq.heappush(heap, (low[0] + high[0], made, low[2] + high[2]))
+        self.sizes = np.array([len(p) for p in paths])
+        self.first = np.cumsum(self.sizes) - self.sizes
+        blocks: dict[tuple, int] = {}
+        ones, block, slot = [], [], []
+        for path in paths:
+            path.reverse()
+            for i, bit in enumerate(path):
+                top = i // 4 * 4
+                ones.append(bit)
+                block.append(blocks.setdefault(tuple(path[:top]), len(blocks)))
+                slot.append(int("1" + "".join(map(str, path[top:i])), 2))
+        self.ones = np.array(ones)
+        self.signs = (2 * self.ones - 1).astype(np.float32)
+        self.offsets = ((np.array(block, np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(32)).astype(np.uint32)
+        self.slots = np.array(slot, np.uint32)
+
+    def bits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the bits of each byte end, which byte each bit is of, and its number in the arrays of this tree."""
+        sizes = self.sizes[data]
+        ends = np.cumsum(sizes)
+        owner = np.repeat(np.arange(len(data)), sizes)
+        return ends, owner, np.arange(len(owner)) + (self.first[data] - ends + sizes).take(owner)
+
+    def cells(self, bases: list[np.ndarray], owner: np.ndarray, bits: np.ndarray, grown: int, first: int = 0) -> Iterator[np.ndarray]:
+        """For predictors from ``first`` on the slots of these bits of the bytes ``owner``, in tables doubled ``grown`` times."""
+        offsets, slots = self.offsets[bits], self.slots[bits]
+        for i, base in enumerate(bases, first):
+            found = base.take(owner)
+            found += offsets
+            found >>= np.uint32(32 - BITS[i] - grown)
+            found ^= slots
+            yield found + np.int64(STARTS[i] << grown)
+
+
+EVEN = Tree(np.ones(256, np.int64))
+
+
+def byte_counts(words: DataFrame) -> np.ndarray:
+    """How often each byte is coded in the training documents whose ``word, c`` these are."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256, np.int64)
+        for batch in batches:
+            for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for byte in w + b" " if w else b"\n":
+                    total[byte] += c
+        yield pa.RecordBatch.from_pydict({"byte": pa.array(np.arange(256)), "n": pa.array(total)})
+
+    found = np.zeros(256, np.int64)
+    for byte, n in words.select("word", "c").mapInArrow(run, "byte long, n long").groupBy("byte").agg(F.sum("n")).collect():
+        found[byte] = n
+    return found
 
 
 class Coded:
@@ -82,47 +150,56 @@ class Coded:
     """
 
     def __init__(self, words: list[bytes], first: list[int] | None = None):
-        coded = [w + b" " if w else b"\n" for w in words]
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        self.data = np.frombuffer(b"".join(coded), np.uint8)
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        self.data = np.frombuffer(bytearray(b" ".join([*words, b""])), np.uint8)
+        starts = np.cumsum(sizes) - sizes
+        self.data[starts[sizes == 1]] = 10
         if first is None:
-            first = [i for i in range(len(words)) if not i or not words[i - 1]]
+            first = np.flatnonzero(np.r_[True, sizes[:-1] == 1][:len(words)])
         self.starts = starts[np.array(first, np.int64)]
         self.sizes = np.diff(np.r_[self.starts, len(self.data)])
-        self.inside = np.arange(len(self.data)) - np.repeat(self.starts, self.sizes)
-        self.word = np.repeat(np.arange(len(coded)), sizes)
-        self.place = np.arange(len(self.data)) - starts[self.word]
+        every = np.arange(len(self.data), dtype=np.int32)
+        self.inside = every - np.repeat(self.starts.astype(np.int32), self.sizes)
+        self.word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        self.place = every - np.repeat(starts.astype(np.int32), sizes)
         with np.errstate(over="ignore"):
             power = np.cumprod(np.full(int(sizes.max(initial=1)), 0x5851F42D4C957F2D, np.uint64))
             before = np.r_[_U(0), np.cumsum((self.data.astype(np.uint64) + _U(1)) * power[self.place])]
             self.prefix = before[:-1] - before[starts][self.word]
 
-    def hashes(self, index: np.ndarray, orders: tuple[int, ...]) -> Iterator[np.ndarray]:
+    def hashes(self, at: slice, orders: tuple[int, ...]) -> Iterator[np.ndarray]:
         """For each of ``orders``, ascending but for -1, a hash of the last bytes of the document before each byte."""
-        inside, found, done = self.inside[index], np.zeros(len(index), np.uint64), 0
+        inside, found, done = self.inside[at], np.zeros(at.stop - at.start, np.uint64), 0
+        reach = max(orders)
+        data = np.r_[np.zeros(max(0, reach - at.start), np.uint8), self.data[max(0, at.start - reach):at.stop]]
         for order in orders:
             if order < 0:
-                mixed = self.prefix[index] + self.place[index].astype(np.uint64)
+                mixed = self.prefix[at] + self.place[at].astype(np.uint64)
             else:
                 for k in range(done + 1, order + 1):
-                    byte = np.where(inside >= k, self.data[np.maximum(index - k, 0)], np.where(inside == k - 1, np.uint8(10), np.uint8(0)))
+                    byte = data[reach - k:len(data) - k] * (inside >= k)
+                    byte[inside == k - 1] = 10
                     found = found * _U(257) + byte + _U(1)
                 mixed, done = found, order
             mixed = (mixed ^ (mixed >> _U(29))) * _U(0xBF58476D1CE4E5B9)
-            mixed = (mixed ^ (mixed >> _U(32))) * _U(0x94D049BB133111EB)
-            yield mixed ^ (mixed >> _U(31))
+            mixed ^= mixed >> _U(32)
+            mixed *= _U(0x94D049BB133111EB)
+            mixed ^= mixed >> _U(31)
+            yield mixed
 
     def contexts(self, order: int, at: slice) -> np.ndarray:
-        return next(self.hashes(np.arange(at.start, at.stop), (order,)))
+        with np.errstate(over="ignore"):
+            return next(self.hashes(at, (order,)))
 
-    def cells(self, index: np.ndarray, grown: int) -> Iterator[np.ndarray]:
-        """For each predictor the slots of the eight bits of each byte, in tables doubled ``grown`` times."""
-        offsets = _OFFSETS[self.data[index]]
-        for i, mixed in enumerate(self.hashes(index, ORDERS)):
-            base = (mixed >> _U(32)).astype(np.uint32)
-            yield ((base[:, None] + offsets) >> np.uint32(32 - BITS[i] - grown)).astype(np.int64) + (STARTS[i] << grown)
+    def bases(self, at: slice) -> list[np.ndarray]:
+        """For each predictor 32 bits of the hash of the context of each byte."""
+        with np.errstate(over="ignore"):
+            return [(mixed >> _U(32)).astype(np.uint32) for mixed in self.hashes(at, ORDERS)]
+
+    def cells(self, index: np.ndarray, grown: int, tree: Tree = EVEN) -> Iterator[np.ndarray]:
+        """For each predictor the slots of the bits of these bytes, in tables doubled ``grown`` times."""
+        _, owner, bits = tree.bits(self.data[index])
+        return tree.cells([base[index] for base in self.bases(slice(0, len(self.data)))], owner, bits, grown)
 
 
 def doublings(types: int) -> int:
@@ -130,7 +207,7 @@ def doublings(types: int) -> int:
     return max(0, min(32, max(1, types - 1).bit_length()) - BITS[-1])
 
 
-def trained(docs: DataFrame, tokens_all: int, types: int) -> tuple[np.ndarray, np.ndarray]:
+def trained(docs: DataFrame, tokens_all: int, types: int, tree: Tree = EVEN) -> tuple[np.ndarray, np.ndarray]:
     """Stretched predictions of all predictors from the running text of the training documents, without and with the tuning fold.
 
     ``docs`` is ``text, fold``.  Each task counts bits as whole numbers over about TOKENS tokens; the pieces of the
@@ -164,12 +241,18 @@ def trained(docs: DataFrame, tokens_all: int, types: int) -> tuple[np.ndarray, n
                     counted += len(coded.data)
                     if tune not in totals:
                         totals[tune] = np.zeros(2 * slots_all, np.uint32)
-                    with np.errstate(over="ignore"):
-                        for at in range(0, len(coded.data), STEP):
-                            index = np.arange(at, min(at + STEP, len(coded.data)))
-                            ones = _ONES[coded.data[index]]
-                            for cells in coded.cells(index, grown):
-                                np.add.at(totals[tune], (2 * cells + ones).ravel(), np.uint32(1))
+                    for at in range(0, len(coded.data), STEP):
+                        step = slice(at, min(at + STEP, len(coded.data)))
+                        data = coded.data[step].astype(np.uint64)
+                        for i, base in enumerate(coded.bases(step)):
+                            # Bytes of the same context once, with their number.
+                            pairs = np.sort(base.astype(np.uint64) << _U(8) | data)
+                            starts = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
+                            times = np.diff(np.r_[starts, len(pairs)]).astype(np.uint32)
+                            pairs = pairs[starts]
+                            _, owner, bits = tree.bits((pairs & _U(255)).astype(np.intp))
+                            cells = next(tree.cells([(pairs >> _U(8)).astype(np.uint32)], owner, bits, grown, i))
+                            np.add.at(totals[tune], 2 * cells + tree.ones[bits], times.take(owner))
         yield from flush()
 
     def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +273,18 @@ def trained(docs: DataFrame, tokens_all: int, types: int) -> tuple[np.ndarray, n
     return out
 
 
-def code(coded: Coded, table: np.ndarray, weights: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _floats(halves: np.ndarray, out: np.ndarray) -> None:
+    """The values of float16 ``halves`` as float32, by their bits: the cast goes one by one."""
+    if halves.dtype != np.float16:
+        out[:] = halves
+        return
+    bits = halves.view(np.int16).astype(np.int32)
+    bits <<= 13
+    bits &= np.int32(-0x70002000)
+    np.multiply(bits.view(np.float32), np.float32(2.0 ** 112), out=out)
+
+
+def code(coded: Coded, table: np.ndarray, weights: np.ndarray, rate: float, tree: Tree = EVEN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The cost of each byte in nats; the weights that the documents end with, summed by gate with their visits, and the visits.
 
     Each document starts from ``weights``; every CHUNK bytes they move against the coding error of those bytes by
@@ -199,6 +293,9 @@ def code(coded: Coded, table: np.ndarray, weights: np.ndarray, rate: float) -> t
     grown = (len(table) // STARTS[-1]).bit_length() - 1
     inputs = len(ORDERS) + 1
     cost = np.zeros(len(coded.data))
+    blocks = [coded.bases(slice(at, min(at + BLOCK, len(cost)))) for at in range(0, len(cost), BLOCK)]
+    bases = [np.concatenate(found) for found in zip(*blocks)]
+    del blocks
     ended, visits = np.zeros((GATES, inputs)), np.zeros(GATES)
     order = np.argsort(-coded.sizes, kind="stable")
     for group in range(0, len(order), ABREAST):
@@ -209,31 +306,37 @@ def code(coded: Coded, table: np.ndarray, weights: np.ndarray, rate: float) -> t
         at, longest = 0, int(sizes.max(initial=0))
         while at < longest:
             live = int(np.searchsorted(-sizes, -at, "left"))
-            # Contexts of as many chunks at once as STEP bytes hold, so few long documents cost no more calls than many.
-            chunks = max(1, min(STEP // (live * CHUNK), -(-(longest - at) // CHUNK)))
+            # Contexts of as many chunks at once as BLOCK bytes hold, so few long documents cost no more calls than many.
+            chunks = max(1, min(BLOCK // (live * CHUNK), -(-(longest - at) // CHUNK)))
             used = (np.arange(at, at + chunks * CHUNK) < sizes[:live, None]).reshape(live, chunks, CHUNK)
             chunk, doc, shift = np.nonzero(used.transpose(1, 0, 2))
             index = starts[doc] + at + chunk * CHUNK + shift
-            x = np.empty((inputs, len(index), 8), np.float32)
+            ends, owner, bits = tree.bits(coded.data[index])
+            x = np.empty((inputs, len(bits)), np.float32)
             x[-1] = 0.3
-            seen = np.zeros((len(index), 8), np.int32)
-            with np.errstate(over="ignore"):
-                for i, cells in enumerate(coded.cells(index, grown)):
-                    x[i] = table[cells]
-                    seen += x[i] != 0
-            keys = seen + (doc * GATES + np.minimum(coded.place[index], PLACES - 1) * inputs)[:, None]
-            signs = (2 * _ONES[coded.data[index]] - 1).astype(np.float32)
+            seen = np.zeros(len(bits), np.int8)
+            for i, cells in enumerate(tree.cells([base[index] for base in bases], owner, bits, grown)):
+                _floats(table.take(cells), x[i])
+                seen += x[i] != 0
+            keys = (doc * GATES + np.minimum(coded.place[index], PLACES - 1) * inputs).take(owner)
+            keys += seen
+            signs = tree.signs[bits]
             stops = np.searchsorted(chunk, np.arange(chunks + 1))
-            offsets = (np.arange(inputs) * (live * GATES))[:, None]
+            begins = np.r_[0, ends]
             for here in map(slice, stops[:-1], stops[1:]):
-                key, sign, part = keys[here], signs[here], x[:, here]
-                odds = (part * now.take(key, axis=1)).sum(0)
-                wrong = np.exp(-sign * np.clip(odds, -20, 20))
-                cost[index[here]] = np.log1p(wrong).sum(1)
-                slope = sign * wrong / (1 + wrong)
-                key = key.ravel()
-                moved = np.bincount((key + offsets).ravel(), (slope * part).ravel(), inputs * live * GATES)
-                now[:, :live * GATES] += rate * moved.reshape(inputs, -1)
+                these = slice(begins[here.start], begins[here.stop])
+                key, sign, part = keys[these], signs[these], x[:, these]
+                odds = part[0] * now[0].take(key)
+                for i in range(1, inputs):
+                    odds += part[i] * now[i].take(key)
+                np.clip(odds, -20, 20, out=odds)
+                odds *= -sign
+                wrong = np.exp(odds, out=odds)
+                # The bits of a byte in one product: at most 24 factors of e^20.
+                cost[index[here]] = np.log(np.multiply.reduceat(wrong + np.float64(1), begins[here] - these.start))
+                slope = (sign * wrong / (1 + wrong)).astype(np.float64)
+                for i in range(inputs):
+                    now[i, :live * GATES] += rate * np.bincount(key, slope * part[i], live * GATES)
                 visited[:live * GATES] += np.bincount(key, minlength=live * GATES)
             at += chunks * CHUNK
         visited = visited.reshape(-1, GATES)
@@ -242,7 +345,7 @@ def code(coded: Coded, table: np.ndarray, weights: np.ndarray, rate: float) -> t
     return cost, ended, visits
 
 
-def tuned(docs: DataFrame, table: np.ndarray) -> np.ndarray:
+def tuned(docs: DataFrame, table: np.ndarray, tree: Tree = EVEN) -> np.ndarray:
     """Weights by gate from all documents of the tuning fold (``text``): after each pass, the mean of what the documents ended
     with, by their visits of the gate."""
     weights = np.full((GATES, len(ORDERS) + 1), 1.0 / len(ORDERS))
@@ -251,7 +354,7 @@ def tuned(docs: DataFrame, table: np.ndarray) -> np.ndarray:
             ended, visits = np.zeros(weights.shape), np.zeros(GATES)
             for batch in batches:
                 for part in _parts(batch, 0):
-                    _, a, b = code(Coded([w for t in part.column(0) for w in tokens(t.as_py())]), table, weights, rate)
+                    _, a, b = code(Coded([w for t in part.column(0) for w in tokens(t.as_py())]), table, weights, rate, tree)
                     ended += a
                     visits += b
             yield pa.RecordBatch.from_pydict({"sums": pa.array([np.c_[ended, visits].tobytes()], pa.binary())})
@@ -264,10 +367,10 @@ def tuned(docs: DataFrame, table: np.ndarray) -> np.ndarray:
     return weights
 
 
-def token_scores(words: list[bytes], table: np.ndarray, weights: np.ndarray, first: list[int] | None = None) -> np.ndarray:
+def token_scores(words: list[bytes], table: np.ndarray, weights: np.ndarray, first: list[int] | None = None, tree: Tree = EVEN) -> np.ndarray:
     """Log10 probability of each token's bytes, given those before it in its document."""
     coded = Coded(words, first)
-    return -np.bincount(coded.word, code(coded, table, weights, RATE)[0], len(words)) / math.log(10)
+    return -np.bincount(coded.word, code(coded, table, weights, RATE, tree)[0], len(words)) / math.log(10)
 
 
 def word_scores(words: list[bytes], table: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -326,8 +429,9 @@ def score(docs: DataFrame) -> DataFrame:
     frequent = F.lit(False) if least is None else octave >= least
     head = {bytes(r[0]): r[1] for r in words.filter(frequent).select("word", "c").collect()}
     learned = docs.select("text", fold(F.col("doc_id")).alias("fold")).filter(F.col("fold") != HELD)
-    apart, table = trained(learned, total, distinct)
-    weights = tuned(learned.filter(F.col("fold") == TUNE).select("text"), apart)
+    tree = Tree(byte_counts(words))
+    apart, table = trained(learned, total, distinct, tree)
+    weights = tuned(learned.filter(F.col("fold") == TUNE).select("text"), apart, tree)
     del apart
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,7 +446,7 @@ def score(docs: DataFrame) -> DataFrame:
                     first: dict[bytes, int] = {}
                     ids = np.fromiter((first.setdefault(w, len(first)) for w in ws), np.int64, len(ws))
                     numbered.append((ids, list(first)))
-                scores = token_scores([w for ws in found for w in ws], table, weights)
+                scores = token_scores([w for ws in found for w in ws], table, weights, tree=tree)
                 stops = np.cumsum([len(ws) for ws in found])
                 rows, links = [], []
                 for (ids, own), stop, text in zip(numbered, stops, part.column(1)):
