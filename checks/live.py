@@ -272,10 +272,11 @@ FROM preds""")(lambda d: training.classification_metrics(d.preds))
 @query("m11_registry_inference")
 def _registry(d: Domain) -> DataFrame:
     root = scratch_path(d.spark, "registry")
-    best = training.train_champion(d.store)
+    store = materialize(d.store, scratch_path(d.spark, "feature-store"))
+    best = training.train_champion(store)
     training.register_model(best.model, root, "CONVERSION_PREDICTOR", "V1", best.name, best.metrics,
                             {"target": "conversion"}, d.now)
-    return training.registry_predictions(d.spark, root, "CONVERSION_PREDICTOR", d.store)
+    return training.registry_predictions(d.spark, root, "CONVERSION_PREDICTOR", store)
 
 
 query("m11_score_rules", """
