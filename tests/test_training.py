@@ -68,6 +68,16 @@ def test_scores_of_unseen_rows_beat_the_base_rate(spark, store):
         assert scored.select("probability").distinct().count() > 1
 
 
+def test_registry_inference_builds_the_store_once(spark, monkeypatch):
+    from checks import live
+    seen = []
+    monkeypatch.setattr(live.training, "train_champion", lambda store: seen.append(store) or training.Champion("M", None, {}))
+    monkeypatch.setattr(live.training, "register_model", lambda *args: "")
+    monkeypatch.setattr(live.training, "registry_predictions", lambda spark, root, name, store: seen.append(store) or store)
+    live._registry(Domain(spark, "/root/testdata/sf0.001"))
+    assert seen[0] is seen[1] and all("feature-store" in name for name in seen[0].inputFiles())
+
+
 def test_metrics_by_hand(spark):
     rows = [(1, 1.0), (1, 0.0), (0, 1.0), (0, 0.0), (1, 1.0)]
     row = training.classification_metrics(spark.createDataFrame(rows, "actual_conversion int, prediction double")).first()
