@@ -49,18 +49,22 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
 class Automaton:
     """A probabilistic automaton: per state its count, its ends and for each class the count and next state."""
 
-    def __init__(self, counts, ends, steps, floor=None):
-        self.counts, self.ends, self.steps, self.floor = counts, ends, steps, floor
+    def __init__(self, counts, ends, steps, length, floor=None):
+        self.counts, self.ends, self.steps, self.length, self.floor = counts, ends, steps, length, floor
 
     def score(self, value: str) -> float:
-        """Mean log2 likelihood of a character, the end included; unseen steps cost UNSEEN and stay in their state."""
+        """Mean log2 likelihood of a character, the end included; unseen steps cost UNSEEN and stay in their state.
+
+        The end has the share that it has in the median of the automaton's own values, so values of all lengths compare.
+        """
         at, total = 0, 0.0
         for ch in value:
             c = CLASS_OF[ch]
             n, nxt = self.steps[at].get(c, (0, at))
             total += math.log2((n / self.counts[at] if n else UNSEEN) / len(CLASSES[c]))
             at = nxt
-        return (total + math.log2(max(self.ends[at] / self.counts[at], UNSEEN))) / (len(value) + 1)
+        end = math.log2(max(self.ends[at] / self.counts[at], UNSEEN))
+        return (total / len(value) * self.length + end) / (self.length + 1)
 
     def accepts(self, value: str) -> bool:
         score = self.score(value)
@@ -150,7 +154,7 @@ def infer(values: list[str], alpha: float = ALPHA, quantile: float = QUANTILE) -
             queue.extend((r, k) for r in kept for k in sorted(set(kids[r]) - before[r]))
     place = {s: i for i, s in enumerate(kept)}
     made = Automaton([counts[s] for s in kept], [ends[s] for s in kept],
-                     [{c: (n, place[y]) for c, (n, y) in kids[s].items() if y in place} for s in kept])
+                     [{c: (n, place[y]) for c, (n, y) in kids[s].items() if y in place} for s in kept], sorted(map(len, values))[len(values) // 2])
     scores = sorted(made.score(v) for v in values)
     made.floor = max(scores[int(quantile * (len(scores) - 1))], scores[len(scores) // 2] - SPREAD)
     return made
