@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import lm_scoring, quality_classifier, quality_rules, secrets
@@ -300,6 +301,34 @@ def test_frequent_bytes_take_few_bits_and_are_counted_as_one_by_one(make_docs, p
     assert (lm_scoring.trained(docs, 1500, 1500, tree)[1] == want).all()
 
 
+def test_frequent_words_are_coded_whole_and_others_by_every_byte(make_docs, prose):
+    texts = [None, "", " \t", "A bB\x0bc\r\n", "Ä b\x1cc d\x00", *(prose(200, i) for i in range(4))]
+    words, counts = lm_scoring.split(pa.array(texts))
+    assert words.to_pylist() == [w for t in texts for w in lm_scoring.tokens(t)] and counts.tolist() == [len(lm_scoring.tokens(t)) for t in texts]
+    spelled = ["oddly", "even"]
+    docs = make_docs([(0, "oddly even even")]).selectExpr("explode(split(text, ' ')) AS word").groupBy("word").agg(lm_scoring.F.count("*").alias("c"))
+    follows = lm_scoring.followers(docs.selectExpr("CAST(word AS binary) AS word", "c"))
+    assert follows.sum() == 6 + 2 * 5 and follows[ord("e"), ord("n")] == 2 and follows[32, ord("o")] == 1 and follows[ord("y"), 32] == 1
+    head = {w: 50 - i for i, w in enumerate(dict.fromkeys(w.encode() for w in prose(40, 1).split()))}
+    tree = lm_scoring.Spelling(head, 3, follows)
+    coded = tree.coded([*list(head)[:3], *(w.encode() for w in spelled), b""])
+    assert coded.symbols[:3].tolist() == [tree.number[w] for w in list(head)[:3]] and len(coded.symbols) == 3 + 1 + 6 + 1 + 5 + 1
+    # The contexts of a byte that is spelled are those it has where all bytes are coded, and no byte counts as less than one path.
+    plain = lm_scoring.Coded([*list(head)[:3], *(w.encode() for w in spelled), b""])
+    for order in lm_scoring.ORDERS:
+        assert (coded.contexts(order, slice(0, 17)) == plain.contexts(order, slice(0, len(plain.data)))[coded.at]).all()
+    groups = [slice(a, a + 256) for a in range(tree.escape + 1, len(tree.sizes), 256)]
+    assert len(groups) == 256 and all(math.isclose(sum(0.5 ** tree.sizes[g]), 1) for g in [slice(0, tree.escape + 1), *groups])
+    rng = np.random.default_rng(5)
+    table, weights = rng.normal(size=lm_scoring.STARTS[-1]).astype(np.float16), rng.normal(0.2, 0.1, size=(lm_scoring.GATES, len(lm_scoring.ORDERS) + 1))
+    whole = sum(10 ** lm_scoring.token_scores([w], table, weights, [0], tree)[0] for w in tree.number)
+    escaped = 10 ** lm_scoring.token_scores([b"oddly"], table, weights, [0], tree)[0]
+    assert 0 < whole < 1 and 0 < escaped < 1 - whole
+    near = lm_scoring.grains(table)
+    assert (abs(near * lm_scoring.GRAIN - table)[abs(table) > 0.05] < 0.051).all() and ((near == 0) == (table == 0)).all()
+    assert np.allclose(lm_scoring.token_scores([b"oddly", b""], near, weights, [0], tree), lm_scoring.token_scores([b"oddly", b""], table, weights, [0], tree), atol=0.5)
+
+
 def test_predictors_learn_the_tuning_fold_too(make_docs):
     own = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == lm_scoring.TUNE][:3]
     docs = make_docs([(i, "some words") for i in own]).select("text", lm_scoring.fold(lm_scoring.F.col("doc_id")).alias("fold"))

@@ -6,7 +6,9 @@ import heapq
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,18 +23,19 @@ from tidemark.llm.common import written
 FOLDS, HELD, TUNE = 7, 2, 3
 #: Predictors (bytes of context, over word borders; -1 is the whole word so far) and the least bits of their slots; all
 #: double until the words so far have a slot for each type.
-ORDERS, BITS = (1, 2, 3, 5, -1), (18, 20, 22, 22, 22)
-#: Words whose base counts a task keeps, words counted at a time, tokens in a training task, bytes in a training step and
+ORDERS, BITS = (1, 2, 3, 5, -1), (20, 20, 22, 22, 22)
+#: Words whose base counts a task keeps, words counted at a time, tokens in a training task, symbols in a training step and
 #: in a block that is coded.
-HEAD, KEPT, TOKENS, STEP, BLOCK = 1 << 16, 400_000, 8_000_000, 1 << 18, 1 << 16
+HEAD, KEPT, TOKENS, STEP, BLOCK = 1 << 16, 400_000, 8_000_000, 1 << 19, 1 << 15
 STARTS = tuple(sum(1 << b for b in BITS[:i]) for i in range(len(BITS) + 1))
 #: Shares that the words so far in a document may have in the prediction; their odds adapt to the document.
 CACHE = (0.0, 0.02, 0.1, 0.3, 0.6, 0.9)
 PLACES = 4  # gates: place in the word (to PLACES - 1) by how many predictors have seen their context
 GATES = PLACES * (len(ORDERS) + 1)
-#: Bytes after which a document's weights move, documents coded side by side, the rate of the moves, and those of the tuning passes.
-CHUNK, ABREAST, RATE, PASSES = 64, 128, 0.002, (0.01, 0.002)
+#: Bytes (words and spelled bytes: ``Spelling.chunk``) after which a document's weights move, documents coded side by side, the rate of the moves, and those of the tuning passes.
+CHUNK, ABREAST, RATE, PASSES = 64, 256, 0.002, (0.01, 0.002)
 PIECE = 1 << 16
+GRAIN = 0.1  # of the log-odds in the tables that documents are coded with
 
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _U = np.uint64
@@ -43,6 +46,15 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "replace").translate(_UPPER).split(), b""]
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The ``tokens`` of all texts one after another, and how many each has."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    # A blank after the last word leaves an empty string there, as an empty text does.
+    ended = pc.binary_join_element_wise(trimmed, pc.if_else(pc.equal(pc.binary_length(trimmed), 0), "", " "), "")
+    found = pc.ascii_split_whitespace(ended)
+    return found.flatten().cast(pa.binary()), pc.list_value_length(found).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def fold(doc_id: Column) -> Column:
     """NULL ids are in fold 0, which is learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS, F.lit(0)).cast("int")
@@ -71,75 +83,147 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "word binary, c long, tune long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("tune").alias("tune"))
 
 
+def _paths(counts: np.ndarray, rare: int) -> tuple[np.ndarray, ...]:
+    """Of a Huffman code the length of each symbol's path, of all paths one after another the bits, their slots in blocks of four
+    levels, and the blocks by number.  No symbol counts as rarer than 2^-rare of all, which bounds the paths."""
+    n, least = len(counts), max(1, int(counts.sum()) >> rare)
+    heap = [(max(int(c), least), i) for i, c in enumerate(counts)]
+    heapq.heapify(heap)
+    up, high = [0] * (2 * n - 1), [0] * (2 * n - 1)
+    for made in range(n, 2 * n - 1):
+        a, b = heapq.heappop(heap), heapq.heappop(heap)
+        up[a[1]] = up[b[1]] = made
+        high[b[1]] = 1
+        heapq.heappush(heap, (a[0] + b[0], made))
+    paths, lengths = [0] * (2 * n - 1), [0] * (2 * n - 1)
+    for node in range(2 * n - 3, -1, -1):
+        paths[node], lengths[node] = 2 * paths[up[node]] + high[node], lengths[up[node]] + 1
+    sizes = np.array(lengths[:n])
+    owner = np.repeat(np.arange(n), sizes)
+    level = np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner]
+    path, left, inside = np.array(paths[:n])[owner], sizes[owner] - level, level % 4
+    top = inside == 0
+    blocks = np.unique((path >> left | 1 << level)[top], return_inverse=True)[1]
+    return sizes, (path >> (left - 1) & 1).astype(np.int8), (1 << inside | path >> left & (1 << inside) - 1).astype(np.uint8), blocks
+
+
+class Paths(NamedTuple):
+    """The bits of symbols: where those of each end, and by bit the symbol, the bit, its slot and its block; by block its symbol and offset."""
+
+    ends: np.ndarray
+    owner: np.ndarray
+    ones: np.ndarray
+    slots: np.ndarray
+    home: np.ndarray
+    offsets: np.ndarray
+    block: np.ndarray
+
+    def blocks(self, base: np.ndarray, i: int, grown: int) -> tuple[np.ndarray, np.ndarray]:
+        """By block the number of its 16 slots in the table of predictor ``i``, doubled ``grown`` times, and their order, for
+        symbols in the contexts ``base``."""
+        found = base.take(self.home)
+        found += self.offsets
+        found >>= np.uint32(32 - BITS[i] - grown)
+        return found >> np.uint32(4), (found & np.uint32(15)).astype(np.intp)
+
+    def cells(self, base: np.ndarray, i: int, grown: int) -> np.ndarray:
+        """By bit the number of its slot in the tables of all predictors."""
+        number, order = self.blocks(base, i, grown)
+        order += number.astype(np.intp) << 4
+        order += STARTS[i] << grown
+        found = order.take(self.block)
+        found ^= self.slots
+        return found
+
+
 class Tree:
     """A binary code of the 256 bytes by their frequencies: each byte is the path of its bits from the root.
 
     The bits of four levels are a block of 16 neighbouring slots, in an order that the context decides.
     """
 
+    chunk = CHUNK
+
     def __init__(self, counts: np.ndarray):
-        # No byte is rarer than 2^-14 of all, so paths stay below 24 bits.
-        least = max(1, int(counts.sum()) >> 14)
-        heap = [(max(int(c), least), i, (i,)) for i, c in enumerate(counts)]
-        heapq.heapify(heap)
-        paths: list[list[int]] = [[] for _ in range(256)]
-        for made in range(256, 511):
-            low, high = heapq.heappop(heap), heapq.heappop(heap)
-            for bit, (_, _, inside) in enumerate((low, high)):
-                for byte in inside:
-                    paths[byte].append(bit)
-            heapq.heappush(heap, (low[0] + high[0], made, low[2] + high[2]))
-        self.sizes = np.array([len(p) for p in paths])
-        self.first = np.cumsum(self.sizes) - self.sizes
-        blocks: dict[tuple, int] = {}
-        ones, block, slot = [], [], []
-        for path in paths:
-            path.reverse()
-            for i, bit in enumerate(path):
-                top = i // 4 * 4
-                ones.append(bit)
-                block.append(blocks.setdefault(tuple(path[:top]), len(blocks)))
-                slot.append(int("1" + "".join(map(str, path[top:i])), 2))
-        self.ones = np.array(ones)
-        self.signs = (2 * self.ones - 1).astype(np.float32)
-        self.offsets = ((np.array(block, np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(32)).astype(np.uint32)
-        self.slots = np.array(slot, np.uint32)
-
-    def bits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where the bits of each byte end, which byte each bit is of, and its number in the arrays of this tree."""
-        sizes = self.sizes[data]
-        ends = np.cumsum(sizes)
-        owner = np.repeat(np.arange(len(data)), sizes)
-        return ends, owner, np.arange(len(owner)) + (self.first[data] - ends + sizes).take(owner)
-
-    def cells(self, bases: list[np.ndarray], owner: np.ndarray, bits: np.ndarray, grown: int, first: int = 0) -> Iterator[np.ndarray]:
-        """For predictors from ``first`` on the slots of these bits of the bytes ``owner``, in tables doubled ``grown`` times."""
-        offsets, slots = self.offsets[bits], self.slots[bits]
-        for i, base in enumerate(bases, first):
-            found = base.take(owner)
-            found += offsets
-            found >>= np.uint32(32 - BITS[i] - grown)
-            found ^= slots
-            yield found + np.int64(STARTS[i] << grown)
+        self._set(*_paths(counts, 14))  # paths stay below 24 bits
+
+    def _set(self, sizes: np.ndarray, ones: np.ndarray, slots: np.ndarray, blocks: np.ndarray) -> None:
+        self.sizes, self.ones, self._bits = sizes, ones, slots | ones.astype(np.uint8) << 4
+        self.first = np.cumsum(sizes) - sizes
+        self.several = (sizes + 3) // 4
+        self.first_block = np.cumsum(self.several) - self.several
+        self.offsets = ((blocks.astype(np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(32)).astype(np.uint32)
+
+    def coded(self, words: list[bytes], first: list[int] | None = None) -> Coded:
+        return Coded(words, first)
+
+    def texts(self, texts: pa.Array) -> Coded:
+        return self.coded([w for t in texts for w in tokens(t.as_py())])
+
+    def paths(self, symbols: np.ndarray) -> Paths:
+        sizes, several = self.sizes.take(symbols), self.several.take(symbols)
+        ends, last = np.cumsum(sizes), np.cumsum(several)
+        every = np.arange(len(symbols))
+        owner, home = np.repeat(every, sizes), np.repeat(every, several)
+        number = (self.first.take(symbols) - ends + sizes).take(owner)
+        number += np.arange(len(owner))
+        full = np.full(len(home), 4)
+        full[last - 1] = sizes - 4 * (several - 1)
+        offsets = self.offsets.take((self.first_block.take(symbols) - last + several).take(home) + np.arange(len(home)))
+        bits = self._bits.take(number)
+        return Paths(ends, owner, bits >> 4, bits & np.uint8(15), home, offsets, np.repeat(np.arange(len(home)), full))
 
 
 EVEN = Tree(np.ones(256, np.int64))
 
 
-def byte_counts(words: DataFrame) -> np.ndarray:
-    """How often each byte is coded in the training documents whose ``word, c`` these are."""
+class Spelling(Tree):
+    """A code of words: a tree of the words of ``head`` (with their counts) and an escape; after the escape come the bytes of any other word.
+
+    Each of these is coded by the tree of the byte before it in the word, a space at its start; ``follows`` are their counts.
+    """
+
+    chunk = 32
+
+    def __init__(self, head: dict[bytes, int], others: int, follows: np.ndarray):
+        head = {b"": 1} | head
+        ordered = sorted(head, key=lambda w: (-head[w], w))
+        self.number = {w: i for i, w in enumerate(ordered)}
+        self.escape = len(ordered)
+        # Where few were counted, bytes follow as they do anywhere.
+        every = follows.sum(0) + 1
+        parts = [_paths(np.array([*map(head.get, ordered), others]), 18)]
+        parts += [_paths(every + row * (64 * int(every.sum()) // max(64, int(row.sum()))), 14) for row in follows]
+        done = np.cumsum([0, *(blocks.max() + 1 for *_, blocks in parts)])
+        sizes, ones, slots, blocks = zip(*parts)
+        self._set(np.concatenate(sizes), np.concatenate(ones), np.concatenate(slots), np.concatenate([b + at for b, at in zip(blocks, done)]))
+
+    def coded(self, words: list[bytes], first: list[int] | None = None) -> Coded:
+        if first is None:
+            first = [i for i, w in enumerate([b"", *words[:-1]]) if not w]
+        return Spelled(pa.array(words, pa.binary()), np.array(first, np.int64), self)
+
+    def texts(self, texts: pa.Array) -> Spelled:
+        words, counts = split(texts)
+        return Spelled(words, np.cumsum(counts) - counts, self)
+
+
+def followers(words: DataFrame) -> np.ndarray:
+    """How often each byte follows each other in the words whose ``word, c`` these are; a space stands before and after a word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, np.int64)
+        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for byte in w + b" " if w else b"\n":
-                    total[byte] += c
-        yield pa.RecordBatch.from_pydict({"byte": pa.array(np.arange(256)), "n": pa.array(total)})
+            found = batch.column(0).to_pylist()
+            data = np.frombuffer(b" ".join([b"", *found, b""]), np.uint8).astype(np.int64)
+            times = np.repeat(batch.column(1).to_numpy(), [len(w) + 1 for w in found])
+            np.add.at(total, data[:-1] << 8 | data[1:], times)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"pair": pa.array(at), "n": pa.array(total[at])})
 
-    found = np.zeros(256, np.int64)
-    for byte, n in words.select("word", "c").mapInArrow(run, "byte long, n long").groupBy("byte").agg(F.sum("n")).collect():
-        found[byte] = n
-    return found
+    found = np.zeros(1 << 16, np.int64)
+    for pair, n in words.select("word", "c").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n")).collect():
+        found[pair] = n
+    return found.reshape(256, 256)
 
 
 class Coded:
@@ -156,6 +240,7 @@ class Coded:
         self.data[starts[sizes == 1]] = 10
         if first is None:
             first = np.flatnonzero(np.r_[True, sizes[:-1] == 1][:len(words)])
+        self.symbols = self.data
         self.starts = starts[np.array(first, np.int64)]
         self.sizes = np.diff(np.r_[self.starts, len(self.data)])
         every = np.arange(len(self.data), dtype=np.int32)
@@ -170,14 +255,13 @@ class Coded:
     def hashes(self, at: slice, orders: tuple[int, ...]) -> Iterator[np.ndarray]:
         """For each of ``orders``, ascending but for -1, a hash of the last bytes of the document before each byte."""
         inside, found, done = self.inside[at], np.zeros(at.stop - at.start, np.uint64), 0
-        reach = max(orders)
-        data = np.r_[np.zeros(max(0, reach - at.start), np.uint8), self.data[max(0, at.start - reach):at.stop]]
+        back = self._back(at, max(orders))
         for order in orders:
             if order < 0:
                 mixed = self.prefix[at] + self.place[at].astype(np.uint64)
             else:
                 for k in range(done + 1, order + 1):
-                    byte = data[reach - k:len(data) - k] * (inside >= k)
+                    byte = back(k) * (inside >= k)
                     byte[inside == k - 1] = 10
                     found = found * _U(257) + byte + _U(1)
                 mixed, done = found, order
@@ -187,6 +271,10 @@ class Coded:
             mixed ^= mixed >> _U(31)
             yield mixed
 
+    def _back(self, at: slice, reach: int) -> Callable[[int], np.ndarray]:
+        data = np.r_[np.zeros(max(0, reach - at.start), np.uint8), self.data[max(0, at.start - reach):at.stop]]
+        return lambda k: data[reach - k:len(data) - k]
+
     def contexts(self, order: int, at: slice) -> np.ndarray:
         with np.errstate(over="ignore"):
             return next(self.hashes(at, (order,)))
@@ -198,8 +286,47 @@ class Coded:
 
     def cells(self, index: np.ndarray, grown: int, tree: Tree = EVEN) -> Iterator[np.ndarray]:
         """For each predictor the slots of the bits of these bytes, in tables doubled ``grown`` times."""
-        _, owner, bits = tree.bits(self.data[index])
-        return tree.cells([base[index] for base in self.bases(slice(0, len(self.data)))], owner, bits, grown)
+        paths = tree.paths(self.symbols[index])
+        return (paths.cells(base[index], i, grown) for i, base in enumerate(self.bases(slice(0, len(self.symbols)))))
+
+
+class Spelled(Coded):
+    """Documents as the symbols of a ``Spelling``: a word of its head is one, with the contexts of its first byte; another word is
+    the escape, with the same contexts, and its bytes."""
+
+    def __init__(self, words: pa.Array, first: np.ndarray, tree: Spelling):
+        n = len(words)
+        different = words.dictionary_encode()
+        self.own, self.distinct = different.indices.to_numpy(), different.dictionary
+        self.ids = np.fromiter(map(tree.number.get, self.distinct.to_pylist(), repeat(tree.escape)), np.int32, len(self.distinct))
+        ids = self.ids.take(self.own)
+        sizes = pc.binary_length(words).to_numpy().astype(np.int32) + np.int32(1)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), words), b" ")[0].as_py()
+        self.data = np.frombuffer(bytearray(joined + b" "), np.uint8)
+        starts = np.cumsum(sizes) - sizes
+        self.data[starts[sizes == 1]] = 10
+        units = np.where(ids == tree.escape, sizes + 1, 1)
+        begins = np.cumsum(units) - units
+        self.starts, self.sizes = begins[first], np.diff(np.r_[begins[first], units.sum()])
+        self.word = np.repeat(np.arange(n, dtype=np.int32), units)
+        self.symbols = ids.take(self.word)
+        shift = np.arange(len(self.word), dtype=np.int32) - begins.astype(np.int32).take(self.word)
+        self.place = np.maximum(shift - 1, 0)
+        self.at = starts.astype(np.int32).take(self.word) + self.place
+        start = starts[first]
+        self.inside = self.at - np.repeat(start.astype(np.int32), self.sizes)
+        # The bytes of other words: their symbols, and hashes of what of the word stands before them.
+        spelled = np.flatnonzero(shift)
+        data, place = self.data[self.at[spelled]], self.place[spelled]
+        self.symbols[spelled] = tree.escape + 1 + (np.where(place == 0, 32, self.data[self.at[spelled] - 1]).astype(np.int32) << 8 | data)
+        self.prefix = np.zeros(len(self.word), np.uint64)
+        with np.errstate(over="ignore"):
+            power = np.cumprod(np.full(int(place.max(initial=0)) + 1, 0x5851F42D4C957F2D, np.uint64))
+            before = np.r_[_U(0), np.cumsum((data.astype(np.uint64) + _U(1)) * power[place])]
+            self.prefix[spelled] = before[:-1] - before[np.arange(len(spelled)) - place]
+
+    def _back(self, at: slice, reach: int) -> Callable[[int], np.ndarray]:
+        return lambda k: self.data.take(self.at[at] - np.int32(k), mode="clip")
 
 
 def doublings(types: int) -> int:
@@ -218,6 +345,7 @@ def trained(docs: DataFrame, tokens_all: int, types: int, tree: Tree = EVEN) ->
 
     def count_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[bool, np.ndarray] = {}
+        kept: dict[bool, list[pa.Array]] = {False: [], True: []}
         counted = 0
 
         def flush():
@@ -228,31 +356,43 @@ def trained(docs: DataFrame, tokens_all: int, types: int, tree: Tree = EVEN) ->
                         yield pa.RecordBatch.from_pydict({"piece": pa.array([i], pa.int32()), "tune": pa.array([tune]), "cells": pa.array([zlib.compress(part, 1)], pa.binary())})
             totals.clear()
 
+        def count(tune: bool):
+            nonlocal counted
+            coded = tree.texts(pa.concat_arrays(kept[tune]))
+            kept[tune].clear()
+            if counted + len(coded.symbols) > 1 << 31:  # a cell of 32 bits holds the symbols of one round
+                yield from flush()
+                counted = 0
+            counted += len(coded.symbols)
+            if tune not in totals:
+                totals[tune] = np.zeros(2 * slots_all, np.uint32)
+            total = totals[tune]
+            for at in range(0, len(coded.symbols), STEP):
+                step = slice(at, min(at + STEP, len(coded.symbols)))
+                data = coded.symbols[step].astype(np.uint64)
+                for i, base in enumerate(coded.bases(step)):
+                    # Symbols of the same context once, with their number.
+                    pairs = np.sort(base.astype(np.uint64) << _U(32) | data)
+                    starts = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
+                    times = np.diff(np.r_[starts, len(pairs)]).astype(np.uint32)
+                    pairs = pairs[starts]
+                    for some in (slice(a, a + BLOCK // 2) for a in range(0, len(pairs), BLOCK // 2)):
+                        paths = tree.paths((pairs[some] & _U(0xFFFFFFFF)).astype(np.intp))
+                        cells = paths.cells((pairs[some] >> _U(32)).astype(np.uint32), i, grown)
+                        cells <<= 1
+                        cells += paths.ones
+                        np.add.at(total, cells, times[some].take(paths.owner))
+
         for batch in batches:
             for part in _parts(batch, 0):
-                for tune in (False, True):
-                    chosen = [t.as_py() for t, at in zip(part.column(0), part.column(1).to_pylist()) if (at == TUNE) == tune]
-                    if not chosen:
-                        continue
-                    coded = Coded([w for t in chosen for w in tokens(t)])
-                    if counted + len(coded.data) > 1 << 31:  # a cell of 32 bits holds the bytes of one round
-                        yield from flush()
-                        counted = 0
-                    counted += len(coded.data)
-                    if tune not in totals:
-                        totals[tune] = np.zeros(2 * slots_all, np.uint32)
-                    for at in range(0, len(coded.data), STEP):
-                        step = slice(at, min(at + STEP, len(coded.data)))
-                        data = coded.data[step].astype(np.uint64)
-                        for i, base in enumerate(coded.bases(step)):
-                            # Bytes of the same context once, with their number.
-                            pairs = np.sort(base.astype(np.uint64) << _U(8) | data)
-                            starts = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
-                            times = np.diff(np.r_[starts, len(pairs)]).astype(np.uint32)
-                            pairs = pairs[starts]
-                            _, owner, bits = tree.bits((pairs & _U(255)).astype(np.intp))
-                            cells = next(tree.cells([(pairs >> _U(8)).astype(np.uint32)], owner, bits, grown, i))
-                            np.add.at(totals[tune], 2 * cells + tree.ones[bits], times.take(owner))
+                tunes = pc.fill_null(pc.equal(part.column(1), TUNE), False)
+                for tune, chosen in enumerate((part.column(0).filter(pc.invert(tunes)), part.column(0).filter(tunes))):
+                    kept[tune] += [chosen] * (len(chosen) > 0)
+                    if sum(x.nbytes for x in kept[tune]) > 2 << 20:  # the more at once, the more are the same
+                        yield from count(bool(tune))
+        for tune in kept:
+            if kept[tune]:
+                yield from count(tune)
         yield from flush()
 
     def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,29 +413,37 @@ def trained(docs: DataFrame, tokens_all: int, types: int, tree: Tree = EVEN) ->
     return out
 
 
-def _floats(halves: np.ndarray, out: np.ndarray) -> None:
-    """The values of float16 ``halves`` as float32, by their bits: the cast goes one by one."""
-    if halves.dtype != np.float16:
-        out[:] = halves
-        return
-    bits = halves.view(np.int16).astype(np.int32)
-    bits <<= 13
-    bits &= np.int32(-0x70002000)
-    np.multiply(bits.view(np.float32), np.float32(2.0 ** 112), out=out)
+def grains(table: np.ndarray) -> np.ndarray:
+    """The table in steps of GRAIN, a byte a slot; what is not 0 stays so."""
+    out = np.empty(len(table), np.int8)
+    for at in range(0, len(table), PIECE):
+        x = table[at:at + PIECE].astype(np.float32)
+        near = np.rint(x / np.float32(GRAIN))
+        out[at:at + PIECE] = np.where(near == 0, np.sign(x), near)
+    return out
+
+
+def _floats(found: np.ndarray, out: np.ndarray) -> None:
+    """The values of a table as float32."""
+    if found.dtype == np.int8:
+        np.multiply(found, np.float32(GRAIN), out=out)
+    else:
+        out[:] = found
 
 
 def code(coded: Coded, table: np.ndarray, weights: np.ndarray, rate: float, tree: Tree = EVEN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The cost of each byte in nats; the weights that the documents end with, summed by gate with their visits, and the visits.
 
-    Each document starts from ``weights``; every CHUNK bytes they move against the coding error of those bytes by
+    Each document starts from ``weights``; every tree.chunk bytes they move against the coding error of those bytes by
     ``rate``, so no byte is predicted by weights that have seen it.  Documents do not see each other.
     """
     grown = (len(table) // STARTS[-1]).bit_length() - 1
     inputs = len(ORDERS) + 1
-    cost = np.zeros(len(coded.data))
+    cost = np.zeros(len(coded.symbols))
     blocks = [coded.bases(slice(at, min(at + BLOCK, len(cost)))) for at in range(0, len(cost), BLOCK)]
     bases = [np.concatenate(found) for found in zip(*blocks)]
     del blocks
+    tables = [table[a << grown:b << grown].reshape(-1, 16) for a, b in zip(STARTS, STARTS[1:])]
     ended, visits = np.zeros((GATES, inputs)), np.zeros(GATES)
     order = np.argsort(-coded.sizes, kind="stable")
     for group in range(0, len(order), ABREAST):
@@ -307,22 +455,28 @@ def code(coded: Coded, table: np.ndarray, weights: np.ndarray, rate: float, tree
         while at < longest:
             live = int(np.searchsorted(-sizes, -at, "left"))
             # Contexts of as many chunks at once as BLOCK bytes hold, so few long documents cost no more calls than many.
-            chunks = max(1, min(BLOCK // (live * CHUNK), -(-(longest - at) // CHUNK)))
-            used = (np.arange(at, at + chunks * CHUNK) < sizes[:live, None]).reshape(live, chunks, CHUNK)
+            chunks = max(1, min(BLOCK // (live * tree.chunk), -(-(longest - at) // tree.chunk)))
+            used = (np.arange(at, at + chunks * tree.chunk) < sizes[:live, None]).reshape(live, chunks, tree.chunk)
             chunk, doc, shift = np.nonzero(used.transpose(1, 0, 2))
-            index = starts[doc] + at + chunk * CHUNK + shift
-            ends, owner, bits = tree.bits(coded.data[index])
-            x = np.empty((inputs, len(bits)), np.float32)
+            index = starts[doc] + at + chunk * tree.chunk + shift
+            paths = tree.paths(coded.symbols[index])
+            x = np.empty((inputs, len(paths.owner)), np.float32)
             x[-1] = 0.3
-            seen = np.zeros(len(bits), np.int8)
-            for i, cells in enumerate(tree.cells([base[index] for base in bases], owner, bits, grown)):
-                _floats(table.take(cells), x[i])
-                seen += x[i] != 0
-            keys = (doc * GATES + np.minimum(coded.place[index], PLACES - 1) * inputs).take(owner)
+            seen = np.zeros(len(paths.owner), np.int8)
+            slots, firsts = paths.slots.astype(np.intp), np.arange(len(paths.home)) << 4
+            for i, base in enumerate(bases):
+                number, spread = paths.blocks(base[index], i, grown)
+                spread += firsts
+                spots = spread.take(paths.block)
+                spots ^= slots
+                found = tables[i].take(number, axis=0).ravel().take(spots)
+                _floats(found, x[i])
+                seen += found != 0
+            keys = (doc * GATES + np.minimum(coded.place[index], PLACES - 1) * inputs).take(paths.owner)
             keys += seen
-            signs = tree.signs[bits]
+            signs = 2 * paths.ones - np.float32(1)
             stops = np.searchsorted(chunk, np.arange(chunks + 1))
-            begins = np.r_[0, ends]
+            begins = np.r_[0, paths.ends]
             for here in map(slice, stops[:-1], stops[1:]):
                 these = slice(begins[here.start], begins[here.stop])
                 key, sign, part = keys[these], signs[these], x[:, these]
@@ -338,7 +492,7 @@ def code(coded: Coded, table: np.ndarray, weights: np.ndarray, rate: float, tree
                 for i in range(inputs):
                     now[i, :live * GATES] += rate * np.bincount(key, slope * part[i], live * GATES)
                 visited[:live * GATES] += np.bincount(key, minlength=live * GATES)
-            at += chunks * CHUNK
+            at += chunks * tree.chunk
         visited = visited.reshape(-1, GATES)
         ended += np.einsum("idg,dg->gi", now.reshape(inputs, -1, GATES), visited)
         visits += visited.sum(0)
@@ -354,7 +508,7 @@ def tuned(docs: DataFrame, table: np.ndarray, tree: Tree = EVEN) -> np.ndarray:
             ended, visits = np.zeros(weights.shape), np.zeros(GATES)
             for batch in batches:
                 for part in _parts(batch, 0):
-                    _, a, b = code(Coded([w for t in part.column(0) for w in tokens(t.as_py())]), table, weights, rate, tree)
+                    _, a, b = code(tree.texts(part.column(0)), table, weights, rate, tree)
                     ended += a
                     visits += b
             yield pa.RecordBatch.from_pydict({"sums": pa.array([np.c_[ended, visits].tobytes()], pa.binary())})
@@ -369,7 +523,7 @@ def tuned(docs: DataFrame, table: np.ndarray, tree: Tree = EVEN) -> np.ndarray:
 
 def token_scores(words: list[bytes], table: np.ndarray, weights: np.ndarray, first: list[int] | None = None, tree: Tree = EVEN) -> np.ndarray:
     """Log10 probability of each token's bytes, given those before it in its document."""
-    coded = Coded(words, first)
+    coded = tree.coded(words, first)
     return -np.bincount(coded.word, code(coded, table, weights, RATE, tree)[0], len(words)) / math.log(10)
 
 
@@ -378,37 +532,48 @@ def word_scores(words: list[bytes], table: np.ndarray, weights: np.ndarray) -> n
     return token_scores(words, table, weights, list(range(len(words))))
 
 
-def document_score(ids: np.ndarray, coded: np.ndarray) -> float:
-    """Log10 probability of a document whose tokens are the numbers ``ids``; ``coded`` is each token's log10 probability.
+def document_scores(ids: np.ndarray, counts: np.ndarray, coded: np.ndarray) -> np.ndarray:
+    """Log10 probabilities of documents of ``counts`` tokens, which have the numbers ``ids``; ``coded`` is each token's log10 probability.
 
     For each share in CACHE a predictor gives that share to the words of the document so far, each by its count, and
     the rest to the bit predictors.  Their odds, even at first, follow how well each has coded the document: the sum of
     what they give to the whole document, over all of them.
     """
-    n = len(ids)
-    t = np.arange(n)
-    order = np.argsort(ids, kind="stable")
-    ordered = ids[order]
-    times = np.empty(n)
-    times[order] = t - np.searchsorted(ordered, ordered)
-    seen = times / np.maximum(t, 1)
-    sums = [coded.sum()]
+    begins = np.cumsum(counts) - counts
+    t = np.arange(len(ids)) - np.repeat(begins, counts)
+    key = np.repeat(np.arange(len(counts)) << 32, counts) + ids
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    runs = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    times = np.empty(len(ids))
+    times[order] = np.arange(len(ids)) - np.repeat(runs, np.diff(np.r_[runs, len(ids)]))
+    # What the words so far give, over what the predictors give; e^700 is near the end of a float's range.
+    seen = times > 0
+    more = np.log(times[seen] / t[seen]) - coded[seen] * math.log(10)
+    over = np.maximum(more - 700, 0)
+    more, over = np.exp(more - over), over / math.log(10)
+    sums = [np.add.reduceat(coded, begins)]
     for share in CACHE[1:]:
-        part = np.where(t > 0, share, 0.0)
-        with np.errstate(divide="ignore"):
-            sums.append(np.logaddexp(np.log(1 - part) + coded * math.log(10), np.log(part * seen)).sum() / math.log(10))
-    top = max(sums)
-    return float(top + math.log10(sum(10.0 ** (x - top) for x in sums) / len(sums)))
+        part = np.where(t > 0, math.log10(1 - share), 0.0)
+        part[seen] = np.log10(1 - share + share * more) + over
+        sums.append(np.add.reduceat(coded + part, begins))
+    top = np.max(sums, axis=0)
+    return top + np.log10(np.mean(10.0 ** (np.array(sums) - top), axis=0))
+
+
+def document_score(ids: np.ndarray, coded: np.ndarray) -> float:
+    return float(document_scores(ids, np.array([len(ids)]), coded)[0])
 
 
 def score(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` of every document.
 
-    The base is add-one smoothed word counts over the training documents, all of them.  The most frequent words, at most ``HEAD``,
-    are counted inside the tasks; the other words of each document go as (word, document) rows to their counts,
-    so no word there is hot.  The model codes every byte of every token by bit predictors in hashed contexts that reach
-    over word borders, mixed by weights of gates that move while a document is coded.  The counts of all words, frequent or
-    not, are in the mix as the predictor of the word so far; a cache of its words adapts it further to the document.  The
+    The base is add-one smoothed word counts over the training documents, all of them.  The most frequent words that were met
+    more than once, at most ``HEAD``, are counted inside the tasks; the other words of each document go as (word, document)
+    rows to their counts, so no word there is hot.  The model codes every token by bit predictors in hashed contexts that
+    reach over word borders, mixed by weights of gates that move while a document is coded.  The bits of a frequent word are
+    its path in a tree of them, those of another an escape and the paths of all its bytes.  The counts of all words, frequent
+    or not, are in the mix as the predictor of the word so far; a cache of its words adapts it further to the document.  The
     predictors learn from the running text of all training documents; the starting weights are fitted by all documents
     of the tuning fold, with predictors that have not seen them.
 
@@ -427,37 +592,36 @@ def score(docs: DataFrame) -> DataFrame:
             break
         least = at
     frequent = F.lit(False) if least is None else octave >= least
-    head = {bytes(r[0]): r[1] for r in words.filter(frequent).select("word", "c").collect()}
+    # A word that was met once stands for those that were not: it is spelled.
+    head = {bytes(r[0]): r[1] for r in words.filter(frequent & (F.col("c") > 1)).select("word", "c").collect()}
+    tree = Spelling(head, total - sum(head.values()), followers(words.filter(~frequent | (F.col("c") == 1))))
+    logs = np.array([math.log10(head[w] + 1) if w in head else 0.0 for w in tree.number] + [0.0])  # 0 also for the escape
     learned = docs.select("text", fold(F.col("doc_id")).alias("fold")).filter(F.col("fold") != HELD)
-    tree = Tree(byte_counts(words))
-    apart, table = trained(learned, total, distinct, tree)
+    apart, table = map(grains, trained(learned, total, distinct, tree))
     weights = tuned(learned.filter(F.col("fold") == TUNE).select("text"), apart, tree)
-    del apart
+    del apart, head
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         number = TaskContext.get().partitionId() << 40
-        logs = {w: math.log10(c + 1) for w, c in head.items()}
         for batch in batches:
             for part in _parts(batch):
-                found = [tokens(x.as_py()) for x in part.column(1)]
-                numbered = []
-                for ws in found:
-                    first: dict[bytes, int] = {}
-                    ids = np.fromiter((first.setdefault(w, len(first)) for w in ws), np.int64, len(ws))
-                    numbered.append((ids, list(first)))
-                scores = token_scores([w for ws in found for w in ws], table, weights, tree=tree)
-                stops = np.cumsum([len(ws) for ws in found])
-                rows, links = [], []
-                for (ids, own), stop, text in zip(numbered, stops, part.column(1)):
-                    times = np.bincount(ids, minlength=len(own)).tolist()
-                    known = sum(n for w, n in zip(own, times) if w in logs)
-                    base = sum(n * logs[w] for w, n in zip(own, times) if w in logs)
-                    links += [(number, w, n) for w, n in zip(own, times) if w not in logs]
-                    rows.append((number, len(ids), known, base, document_score(ids, scores[stop - len(ids):stop]), len((text.as_py() or "").encode("utf-8", "replace"))))
-                    number += 1
-                yield _batch(part, rows)
-                yield _links(links, part)
+                texts, n = part.column(1), part.num_rows
+                found, counts = split(texts)
+                coded = Spelled(found, np.cumsum(counts) - counts, tree)
+                scores = -np.bincount(coded.word, code(coded, table, weights, RATE, tree)[0], len(found)) / math.log(10)
+                # Each word of each document once, with its number there.
+                pairs, times = np.unique(np.repeat(np.arange(n) << 32, counts) + coded.own, return_counts=True)
+                row, own = pairs >> 32, pairs & 0xFFFFFFFF
+                log = logs[coded.ids.take(own)]
+                links = log == 0
+                rows = pa.array(np.arange(number, number + n))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(2), rows, pa.array(counts), pa.array(np.bincount(row, np.where(links, 0, times), n).astype(np.int64)),
+                     pa.array(np.bincount(row, times * log, n)), pa.array(document_scores(coded.own, counts, scores)),
+                     pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names=_NAMES)
+                yield _links(number + row[links], coded.distinct.take(pa.array(own[links])), times[links], part)
+                number += n
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, fold int, row long, n_tokens long, known long, base double, score double, bytes long, word binary, times long"
@@ -487,15 +651,8 @@ def _parts(batch: pa.RecordBatch, column: int = 1, most: int = 1 << 20) -> Itera
 _NAMES = ["doc_id", "fold", "row", "n_tokens", "known", "base", "score", "bytes", "word", "times"]
 
 
-def _batch(part: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
-    made = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
-    return pa.RecordBatch.from_arrays([part.column(0), part.column(2), *made, pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.int64())], names=_NAMES)
-
-
-def _links(links: list[tuple], part: pa.RecordBatch) -> pa.RecordBatch:
-    n = len(links)
+def _links(rows: np.ndarray, words: pa.Array, times: np.ndarray, part: pa.RecordBatch) -> pa.RecordBatch:
+    n = len(rows)
     none = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]
     return pa.RecordBatch.from_arrays(
-        [pa.nulls(n, part.column(0).type), pa.nulls(n, part.column(2).type), pa.array([x[0] for x in links], pa.int64()), *none,
-         pa.array([x[1] for x in links], pa.binary()), pa.array([x[2] for x in links], pa.int64())], names=_NAMES)
+        [pa.nulls(n, part.column(0).type), pa.nulls(n, part.column(2).type), pa.array(rows), *none, words, pa.array(times)], names=_NAMES)
