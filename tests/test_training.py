@@ -89,3 +89,22 @@ def test_metrics_by_hand(spark):
 def test_sql_scorer(spark):
     training.register_sql_scorer(spark, "halve", lambda s: s / 2)
     assert spark.sql("SELECT halve(3.0D)").first()[0] == 1.5
+
+
+def test_training_rows_in_one_partition_are_dealt_over_the_cores(spark):
+    from pyspark.ml import Estimator
+    from pyspark.ml.feature import VectorAssembler
+
+    class Seen(Estimator):
+        def getLabelCol(self):
+            return "label"
+
+        def _fit(self, data):
+            self.parts, self.rows = data.rdd.getNumPartitions(), sorted(r.client_id for r in data.select("client_id").collect())
+            return VectorAssembler(inputCols=["a"], outputCol="b")
+
+    cores = spark.sparkContext.defaultParallelism
+    for rows in (100, 3 * training.DEAL):
+        seen = Seen()
+        training.fit(spark.range(rows).coalesce(1).selectExpr("id AS client_id", "id % 2 AS label", "id * 0.5 AS a"), seen, ["a"])
+        assert seen.parts == min(cores, max(1, rows // training.DEAL)) and seen.rows == list(range(rows))

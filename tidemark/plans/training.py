@@ -21,6 +21,7 @@ from tidemark.session import cut_lineage
 
 TARGETS = ("conversion_target", "churn_target", "next_best_action")
 MISSING = "missing_inputs"
+DEAL = 5_000  # rows that are worth a task of their own in training
 ENCODED = tuple(f"{c}_encoded" for c in CATEGORICAL_FEATURES)
 
 
@@ -74,15 +75,26 @@ def _filled(frame: DataFrame, inputs: Sequence[str]) -> DataFrame:
     return frame.withColumns({MISSING: missing, **{c: F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0)) for c, v in zip(inputs, known)}})
 
 
+def dealt(frame: DataFrame) -> DataFrame:
+    """A checkpointed frame, spread by client over as many tasks as there are cores or ``DEAL`` rows in it.
+
+    The feature plan leaves as few partitions as its bytes fill, and the passes over them would use no more cores.
+    """
+    wanted = min(frame.sparkSession.sparkContext.defaultParallelism, -(-frame.count() // DEAL))
+    if frame.rdd.getNumPartitions() >= wanted:
+        return frame
+    return cut_lineage(frame.repartition(wanted, "client_id"))
+
+
 def fit(train: DataFrame, classifier, inputs: Sequence[str] = NUMERIC_FEATURES) -> PipelineModel:
     """Assemble and fit, on the 27 numeric inputs by default.  Trees read the data once per level, so the frame is
-    checkpointed: the feature plan runs once and survives lost executors.
+    checkpointed: the feature plan runs once and survives lost executors, and the rows are dealt over the cores.
     A missing input counts as 0, and how many a row misses is an input too, so
     only rows without a label are left out."""
     label = classifier.getLabelCol()
     ready = _filled(train.select("client_id", label, *inputs).dropna(subset=[label]), inputs)
     assembler = VectorAssembler(inputCols=[*inputs, MISSING], outputCol="features")
-    return Pipeline(stages=[assembler, classifier]).fit(cut_lineage(ready))
+    return Pipeline(stages=[assembler, classifier]).fit(dealt(cut_lineage(ready)))
 
 
 def predict(model: PipelineModel, frame: DataFrame, label: str = "conversion_target") -> DataFrame:
