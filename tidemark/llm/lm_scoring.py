@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -26,11 +23,11 @@ FOLDS, HELD, TUNE = 7, 2, 3
 ORDERS, BITS = (1, 2, 3, 5, -1), (20, 20, 22, 22, 22)
 #: Words whose base counts a task keeps, words counted at a time, tokens in a training task, symbols in a training step and
 #: in a block that is coded.
-HEAD, KEPT, TOKENS, STEP, BLOCK = 1 << 16, 400_000, 8_000_000, 1 << 19, 1 << 15
+HEAD, KEPT, TOKENS, STEP, BLOCK = 1 << 18, 400_000, 8_000_000, 1 << 20, 1 << 15
 STARTS = tuple(sum(1 << b for b in BITS[:i]) for i in range(len(BITS) + 1))
 #: Shares that the words so far in a document may have in the prediction; their odds adapt to the document.
 CACHE = (0.0, 0.02, 0.1, 0.3, 0.6, 0.9)
-PLACES = 4  # gates: place in the word (to PLACES - 1) by how many predictors have seen their context
+PLACES = 4  # gates: place in the word (to PLACES - 1) by how many predictors have seen the context of the block
 GATES = PLACES * (len(ORDERS) + 1)
 #: Bytes (words and spelled bytes: ``Spelling.chunk``) after which a document's weights move, documents coded side by side, the rate of the moves, and those of the tuning passes.
 CHUNK, ABREAST, RATE, PASSES = 64, 256, 0.002, (0.01, 0.002)
@@ -39,6 +36,8 @@ GRAIN = 0.1  # of the log-odds in the tables that documents are coded with
 
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _U = np.uint64
+_CELLS = np.r_[np.arange(0, 32, 2), np.arange(1, 33, 2)]  # by lane: twice the slot, and one more for a one
+_SIGNS = np.array([0] + [1] * 15 + [0] + [-1] * 15, np.float32)  # by lane: of the log-odds that the bit is wrong
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -63,21 +62,24 @@ def fold(doc_id: Column) -> Column:
 def vocabulary(docs: DataFrame) -> DataFrame:
     """``word, c, tune``: counts over the training documents and over those of the tuning fold among them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = Counter(), Counter()
+        counted: list[pa.Table] = []
 
-        def flush():
-            for tune, counted in enumerate(counts):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(counted.keys(), pa.binary()), pa.array(counted.values(), pa.int64()), pa.array(counted.values() if tune else [0] * len(counted), pa.int64())],
-                    names=["word", "c", "tune"])
-                counted.clear()
+        def merged() -> pa.Table:
+            return pa.concat_tables(counted).group_by("word").aggregate([("c", "sum"), ("tune", "sum")]).rename_columns(["word", "c", "tune"])
 
         for batch in batches:
-            for text, at in zip(batch.column(0), batch.column(1).to_pylist()):
-                counts[at == TUNE].update(tokens(text.as_py()))
-                if len(counts[0]) + len(counts[1]) > KEPT:
-                    yield from flush()
-        yield from flush()
+            for part in _parts(batch, 0):
+                tunes = pc.fill_null(pc.equal(part.column(1), TUNE), False)
+                for tune, texts in enumerate((part.column(0).filter(pc.invert(tunes)), part.column(0).filter(tunes))):
+                    found = pc.value_counts(split(texts)[0])
+                    n = found.field(1)
+                    counted.append(pa.table([found.field(0), n, n if tune else pa.array(np.zeros(len(n), np.int64))], names=["word", "c", "tune"]))
+                if sum(t.num_rows for t in counted) > KEPT:
+                    counted = [merged()]
+                    if counted[0].num_rows > KEPT // 2:
+                        yield from counted.pop().to_batches()
+        if counted:
+            yield from merged().to_batches()
 
     train = docs.select("text", fold(F.col("doc_id")).alias("fold")).filter(F.col("fold") != HELD)
     return train.mapInArrow(run, "word binary, c long, tune long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("tune").alias("tune"))
@@ -87,36 +89,38 @@ def _paths(counts: np.ndarray, rare: int) -> tuple[np.ndarray, ...]:
     """Of a Huffman code the length of each symbol's path, of all paths one after another the bits, their slots in blocks of four
     levels, and the blocks by number.  No symbol counts as rarer than 2^-rare of all, which bounds the paths."""
     n, least = len(counts), max(1, int(counts.sum()) >> rare)
-    heap = [(max(int(c), least), i) for i, c in enumerate(counts)]
-    heapq.heapify(heap)
-    up, high = [0] * (2 * n - 1), [0] * (2 * n - 1)
+    rising = np.argsort(np.maximum(counts, least), kind="stable")
+    # The two rarest join each time.  Joined ones rise too, so they are a queue beside that of the symbols; the last is the root.
+    single, joined = [*np.maximum(counts, least)[rising].tolist(), math.inf], []
+    parent, high, a, b = [0] * (2 * n - 1), [0] * (2 * n - 1), 0, n
     for made in range(n, 2 * n - 1):
-        a, b = heapq.heappop(heap), heapq.heappop(heap)
-        up[a[1]] = up[b[1]] = made
-        high[b[1]] = 1
-        heapq.heappush(heap, (a[0] + b[0], made))
+        both = 0
+        for bit in range(2):
+            if b == made or single[a] <= joined[b - n]:
+                node, value, a = a, single[a], a + 1
+            else:
+                node, value, b = b, joined[b - n], b + 1
+            parent[node], high[node], both = made, bit, both + value
+        joined.append(both)
     paths, lengths = [0] * (2 * n - 1), [0] * (2 * n - 1)
     for node in range(2 * n - 3, -1, -1):
-        paths[node], lengths[node] = 2 * paths[up[node]] + high[node], lengths[up[node]] + 1
-    sizes = np.array(lengths[:n])
+        paths[node], lengths[node] = 2 * paths[parent[node]] + high[node], lengths[parent[node]] + 1
+    paths, sizes = np.array(paths[:n])[np.argsort(rising)], np.array(lengths[:n])[np.argsort(rising)]
     owner = np.repeat(np.arange(n), sizes)
     level = np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner]
-    path, left, inside = np.array(paths[:n])[owner], sizes[owner] - level, level % 4
+    path, left, inside = paths[owner], sizes[owner] - level, level % 4
     top = inside == 0
     blocks = np.unique((path >> left | 1 << level)[top], return_inverse=True)[1]
     return sizes, (path >> (left - 1) & 1).astype(np.int8), (1 << inside | path >> left & (1 << inside) - 1).astype(np.uint8), blocks
 
 
 class Paths(NamedTuple):
-    """The bits of symbols: where those of each end, and by bit the symbol, the bit, its slot and its block; by block its symbol and offset."""
+    """The blocks of symbols: the symbol of each, its offset, and its four lanes, a bit each: the slot, 16 more for a one, or 0 where
+    there are fewer bits."""
 
-    ends: np.ndarray
-    owner: np.ndarray
-    ones: np.ndarray
-    slots: np.ndarray
     home: np.ndarray
     offsets: np.ndarray
-    block: np.ndarray
+    lanes: np.ndarray
 
     def blocks(self, base: np.ndarray, i: int, grown: int) -> tuple[np.ndarray, np.ndarray]:
         """By block the number of its 16 slots in the table of predictor ``i``, doubled ``grown`` times, and their order, for
@@ -127,13 +131,12 @@ class Paths(NamedTuple):
         return found >> np.uint32(4), (found & np.uint32(15)).astype(np.intp)
 
     def cells(self, base: np.ndarray, i: int, grown: int) -> np.ndarray:
-        """By bit the number of its slot in the tables of all predictors."""
+        """By lane twice the number of its slot in the tables of all predictors, and one more for a one."""
         number, order = self.blocks(base, i, grown)
         order += number.astype(np.intp) << 4
         order += STARTS[i] << grown
-        found = order.take(self.block)
-        found ^= self.slots
-        return found
+        order <<= 1
+        return order[:, None] ^ _CELLS.take(self.lanes)
 
 
 class Tree:
@@ -148,12 +151,19 @@ class Tree:
         self._set(*_paths(counts, 14))  # paths stay below 24 bits
 
     def _set(self, sizes: np.ndarray, ones: np.ndarray, slots: np.ndarray, blocks: np.ndarray) -> None:
-        self.sizes, self.ones, self._bits = sizes, ones, slots | ones.astype(np.uint8) << 4
-        self.first = np.cumsum(sizes) - sizes
+        self.sizes, self.first = sizes, np.cumsum(sizes) - sizes
         self.several = (sizes + 3) // 4
         self.first_block = np.cumsum(self.several) - self.several
+        lanes = np.zeros(4 * int(self.several.sum()), np.uint8)
+        lanes[np.repeat(4 * self.first_block - self.first, sizes) + np.arange(len(slots))] = slots | ones.astype(np.uint8) << 4
+        self.lanes = lanes.view(np.uint32)
         self.offsets = ((blocks.astype(np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(32)).astype(np.uint32)
 
+    @property
+    def ones(self) -> np.ndarray:
+        lanes = self.lanes.view(np.uint8)
+        return (lanes[lanes > 0] >> 4).astype(np.int8)
+
     def coded(self, words: list[bytes], first: list[int] | None = None) -> Coded:
         return Coded(words, first)
 
@@ -161,17 +171,11 @@ class Tree:
         return self.coded([w for t in texts for w in tokens(t.as_py())])
 
     def paths(self, symbols: np.ndarray) -> Paths:
-        sizes, several = self.sizes.take(symbols), self.several.take(symbols)
-        ends, last = np.cumsum(sizes), np.cumsum(several)
-        every = np.arange(len(symbols))
-        owner, home = np.repeat(every, sizes), np.repeat(every, several)
-        number = (self.first.take(symbols) - ends + sizes).take(owner)
-        number += np.arange(len(owner))
-        full = np.full(len(home), 4)
-        full[last - 1] = sizes - 4 * (several - 1)
-        offsets = self.offsets.take((self.first_block.take(symbols) - last + several).take(home) + np.arange(len(home)))
-        bits = self._bits.take(number)
-        return Paths(ends, owner, bits >> 4, bits & np.uint8(15), home, offsets, np.repeat(np.arange(len(home)), full))
+        several = self.several.take(symbols)
+        home = np.repeat(np.arange(len(symbols)), several)
+        place = np.repeat(self.first_block.take(symbols) - np.cumsum(several) + several, several)
+        place += np.arange(len(home))
+        return Paths(home, self.offsets.take(place), self.lanes.take(place).view(np.uint8).reshape(-1, 4))
 
 
 EVEN = Tree(np.ones(256, np.int64))
@@ -188,7 +192,7 @@ class Spelling(Tree):
     def __init__(self, head: dict[bytes, int], others: int, follows: np.ndarray):
         head = {b"": 1} | head
         ordered = sorted(head, key=lambda w: (-head[w], w))
-        self.number = {w: i for i, w in enumerate(ordered)}
+        self.words = pa.array(ordered, pa.binary())
         self.escape = len(ordered)
         # Where few were counted, bytes follow as they do anywhere.
         every = follows.sum(0) + 1
@@ -198,6 +202,10 @@ class Spelling(Tree):
         sizes, ones, slots, blocks = zip(*parts)
         self._set(np.concatenate(sizes), np.concatenate(ones), np.concatenate(slots), np.concatenate([b + at for b, at in zip(blocks, done)]))
 
+    @property
+    def number(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.words.to_pylist())}
+
     def coded(self, words: list[bytes], first: list[int] | None = None) -> Coded:
         if first is None:
             first = [i for i, w in enumerate([b"", *words[:-1]]) if not w]
@@ -287,7 +295,7 @@ class Coded:
     def cells(self, index: np.ndarray, grown: int, tree: Tree = EVEN) -> Iterator[np.ndarray]:
         """For each predictor the slots of the bits of these bytes, in tables doubled ``grown`` times."""
         paths = tree.paths(self.symbols[index])
-        return (paths.cells(base[index], i, grown) for i, base in enumerate(self.bases(slice(0, len(self.symbols)))))
+        return (paths.cells(base[index], i, grown)[paths.lanes > 0] >> 1 for i, base in enumerate(self.bases(slice(0, len(self.symbols)))))
 
 
 class Spelled(Coded):
@@ -298,7 +306,7 @@ class Spelled(Coded):
         n = len(words)
         different = words.dictionary_encode()
         self.own, self.distinct = different.indices.to_numpy(), different.dictionary
-        self.ids = np.fromiter(map(tree.number.get, self.distinct.to_pylist(), repeat(tree.escape)), np.int32, len(self.distinct))
+        self.ids = pc.fill_null(pc.index_in(self.distinct, value_set=tree.words), tree.escape).to_numpy()
         ids = self.ids.take(self.own)
         sizes = pc.binary_length(words).to_numpy().astype(np.int32) + np.int32(1)
         joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), words), b" ")[0].as_py()
@@ -344,29 +352,22 @@ def trained(docs: DataFrame, tokens_all: int, types: int, tree: Tree = EVEN) ->
     slots_all = STARTS[-1] << grown
 
     def count_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[bool, np.ndarray] = {}
-        kept: dict[bool, list[pa.Array]] = {False: [], True: []}
-        counted = 0
+        total, kept, counted = np.zeros(2 * slots_all, np.uint32), [], 0
 
         def flush():
-            for tune, total in totals.items():
-                for i in range(len(total) // PIECE):
-                    part = total[i * PIECE:(i + 1) * PIECE]
-                    if part.any():
-                        yield pa.RecordBatch.from_pydict({"piece": pa.array([i], pa.int32()), "tune": pa.array([tune]), "cells": pa.array([zlib.compress(part, 1)], pa.binary())})
-            totals.clear()
-
-        def count(tune: bool):
+            for i in range(len(total) // PIECE):
+                part = total[i * PIECE:(i + 1) * PIECE]
+                if part.any():
+                    yield pa.RecordBatch.from_pydict({"piece": pa.array([i], pa.int32()), "cells": pa.array([zlib.compress(part, 1)], pa.binary())})
+
+        def count():
             nonlocal counted
-            coded = tree.texts(pa.concat_arrays(kept[tune]))
-            kept[tune].clear()
+            coded = tree.texts(pa.concat_arrays(kept))
+            kept.clear()
             if counted + len(coded.symbols) > 1 << 31:  # a cell of 32 bits holds the symbols of one round
                 yield from flush()
-                counted = 0
+                total[:], counted = 0, 0
             counted += len(coded.symbols)
-            if tune not in totals:
-                totals[tune] = np.zeros(2 * slots_all, np.uint32)
-            total = totals[tune]
             for at in range(0, len(coded.symbols), STEP):
                 step = slice(at, min(at + STEP, len(coded.symbols)))
                 data = coded.symbols[step].astype(np.uint64)
@@ -379,20 +380,16 @@ def trained(docs: DataFrame, tokens_all: int, types: int, tree: Tree = EVEN) ->
                     for some in (slice(a, a + BLOCK // 2) for a in range(0, len(pairs), BLOCK // 2)):
                         paths = tree.paths((pairs[some] & _U(0xFFFFFFFF)).astype(np.intp))
                         cells = paths.cells((pairs[some] >> _U(32)).astype(np.uint32), i, grown)
-                        cells <<= 1
-                        cells += paths.ones
-                        np.add.at(total, cells, times[some].take(paths.owner))
+                        counts = times[some].take(paths.home)[:, None] * (paths.lanes != 0)
+                        np.add.at(total, cells.ravel(), counts.ravel())
 
         for batch in batches:
-            for part in _parts(batch, 0):
-                tunes = pc.fill_null(pc.equal(part.column(1), TUNE), False)
-                for tune, chosen in enumerate((part.column(0).filter(pc.invert(tunes)), part.column(0).filter(tunes))):
-                    kept[tune] += [chosen] * (len(chosen) > 0)
-                    if sum(x.nbytes for x in kept[tune]) > 2 << 20:  # the more at once, the more are the same
-                        yield from count(bool(tune))
-        for tune in kept:
-            if kept[tune]:
-                yield from count(tune)
+            for part in _parts(batch, 0, 1 << 20):
+                kept.append(part.column(0))
+                if sum(x.nbytes for x in kept) > 4 << 20:  # the more at once, the more are the same
+                    yield from count()
+        if kept:
+            yield from count()
         yield from flush()
 
     def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,8 +401,13 @@ def trained(docs: DataFrame, tokens_all: int, types: int, tree: Tree = EVEN) ->
             made = [np.clip(np.log((n[1::2] + 0.4) / (n[0::2] + 0.4)), -12, 12).astype(np.float16).tobytes() for n in (x, x + more)]
             yield pa.RecordBatch.from_pydict({"piece": pa.array([i], pa.int32()), "cells": pa.array(made[:1], pa.binary()), "whole": pa.array(made[1:], pa.binary())})
 
-    parts = docs.coalesce(max(1, -(-tokens_all // TOKENS))).mapInArrow(count_bits, "piece int, tune boolean, cells binary")
-    rows = parts.repartition(16 << grown, "piece").mapInArrow(stretch, "piece int, cells binary, whole binary").toLocalIterator()
+    # A task counts one kind of documents, so it holds one table.
+    parts = []
+    for tune, share in ((False, FOLDS - 2), (True, 1)):
+        own = docs.filter((F.col("fold") == TUNE) == tune).select("text")
+        counted = own.coalesce(max(1, -(-tokens_all * share // (TOKENS * (FOLDS - 1))))).mapInArrow(count_bits, "piece int, cells binary")
+        parts.append(counted.select("piece", F.lit(tune).alias("tune"), "cells"))
+    rows = parts[0].union(parts[1]).repartition(16 << grown, "piece").mapInArrow(stretch, "piece int, cells binary, whole binary").toLocalIterator()
     out = np.zeros(slots_all, np.float16), np.zeros(slots_all, np.float16)
     for i, *data in rows:
         for made, part in zip(out, data):
@@ -423,14 +425,6 @@ def grains(table: np.ndarray) -> np.ndarray:
     return out
 
 
-def _floats(found: np.ndarray, out: np.ndarray) -> None:
-    """The values of a table as float32."""
-    if found.dtype == np.int8:
-        np.multiply(found, np.float32(GRAIN), out=out)
-    else:
-        out[:] = found
-
-
 def code(coded: Coded, table: np.ndarray, weights: np.ndarray, rate: float, tree: Tree = EVEN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The cost of each byte in nats; the weights that the documents end with, summed by gate with their visits, and the visits.
 
@@ -457,41 +451,42 @@ def code(coded: Coded, table: np.ndarray, weights: np.ndarray, rate: float, tree
             # Contexts of as many chunks at once as BLOCK bytes hold, so few long documents cost no more calls than many.
             chunks = max(1, min(BLOCK // (live * tree.chunk), -(-(longest - at) // tree.chunk)))
             used = (np.arange(at, at + chunks * tree.chunk) < sizes[:live, None]).reshape(live, chunks, tree.chunk)
-            chunk, doc, shift = np.nonzero(used.transpose(1, 0, 2))
+            # Neighbours are of different documents, so that sums by document and gate do not wait for each other.
+            chunk, shift, doc = np.nonzero(used.transpose(1, 2, 0))
             index = starts[doc] + at + chunk * tree.chunk + shift
             paths = tree.paths(coded.symbols[index])
-            x = np.empty((inputs, len(paths.owner)), np.float32)
-            x[-1] = 0.3
-            seen = np.zeros(len(paths.owner), np.int8)
-            slots, firsts = paths.slots.astype(np.intp), np.arange(len(paths.home)) << 4
+            lanes = np.ascontiguousarray(paths.lanes.T)
+            slots, scale = (lanes & np.uint8(15)).astype(np.intp), _SIGNS.take(lanes)
+            x = np.empty((inputs, *lanes.shape), np.float32)
+            np.multiply(scale, np.float32(0.3), out=x[-1])
+            if table.dtype == np.int8:
+                scale *= np.float32(GRAIN)
+            keys = (doc * GATES + np.minimum(coded.place[index], PLACES - 1) * inputs).take(paths.home)
+            firsts = np.arange(len(keys)) << 4
             for i, base in enumerate(bases):
                 number, spread = paths.blocks(base[index], i, grown)
                 spread += firsts
-                spots = spread.take(paths.block)
-                spots ^= slots
-                found = tables[i].take(number, axis=0).ravel().take(spots)
-                _floats(found, x[i])
-                seen += found != 0
-            keys = (doc * GATES + np.minimum(coded.place[index], PLACES - 1) * inputs).take(paths.owner)
-            keys += seen
-            signs = 2 * paths.ones - np.float32(1)
-            stops = np.searchsorted(chunk, np.arange(chunks + 1))
-            begins = np.r_[0, paths.ends]
+                found = tables[i].take(number, axis=0).ravel().take(slots ^ spread)
+                np.multiply(found, scale, out=x[i])
+                keys += found[0] != 0
+            factors = np.empty(len(keys))
+            stops = np.searchsorted(paths.home, np.searchsorted(chunk, np.arange(chunks + 1)))
             for here in map(slice, stops[:-1], stops[1:]):
-                these = slice(begins[here.start], begins[here.stop])
-                key, sign, part = keys[these], signs[these], x[:, these]
+                key, part = keys[here], x[:, :, here]
                 odds = part[0] * now[0].take(key)
                 for i in range(1, inputs):
                     odds += part[i] * now[i].take(key)
                 np.clip(odds, -20, 20, out=odds)
-                odds *= -sign
                 wrong = np.exp(odds, out=odds)
-                # The bits of a byte in one product: at most 24 factors of e^20.
-                cost[index[here]] = np.log(np.multiply.reduceat(wrong + np.float64(1), begins[here] - these.start))
-                slope = (sign * wrong / (1 + wrong)).astype(np.float64)
+                factors[here] = np.multiply.reduce(wrong + np.float64(1), axis=0)
+                wrong /= wrong + np.float32(1)
+                top = int(key.max()) + 1
                 for i in range(inputs):
-                    now[i, :live * GATES] += rate * np.bincount(key, slope * part[i], live * GATES)
-                visited[:live * GATES] += np.bincount(key, minlength=live * GATES)
+                    now[i, :top] -= rate * np.bincount(key, (wrong * part[i]).sum(0))
+                visited[:top] += np.bincount(key)
+            # A lane without a bit is an even one.
+            factors /= 1 << (lanes == 0).sum(0)
+            cost[index] = np.add.reduceat(np.log(factors), np.searchsorted(paths.home, np.arange(len(index))))
             at += chunks * tree.chunk
         visited = visited.reshape(-1, GATES)
         ended += np.einsum("idg,dg->gi", now.reshape(inputs, -1, GATES), visited)
@@ -595,7 +590,7 @@ def score(docs: DataFrame) -> DataFrame:
     # A word that was met once stands for those that were not: it is spelled.
     head = {bytes(r[0]): r[1] for r in words.filter(frequent & (F.col("c") > 1)).select("word", "c").collect()}
     tree = Spelling(head, total - sum(head.values()), followers(words.filter(~frequent | (F.col("c") == 1))))
-    logs = np.array([math.log10(head[w] + 1) if w in head else 0.0 for w in tree.number] + [0.0])  # 0 also for the escape
+    logs = np.array([math.log10(head[w] + 1) if w in head else 0.0 for w in tree.words.to_pylist()] + [0.0])  # 0 also for the escape
     learned = docs.select("text", fold(F.col("doc_id")).alias("fold")).filter(F.col("fold") != HELD)
     apart, table = map(grains, trained(learned, total, distinct, tree))
     weights = tuned(learned.filter(F.col("fold") == TUNE).select("text"), apart, tree)
@@ -638,7 +633,7 @@ def score(docs: DataFrame) -> DataFrame:
         F.when(F.col("bytes") > 0, -F.col("score") * math.log2(10) / F.col("bytes")).alias("bits_per_byte"))
 
 
-def _parts(batch: pa.RecordBatch, column: int = 1, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, column: int = 1, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Slices of at most about ``most`` bytes of the text in ``column``."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy())
     at = 0
