@@ -443,7 +443,7 @@ def code(coded: Coded, table: np.ndarray, weights: np.ndarray, rate: float, tree
     for group in range(0, len(order), ABREAST):
         own = order[group:group + ABREAST]
         starts, sizes = coded.starts[own], coded.sizes[own]
-        now = np.tile(weights.T.astype(np.float32), (1, len(own)))
+        now = np.tile(weights.ravel().astype(np.float32), len(own))
         visited = np.zeros(len(own) * GATES)
         at, longest = 0, int(sizes.max(initial=0))
         while at < longest:
@@ -466,30 +466,29 @@ def code(coded: Coded, table: np.ndarray, weights: np.ndarray, rate: float, tree
             for i, base in enumerate(bases):
                 number, spread = paths.blocks(base[index], i, grown)
                 spread += firsts
-                found = tables[i].take(number, axis=0).ravel().take(slots ^ spread)
+                found = tables[i].take(number.astype(np.intp), axis=0).ravel().take(slots ^ spread, mode="clip")
                 np.multiply(found, scale, out=x[i])
                 keys += found[0] != 0
+            # The weights of a document's gate lie side by side.
+            every = keys * inputs + np.arange(inputs)[:, None]
             factors = np.empty(len(keys))
             stops = np.searchsorted(paths.home, np.searchsorted(chunk, np.arange(chunks + 1)))
             for here in map(slice, stops[:-1], stops[1:]):
-                key, part = keys[here], x[:, :, here]
-                odds = part[0] * now[0].take(key)
-                for i in range(1, inputs):
-                    odds += part[i] * now[i].take(key)
+                key, part = every[:, here], x[:, :, here]
+                odds = np.einsum("iln,in->ln", part, now.take(key, mode="clip"))
                 np.clip(odds, -20, 20, out=odds)
                 wrong = np.exp(odds, out=odds)
                 factors[here] = np.multiply.reduce(wrong + np.float64(1), axis=0)
                 wrong /= wrong + np.float32(1)
-                top = int(key.max()) + 1
-                for i in range(inputs):
-                    now[i, :top] -= rate * np.bincount(key, (wrong * part[i]).sum(0))
-                visited[:top] += np.bincount(key)
+                moves = np.bincount(key.ravel(), np.einsum("ln,iln->in", wrong, part).ravel())
+                now[:len(moves)] -= rate * moves
+                visited += np.bincount(keys[here], minlength=len(visited))
             # A lane without a bit is an even one.
             factors /= 1 << (lanes == 0).sum(0)
-            cost[index] = np.add.reduceat(np.log(factors), np.searchsorted(paths.home, np.arange(len(index))))
+            cost[index] = np.bincount(paths.home, np.log(factors), len(index))
             at += chunks * tree.chunk
         visited = visited.reshape(-1, GATES)
-        ended += np.einsum("idg,dg->gi", now.reshape(inputs, -1, GATES), visited)
+        ended += np.einsum("dgi,dg->gi", now.reshape(-1, GATES, inputs), visited)
         visits += visited.sum(0)
     return cost, ended, visits
 
