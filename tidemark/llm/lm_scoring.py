@@ -23,7 +23,7 @@ FOLDS, HELD, TUNE = 7, 2, 3
 ORDERS, BITS = (1, 2, 3, 5, -1), (20, 20, 22, 22, 22)
 #: Words whose base counts a task keeps, words counted at a time, tokens in a training task, symbols in a training step and
 #: in a block that is coded.
-HEAD, KEPT, TOKENS, STEP, BLOCK = 1 << 18, 400_000, 8_000_000, 1 << 20, 1 << 15
+HEAD, KEPT, TOKENS, STEP, BLOCK = 1 << 17, 400_000, 8_000_000, 1 << 21, 1 << 15
 STARTS = tuple(sum(1 << b for b in BITS[:i]) for i in range(len(BITS) + 1))
 #: Shares that the words so far in a document may have in the prediction; their odds adapt to the document.
 CACHE = (0.0, 0.02, 0.1, 0.3, 0.6, 0.9)
@@ -105,13 +105,15 @@ def _paths(counts: np.ndarray, rare: int) -> tuple[np.ndarray, ...]:
     paths, lengths = [0] * (2 * n - 1), [0] * (2 * n - 1)
     for node in range(2 * n - 3, -1, -1):
         paths[node], lengths[node] = 2 * paths[parent[node]] + high[node], lengths[parent[node]] + 1
-    paths, sizes = np.array(paths[:n])[np.argsort(rising)], np.array(lengths[:n])[np.argsort(rising)]
-    owner = np.repeat(np.arange(n), sizes)
-    level = np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner]
+    back = np.argsort(rising)
+    paths, sizes = np.array(paths[:n], np.int32)[back], np.array(lengths[:n], np.int32)[back]
+    del single, joined, parent, high, lengths
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    level = np.arange(len(owner), dtype=np.int32) - (np.cumsum(sizes, dtype=np.int32) - sizes)[owner]
     path, left, inside = paths[owner], sizes[owner] - level, level % 4
     top = inside == 0
     blocks = np.unique((path >> left | 1 << level)[top], return_inverse=True)[1]
-    return sizes, (path >> (left - 1) & 1).astype(np.int8), (1 << inside | path >> left & (1 << inside) - 1).astype(np.uint8), blocks
+    return sizes.astype(np.int64), (path >> (left - 1) & 1).astype(np.int8), (1 << inside | path >> left & (1 << inside) - 1).astype(np.uint8), blocks
 
 
 class Paths(NamedTuple):
@@ -386,7 +388,7 @@ def trained(docs: DataFrame, tokens_all: int, types: int, tree: Tree = EVEN) ->
         for batch in batches:
             for part in _parts(batch, 0, 1 << 20):
                 kept.append(part.column(0))
-                if sum(x.nbytes for x in kept) > 4 << 20:  # the more at once, the more are the same
+                if sum(x.nbytes for x in kept) > 8 << 20:  # the more at once, the more are the same
                     yield from count()
         if kept:
             yield from count()
@@ -587,7 +589,9 @@ def score(docs: DataFrame) -> DataFrame:
         least = at
     frequent = F.lit(False) if least is None else octave >= least
     # A word that was met once stands for those that were not: it is spelled.
-    head = {bytes(r[0]): r[1] for r in words.filter(frequent & (F.col("c") > 1)).select("word", "c").collect()}
+    often = words.filter(frequent & (F.col("c") > 1)).select("word", "c").toArrow()
+    head = dict(zip(often.column(0).to_pylist(), often.column(1).to_pylist()))
+    del often
     tree = Spelling(head, total - sum(head.values()), followers(words.filter(~frequent | (F.col("c") == 1))))
     logs = np.array([math.log10(head[w] + 1) if w in head else 0.0 for w in tree.words.to_pylist()] + [0.0])  # 0 also for the escape
     learned = docs.select("text", fold(F.col("doc_id")).alias("fold")).filter(F.col("fold") != HELD)
@@ -632,7 +636,7 @@ def score(docs: DataFrame) -> DataFrame:
         F.when(F.col("bytes") > 0, -F.col("score") * math.log2(10) / F.col("bytes")).alias("bits_per_byte"))
 
 
-def _parts(batch: pa.RecordBatch, column: int = 1, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, column: int = 1, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
     """Slices of at most about ``most`` bytes of the text in ``column``."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy())
     at = 0
