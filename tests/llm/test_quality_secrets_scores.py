@@ -301,6 +301,36 @@ def test_frequent_bytes_take_few_bits_and_are_counted_as_one_by_one(make_docs, p
     assert (lm_scoring.trained(docs, 1500, 1500, tree)[1] == want).all()
 
 
+def test_coder_is_the_scalar_one_with_a_gate_by_block(prose):
+    head = {w: 50 - i for i, w in enumerate(dict.fromkeys(w.encode() for w in prose(40, 1).split()))}
+    tree = lm_scoring.Spelling(head, 9, np.ones((256, 256), np.int64))
+    coded = tree.coded([w for n in (90, 0, 25) for w in lm_scoring.tokens(prose(n, 1) + " unmet" * (n > 0))])
+    rng = np.random.default_rng(5)
+    table = rng.normal(size=lm_scoring.STARTS[-1]).astype(np.float16)
+    table[rng.random(len(table)) < 0.4] = 0
+    weights = rng.normal(0.2, 0.1, size=(lm_scoring.GATES, len(lm_scoring.ORDERS) + 1))
+    bases = [b.tolist() for b in coded.bases(slice(0, len(coded.symbols)))]
+    paths = tree.paths(coded.symbols)
+    want, blocks = np.zeros(len(coded.symbols)), [np.flatnonzero(paths.home == i) for i in range(len(coded.symbols))]
+    for start, size in zip(coded.starts, coded.sizes):
+        now = weights.copy()
+        for at in range(start, start + size, tree.chunk):
+            moves = np.zeros_like(now)
+            for i in range(at, min(at + tree.chunk, start + size)):
+                for block in blocks[i]:
+                    rows = [(int(base[i]) + int(paths.offsets[block])) % 2**32 >> 32 - bits for base, bits in zip(bases, lm_scoring.BITS)]
+                    lanes = [int(lane) for lane in paths.lanes[block] if lane]
+                    inputs = [[float(table[first + (row ^ lane & 15)]) for first, row in zip(lm_scoring.STARTS, rows)] + [0.3] for lane in lanes]
+                    gate = min(int(coded.place[i]), lm_scoring.PLACES - 1) * now.shape[1] + sum(x != 0 for x in inputs[0][:-1])
+                    for lane, x in zip(lanes, inputs):
+                        p = 1 / (1 + math.exp(-np.dot(now[gate], x)))
+                        want[i] -= math.log(p if lane >> 4 else 1 - p)
+                        moves[gate] += 0.01 * ((lane >> 4) - p) * np.array(x)
+            now += moves
+    assert len(set(coded.symbols.tolist())) > 30 and (coded.symbols == tree.escape).sum() >= 2
+    assert np.allclose(lm_scoring.code(coded, table, weights, 0.01, tree)[0], want, rtol=1e-3, atol=1e-4)
+
+
 def test_frequent_words_are_coded_whole_and_others_by_every_byte(make_docs, prose):
     texts = [None, "", " \t", "A bB\x0bc\r\n", "Ä b\x1cc d\x00", *(prose(200, i) for i in range(4))]
     words, counts = lm_scoring.split(pa.array(texts))

@@ -23,7 +23,7 @@ FOLDS, HELD, TUNE = 7, 2, 3
 ORDERS, BITS = (1, 2, 3, 5, -1), (20, 20, 22, 22, 22)
 #: Words whose base counts a task keeps, words counted at a time, tokens in a training task, symbols in a training step and
 #: in a block that is coded.
-HEAD, KEPT, TOKENS, STEP, BLOCK = 1 << 17, 400_000, 8_000_000, 1 << 21, 1 << 15
+HEAD, KEPT, TOKENS, STEP, BLOCK = 1 << 17, 400_000, 8_000_000, 1 << 20, 1 << 15
 STARTS = tuple(sum(1 << b for b in BITS[:i]) for i in range(len(BITS) + 1))
 #: Shares that the words so far in a document may have in the prediction; their odds adapt to the document.
 CACHE = (0.0, 0.02, 0.1, 0.3, 0.6, 0.9)
@@ -388,7 +388,7 @@ def trained(docs: DataFrame, tokens_all: int, types: int, tree: Tree = EVEN) ->
         for batch in batches:
             for part in _parts(batch, 0, 1 << 20):
                 kept.append(part.column(0))
-                if sum(x.nbytes for x in kept) > 8 << 20:  # the more at once, the more are the same
+                if sum(x.nbytes for x in kept) > 3 << 20:  # the more at once, the more are the same
                     yield from count()
         if kept:
             yield from count()
@@ -636,7 +636,7 @@ def score(docs: DataFrame) -> DataFrame:
         F.when(F.col("bytes") > 0, -F.col("score") * math.log2(10) / F.col("bytes")).alias("bits_per_byte"))
 
 
-def _parts(batch: pa.RecordBatch, column: int = 1, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, column: int = 1, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Slices of at most about ``most`` bytes of the text in ``column``."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy())
     at = 0
