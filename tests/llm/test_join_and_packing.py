@@ -113,6 +113,38 @@ def test_only_rows_that_may_go_are_compared_by_id(spark, make_docs):
     assert ngram_join._parted(rows, keys.limit(0))[0].count() == 502
 
 
+def test_copies_add_little_to_what_the_join_moves(spark, make_docs, prose, monkeypatch):
+    """Equal sets of several tasks are routed once; pairs of near copies and their whole sets travel in few bytes."""
+    held = {}
+    write = ngram_join.written
+
+    def noted(df, label):
+        out = write(df, label)
+        if label in ("ngram-routes", "ngram-pairs"):
+            held[label] = out.select(F.explode("names")).count() if label == "ngram-routes" else out.count()
+        return out
+    monkeypatch.setattr(ngram_join, "written", noted)
+    base = [prose(60, i) for i in range(20)]
+    docs = make_docs([(100 * k + i, t) for k in range(6) for i, t in enumerate(base)]).repartition(6)
+    got = ngram_join.jaccard_components(docs).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(100 * k + i, i) for k in range(6) for i in range(20)}
+    assert held == {"ngram-routes": 20, "ngram-pairs": 0}
+
+    rows = [(i, " ".join(prose(400, 7).split() + [f"w{i}"])) for i in range(8)]
+    whole = ngram_join.whole_sets(make_docs(rows), 3, np.full(ngram_join.BITS // 8, 255, np.uint8)).collect()
+    assert len(whole) == 8 and sum(len(r.packed) for r in whole) < 0.6 * sum(8 * r.n for r in whole)
+    numbers = np.array([(k << 20) + 40 * i + 7 * k for i in range(300) for k in range(12)]).reshape(300, 12)
+    pairs = np.array([(x, y, 200 + j % 3, 201 + i % 2, 1) for c in numbers for i, x in enumerate(c) for j, y in enumerate(c) if x < y])
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    packed = ngram_join._packed_pairs(pairs)
+    assert (ngram_join._unpacked_pairs(packed) == pairs).all() and len(packed) < 5 * len(pairs)
+    frequent = pairs.copy()
+    frequent[:, 2:4] = -1
+    assert (ngram_join._unpacked_pairs(ngram_join._packed_pairs(frequent)) == frequent).all()
+    twice = ngram_join._summed_pairs(np.concatenate([frequent, pairs, pairs]))
+    assert len(twice) == 2 * len(pairs) and (twice[twice[:, 2] > 0, 4] == 2).all() and (twice[twice[:, 2] < 0, 4] == 1).all()
+
+
 def test_prefixes_share_as_many_ngrams_as_links_need():
     rng = np.random.default_rng(3)
     for n in (1, 2, 5, 10, 19, 64, 130, 400):
